@@ -53,9 +53,10 @@ def with_occurrence(urls: DataFrame, url_col: str = "url") -> DataFrame:
     return chunks.select("url", F.explode(F.sequence(lo, hi)).alias("occ"))
 
 
-def sample_key(seed: str, url_col: str = "url", occ_col: str = "occ") -> Column:
+def sample_key(seed: str, url_col: str = "url", occ_col: str = "occ", occ: Column | None = None) -> Column:
     """Repeatable uniform order: md5 of seed, URL and copy number (same in DuckDB)."""
-    return F.md5(F.concat(F.lit(str(seed)), F.col(url_col), F.lit("#"), F.col(occ_col).cast("string")))
+    n = occ if occ is not None else F.col(occ_col)
+    return F.md5(F.concat(F.lit(str(seed)), F.col(url_col), F.lit("#"), n.cast("string")))
 
 
 def exact_top_n(df: DataFrame, key: str, n: int, ties=()) -> DataFrame:

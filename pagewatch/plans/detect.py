@@ -14,14 +14,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.selection import drop_checked, limit_findings, sample_urls
+from ..operators.selection import drop_checked, limit_findings, sample_key, sample_urls
 from ..operators.verdicts import finding_metadata, observe, outcomes
 
 
 def work_urls(urls: DataFrame, checked: DataFrame | None = None, limit: int | None = None,
               seed: str = "0", resume: bool = True) -> DataFrame:
-    """D1 then F2, reduced to one row per URL with its best sample rank."""
+    """D1 then F2, reduced to one row per URL with its best sample rank.
+
+    Without a sample limit no copies need numbering: a URL's rank is the rank
+    of its first copy, and the list is only deduplicated (one aggregate).
+    """
     remaining = drop_checked(urls, checked, resume)
+    if not limit or limit <= 0:
+        return (remaining.select("url").distinct()
+                .withColumn("sample_rank", sample_key(seed, occ=F.lit(1))))
     sampled = sample_urls(remaining, limit, seed)
     return sampled.groupBy("url").agg(F.min("sample_rank").alias("sample_rank"))
 
