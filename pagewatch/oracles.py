@@ -178,3 +178,30 @@ SELECT 'https://site' || cast(user_id % 7 AS VARCHAR) || '.example/a/' || cast(u
   upper(sha1(props)) AS digest, event_id AS pos
 FROM events
 """
+
+
+def html_blocks_list(expr: str) -> str:
+    """List twin of ``functions.text.html_blocks``."""
+    region = main_region(strip_noise(expr))
+    flat = decode_entities(rr(rr(region, BLOCK_RE, "\n"), r"<[^>]*>", ""))
+    parts = f"list_transform(string_split({flat}, {NL}), lambda b: {rr('b', EDGE, '')})"
+    return f"list_filter({parts}, lambda b: b <> '')"
+
+
+HOST = "lower(regexp_extract({0}, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1))"
+
+
+def corpus_text_sql(pages: str, key: str = "page_id", url: str = "url", html: str = "html",
+                    min_pages: int = 3, share: float = 0.5) -> str:
+    """Twin of ``operators.content.extract_main_text`` over a pages relation."""
+    return f"""WITH b0 AS (SELECT {key} AS k, {HOST.format(url)} AS host, {html_blocks_list(html)} AS bl FROM ({pages})),
+b AS (SELECT k, host, unnest(bl) AS block, generate_subscripts(bl, 1) AS block_pos FROM b0),
+bh AS (SELECT *, sha1(block) AS block_hash FROM b),
+pb AS (SELECT host, block_hash, count(DISTINCT k) AS n_pages FROM bh GROUP BY host, block_hash),
+ph AS (SELECT host, count(DISTINCT k) AS host_pages FROM bh GROUP BY host),
+bp AS (SELECT pb.host, pb.block_hash FROM pb JOIN ph ON ph.host = pb.host
+       WHERE n_pages >= greatest({min_pages}, ceil(host_pages * {share}))),
+kept AS (SELECT * FROM bh WHERE NOT EXISTS (SELECT 1 FROM bp WHERE bp.host = bh.host AND bp.block_hash = bh.block_hash)),
+j AS (SELECT k, string_agg(block, chr(10) ORDER BY block_pos) AS raw FROM kept GROUP BY k),
+t AS (SELECT p.{key} AS k, {collapse_ws(length_gate('j.raw'))} AS text FROM ({pages}) p LEFT JOIN j ON j.k = p.{key})
+SELECT k AS {key}, text, upper(sha1(text)) AS digest FROM t"""
