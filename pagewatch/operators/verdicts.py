@@ -167,7 +167,8 @@ def run_counters(outs: DataFrame, loaded: DataFrame | None = None) -> DataFrame:
     )
     if loaded is not None:
         n = loaded.agg(F.count(F.lit(1)).alias("total_urls_loaded"))
-        agg = agg.withColumn("_one", F.lit(1)).join(n.withColumn("_one", F.lit(1)), "_one").drop("_one")
+        # Both sides are single-row global aggregates.
+        agg = agg.withColumn("_one", F.lit(1)).join(F.broadcast(n.withColumn("_one", F.lit(1))), "_one").drop("_one")
     return agg
 
 

@@ -65,8 +65,9 @@ def run_report(metadata: DataFrame, counters: DataFrame, params: dict, scan_time
     items = top.agg(F.sort_array(F.collect_list(item)).alias("deleted_changed_articles"))
     p = [F.lit(v).alias(k) for k, v in params.items()]
     head = counters.select(*p, F.lit(scan_time).alias("scan_time"), "*")
+    # Both sides are single-row global aggregates.
     return (head.withColumn("_one", F.lit(1))
-            .join(items.withColumn("_one", F.lit(1)), "_one").drop("_one"))
+            .join(F.broadcast(items.withColumn("_one", F.lit(1))), "_one").drop("_one"))
 
 
 def cluster_csv_rows(articles: DataFrame, n: int = 200) -> DataFrame:
