@@ -157,7 +157,7 @@ def topic_rows(sizes: DataFrame, keywords: DataFrame, reps: DataFrame, articles:
     t = (sizes.join(keywords, class_col, "left").join(r, class_col, "left")
          .select(F.col(class_col).alias("id"), "size", kw.alias("_kw"),
                  F.coalesce("representative_articles", F.array()).alias("representative_articles")))
-    first_en = F.col("representative_articles")[0]["snippet_en"]
+    first_en = F.get(F.col("representative_articles"), 0)["snippet_en"]
     return t.select(
         "id", "size",
         topic_label(F.col("id"), F.col("_kw")).alias("label"),

@@ -19,6 +19,9 @@ DEFAULT_CONF = {
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Local mode runs everything in the driver JVM; on a cluster this is the
+    # driver only and executors are sized by the cluster's own settings.
+    "spark.driver.memory": "12g",
 }
 
 
