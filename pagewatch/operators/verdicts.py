@@ -185,3 +185,17 @@ def with_progress(df: DataFrame, name: str = "progress") -> tuple[DataFrame, Obs
         F.count_if(F.col("verdict").isNotNull()).alias("found"),
     )
     return observed, obs
+
+
+def archive_state(work: DataFrame, captures: DataFrame, bodies: DataFrame, content_only: bool = True) -> DataFrame:
+    """The archive half of D4 alone: per URL its newest good capture and that
+    body's digest (the static side for streaming verdicts, S2)."""
+    keys = work.select(F.col("url").alias("original"))
+    caps = captures.select("original", "ts14", "statuscode", "pos").join(keys, "original", "left_semi")
+    latest = latest_good_capture(caps, keep_all=True).withColumnRenamed("original", "url")
+    j = work.select("url").join(latest, "url", "left")
+    b = spread(bodies).select(F.col("original").alias("url"), "ts14", F.col("html").alias("_body"))
+    j = j.join(b, ["url", "ts14"], "left")
+    has_body = F.col("_body").isNotNull() & (F.col("_body") != "")
+    return j.select("url", "n_captures", "ts14", has_body.alias("has_body"),
+                    F.when(has_body, page_digest(F.col("_body"), content_only)).alias("archive_digest"))
