@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import markdown_to_plain
+from ..session import spread
 
 
 def articles_from_findings(findings: DataFrame, verdict: str = "deleted", id_expr: Column | None = None) -> DataFrame:
@@ -24,7 +25,7 @@ def articles_from_findings(findings: DataFrame, verdict: str = "deleted", id_exp
     URL unless ``id_expr`` is given."""
     ok = (F.col("verdict") == verdict) & F.col("archive.text").isNotNull() & (F.col("archive.text") != "")
     cols = [c for c in ("source_file",) if c in findings.columns]
-    return findings.filter(ok).select(
+    return spread(findings.filter(ok)).select(
         (id_expr if id_expr is not None else F.xxhash64("url")).alias("article_id"), *cols, "url",
         F.col("archive.url").alias("archive_url"),
         F.col("archive.timestamp").alias("archive_timestamp"),

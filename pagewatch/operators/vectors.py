@@ -4,7 +4,7 @@ The built-in encoder is native Spark: hashed term counts (md5 bucket of each
 token), L2-normalised. A model encoder plugs in as a batch function through
 ``mapInPandas`` (Arrow batches; the function loads its model once per worker).
 
-Similarity pairs are exact. Vectors are hashed into ``nb`` blocks; every
+Similarity pairs are exact. Vectors are hashed into ``nb = ceil(n / block_size)`` blocks; every
 block pair (a <= b) is one group holding at most two blocks, so each task
 multiplies two bounded matrices and emits only pairs at or above the
 threshold. Work is O(n^2 / tasks) but no group grows with the data and no
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import ensure_checkpoint_dir, spread
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -96,13 +96,16 @@ def _pairs_fn(threshold: float, decimals: int):
 
 
 def similarity_pairs(vectors: DataFrame, threshold: float, id_col: str = "article_id", vec_col: str = "vec",
-                     block_size: int = 512, decimals: int = 6) -> DataFrame:
+                     block_size: int = 2048, decimals: int = 6, checkpoint_input: bool = True) -> DataFrame:
     """Every pair ``i < j`` with cosine (rounded to ``decimals``) >= ``threshold``, exactly.
 
     Vector ``v`` in block ``k`` is sent to block pairs (k, b) for b >= k as the
     left side and (a, k) for a <= k as the right side; pairs are generated
     with ``explode(sequence)`` (no cross join) and grouped by block pair.
     """
+    if checkpoint_input:  # counted, then read again: compute the vectors once
+        ensure_checkpoint_dir(vectors.sparkSession)
+        vectors = vectors.checkpoint()
     n = vectors.count()
     nb = max(1, math.ceil(n / block_size))
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"),
