@@ -358,3 +358,41 @@ def q_cluster_csv(spark, d):
 def q_preview(spark, d):
     """200-character preview of the translation, else the source text."""
     return translated(spark, d).select("url", preview_col(F.col("text_en"), F.col("text_src"), 200).alias("preview"))
+
+
+@register("write_translation_cache", f"WITH {translated_ctes()} SELECT src_sha1, text_out, true AS ok FROM newt")
+def q_write_translation_cache(spark, d):
+    """Only the newly translated keys are appended to the cache, then read back."""
+    from ..session import scratch_path
+    from ..sinks.writers import append_cache
+    from ..sources.readers import load_cache
+    arts = articles(spark, d)
+    _, new = translate(arts, article_cache(arts), dictionary=X.dictionary(spark))
+    path = scratch_path(spark, "cache_new")
+    append_cache(new, path)
+    return load_cache(spark, path)
+
+
+@register("ctfidf", topics_sql("SELECT cls AS cluster, term, weight, cast(rank AS INTEGER) AS rank FROM kw"))
+def q_ctfidf(spark, d):
+    """C-TF-IDF top-30 terms per topic of the cluster plan (translated text)."""
+    res = _topics(spark, d)
+    toks = tokenise(res.articles, "text_en", keep=("cluster",))
+    return ctfidf(toks, "cluster", 30).select("cluster", "term", "weight", F.col("rank").cast("int").alias("rank"))
+
+
+@register("summary_order", topics_sql("""SELECT id, cast(row_number() OVER (ORDER BY id = -1, size DESC, id) - 1 AS INTEGER) AS summary_rank
+FROM topics"""))
+def q_summary_order(spark, d):
+    """topic order in the summary: outliers last, then size descending."""
+    s = topic_summary(_topics(spark, d).topics).select("id", "is_outlier", (-F.col("size")).alias("_neg"))
+    return dense_rank_ids(s, ["is_outlier", "_neg", "id"], "summary_rank").select("id", "summary_rank")
+
+
+@register("csv_order", topics_sql("""SELECT url, cast(row_number() OVER (ORDER BY cluster, coalesce(archive_timestamp, ''), article_id) - 1 AS INTEGER) AS csv_rank
+FROM lt"""))
+def q_csv_order(spark, d):
+    """CSV row order (cluster, timestamp or ''), so -1 comes first."""
+    a = _topics(spark, d).articles.select("url", "cluster", "article_id",
+                                          F.coalesce("archive_timestamp", F.lit("")).alias("_ts"))
+    return dense_rank_ids(a, ["cluster", "_ts", "article_id"], "csv_rank").select("url", "csv_rank")
