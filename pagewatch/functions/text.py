@@ -1,7 +1,8 @@
 """Column functions for text: HTML to main text, gates, digests, Markdown, snippets.
 
-All are native Spark expressions (codegen'd, JVM side) except ``nfkc``, the
-one Arrow-batched pandas UDF: Spark has no Unicode normalisation builtin.
+All are native Spark expressions on the JVM side. Spark has no Unicode
+normalisation builtin, so ``nfkc`` calls ICU4J (on Spark's classpath) through
+``reflect`` for the few rows that need it.
 Regexes are written so the same pattern means the same thing in Java regex and
 RE2, which lets the DuckDB oracles reuse them.
 """
@@ -41,6 +42,16 @@ def _c(c) -> Column:
     return c if isinstance(c, Column) else F.col(c)
 
 
+def _let(expr: Column, body) -> Column:
+    """Evaluate ``expr`` once and pass it to ``body`` as a bound variable.
+
+    Helpers below use their input several times (a test, then the value);
+    binding it through a one-element ``transform`` guarantees the expensive
+    input (a chain of regex passes over a whole page) runs once per row.
+    """
+    return F.element_at(F.transform(F.array(expr), body), 1)
+
+
 def decode_entities(c) -> Column:
     out = _c(c)
     for ent, ch in ENTITIES:
@@ -59,12 +70,11 @@ def strip_noise(html) -> Column:
 
 def main_region(html) -> Column:
     """The ``<article>`` element if any, else ``<body>``, else everything."""
-    h = _c(html)
-    art = F.regexp_extract(h, ARTICLE_RE, 1)
-    body = F.regexp_extract(h, BODY_RE, 1)
-    return (F.when(h.rlike(r"(?is)<article\b[^>]*>.*</article\s*>"), art)
-            .when(h.rlike(r"(?is)<body\b[^>]*>.*</body\s*>"), body)
-            .otherwise(h))
+    def pick(h):
+        return (F.when(h.rlike(r"(?is)<article\b[^>]*>.*</article\s*>"), F.regexp_extract(h, ARTICLE_RE, 1))
+                .when(h.rlike(r"(?is)<body\b[^>]*>.*</body\s*>"), F.regexp_extract(h, BODY_RE, 1))
+                .otherwise(h))
+    return _let(_c(html), pick)
 
 
 def html_blocks(html) -> Column:
@@ -82,8 +92,7 @@ def join_blocks(blocks) -> Column:
 
 def length_gate(text, n: int = 50) -> Column:
     """H2: null when the text, stripped, is shorter than ``n`` characters."""
-    t = _c(text)
-    return F.when(F.length(F.regexp_replace(t, UNICODE_EDGE_WS_RE, "")) >= n, t)
+    return _let(_c(text), lambda t: F.when(F.length(F.regexp_replace(t, UNICODE_EDGE_WS_RE, "")) >= n, t))
 
 
 @F.pandas_udf(StringType())
@@ -130,13 +139,33 @@ def nfkc_unstable_class() -> str:
     return "[" + body + "]"
 
 
+ICU_NORMALIZER = "com.ibm.icu.text.Normalizer"
+
+
+@functools.lru_cache(maxsize=1)
+def _icu_available() -> bool:
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return True
+    try:
+        spark.sparkContext._jvm.java.lang.Class.forName(ICU_NORMALIZER)
+        return True
+    except Exception:  # noqa: BLE001
+        return False
+
+
 def nfkc(text) -> Column:
-    """Unicode NFKC. Only rows holding an NFKC-unstable character are sent (as
-    values; the rest as nulls) through one Arrow-batched pandas UDF, since Spark
-    has no normalisation builtin; all other rows keep their JVM value."""
+    """Unicode NFKC, JVM-side: ICU4J (shipped with Spark for collations) called
+    through ``reflect``, only for rows holding a possibly unstable character;
+    every other row keeps its value untouched. Without ICU on the classpath,
+    the same rows go through an Arrow-batched pandas UDF instead."""
+    cls = nfkc_unstable_class()
+    if _icu_available():
+        return _let(_c(text), lambda t: F.when(
+            t.rlike(cls), F.reflect(F.lit(ICU_NORMALIZER), F.lit("compose"), t, F.lit(True))).otherwise(t))
     t = _c(text)
-    needs = t.rlike(nfkc_unstable_class())
-    return F.coalesce(_nfkc_udf(F.when(needs, t)), t)
+    return F.coalesce(_nfkc_udf(F.when(t.rlike(cls), t)), t)
 
 
 def collapse_ws(text) -> Column:
@@ -177,7 +206,7 @@ def evidence_markdown(html, min_chars: int = 50) -> Column:
     t = decode_entities(F.regexp_replace(t, TAG_RE, ""))
     lines = F.transform(F.split(t, "\n"), lambda b: F.regexp_replace(b, EDGE_WS_RE, ""))
     md = F.array_join(F.filter(lines, lambda b: b != F.lit("")), "\n")
-    return F.when(F.length(md) >= min_chars, md)
+    return _let(md, lambda m: F.when(F.length(m) >= min_chars, m))
 
 
 def evidence_text(html, min_chars: int = 50) -> Column:
@@ -199,9 +228,10 @@ def markdown_to_plain(md) -> Column:
 
 def snippet(text, n: int = 300) -> Column:
     """H8: first ``n`` chars; when longer, cut back to the last space and add an ellipsis."""
-    t = F.coalesce(_c(text), F.lit(""))
-    head = F.substring(t, 1, n)
-    return F.when(F.length(t) > n, F.concat(F.regexp_replace(head, r" [^ ]*\z", ""), F.lit("…"))).otherwise(head)
+    def cut(t):
+        head = F.substring(t, 1, n)
+        return F.when(F.length(t) > n, F.concat(F.regexp_replace(head, r" [^ ]*\z", ""), F.lit("…"))).otherwise(head)
+    return _let(F.coalesce(_c(text), F.lit("")), cut)
 
 
 def topic_description(keywords, snippet_en) -> Column:
