@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.urls import url_host
-from ..session import spread
+from ..session import ensure_checkpoint_dir, spread
 
 
 def page_blocks(pages: DataFrame, key: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -46,7 +46,10 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url_col: str = "ur
                       min_pages: int = 3, share: float = 0.5, min_chars: int = 50,
                       use_nfkc: bool = True) -> DataFrame:
     """H1 (+ H2-H4): per page ``text`` (null if under ``min_chars``) and its ``digest``."""
-    blocks = page_blocks(pages, key, url_col, html_col)
+    # Blocks feed three aggregates/joins: extract them once (reliable checkpoint
+    # into the cluster's checkpoint folder), not once per consumer.
+    ensure_checkpoint_dir(pages.sparkSession)
+    blocks = page_blocks(pages, key, url_col, html_col).checkpoint()
     bp = boilerplate_blocks(blocks, min_pages, share, key)
     kept = blocks.join(bp.select("host", "block_hash"), ["host", "block_hash"], "left_anti")
     joined = (kept.groupBy(key)

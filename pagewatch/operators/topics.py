@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import snippet, topic_description
+from ..session import ensure_checkpoint_dir
 
 
 def _one(df: DataFrame) -> DataFrame:
@@ -23,7 +24,10 @@ def _one(df: DataFrame) -> DataFrame:
 
 def ctfidf(tokens: DataFrame, class_col: str = "cluster", k: int = 30, decimals: int = 9) -> DataFrame:
     """Top-``k`` terms per class: (class, term, weight, rank)."""
-    tf = tokens.groupBy(class_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    # tf feeds three consumers; checkpoint the (small) aggregate so the token
+    # stream is produced once.
+    ensure_checkpoint_dir(tokens.sparkSession)
+    tf = tokens.groupBy(class_col, "term").agg(F.count(F.lit(1)).alias("tf")).checkpoint()
     words = tf.groupBy(class_col).agg(F.sum("tf").alias("W"))
     freq = tf.groupBy("term").agg(F.sum("tf").alias("f"))
     avg = words.agg(F.avg("W").alias("A"))

@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, spread
@@ -41,8 +41,10 @@ def hashed_weights(df: DataFrame, id_col: str, text_col: str, dim: int = 64) ->
     """I2 (sparse form): (id, bucket, weight) with weights L2-normalised per id."""
     toks = tokenise(df, text_col, keep=(id_col,))
     counts = toks.groupBy(id_col, token_bucket(F.col("term"), dim).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    norms = counts.groupBy(id_col).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("_norm"))
-    return counts.join(norms, id_col).select(id_col, "bucket", (F.col("n") / F.col("_norm")).alias("weight"))
+    # The norm window spans one id's buckets (at most ``dim`` rows) and reuses
+    # the aggregate's partitioning by id: no second pass over the tokens.
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(id_col)))
+    return counts.select(id_col, "bucket", (F.col("n") / norm).alias("weight"))
 
 
 def embed(df: DataFrame, id_col: str = "article_id", text_col: str = "text_src", dim: int = 64,
