@@ -77,6 +77,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     (no shuffle); a tiny or unsplittable input (one row group) would otherwise
     run its CPU-heavy per-row work (regex extraction, tokenising) in one task.
     """
+    if df.isStreaming:
+        return df
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)

@@ -39,17 +39,19 @@ def decode_cdx_payload(payloads: DataFrame, col: str = "payload", keep=("request
     Output keeps the ``keep`` columns and adds ``row_pos`` (1-based data row).
     """
     v = F.from_json(F.col(col), CDX_JSON)
-    p = payloads.select(*[c for c in keep if c in payloads.columns], v.alias("_v"))
-    p = p.filter(F.size("_v") >= 2)
-    rows = p.select(*[c for c in keep if c in payloads.columns],
-                    F.col("_v")[0].alias("_hdr"),
+    kept = [c for c in keep if c in payloads.columns]
+    p = payloads.select(*kept, v.alias("_v")).filter(F.size("_v") >= 2)
+    rows = p.select(*kept, F.col("_v")[0].alias("_hdr"),
                     F.posexplode(F.slice("_v", 2, F.size("_v") - 1)).alias("row_pos", "_row"))
-    zipped = F.map_from_arrays(F.col("_hdr"), F.slice(F.col("_row"), 1, F.size("_hdr")))
-    out = rows.select(*[c for c in keep if c in payloads.columns], (F.col("row_pos") + 1).alias("row_pos"),
-                      zipped.alias("_m"))
-    return out.select(*[c for c in keep if c in payloads.columns], "row_pos",
-                      F.col("_m")["timestamp"].alias("ts14"), F.col("_m")["statuscode"].alias("statuscode"),
-                      F.col("_m")["digest"].alias("digest"), F.col("_m")["original"].alias("original"))
+
+    def field(name):
+        # Position of the field in the header (0 if absent -> index -1 -> null);
+        # ``get`` returns null past the end of a short row instead of failing.
+        return F.get(F.col("_row"), F.array_position(F.col("_hdr"), F.lit(name)).cast("int") - 1)
+
+    return rows.select(*kept, (F.col("row_pos") + 1).alias("row_pos"),
+                       field("timestamp").alias("ts14"), field("statuscode").alias("statuscode"),
+                       field("digest").alias("digest"), field("original").alias("original"))
 
 
 def load_findings(spark: SparkSession, path: str, verdict: str = "deleted", multiline: bool = False,

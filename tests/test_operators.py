@@ -103,3 +103,12 @@ def test_load_findings_skips(spark):
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
     rows = load_findings(spark, path).collect()
     assert [(r["url"], r["text_src"]) for r in rows] == [("u1", "H bold text")]
+
+
+def test_decode_cdx_payload_short_rows_and_field_order(spark):
+    hdr = ["original", "timestamp", "statuscode"]          # other order, no digest column
+    payload = json.dumps([hdr, ["http://a/", "20200101000000", "200"], ["http://b/"]])
+    df = spark.createDataFrame([("r", payload)], "request string, payload string")
+    out = sorted((r["row_pos"], r["original"], r["ts14"], r["statuscode"], r["digest"])
+                 for r in decode_cdx_payload(df).collect())
+    assert out == [(1, "http://a/", "20200101000000", "200", None), (2, "http://b/", None, None, None)]
