@@ -142,9 +142,11 @@ def q_sorted_urls(spark, d):
     """each month file is sorted; first and last line of each month as written."""
     path = scratch_path(spark, "url_index_sorted")
     write_url_index(D.distinct_urls_by_month(caps(spark, d)), path)
+    # Line order = (file name, position in file): files of a month are named in range order.
     lines = spark.read.text(path).select("domain", F.col("year").cast("int").alias("year"),
                                          F.col("month").cast("int").alias("month"),
-                                         F.col("value").alias("original"), F.monotonically_increasing_id().alias("_i"))
+                                         F.col("value").alias("original"),
+                                         F.struct(F.col("_metadata.file_name"), F.monotonically_increasing_id()).alias("_i"))
     w = lines.groupBy("domain", "year", "month").agg(
         F.count(F.lit(1)).alias("n_urls"), F.min_by("original", "_i").alias("first_url"),
         F.max_by("original", "_i").alias("last_url"))

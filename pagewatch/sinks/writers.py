@@ -12,15 +12,17 @@ from pyspark.sql import functions as F
 
 
 def write_url_index(index: DataFrame, path: str, fmt: str = "text") -> None:
-    """B1 + F4: one sorted file per (domain, year, month); empty months write nothing.
+    """B1 + F4: sorted URL files per (domain, year, month); empty months write nothing.
 
-    Rows are clustered by month and sorted by URL inside each task, so each
-    month directory gets sorted files; dynamic partition overwrite replaces
-    only the months being written (a re-run of one month leaves the others).
+    Range partitioning on (domain, year, month, original) keeps a month's URLs
+    in order across tasks: a small month is one sorted file, a month holding a
+    third of all rows is split into several sorted, non-overlapping files whose
+    names follow the order. Dynamic partition overwrite replaces only the
+    months being written (a re-run of one month leaves the others).
     """
     keys = ["domain", "year", "month"]
     out = (index.select(*keys, "original")
-           .repartition(*keys)
+           .repartitionByRange(*keys, "original")
            .sortWithinPartitions(*keys, "original"))
     w = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys)
     if fmt == "text":
