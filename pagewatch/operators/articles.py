@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import markdown_to_plain
-from ..session import spread
+from ..session import ensure_checkpoint_dir, spread
 
 
 def articles_from_findings(findings: DataFrame, verdict: str = "deleted", id_expr: Column | None = None) -> DataFrame:
@@ -96,6 +96,7 @@ def translate(articles: DataFrame, cache: DataFrame, translate_fn: Callable | No
     keys = keyed.select("src_sha1", F.col(text_col).alias("text")).dropDuplicates(["src_sha1"])
     misses = keys.join(usable.select("src_sha1"), "src_sha1", "left_anti")
     if translate_fn is not None:
+        ensure_checkpoint_dir(articles.sparkSession)  # ships this package to the Python workers
         new = misses.mapInPandas(_batch_translator(translate_fn), "src_sha1 string, text_out string, ok boolean")
     else:
         new = dictionary_translate(misses, dictionary)

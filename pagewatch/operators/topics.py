@@ -18,10 +18,6 @@ from ..functions.text import snippet, topic_description
 from ..session import ensure_checkpoint_dir
 
 
-def _one(df: DataFrame) -> DataFrame:
-    return df.withColumn("_one", F.lit(1))
-
-
 def ctfidf(tokens: DataFrame, class_col: str = "cluster", k: int = 30, decimals: int = 9) -> DataFrame:
     """Top-``k`` terms per class: (class, term, weight, rank)."""
     # tf feeds three consumers; checkpoint the (small) aggregate so the token
@@ -30,11 +26,11 @@ def ctfidf(tokens: DataFrame, class_col: str = "cluster", k: int = 30, decimals:
     tf = tokens.groupBy(class_col, "term").agg(F.count(F.lit(1)).alias("tf")).checkpoint()
     words = tf.groupBy(class_col).agg(F.sum("tf").alias("W"))
     freq = tf.groupBy("term").agg(F.sum("tf").alias("f"))
-    avg = words.agg(F.avg("W").alias("A"))
-    # ``avg`` is one row (a global aggregate): broadcasting it is size-safe.
-    w = (_one(tf.join(words, class_col).join(freq, "term"))
-         .join(F.broadcast(_one(avg)), "_one").drop("_one"))
-    weight = F.round(F.col("tf") / F.col("W") * F.log(1 + F.col("A") / F.col("f")), decimals)
+    # A (mean words per class) is one number: fetch it as a literal instead of
+    # joining a one-row frame (which plans as a nested-loop join).
+    avg_words = words.agg(F.avg("W")).first()[0] or 0.0
+    w = tf.join(words, class_col).join(freq, "term")
+    weight = F.round(F.col("tf") / F.col("W") * F.log(1 + F.lit(float(avg_words)) / F.col("f")), decimals)
     scored = w.select(class_col, "term", weight.alias("weight"))
     win = Window.partitionBy(class_col).orderBy(F.col("weight").desc(), F.col("term"))
     return scored.withColumn("rank", F.row_number().over(win)).filter(F.col("rank") <= k)
@@ -84,6 +80,7 @@ def mmr(candidates: DataFrame, class_col: str = "cluster", k: int = 10, diversit
         picked = mmr_select(pdf["term"].tolist(), pdf["weight"].astype(float).tolist(), k, diversity)
         return pd.DataFrame({class_col: [pdf[class_col].iloc[0]] * len(picked),
                              "rank": list(range(1, len(picked) + 1)), "term": picked})
+    ensure_checkpoint_dir(candidates.sparkSession)  # ships this package to the Python workers
     out_schema = f"{class_col} {class_type}, rank int, term string"
     return candidates.select(F.col(class_col).cast(class_type).alias(class_col), "term", "weight") \
         .groupBy(class_col).applyInPandas(run, out_schema)

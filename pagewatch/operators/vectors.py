@@ -71,6 +71,7 @@ def embed(df: DataFrame, id_col: str = "article_id", text_col: str = "text_src",
                 out.extend(np.asarray(embed_fn(texts[i:i + batch_size]), dtype="float64").tolist())
             yield pd.DataFrame({id_col: pdf[id_col], "vec": out})
 
+    ensure_checkpoint_dir(df.sparkSession)
     return spread(df.select(id_col, text_col)).mapInPandas(run, f"{id_col} long, vec array<double>")
 
 
@@ -105,8 +106,8 @@ def similarity_pairs(vectors: DataFrame, threshold: float, id_col: str = "articl
     left side and (a, k) for a <= k as the right side; pairs are generated
     with ``explode(sequence)`` (no cross join) and grouped by block pair.
     """
+    ensure_checkpoint_dir(vectors.sparkSession)  # also ships this package to the Python workers
     if checkpoint_input:  # counted, then read again: compute the vectors once
-        ensure_checkpoint_dir(vectors.sparkSession)
         vectors = vectors.checkpoint()
     n = vectors.count()
     nb = max(1, math.ceil(n / block_size))

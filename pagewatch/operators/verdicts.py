@@ -167,11 +167,24 @@ def run_counters(outs: DataFrame, loaded: DataFrame | None = None) -> DataFrame:
     )
     if loaded is not None:
         n = loaded.agg(F.count(F.lit(1)).alias("total_urls_loaded"))
-        # Both sides are single-row global aggregates.
-        agg = agg.withColumn("_one", F.lit(1)).join(F.broadcast(n.withColumn("_one", F.lit(1))), "_one").drop("_one")
+        agg = combine_rows(agg, n)
     return agg
 
 
+def combine_rows(*frames: DataFrame) -> DataFrame:
+    """Side by side merge of single-row frames with distinct columns, as a union
+    plus one global aggregate (no join, so no nested-loop plan)."""
+    cols = [c for f in frames for c in f.columns]
+    types = {f2.name: f2.dataType for f in frames for f2 in f.schema.fields}
+    parts = []
+    for f in frames:
+        parts.append(f.select(*[F.col(c) if c in f.columns else F.lit(None).cast(types[c]).alias(c) for c in cols]))
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    return u.agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])
+
+
 def with_progress(df: DataFrame, name: str = "progress") -> tuple[DataFrame, Observation]:
     """Attach live counters (checked, found) that fill in when the plan runs.
 

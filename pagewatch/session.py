@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,12 +42,41 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``pagewatch`` importable in Python workers (once per application).
+
+    Pandas functions defined in this package (block-pair products, union-find
+    contraction, MMR) are pickled by reference; executors import them from the
+    zip that ``addPyFile`` distributes. A cluster that installs the package on
+    its executors needs nothing more; this covers ad-hoc sessions.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    zip_dir = tempfile.mkdtemp(prefix="pagewatch-pkg-")
+    zip_path = os.path.join(zip_dir, "pagewatch.zip")
+    with zipfile.ZipFile(zip_path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(zip_path)
+    _SHIPPED.add(app)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is used
     as is. Only when nothing is set (local tests) do we create our own.
     """
+    ship_package(spark)
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:

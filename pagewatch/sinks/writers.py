@@ -65,11 +65,10 @@ def run_report(metadata: DataFrame, counters: DataFrame, params: dict, scan_time
     top = metadata.orderBy(*order).limit(max_items)
     item = F.struct(*[F.col(c) for c in metadata.columns])
     items = top.agg(F.sort_array(F.collect_list(item)).alias("deleted_changed_articles"))
+    from ..operators.verdicts import combine_rows
     p = [F.lit(v).alias(k) for k, v in params.items()]
     head = counters.select(*p, F.lit(scan_time).alias("scan_time"), "*")
-    # Both sides are single-row global aggregates.
-    return (head.withColumn("_one", F.lit(1))
-            .join(F.broadcast(items.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+    return combine_rows(head, items)
 
 
 def cluster_csv_rows(articles: DataFrame, n: int = 200) -> DataFrame:
