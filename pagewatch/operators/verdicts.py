@@ -41,7 +41,7 @@ def normalise_live(live: DataFrame, content_only: bool = True, keep_html: bool =
 
 
 def observe(work: DataFrame, captures: DataFrame, bodies: DataFrame, live: DataFrame,
-            content_only: bool = True) -> DataFrame:
+            content_only: bool = True, boilerplate: dict | None = None) -> DataFrame:
     """One row per candidate URL with its newest good capture, the digest of
     that capture's body, and the normalised live observation.
 
@@ -50,6 +50,8 @@ def observe(work: DataFrame, captures: DataFrame, bodies: DataFrame, live: DataF
     (only digests are shuffled), and bodies are joined last, on (url, ts14),
     so only each URL's winning capture body is read and digested.
     """
+    if boilerplate is not None and content_only:
+        return _observe_corpus(work, captures, bodies, live, boilerplate)
     keys = work.select(F.col("url").alias("original"))
     caps = captures.select("original", "ts14", "statuscode", "pos").join(keys, "original", "left_semi")
     latest = latest_good_capture(caps, keep_all=True).withColumnRenamed("original", "url")
@@ -65,6 +67,29 @@ def observe(work: DataFrame, captures: DataFrame, bodies: DataFrame, live: DataF
     )
 
 
+def _observe_corpus(work: DataFrame, captures: DataFrame, bodies: DataFrame, live: DataFrame,
+                    params: dict) -> DataFrame:
+    """D4 with H1c: winning archive bodies and live 200 pages form one corpus;
+    blocks repeated on many pages of a host are removed before digesting."""
+    from .content import extract_main_text
+    keys = work.select(F.col("url").alias("original"))
+    caps = captures.select("original", "ts14", "statuscode", "pos").join(keys, "original", "left_semi")
+    latest = latest_good_capture(caps, keep_all=True).withColumnRenamed("original", "url")
+    lv = live.select("url", F.col("status_code").cast("int").alias("live_status_code"), "html").dropDuplicates(["url"])
+    j = work.join(latest, "url", "left").join(lv.drop("html"), "url", "left")
+    b = spread(bodies).select(F.col("original").alias("url"), "ts14", F.col("html").alias("_body"))
+    j = j.join(b, ["url", "ts14"], "left").withColumn(
+        "has_body", F.col("_body").isNotNull() & (F.col("_body") != ""))
+    arch_docs = j.filter("has_body").select(F.concat(F.lit("a|"), "url").alias("doc"), "url", F.col("_body").alias("html"))
+    live_docs = (lv.join(work.select("url"), "url", "left_semi").filter(F.col("live_status_code") == 200)
+                 .select(F.concat(F.lit("l|"), "url").alias("doc"), "url", "html"))
+    texts = extract_main_text(arch_docs.unionByName(live_docs), key="doc", url_col="url", page_col="url", **params)
+    dig = texts.select(F.substring("doc", 1, 1).alias("side"), F.expr("substring(doc, 3)").alias("url"), "digest")
+    a = dig.filter(F.col("side") == "a").select("url", F.col("digest").alias("archive_digest"))
+    l_ = dig.filter(F.col("side") == "l").select("url", F.col("digest").alias("live_digest"))
+    return j.drop("_body").join(a, "url", "left").join(l_, "url", "left")
+
+
 def outcome_col(content_only: bool = True, gone_codes=(404,)) -> Column:
     """Why a URL did or did not produce a finding (precedence as in the reference)."""
     verdict = classify_verdict("live_status_code", "live_digest", "archive_digest", "has_body", gone_codes)

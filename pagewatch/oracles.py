@@ -192,13 +192,15 @@ HOST = "lower(regexp_extract({0}, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1))"
 
 
 def corpus_text_sql(pages: str, key: str = "page_id", url: str = "url", html: str = "html",
-                    min_pages: int = 3, share: float = 0.5) -> str:
-    """Twin of ``operators.content.extract_main_text`` over a pages relation."""
-    return f"""WITH b0 AS (SELECT {key} AS k, {HOST.format(url)} AS host, {html_blocks_list(html)} AS bl FROM ({pages})),
-b AS (SELECT k, host, unnest(bl) AS block, generate_subscripts(bl, 1) AS block_pos FROM b0),
+                    min_pages: int = 3, share: float = 0.5, page: str | None = None) -> str:
+    """Twin of ``operators.content.extract_main_text`` over a pages relation
+    (``page``: the column that counts as one page, default the key)."""
+    pg = page or key
+    return f"""WITH b0 AS (SELECT {key} AS k, {pg} AS pg, {HOST.format(url)} AS host, {html_blocks_list(html)} AS bl FROM ({pages})),
+b AS (SELECT k, pg, host, unnest(bl) AS block, generate_subscripts(bl, 1) AS block_pos FROM b0),
 bh AS (SELECT *, sha1(block) AS block_hash FROM b),
-pb AS (SELECT host, block_hash, count(DISTINCT k) AS n_pages FROM bh GROUP BY host, block_hash),
-ph AS (SELECT host, count(DISTINCT k) AS host_pages FROM bh GROUP BY host),
+pb AS (SELECT host, block_hash, count(DISTINCT pg) AS n_pages FROM bh GROUP BY host, block_hash),
+ph AS (SELECT host, count(DISTINCT pg) AS host_pages FROM bh GROUP BY host),
 bp AS (SELECT pb.host, pb.block_hash FROM pb JOIN ph ON ph.host = pb.host
        WHERE n_pages >= greatest({min_pages}, ceil(host_pages * {share}))),
 kept AS (SELECT * FROM bh WHERE NOT EXISTS (SELECT 1 FROM bp WHERE bp.host = bh.host AND bp.block_hash = bh.block_hash)),

@@ -35,18 +35,25 @@ def work_urls(urls: DataFrame, checked: DataFrame | None = None, limit: int | No
 
 def detect_outcomes(urls: DataFrame, captures: DataFrame, bodies: DataFrame, live: DataFrame,
                     checked: DataFrame | None = None, limit: int | None = None, seed: str = "0",
-                    content_only: bool = True, resume: bool = True, gone_codes=(404,)) -> DataFrame:
-    """Every remaining (sampled) URL with its outcome (G7) and verdict fields."""
+                    content_only: bool = True, resume: bool = True, gone_codes=(404,),
+                    boilerplate: dict | None = None) -> DataFrame:
+    """Every remaining (sampled) URL with its outcome (G7) and verdict fields.
+
+    ``boilerplate`` (e.g. ``{"min_pages": 3, "share": 0.5}``) turns on H1c:
+    blocks repeated across a host's pages are removed before digesting.
+    """
     work = work_urls(urls, checked, limit, seed, resume)
-    return outcomes(observe(work, captures, bodies, live, content_only), content_only, gone_codes)
+    return outcomes(observe(work, captures, bodies, live, content_only, boilerplate), content_only, gone_codes)
 
 
 def detect_changes(urls: DataFrame, captures: DataFrame, bodies: DataFrame, live: DataFrame,
                    checked: DataFrame | None = None, limit: int | None = None, seed: str = "0",
                    target: int | None = None, content_only: bool = True, resume: bool = True,
-                   output_dir: str = "saved_articles", gone_codes=(404,)) -> DataFrame:
+                   output_dir: str = "saved_articles", gone_codes=(404,),
+                   boilerplate: dict | None = None) -> DataFrame:
     """Findings (``deleted`` / ``changed``) as flat metadata rows (M8)."""
-    outs = detect_outcomes(urls, captures, bodies, live, checked, limit, seed, content_only, resume, gone_codes)
+    outs = detect_outcomes(urls, captures, bodies, live, checked, limit, seed, content_only, resume, gone_codes,
+                           boilerplate)
     found = outs.filter(F.col("verdict").isNotNull())
     found = limit_findings(found, target)
     return finding_metadata(found, content_only, output_dir)
