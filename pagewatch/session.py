@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -109,6 +110,10 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """
     if df.isStreaming:
         return df
+    # A plan with a shuffle already has shuffle-sized partitions; asking for its
+    # RDD would make adaptive execution run those stages eagerly.
+    if re.search(r"(?<!Broadcast)Exchange ", df._jdf.queryExecution().sparkPlan().toString()):
+        return df
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
