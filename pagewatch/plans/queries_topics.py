@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from .. import fixtures as X
 from .. import oracles as O
 from ..functions.text import preview as preview_col
-from ..functions.text import snippet, topic_description
 from ..operators.articles import articles_from_findings, cache_hits, cache_key, translate
 from ..operators.clustering import connected_components, dense_rank_ids, density_clusters
 from ..operators.topics import (centroid_similarity, centroids, ctfidf, keyword_lists, mmr, representatives,
-                                topic_counts, topic_label, topic_rows, topic_sizes, topic_summary)
+                                topic_counts, topic_label, topic_sizes, topic_summary)
 from ..operators.vectors import embed, hashed_weights, similarity_pairs, tokenise
 from ..registry import register
 from ..session import table

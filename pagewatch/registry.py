@@ -30,10 +30,7 @@ def register(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from .plans import queries_detect  # noqa: F401
-    for mod in ("queries_discover", "queries_io", "queries_text", "queries_topics", "queries_streams"):
-        try:
-            __import__(f"{__package__}.plans.{mod}")
-        except ModuleNotFoundError as e:
-            if e.name != f"{__package__}.plans.{mod}":
-                raise
+    import importlib
+    for mod in ("queries_detect", "queries_discover", "queries_io", "queries_text", "queries_topics",
+                "queries_streams"):
+        importlib.import_module(f"{__package__}.plans.{mod}")
