@@ -106,12 +106,16 @@ def stream_daily_counts(captures: DataFrame, sink: str, checkpoint: str, waterma
     touched; a window's state is dropped once the watermark passes its end.
     Month totals are rolled up at read time (``window`` rejects month lengths).
     """
+    # ts14 is UTC: parse it as an absolute instant so day windows (UTC-aligned)
+    # never straddle a month, and carry the month from the string itself, so the
+    # result does not depend on the session time zone.
     c = captures.filter(F.col("statuscode") == F.lit(code)).withColumn(
-        "ts", F.to_timestamp(F.col("ts14"), "yyyyMMddHHmmss"))
+        "ts", F.to_timestamp(F.concat(F.col("ts14"), F.lit("+0000")), "yyyyMMddHHmmssZ"))
     agg = (c.withWatermark("ts", watermark)
-           .groupBy(url_host(F.col("original")).alias("domain"), F.window("ts", "1 day"))
+           .groupBy(url_host(F.col("original")).alias("domain"), F.window("ts", "1 day"),
+                    F.concat_ws("-", F.substring("ts14", 1, 4), F.substring("ts14", 5, 2)).alias("month"))
            .agg(F.count(F.lit(1)).alias("n")))
-    out = agg.select("domain", F.col("window.start").alias("day"), "n")
+    out = agg.select("domain", F.col("window.start").alias("day"), "month", "n")
     w = out.writeStream.outputMode("update").foreachBatch(lambda df, bid: _write_batch(df, bid, sink))
     return run_available_now(w, checkpoint)
 
@@ -119,9 +123,8 @@ def stream_daily_counts(captures: DataFrame, sink: str, checkpoint: str, waterma
 def read_monthly_counts(spark: SparkSession, sink: str) -> DataFrame:
     """S4 read side: latest count per (domain, day), rolled up to months."""
     df = spark.read.parquet(sink)
-    days = df.groupBy("domain", "day").agg(F.max_by("n", "batch_id").alias("n"))
-    return (days.groupBy("domain", F.date_format(F.date_trunc("month", "day"), "yyyy-MM").alias("month"))
-            .agg(F.sum("n").alias("n_captures")))
+    days = df.groupBy("domain", "day", "month").agg(F.max_by("n", "batch_id").alias("n"))
+    return days.groupBy("domain", "month").agg(F.sum("n").alias("n_captures"))
 
 
 CAPTURE_STREAM_SCHEMA = T.StructType([
