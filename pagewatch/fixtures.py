@@ -28,10 +28,14 @@ def event_captures(spark: SparkSession, sf_dir: str, month_shift: bool = True) -
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
     ts = F.col("ts")
     if month_shift:
-        ts = F.expr("ts + make_interval(0, cast(event_id % 24 as int))")
+        ts = F.expr("ts + make_ym_interval(0, cast(event_id % 24 as int))")
+    # Built from the fields, not date_format: formatting a TIMESTAMP_NTZ goes
+    # through the session zone and moves times inside a DST gap.
+    ts14 = F.format_string("%04d%02d%02d%02d%02d%02d", F.year(ts), F.month(ts), F.dayofmonth(ts),
+                           F.hour(ts), F.minute(ts), F.second(ts))
     return ev.select(
         F.concat(F.lit("https://site"), _s(F.col("user_id") % 7), F.lit(".example/a/"), _s("user_id")).alias("original"),
-        F.date_format(ts, "yyyyMMddHHmmss").alias("ts14"),
+        ts14.alias("ts14"),
         F.when(F.col("event_type") == "error", "404").when(F.col("event_type") == "signup", "301")
          .otherwise("200").alias("statuscode"),
         F.upper(F.sha1(F.col("props"))).alias("digest"),
