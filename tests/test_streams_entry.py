@@ -60,3 +60,19 @@ def test_oracle_equality_small(spark, sf, name):
     orows = _norm(tuple(r[ocols.index(c)] for c in cols) for r in cur.fetchall())
     assert sorted(ocols) == cols
     assert srows == orows
+
+
+@pytest.mark.parametrize("name", ["status_filter", "stream_monthly_counts"])
+def test_results_independent_of_session_time_zone(spark, sf, name):
+    """Event times inside a DST gap must not move when the session zone is not UTC."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = E.queries()[name](spark, sf)
+        cols = sorted(df.columns)
+        srows = _norm(tuple(r[c] for c in cols) for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    cur = _duck(sf).execute(E.oracle_sql()[name])
+    ocols = [d[0] for d in cur.description]
+    assert srows == _norm(tuple(r[ocols.index(c)] for c in cols) for r in cur.fetchall())
