@@ -86,3 +86,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", salts: in
         raise RuntimeError("connected components did not converge")
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def merge_labels(labels, a, b):
+    """Join the components of index pairs (a[i], b[i]); ``labels`` points every index to its component's smallest."""
+    import numpy as np
+
+    while True:
+        la, lb = labels[a], labels[b]
+        apart = la != lb
+        if not apart.any():
+            return labels
+        np.minimum.at(labels, np.maximum(la, lb)[apart], np.minimum(la, lb)[apart])
+        while True:
+            jumped = labels[labels]
+            if (jumped == labels).all():
+                break
+            labels = jumped

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, scratch_path
-from . import bpe_codec, mixing, token_counts, warc
-from .common import read
+from . import ann, bpe_codec, embedding_dedup, language_id, mixing, simhash, token_counts, toxicity, warc
+from .common import crc_mod, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,6 +67,44 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
                           "record_type", "refers_to")
 
 
+@register("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
+    model = language_id.train(docs.filter(crc_mod("doc_id", 5) != 0))
+    return (language_id.identify(docs.select("doc_id", "text", held.alias("held_out")), model)
+            .select("doc_id", "held_out", F.col("language.lang").alias("lang_pred"), "language.score"))
+
+
+@register("op6_simhash")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@register("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").filter(crc_mod("doc_id", 4) != 2).select("doc_id", "toxic")
+    model = toxicity.train(docs, labels)
+    held = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
+    scored = toxicity.score(docs.select("doc_id", "text", held.alias("held_out")), model, out="score")
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@register("op8_nearest_neighbours")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = ann.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@register("op10_embedding_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
 MIX_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,

@@ -144,7 +144,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     bodies = rows.select("page_id", F.sha2("payload", 256).alias("digest"), F.lit(1).alias("kind"), "url", "payload", none.cast("long").alias("owner"))
     notes = shared.select("page_id", "digest", F.lit(0).alias("kind"), none.cast("string").alias("url"), none.cast("binary").alias("payload"), "owner")
     n = max(len(limits) + 1, 1)
-    sorted_rows = (bodies.unionByName(notes).withColumn("shard", shard_of(F.coalesce("page_id", F.lit(-(1 << 63))))).repartition(n, "shard")
+    sorted_rows = (bodies.unionByName(notes).withColumn("shard", shard_of(F.coalesce("page_id", F.lit(-(1 << 63)))).cast("int")).repartitionById(n, F.col("shard"))
                    .sortWithinPartitions("shard", "page_id", "digest", "kind", "url"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +235,7 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                     yield _batch(out, RECORDS)
 
     files = read_manifest(spark, folder).select("file")
-    return files.repartition("file").mapInArrow(read, RECORDS)
+    return files.repartition(max(files.count(), 1), "file").mapInArrow(read, RECORDS)
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
