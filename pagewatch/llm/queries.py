@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, scratch_path
-from . import ann, bpe_codec, embedding_dedup, language_id, mixing, simhash, token_counts, toxicity, warc
+from . import ann, bpe_codec, embedding_dedup, language_id, lm_scoring, mixing, simhash, token_counts, toxicity, warc
 from .common import crc_mod, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@register("op1_lm_scoring")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    models = lm_scoring.train(docs, read(spark, sf_dir, "benchmark").select("text"))
+    return lm_scoring.score(docs, models).select("doc_id", "lm.*")
+
+
 @register("op2_bpe_codec")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -142,3 +149,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.when(F.col("taken") > 0, F.round(mixing.position(F.lit(0)), 9))
     return (mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", first.alias("first_position"))
             .orderBy(F.col("first_position").asc_nulls_last(), "doc_id"))
+
+
+@register("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
