@@ -27,8 +27,9 @@ from .common import hot_join, write_table
 CHUNK = 32_768       # characters that a chunk adds; texts up to this size are one chunk
 OVERLAP = 256        # characters that it shares with the next at first
 LIMIT = 1024         # over_limit: more tokens than this
-MEMO = 700_000       # units whose counts a task keeps (memory only, never results)
+MEMO = 300_000       # units whose counts a task keeps (memory only, never results)
 MEMO_CHARS = 48
+SLICE = 8192         # new units that the library encodes at once: its results are much larger than the counts
 
 #: Units of a text whose only blanks are space and newline: they end at every stable boundary.
 UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
@@ -53,7 +54,10 @@ class UnitCounter:
         if len(memo) > MEMO:
             memo.clear()
         new = list(set().union(*texts).difference(memo)) if texts else []
-        fresh = {u: len(e.ids) for u, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+        fresh = {}
+        for i in range(0, len(new), SLICE):
+            part = new[i:i + SLICE]
+            fresh.update((u, len(e)) for u, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True))
         long = {u: n for u, n in fresh.items() if len(u) > MEMO_CHARS}
         memo.update(fresh)
         out = [list(map(memo.__getitem__, units)) for units in texts]
@@ -69,7 +73,7 @@ def units(text: str) -> list[str]:
     return STABLE.split(text)
 
 
-def _batches(texts, size: int = 1 << 22):
+def _batches(texts, size: int = 1 << 20):
     """Lists of texts of about ``size`` characters."""
     part, n = [], 0
     for t in texts:
