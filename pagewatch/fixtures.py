@@ -93,7 +93,8 @@ def archive_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def live_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Live observations (M5): 404, 500, 410, network error, edited and layout-only pages."""
+    """Live observations (M5): 404, 500, 410, network error, edited and layout-only pages;
+    every sixth page has an older observation (404) besides."""
     p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     code = (F.when(_pid() % 23 == 0, F.lit(None).cast("int"))
             .when(_pid() % 5 == 0, F.lit(404))
@@ -103,11 +104,18 @@ def live_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = (F.when(_pid() % 3 == 0, F.replace(F.col("html"), F.lit("</p>"), F.lit(" (upd)</p>")))
             .when(_pid() % 3 == 1, F.replace(F.col("html"), F.lit("<footer>"), F.lit("<footer>Ad ")))
             .otherwise(F.col("html")))
-    return p.select(
+    day = F.concat(F.lit("2024-01-"), F.lpad(_s(_pid() % 28 + 1), 2, "0"))
+    newest = p.select(
         F.col("url"),
         code.alias("status_code"),
         F.when(code.isNotNull(), html).alias("html"),
+        F.concat(day, F.lit("T12:00:00")).alias("fetched_at"),
+        F.when(code.isNull(), F.lit("timeout")).alias("error"),
     )
+    older = p.filter(_pid() % 6 == 0).select(
+        F.col("url"), F.lit(404).alias("status_code"), F.lit("<p>gone</p>").alias("html"),
+        F.concat(day, F.lit("T06:00:00")).alias("fetched_at"), F.lit(None).cast("string").alias("error"))
+    return newest.unionByName(older)
 
 
 def url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +175,7 @@ def translation_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok = ~F.startswith(key, F.lit("0"))
     return d.select(
         key.alias("src_sha1"),
-        F.when(ok, F.concat(F.lit("[en] "), F.substring("text", 1, 40))).otherwise(F.lit("")).alias("text_out"),
+        F.when(ok, F.concat(F.lit("[en] "), F.col("text"))).otherwise(F.lit("")).alias("text_out"),
         ok.alias("ok"),
     ).distinct()
 
@@ -187,8 +195,8 @@ DICTIONARY = [
 ]
 
 
-def dictionary(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(DICTIONARY, "token string, out string")
+def dictionary() -> dict[str, str]:
+    return dict(DICTIONARY)
 
 
 def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:

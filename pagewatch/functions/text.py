@@ -1,15 +1,13 @@
 """Column functions for text: HTML to main text, gates, digests, Markdown, snippets.
 
-All are native Spark expressions on the JVM side. Spark has no Unicode
-normalisation builtin, so ``nfkc`` calls ICU4J (on Spark's classpath) through
-``reflect`` for the few rows that need it.
+All are native Spark expressions on the JVM side but ``nfkc``: Spark has no
+Unicode normalisation builtin, so that is an Arrow-batched pandas function.
 Regexes are written so the same pattern means the same thing in Java regex and
 RE2, which lets the DuckDB oracles reuse them.
 """
 
 from __future__ import annotations
 
-import functools
 import unicodedata
 
 import pandas as pd
@@ -17,6 +15,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+# Fixed values of the article and topic texts: Markdown marks, wording.
+MD_HEADING_RE = r"(?dmU)^#+[\s\x1c-\x1f]*"  # (?d): only \n ends a line
+MD_LINK_RE = r"\[([^\]]+)\]\([^)]+\)"
+MD_CODE_RE = r"`([^`]+)`"
+MD_EMPHASIS_RE = r"[*_]{1,2}([^*_]+)[*_]{1,2}"
+ELLIPSIS = "…"
+KEYWORDS_LEAD = "Keywords: "
+EXAMPLE_LEAD = "Example: "
+OUTLIER_TEXT = "(outliers — no shared topic)"
+
 # Elements cut before extraction, block-level tags that end a
 # text block, and the HTML entities decoded (``&amp;`` last, so ``&amp;lt;``
 # stays ``&lt;``).
@@ -53,10 +61,12 @@ def _let(expr: Column, body) -> Column:
 
 
 def decode_entities(c) -> Column:
-    out = _c(c)
-    for ent, ch in ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    def decode(t):
+        out = t
+        for ent, ch in ENTITIES:
+            out = F.replace(out, F.lit(ent), F.lit(ch))
+        return F.when(F.contains(t, F.lit("&")), out).otherwise(t)
+    return _let(_c(c), decode)
 
 
 def strip_noise(html) -> Column:
@@ -96,76 +106,9 @@ def length_gate(text, n: int = 50) -> Column:
 
 
 @F.pandas_udf(StringType())
-def _nfkc_udf(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
-
-
-# Below this code point the class is exact; from it on every character counts
-# as possibly unstable (a long class of exact ranges is slow to match in Java).
-NFKC_EXACT_BELOW = 0x530
-
-
-@functools.lru_cache(maxsize=1)
-def nfkc_unstable_class() -> str:
-    """Java regex class of code points that NFKC may change, built by rule from
-    ``unicodedata``: characters whose own NFKC differs, combining marks, and
-    characters that compose as the second of a canonical pair. Exact below
-    ``NFKC_EXACT_BELOW`` (Latin, Greek, Cyrillic), conservative above. A string
-    with none of them is NFKC-invariant."""
-    cps = set()
-    for cp in range(0x80, NFKC_EXACT_BELOW):
-        ch = chr(cp)
-        if unicodedata.combining(ch) or unicodedata.normalize("NFKC", ch) != ch:
-            cps.add(cp)
-    for cp in range(0x80, 0x110000):
-        dec = unicodedata.decomposition(chr(cp)) if not 0xD800 <= cp <= 0xDFFF else ""
-        if dec and not dec.startswith("<"):
-            parts = dec.split()
-            if len(parts) == 2 and int(parts[1], 16) < NFKC_EXACT_BELOW:
-                cps.add(int(parts[1], 16))
-    ranges, start, prev = [], None, None
-    for cp in sorted(cps):
-        if start is None:
-            start = prev = cp
-        elif cp == prev + 1:
-            prev = cp
-        else:
-            ranges.append((start, prev))
-            start = prev = cp
-    if start is not None:
-        ranges.append((start, prev))
-    ranges.append((NFKC_EXACT_BELOW, 0x10FFFF))
-    body = "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
-    return "[" + body + "]"
-
-
-ICU_NORMALIZER = "com.ibm.icu.text.Normalizer"
-
-
-@functools.lru_cache(maxsize=1)
-def _icu_available() -> bool:
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
-    if spark is None:
-        return True
-    try:
-        spark.sparkContext._jvm.java.lang.Class.forName(ICU_NORMALIZER)
-        return True
-    except Exception:  # noqa: BLE001
-        return False
-
-
-def nfkc(text) -> Column:
-    """Unicode NFKC on the JVM: ICU4J (shipped with Spark for collations)
-    through ``reflect``; ICU's own quick check makes already-normalised text
-    cheap, faster than any regex prefilter. Without ICU on the classpath, only
-    rows holding a possibly unstable character go through an Arrow-batched
-    pandas UDF."""
-    if _icu_available():
-        return _let(_c(text), lambda t: F.when(
-            t.isNotNull(), F.reflect(F.lit(ICU_NORMALIZER), F.lit("compose"), t, F.lit(True))))
-    t = _c(text)
-    return F.coalesce(_nfkc_udf(F.when(t.rlike(nfkc_unstable_class()), t)), t)
+def nfkc(s: pd.Series) -> pd.Series:
+    """Unicode NFKC in Arrow batches; ASCII text is returned as it is."""
+    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
 
 
 def collapse_ws(text) -> Column:
@@ -218,11 +161,9 @@ def evidence_text(html, min_chars: int = 50) -> Column:
 def markdown_to_plain(md) -> Column:
     """H7: strip heading marks, links, code ticks, emphasis; collapse whitespace; null/empty -> ''."""
     t = F.coalesce(_c(md), F.lit(""))
-    # (?d): only \n ends a line, as in Python's re.MULTILINE.
-    t = F.regexp_replace(t, r"(?dmU)^#+[\s\x1c-\x1f]*", "")
-    t = F.regexp_replace(t, r"\[([^\]]+)\]\([^)]+\)", "$1")
-    t = F.regexp_replace(t, r"`([^`]+)`", "$1")
-    t = F.regexp_replace(t, r"[*_]{1,2}([^*_]+)[*_]{1,2}", "$1")
+    t = F.regexp_replace(t, MD_HEADING_RE, "")
+    for kept in (MD_LINK_RE, MD_CODE_RE, MD_EMPHASIS_RE):
+        t = F.regexp_replace(t, kept, "$1")
     return collapse_ws(t)
 
 
@@ -230,7 +171,7 @@ def snippet(text, n: int = 300) -> Column:
     """H8: first ``n`` chars; when longer, cut back to the last space and add an ellipsis."""
     def cut(t):
         head = F.substring(t, 1, n)
-        return F.when(F.length(t) > n, F.concat(F.regexp_replace(head, r" [^ ]*\z", ""), F.lit("…"))).otherwise(head)
+        return F.when(F.length(t) > n, F.concat(F.regexp_replace(head, r" [^ ]*\z", ""), F.lit(ELLIPSIS))).otherwise(head)
     return _let(F.coalesce(_c(text), F.lit("")), cut)
 
 
@@ -240,10 +181,10 @@ def topic_description(keywords, snippet_en) -> Column:
     ex = F.coalesce(_c(snippet_en), F.lit(""))
     parts = F.concat_ws(
         " | ",
-        F.when(F.size(kw) > 0, F.concat(F.lit("Keywords: "), F.array_join(F.slice(kw, 1, 6), ", "))),
-        F.when(ex != "", F.concat(F.lit("Example: "), snippet(ex, 180))),
+        F.when(F.size(kw) > 0, F.concat(F.lit(KEYWORDS_LEAD), F.array_join(F.slice(kw, 1, 6), ", "))),
+        F.when(ex != "", F.concat(F.lit(EXAMPLE_LEAD), snippet(ex, 180))),
     )
-    return F.when(parts == "", F.lit("(outliers — no shared topic)")).otherwise(parts)
+    return F.when(parts == "", F.lit(OUTLIER_TEXT)).otherwise(parts)
 
 
 def preview(text_en, text_src, n: int = 200) -> Column:

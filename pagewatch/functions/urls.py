@@ -37,9 +37,13 @@ def raw_archive_url(url) -> Column:
 
 
 def finding_key(verdict, ts14, url, n: int = 80) -> Column:
-    """``{verdict}_{ts14}_{url, non-alphanumerics -> _, first n chars}``."""
+    """``{verdict}_{ts14}_{url, non-alphanumerics -> _, first n chars}_{sha1(url)}``.
+
+    The readable part is cut for the sake of file systems; the digest of the
+    whole URL keeps two long URLs apart.
+    """
     safe = F.substring(F.regexp_replace(_c(url), r"[^a-zA-Z0-9]", "_"), 1, n)
-    return F.concat_ws("_", _c(verdict), _c(ts14), safe)
+    return F.concat_ws("_", _c(verdict), _c(ts14), safe, F.sha1(_c(url).cast("binary")))
 
 
 def mode_label(content_only: bool) -> Column:

@@ -45,48 +45,51 @@ def cache_hits(texts: DataFrame, cache: DataFrame, text_col: str = "text_src", u
             .join(c.select("src_sha1", "text_out", "ok"), "src_sha1", "left"))
 
 
-def dictionary_translate(texts: DataFrame, dictionary: DataFrame, key: str = "src_sha1",
+def dictionary_translate(texts: DataFrame, dictionary: dict[str, str], key: str = "src_sha1",
                          text_col: str = "text") -> DataFrame:
-    """Built-in translator: token-by-token lookup as a join.
+    """Built-in translator: token-by-token lookup in a literal map, no join and no shuffle.
 
-    Tokens (space-separated) are exploded with their position, left-joined to
-    the dictionary on the lower-cased token, and reassembled in order per text
-    (a text's tokens are one bounded group). Unknown tokens pass through.
+    Tokens are space-separated and looked up in lower case; unknown tokens pass through.
     """
-    toks = texts.select(key, F.posexplode(F.split(F.col(text_col), " ")).alias("pos", "tok"))
-    d = dictionary.select(F.col("token").alias("_k"), F.col("out").alias("_out"))
-    j = toks.join(d, F.lower(F.col("tok")) == F.col("_k"), "left")
-    out = F.coalesce(F.col("_out"), F.col("tok"))
-    return (j.groupBy(key)
-            .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", out.alias("w")))),
-                                          lambda s: s["w"]), " ").alias("text_out"))
-            .withColumn("ok", F.lit(True)))
+    words = F.create_map(*[F.lit(x) for pair in dictionary.items() for x in pair])
+    out = F.transform(F.split(F.col(text_col), " "), lambda t: F.coalesce(F.try_element_at(words, F.lower(t)), t))
+    return texts.select(key, F.array_join(out, " ").alias("text_out"), F.lit(True).alias("ok"))
 
 
-def _batch_translator(fn: Callable[[list[str]], list[str]]):
+def _batch_translator(fn: Callable[[list[str]], list[str]], size: int):
+    def one(t: str) -> tuple[str, bool]:
+        try:
+            return fn([t])[0], True
+        except Exception:  # noqa: BLE001 - a failed text is recorded, not fatal
+            return "", False
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            outs, oks = [], []
-            for t in pdf["text"].tolist():
+            done: list[tuple[str, bool]] = []
+            texts = pdf["text"].tolist()
+            for i in range(0, len(texts), size):
+                part = texts[i:i + size]
                 try:
-                    outs.append(fn([t])[0])
-                    oks.append(True)
-                except Exception:  # noqa: BLE001 - a failed item is recorded, not fatal
-                    outs.append("")
-                    oks.append(False)
-            yield pd.DataFrame({"src_sha1": pdf["src_sha1"], "text_out": outs, "ok": oks})
+                    out = list(fn(part))
+                    if len(out) != len(part):
+                        raise ValueError("the translator returned another number of texts")
+                    done += [(t, True) for t in out]
+                except Exception:  # noqa: BLE001 - find the text that fails
+                    done += [one(t) for t in part]
+            yield pd.DataFrame({"src_sha1": pdf["src_sha1"], "text_out": [t for t, _ in done], "ok": [ok for _, ok in done]})
     return run
 
 
 def translate(articles: DataFrame, cache: DataFrame, translate_fn: Callable | None = None,
-              dictionary: DataFrame | None = None, retry_failed: bool = True,
-              text_col: str = "text_src") -> tuple[DataFrame, DataFrame]:
+              dictionary: dict[str, str] | None = None, retry_failed: bool = True,
+              text_col: str = "text_src", batch_size: int = 32) -> tuple[DataFrame, DataFrame]:
     """``(articles with text_en, new cache entries)``.
 
     Misses are translated once per distinct text, by ``translate_fn`` (a batch
-    function ``list[str] -> list[str]`` run with ``mapInPandas``, model loaded
-    per worker by the function itself) or by the ``dictionary`` join. With
-    neither, translation is off and ``text_en`` is ``''`` (as the reference's
+    function ``list[str] -> list[str]`` given ``batch_size`` texts at a time,
+    single ones only where a batch fails) or by the ``dictionary``. The new
+    entries are written once, so the articles and the cache get the same
+    results and a model runs once. With neither, translation is off and ``text_en`` is ``''`` (as the reference's
     no-translate switch).
     """
     if translate_fn is None and dictionary is None:
@@ -97,7 +100,8 @@ def translate(articles: DataFrame, cache: DataFrame, translate_fn: Callable | No
     misses = keys.join(usable.select("src_sha1"), "src_sha1", "left_anti")
     if translate_fn is not None:
         ensure_checkpoint_dir(articles.sparkSession)  # ships this package to the Python workers
-        new = misses.mapInPandas(_batch_translator(translate_fn), "src_sha1 string, text_out string, ok boolean")
+        new = misses.mapInPandas(_batch_translator(translate_fn, batch_size), "src_sha1 string, text_out string, ok boolean")
+        new = new.checkpoint()
     else:
         new = dictionary_translate(misses, dictionary)
     known = usable.select("src_sha1", "text_out", "ok").unionByName(new.select("src_sha1", "text_out", "ok"))

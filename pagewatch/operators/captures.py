@@ -7,6 +7,8 @@ position in the service's response (breaks timestamp ties: later wins).
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import datetime as dt
 
 from pyspark.sql import DataFrame, Window
@@ -14,6 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import archive_url, canonical_key
 
+POS_DIGITS = 19
+
+
 
 def status_filter(captures: DataFrame, code: str = "200") -> DataFrame:
     """Keep captures whose *string* status equals ``code`` (no cast: ``-`` must not match)."""
@@ -56,8 +61,10 @@ def project_captures(captures: DataFrame, cols=("ts14", "statuscode", "digest",
 def capture_cap(captures: DataFrame, n: int | None, key: str = "original") -> DataFrame:
     """Keep the first ``n`` captures per URL in response order (oldest first).
 
-    ``row_number() <= n`` becomes a WindowGroupLimit, so every map task sends at
-    most ``n`` rows per URL into the shuffle even when one URL is hot.
+    ``row_number() <= n`` becomes a WindowGroupLimit for ``n`` up to Spark's
+    ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000): every map task then
+    sends at most ``n`` rows per URL into the shuffle even when one URL is hot.
+    Beyond it a URL's captures are sorted by one task; raise that setting for larger caps.
     """
     if not n or n <= 0:
         return captures
@@ -68,21 +75,23 @@ def capture_cap(captures: DataFrame, n: int | None, key: str = "original") -> Da
 def latest_good_capture(captures: DataFrame, code: str = "200", keep_all: bool = False) -> DataFrame:
     """Per URL the newest capture with status ``code`` (ties: larger ``pos``).
 
-    One hash aggregate, ``max`` over a struct ordered (ts14, pos): partial
-    aggregation runs map-side, so a hot URL costs one row per map task in the
+    ts14 and pos are packed into one decimal, so ``max`` is a hash aggregate
+    that combines map-side: a hot URL costs one row per map task in the
     shuffle, no sort and no window. With ``keep_all`` URLs that have captures
     but no good one are kept with null fields and ``n_captures``.
     """
-    good = F.when(F.col("statuscode") == F.lit(code), F.struct(F.col("ts14"), F.col("pos")))
+    # A position is a non-negative long: 19 digits at most.
+    packed = F.col("ts14").cast("decimal(14,0)").cast("decimal(38,0)") * F.lit(Decimal(10 ** POS_DIGITS)) + F.col("pos")
     agg = captures.groupBy(F.col("original")).agg(
-        F.max(good).alias("_best"), F.count(F.lit(1)).alias("n_captures"))
+        F.max(F.when(F.col("statuscode") == F.lit(code), packed.cast("decimal(38,0)"))).alias("_best"), F.count(F.lit(1)).alias("n_captures"))
     if not keep_all:
         agg = agg.filter(F.col("_best").isNotNull())
+    digits = F.lpad(F.col("_best").cast("string"), 14 + POS_DIGITS, "0")
     return agg.select(
         "original",
-        F.col("_best.ts14").alias("ts14"),
-        F.col("_best.pos").alias("pos"),
-        F.when(F.col("_best").isNotNull(), archive_url(F.col("_best.ts14"), F.col("original"))).alias("archive_url"),
+        F.substring(digits, 1, 14).alias("ts14"),
+        F.substring(digits, 15, POS_DIGITS).cast("long").alias("pos"),
+        F.when(F.col("_best").isNotNull(), archive_url(F.substring(digits, 1, 14), F.col("original"))).alias("archive_url"),
         "n_captures",
     )
 

@@ -51,21 +51,26 @@ def boilerplate_blocks(blocks: DataFrame, min_pages: int = 3, share: float = 0.5
 
 def extract_main_text(pages: DataFrame, key: str = "page_id", url_col: str = "url", html_col: str = "html",
                       min_pages: int = 3, share: float = 0.5, min_chars: int = 50,
-                      use_nfkc: bool = True, page_col: str | None = None) -> DataFrame:
+                      use_nfkc: bool = True, page_col: str | None = None, keep: DataFrame | None = None) -> DataFrame:
     """H1 (+ H2-H4): per page ``text`` (null if under ``min_chars``) and its ``digest``.
 
     ``key`` identifies a document of the corpus; ``page_col`` (default ``key``)
-    what counts as one page for boilerplate frequency.
+    what counts as one page for boilerplate frequency. ``keep`` (a table of
+    keys) leaves all other documents out once they are cut to blocks.
     """
     # Blocks feed three aggregates/joins: extract them once (reliable checkpoint
     # into the cluster's checkpoint folder), not once per consumer.
     ensure_checkpoint_dir(pages.sparkSession)
-    blocks = page_blocks(pages, key, url_col, html_col, extra=[page_col] if page_col and page_col != key else []).checkpoint()
+    blocks = page_blocks(pages, key, url_col, html_col, extra=[page_col] if page_col and page_col != key else [])
+    ids = pages.select(key)
+    if keep is not None:
+        blocks, ids = blocks.join(keep, key, "left_semi"), ids.join(keep, key, "left_semi")
+    blocks = blocks.checkpoint()
     bp = boilerplate_blocks(blocks, min_pages, share, key, page_col)
     kept = blocks.join(bp.select("host", "block_hash"), ["host", "block_hash"], "left_anti")
     joined = (kept.groupBy(key)
               .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block_pos", "block"))),
                                             lambda s: s["block"]), "\n").alias("_raw")))
     text = T.normalise_text(T.length_gate(F.col("_raw"), min_chars), use_nfkc)
-    out = pages.select(key).join(joined, key, "left").select(key, text.alias("text"))
+    out = ids.join(joined, key, "left").select(key, text.alias("text"))
     return out.withColumn("digest", T.content_digest(F.col("text")))

@@ -1,10 +1,7 @@
 """Selection: URL lines (A1), resume anti-join (D1), exact sample (F2), target limit.
 
 Sampling and the target limit need an *exact* number of rows in a repeatable
-order. Small ``n`` uses Spark's TakeOrderedAndProject; large ``n`` never routes
-rows through one task: a 65,536-bucket histogram of the order key (a tiny
-driver-side result) finds the cut bucket, every bucket before it is kept by a
-plain filter, and only the cut bucket is ordered.
+order; ``exact_top_n`` ranks rows by range partitions for any number.
 """
 
 from __future__ import annotations
@@ -14,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import UNICODE_EDGE_WS_RE
 
-SMALL_TOP_N = 10_000
 _CHUNK = 10_000
 
 
@@ -60,23 +56,13 @@ def sample_key(seed: str, url_col: str = "url", occ_col: str = "occ", occ: Colum
 
 
 def exact_top_n(df: DataFrame, key: str, n: int, ties=()) -> DataFrame:
-    """Exactly the ``n`` rows smallest by the hex string column ``key`` (then ``ties``)."""
-    order = [F.col(key)] + [F.col(t) for t in ties]
-    if n <= SMALL_TOP_N:
-        return df.orderBy(*order).limit(n)
-    bucket = F.conv(F.substring(F.col(key), 1, 4), 16, 10).cast("int")
-    hist = sorted(df.groupBy(bucket.alias("b")).count().collect())
-    cum, cut, need = 0, None, 0
-    for row in hist:
-        if cum + row["count"] >= n:
-            cut, need = row["b"], n - cum
-            break
-        cum += row["count"]
-    if cut is None:
-        return df
-    head = df.filter(bucket < cut)
-    tail = df.filter(bucket == cut).orderBy(*order).limit(need)
-    return head.unionByName(tail)
+    """Exactly the ``n`` rows smallest by ``key`` (then ``ties``), for any ``n`` and any key type.
+
+    Rows are range-partitioned on the key and ranked by their partition's
+    offset, so no task holds more than its range.
+    """
+    from .clustering import dense_rank_ids
+    return dense_rank_ids(df, [key, *ties], "_rank").filter(F.col("_rank") < n).drop("_rank")
 
 
 def sample_urls(urls: DataFrame, limit: int | None, seed: str = "0", url_col: str = "url") -> DataFrame:

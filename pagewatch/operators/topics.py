@@ -10,7 +10,8 @@ class is a ``row_number`` filter that Spark runs as a WindowGroupLimit.
 
 from __future__ import annotations
 
-import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,54 +37,42 @@ def ctfidf(tokens: DataFrame, class_col: str = "cluster", k: int = 30, decimals:
     return scored.withColumn("rank", F.row_number().over(win)).filter(F.col("rank") <= k)
 
 
-def trigram_jaccard(a: str, b: str) -> float:
-    """Character-trigram Jaccard similarity of two words (padded with spaces)."""
-    def grams(w):
-        w = f" {w} "
-        return {w[i:i + 3] for i in range(max(1, len(w) - 2))}
-    ga, gb = grams(a), grams(b)
-    return len(ga & gb) / len(ga | gb) if ga or gb else 0.0
-
-
-def mmr_select(terms: list[str], weights: list[float], k: int = 10, diversity: float = 0.3) -> list[str]:
-    """Greedy maximal marginal relevance: first the most relevant term, then the
-    one maximising (1 - d) * relevance - d * max similarity to those chosen.
-    Relevance is the weight scaled by the class maximum; ties go to the term
-    listed first (candidates arrive by weight desc, term asc)."""
-    if not terms:
-        return []
-    top = max(weights) or 1.0
-    rel = [w / top for w in weights]
-    chosen = [0]
-    rest = list(range(1, len(terms)))
-    while rest and len(chosen) < k:
-        best, best_score = None, None
-        for i in rest:
-            red = max(trigram_jaccard(terms[i], terms[j]) for j in chosen)
-            score = (1 - diversity) * rel[i] - diversity * red
-            if best_score is None or score > best_score + 1e-12:
-                best, best_score = i, score
-        chosen.append(best)
-        rest.remove(best)
-    return [terms[i] for i in chosen]
-
-
-def mmr(candidates: DataFrame, class_col: str = "cluster", k: int = 10, diversity: float = 0.3,
-        class_type: str = "int") -> DataFrame:
+def word_trigrams(word: Column) -> Column:
+    """Distinct character trigrams of a word padded with a space on either side."""
+    padded = F.concat(F.lit(" "), word, F.lit(" "))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), lambda i: F.substring(padded, i, F.lit(3))))
+
+
+def mmr(candidates: DataFrame, class_col: str = "cluster", k: int = 10, diversity: float = 0.3, decimals: int = 9) -> DataFrame:
     """(class, rank, term) of ``k`` diverse keywords per class.
 
-    Each class's group is its c-TF-IDF candidate list (bounded by the top-k of
-    I6, 30 by default), so the per-group pandas function sees tiny inputs.
+    Greedy maximal marginal relevance: first the most relevant term, then the
+    one maximising (1 - d) * relevance - d * max trigram Jaccard similarity to
+    those chosen (rounded to ``decimals``; ties go to the term listed first:
+    weight desc, term asc). Relevance is the weight over the class maximum.
+    One aggregate per class over its candidates (30 by default), folded with
+    array functions: no Python.
     """
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["weight", "term"], ascending=[False, True])
-        picked = mmr_select(pdf["term"].tolist(), pdf["weight"].astype(float).tolist(), k, diversity)
-        return pd.DataFrame({class_col: [pdf[class_col].iloc[0]] * len(picked),
-                             "rank": list(range(1, len(picked) + 1)), "term": picked})
-    ensure_checkpoint_dir(candidates.sparkSession)  # ships this package to the Python workers
-    out_schema = f"{class_col} {class_type}, rank int, term string"
-    return candidates.select(F.col(class_col).cast(class_type).alias(class_col), "term", "weight") \
-        .groupBy(class_col).applyInPandas(run, out_schema)
+    order = F.sort_array(F.collect_list(F.struct((-F.col("weight")).alias("w"), F.col("term").alias("term"))))
+    lists = candidates.groupBy(class_col).agg(order.alias("_l"))
+    top = -F.element_at("_l", 1)["w"]
+    rel = lambda x: F.when(top == 0, F.lit(0.0)).otherwise(-x["w"] / top)
+    lists = lists.withColumn("_c", F.transform("_l", lambda x, i: F.struct(i.alias("i"), x["term"].alias("term"), rel(x).alias("rel"),
+                                                                         word_trigrams(x["term"]).alias("g"))))
+
+    def similarity(a: Column, b: Column) -> Column:
+        both = F.size(F.array_intersect(a, b)).cast("double")
+        return both / (F.size(a) + F.size(b) - both)
+
+    def step(chosen: Column, _: Column) -> Column:
+        left = F.filter("_c", lambda x: ~F.exists(chosen, lambda y: y["i"] == x["i"]))
+        scored = F.transform(left, lambda x: F.struct(
+            F.round((1 - diversity) * x["rel"] - diversity * F.array_max(F.transform(chosen, lambda y: similarity(x["g"], y["g"]))), decimals).alias("score"),
+            (-x["i"]).alias("first"), x.alias("x")))
+        return F.concat(chosen, F.transform(F.filter(F.array(F.array_max(scored)), lambda s: s.isNotNull()), lambda s: s["x"]))
+
+    chosen = F.aggregate(F.sequence(F.lit(2), F.lit(max(k, 2))), F.slice("_c", 1, 1), step) if k > 1 else F.slice("_c", 1, 1)
+    return lists.select(class_col, F.posexplode(F.transform(chosen, lambda x: x["term"])).alias("rank", "term")).withColumn("rank", F.col("rank") + 1)
 
 
 def keyword_lists(ranked_terms: DataFrame, class_col: str = "cluster") -> DataFrame:
@@ -110,20 +99,23 @@ def topic_counts(labels: DataFrame, class_col: str = "cluster") -> DataFrame:
                       F.count_if(F.col(class_col) == -1).alias("n_outliers"))
 
 
+def _means(vectors: DataFrame, labels: DataFrame, id_col: str, class_col: str, vec_col: str) -> DataFrame:
+    """(class, _c): the mean vector of each cluster, one vector aggregate (outliers excluded)."""
+    v = vectors.join(labels.filter(F.col(class_col) != -1).select(id_col, class_col), id_col)
+    dense = array_to_vector(F.col(vec_col).cast("array<double>"))
+    return v.groupBy(class_col).agg(vector_to_array(Summarizer.mean(dense)).alias("_c"))
+
+
 def centroids(vectors: DataFrame, labels: DataFrame, id_col: str = "article_id", class_col: str = "cluster",
               vec_col: str = "vec") -> DataFrame:
     """Mean vector per cluster, outliers excluded: (cluster, dim, mean)."""
-    v = vectors.join(labels.filter(F.col(class_col) != -1).select(id_col, class_col), id_col)
-    ex = v.select(class_col, F.posexplode(F.col(vec_col)).alias("dim", "x"))
-    return ex.groupBy(class_col, "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+    return _means(vectors, labels, id_col, class_col, vec_col).select(class_col, F.posexplode("_c").alias("dim", "mean"))
 
 
 def centroid_similarity(vectors: DataFrame, labels: DataFrame, id_col: str = "article_id",
                         class_col: str = "cluster", vec_col: str = "vec") -> DataFrame:
     """Cosine of each clustered vector to its cluster centroid (zero norm -> 1e-12)."""
-    cents = centroids(vectors, labels, id_col, class_col, vec_col)
-    cvec = cents.groupBy(class_col).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("dim", "mean"))), lambda s: s["mean"]).alias("_c"))
+    cvec = _means(vectors, labels, id_col, class_col, vec_col)
     v = vectors.join(labels.filter(F.col(class_col) != -1).select(id_col, class_col), id_col).join(cvec, class_col)
     x = F.col(vec_col)
     dot = F.aggregate(F.zip_with(x, F.col("_c"), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda acc, y: acc + y)

@@ -53,9 +53,10 @@ def embed(df: DataFrame, id_col: str = "article_id", text_col: str = "text_src",
     """``(id, vec array<double>)``.
 
     Default: hashed term counts (dense ``dim`` array built from the sparse
-    weights; texts without tokens get no row). With ``embed_fn`` each Arrow
-    batch of texts (cut to ``max_tokens`` whitespace tokens) is encoded in
-    chunks of ``batch_size``.
+    weights; texts without tokens get no row). With ``embed_fn`` a text is cut
+    into windows of ``max_tokens`` whitespace tokens, all windows of an Arrow
+    batch are encoded ``batch_size`` at a time, and a text's vector is the mean
+    of its windows' vectors weighted by their tokens.
     """
     if embed_fn is None:
         w = hashed_weights(df, id_col, text_col, dim)
@@ -65,11 +66,21 @@ def embed(df: DataFrame, id_col: str = "article_id", text_col: str = "text_src",
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = [" ".join(str(t or "").split()[:max_tokens]) for t in pdf[text_col].tolist()]
-            out = []
-            for i in range(0, len(texts), batch_size):
-                out.extend(np.asarray(embed_fn(texts[i:i + batch_size]), dtype="float64").tolist())
-            yield pd.DataFrame({id_col: pdf[id_col], "vec": out})
+            windows, owner, size = [], [], []
+            for k, t in enumerate(pdf[text_col].tolist()):
+                words = str(t or "").split()
+                for i in range(0, max(len(words), 1), max_tokens):
+                    windows.append(" ".join(words[i:i + max_tokens]))
+                    owner.append(k)
+                    size.append(max(len(words[i:i + max_tokens]), 1))
+            vecs = [np.asarray(embed_fn(windows[i:i + batch_size]), dtype="float64") for i in range(0, len(windows), batch_size)]
+            if not vecs:
+                continue
+            weight = np.array(size, dtype="float64")
+            total = np.zeros((len(pdf), vecs[0].shape[1]))
+            np.add.at(total, owner, np.vstack(vecs) * weight[:, None])
+            mean = total / np.bincount(owner, weight, minlength=len(pdf))[:, None]
+            yield pd.DataFrame({id_col: pdf[id_col], "vec": mean.tolist()})
 
     ensure_checkpoint_dir(df.sparkSession)
     return spread(df.select(id_col, text_col)).mapInPandas(run, f"{id_col} long, vec array<double>")

@@ -1,19 +1,21 @@
 """Verdict operators: live normalisation (G4), the archive/live join (D4), outcomes
 (G7), finding shapes (C9, C10), run counters (E5) and progress metrics (E6).
 
-Wide columns (HTML) are digested where they are read and never shuffled: only
-``url``-keyed digests travel to the final join. Bodies are read only for each
-URL's newest good capture (the lazy body fetch of the reference).
+Pages (HTML) are never shuffled: live pages and bodies that the work list
+cannot need are dropped where they are read by a bit set of its keys, the rest
+are digested there, and only digests travel to the joins.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.urls import classify_verdict, finding_key, mode_label, raw_archive_url
-from ..session import spread
+from ..session import ensure_checkpoint_dir, spread
 from .captures import latest_good_capture
 
 OUTCOMES = ["deleted", "changed", "unchanged", "no_capture", "no_good_capture", "no_archive_body",
@@ -30,64 +32,110 @@ def page_digest(html, content_only: bool = True) -> Column:
     return T.content_digest(html)
 
 
-def normalise_live(live: DataFrame, content_only: bool = True, keep_html: bool = False) -> DataFrame:
-    """Digest (and body) only for live status 200; an error row has all nulls."""
+def newest_live(live: DataFrame) -> DataFrame:
+    """One live observation per URL, the newest by ``fetched_at`` (the largest row where times are equal)."""
+    order = [c for c in ("fetched_at", "live_status_code", "status_code", "live_digest", "live_text", "html") if c in live.columns]
+    rest = [c for c in live.columns if c != "url"]
+    best = F.max(F.struct(*[F.col(c) for c in order + [c for c in rest if c not in order]])).alias("_b")
+    return live.groupBy("url").agg(best).select("url", *[F.col(f"_b.{c}").alias(c) for c in rest])
+
+
+KEY_BITS = 1 << 27       # bits of the set of keys: 16 MB however many keys there are
+
+
+def key_filter(keys: DataFrame, cols: list[str], like: DataFrame, like_cols: list[str]) -> DataFrame:
+    """Rows of ``like`` whose key may be in ``keys``: none that is, is dropped; few others are kept.
+
+    A bit set of hashed keys is built by Spark's bitmap aggregate (4 KB a
+    bucket, KEY_BITS in all) and broadcast; only the key's hash goes to
+    Python, wide columns stay where they were read.
+    """
+    spot = lambda names: F.pmod(F.xxhash64(*names), F.lit(KEY_BITS)) + 1
+    bits = (keys.select(spot(cols).alias("p"))
+            .groupBy(F.bitmap_bucket_number("p").alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")))
+    table = np.zeros((KEY_BITS // 32768 + 2, 4096), np.uint8)
+    for r in bits.toLocalIterator():  # KEY_BITS / 32768 rows at most
+        table[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
+    shared = like.sparkSession.sparkContext.broadcast(table.reshape(-1))
+
+    @F.pandas_udf("boolean")
+    def maybe(p: pd.Series) -> pd.Series:
+        at = p.to_numpy("int64") + 32767  # bucket 1 holds positions 1 to 32768
+        return pd.Series(shared.value[at >> 3] >> (at & 7) & 1 == 1)
+
+    return like.filter(maybe(spot(like_cols)))
+
+
+def normalise_live(live: DataFrame, content_only: bool = True) -> DataFrame:
+    """Digest only for live status 200; an error row has all nulls."""
     ok = F.col("status_code") == 200
-    cols = [F.col("url"), F.col("status_code").cast("int").alias("live_status_code"),
-            F.when(ok, page_digest(F.col("html"), content_only)).alias("live_digest")]
-    if keep_html:
-        cols.append(F.when(ok, F.col("html")).alias("live_html"))
-    return live.select(*cols)
+    return live.select("url", F.col("status_code").cast("int").alias("live_status_code"),
+                       page_digest(F.when(ok, F.col("html")), content_only).alias("live_digest"),
+                       *[c for c in ("fetched_at",) if c in live.columns])
+
+
+def _latest(work: DataFrame, captures: DataFrame) -> DataFrame:
+    """The newest good capture of each work URL (and how many captures it has), computed once."""
+    keys = work.select(F.col("url").alias("original"))
+    caps = captures.select("original", "ts14", "statuscode", "pos").join(keys, "original", "left_semi")
+    ensure_checkpoint_dir(work.sparkSession)
+    return latest_good_capture(caps, keep_all=True).withColumnRenamed("original", "url").checkpoint()
+
+
+def body_digests(latest: DataFrame, bodies: DataFrame, content_only: bool = True) -> DataFrame:
+    """(url, ts14, has_body, archive_digest) of the winning captures' bodies, digested where they are read."""
+    won = latest.filter(F.col("ts14").isNotNull()).select("url", "ts14")
+    b = key_filter(won, ["url", "ts14"], bodies.select(F.col("original").alias("url"), "ts14", "html"), ["url", "ts14"])
+    has_body = F.col("html").isNotNull() & (F.col("html") != "")
+    return spread(b).select("url", "ts14", has_body.alias("has_body"),
+                            page_digest(F.when(has_body, F.col("html")), content_only).alias("archive_digest"))
 
 
 def observe(work: DataFrame, captures: DataFrame, bodies: DataFrame, live: DataFrame,
             content_only: bool = True, boilerplate: dict | None = None) -> DataFrame:
     """One row per candidate URL with its newest good capture, the digest of
-    that capture's body, and the normalised live observation.
+    that capture's body, and the newest normalised live observation.
 
     ``work`` has ``url`` (distinct) plus any carried columns (e.g. ``sample_rank``).
-    The chain is keyed by ``url`` throughout; live pages are digested map-side
-    (only digests are shuffled), and bodies are joined last, on (url, ts14),
-    so only each URL's winning capture body is read and digested.
+    The work list and its captures are written once (their keys filter the
+    pages before any page is digested); every join is keyed by ``url``.
     """
+    ensure_checkpoint_dir(work.sparkSession)
+    work = work.checkpoint()
+    latest = _latest(work, captures)
     if boilerplate is not None and content_only:
-        return _observe_corpus(work, captures, bodies, live, boilerplate)
-    keys = work.select(F.col("url").alias("original"))
-    caps = captures.select("original", "ts14", "statuscode", "pos").join(keys, "original", "left_semi")
-    latest = latest_good_capture(caps, keep_all=True).withColumnRenamed("original", "url")
-    live_n = normalise_live(spread(live), content_only).dropDuplicates(["url"])
+        return _observe_corpus(work, latest, bodies, live, boilerplate)
+    live = key_filter(work, ["url"], live, ["url"])
+    live_n = newest_live(normalise_live(spread(live), content_only))
     j = work.join(latest, "url", "left").join(live_n, "url", "left")
-    b = spread(bodies).select(F.col("original").alias("url"), "ts14", F.col("html").alias("_body"))
-    j = j.join(b, ["url", "ts14"], "left")
-    has_body = F.col("_body").isNotNull() & (F.col("_body") != "")
-    return j.select(
-        *[c for c in j.columns if c != "_body"],
-        has_body.alias("has_body"),
-        F.when(has_body, page_digest(F.col("_body"), content_only)).alias("archive_digest"),
-    )
+    j = j.join(body_digests(latest, bodies, content_only), ["url", "ts14"], "left")
+    return j.withColumn("has_body", F.coalesce("has_body", F.lit(False)))
 
 
-def _observe_corpus(work: DataFrame, captures: DataFrame, bodies: DataFrame, live: DataFrame,
+def _observe_corpus(work: DataFrame, latest: DataFrame, bodies: DataFrame, live: DataFrame,
                     params: dict) -> DataFrame:
-    """D4 with H1c: winning archive bodies and live 200 pages form one corpus;
-    blocks repeated on many pages of a host are removed before digesting."""
+    """D4 with H1c: winning archive bodies and newest live 200 pages form one corpus;
+    blocks repeated on many pages of a host are removed before digesting.
+
+    Pages are cut to blocks where they are read, so here too no page is shuffled.
+    """
     from .content import extract_main_text
-    keys = work.select(F.col("url").alias("original"))
-    caps = captures.select("original", "ts14", "statuscode", "pos").join(keys, "original", "left_semi")
-    latest = latest_good_capture(caps, keep_all=True).withColumnRenamed("original", "url")
-    lv = live.select("url", F.col("status_code").cast("int").alias("live_status_code"), "html").dropDuplicates(["url"])
-    j = work.join(latest, "url", "left").join(lv.drop("html"), "url", "left")
-    b = spread(bodies).select(F.col("original").alias("url"), "ts14", F.col("html").alias("_body"))
-    j = j.join(b, ["url", "ts14"], "left").withColumn(
-        "has_body", F.col("_body").isNotNull() & (F.col("_body") != ""))
-    arch_docs = j.filter("has_body").select(F.concat(F.lit("a|"), "url").alias("doc"), "url", F.col("_body").alias("html"))
-    live_docs = (lv.join(work.select("url"), "url", "left_semi").filter(F.col("live_status_code") == 200)
-                 .select(F.concat(F.lit("l|"), "url").alias("doc"), "url", "html"))
-    texts = extract_main_text(arch_docs.unionByName(live_docs), key="doc", url_col="url", page_col="url", **params)
-    dig = texts.select(F.substring("doc", 1, 1).alias("side"), F.expr("substring(doc, 3)").alias("url"), "digest")
-    a = dig.filter(F.col("side") == "a").select("url", F.col("digest").alias("archive_digest"))
-    l_ = dig.filter(F.col("side") == "l").select("url", F.col("digest").alias("live_digest"))
-    return j.drop("_body").join(a, "url", "left").join(l_, "url", "left")
+    live = key_filter(work, ["url"], live, ["url"]).withColumn("live_status_code", F.col("status_code").cast("int"))
+    newest = newest_live(live.select("url", "live_status_code", *[c for c in ("fetched_at",) if c in live.columns]))
+    won = latest.filter(F.col("ts14").isNotNull()).select("url", "ts14")
+    b = key_filter(won, ["url", "ts14"], bodies.select(F.col("original").alias("url"), "ts14", "html"), ["url", "ts14"])
+    has_body = F.col("html").isNotNull() & (F.col("html") != "")
+    arch_docs = b.filter(has_body).select(F.concat(F.lit("a|"), "ts14", F.lit("|"), "url").alias("doc"), "url", "html")
+    live_docs = live.filter(F.col("live_status_code") == 200).select(F.concat(F.lit("l|"), "url").alias("doc"), "url", "html")
+    # Pages that only look like work by the bit set would count as corpus: keep exact keys.
+    texts = extract_main_text(arch_docs.unionByName(live_docs), key="doc", url_col="url", page_col="url",
+                              keep=won.select(F.concat(F.lit("a|"), "ts14", F.lit("|"), "url").alias("doc"))
+                              .unionByName(work.select(F.concat(F.lit("l|"), "url").alias("doc"))), **params)
+    a = won.withColumn("doc", F.concat(F.lit("a|"), "ts14", F.lit("|"), "url")).join(texts, "doc").select("url", F.lit(True).alias("has_body"), F.col("digest").alias("archive_digest"))
+    side = texts.filter(F.startswith("doc", F.lit("l|"))).select(F.expr("substring(doc, 3)").alias("url"), F.col("digest").alias("live_digest"))
+    j = work.join(latest, "url", "left").join(newest, "url", "left").join(a, "url", "left").join(side, "url", "left")
+    return j.withColumn("has_body", F.coalesce("has_body", F.lit(False)))
 
 
 def outcome_col(content_only: bool = True, gone_codes=(404,)) -> Column:
@@ -143,9 +191,15 @@ def finding_struct(findings: DataFrame, bodies: DataFrame, live: DataFrame, run_
     ``changed``, live pages) are joined back here, after the verdicts.
     """
     f = findings.select("url", "verdict", "live_status_code", "ts14", "archive_url", "archive_digest",
-                        "live_digest", *[c for c in ("sample_rank",) if c in findings.columns])
-    b = bodies.select(F.col("original").alias("url"), "ts14", F.col("html").alias("archive_html"))
-    lv = live.select("url", F.col("html").alias("live_html")).dropDuplicates(["url"])
+                        "live_digest", *[c for c in ("sample_rank", "fetched_at") if c in findings.columns])
+    ensure_checkpoint_dir(findings.sparkSession)
+    f = f.checkpoint()
+    b = key_filter(f, ["url", "ts14"], bodies.select(F.col("original").alias("url"), "ts14", "html"), ["url", "ts14"])
+    b = b.select("url", "ts14", T.evidence_text(F.col("html")).alias("archive_text"))
+    moved = f.filter(F.col("verdict") == "changed")
+    lv = key_filter(moved, ["url"], live, ["url"])
+    lv = newest_live(lv.select("url", *[c for c in ("fetched_at",) if c in live.columns], T.evidence_text(F.col("html")).alias("live_text")))
+    lv = lv.drop("fetched_at")
     j = f.join(b, ["url", "ts14"], "left").join(lv, "url", "left")
     changed = F.col("verdict") == "changed"
     return j.select(
@@ -156,14 +210,14 @@ def finding_struct(findings: DataFrame, bodies: DataFrame, live: DataFrame, run_
             raw_archive_url(F.col("archive_url")).alias("raw_url"),
             F.col("ts14").alias("timestamp"),
             F.col("archive_digest").alias("digest"),
-            T.evidence_text(F.col("archive_html")).alias("text"),
+            F.col("archive_text").alias("text"),
         ).alias("archive"),
         F.struct(
             F.col("url").alias("url"),
             F.col("live_status_code").alias("status_code"),
-            F.lit(run_ts).alias("fetched_at"),
+            (F.coalesce(F.col("fetched_at"), F.lit(run_ts)) if "fetched_at" in f.columns else F.lit(run_ts)).alias("fetched_at"),
             F.when(F.col("verdict") != "deleted", F.col("live_digest")).alias("digest"),
-            F.when(changed, T.evidence_text(F.col("live_html"))).alias("text"),
+            F.when(changed, F.col("live_text")).alias("text"),
         ).alias("live"),
         *[c for c in ("sample_rank",) if c in findings.columns],
     )
@@ -176,7 +230,8 @@ def flatten_finding(doc: DataFrame) -> DataFrame:
         F.col("archive.url").alias("archive_url"), F.col("archive.raw_url").alias("archive_raw_url"),
         F.col("archive.timestamp").alias("archive_timestamp"), F.col("archive.digest").alias("archive_digest"),
         F.col("archive.text").alias("archive_text"),
-        F.col("live.status_code").alias("live_status_code"), F.col("live.digest").alias("live_digest"),
+        F.col("live.status_code").alias("live_status_code"), F.col("live.fetched_at").alias("live_fetched_at"),
+        F.col("live.digest").alias("live_digest"),
         F.col("live.text").alias("live_text"),
     )
 
@@ -228,12 +283,6 @@ def with_progress(df: DataFrame, name: str = "progress") -> tuple[DataFrame, Obs
 def archive_state(work: DataFrame, captures: DataFrame, bodies: DataFrame, content_only: bool = True) -> DataFrame:
     """The archive half of D4 alone: per URL its newest good capture and that
     body's digest (the static side for streaming verdicts, S2)."""
-    keys = work.select(F.col("url").alias("original"))
-    caps = captures.select("original", "ts14", "statuscode", "pos").join(keys, "original", "left_semi")
-    latest = latest_good_capture(caps, keep_all=True).withColumnRenamed("original", "url")
-    j = work.select("url").join(latest, "url", "left")
-    b = spread(bodies).select(F.col("original").alias("url"), "ts14", F.col("html").alias("_body"))
-    j = j.join(b, ["url", "ts14"], "left")
-    has_body = F.col("_body").isNotNull() & (F.col("_body") != "")
-    return j.select("url", "n_captures", "ts14", has_body.alias("has_body"),
-                    F.when(has_body, page_digest(F.col("_body"), content_only)).alias("archive_digest"))
+    latest = _latest(work, captures)
+    j = work.select("url").join(latest, "url", "left").join(body_digests(latest, bodies, content_only), ["url", "ts14"], "left")
+    return j.select("url", "n_captures", "ts14", F.coalesce("has_body", F.lit(False)).alias("has_body"), "archive_digest")

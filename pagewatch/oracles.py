@@ -157,8 +157,8 @@ WHERE c.statuscode = '200' AND NOT (c.page_id % 7 = 3 AND c.pos = 1)
 """
 
 LIVE = """
-SELECT url, status_code, CASE WHEN status_code IS NOT NULL THEN html2 END AS html FROM (
-SELECT url,
+SELECT url, status_code, CASE WHEN status_code IS NOT NULL THEN html2 END AS html, fetched_at FROM (
+SELECT url, '2024-01-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') || 'T12:00:00' AS fetched_at,
   CASE WHEN page_id % 23 = 0 THEN NULL WHEN page_id % 5 = 0 THEN 404 WHEN page_id % 11 = 0 THEN 500
        WHEN page_id % 29 = 0 THEN 410 ELSE 200 END AS status_code,
   CASE WHEN page_id % 3 = 0 THEN replace(html, '</p>', ' (upd)</p>')
@@ -167,6 +167,11 @@ SELECT url,
 FROM pages)
 """
 
+# With the older observations that every sixth page has besides.
+LIVE_ALL = f"""{LIVE}
+UNION ALL SELECT url, 404, '<p>gone</p>', '2024-01-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') || 'T06:00:00'
+FROM pages WHERE page_id % 6 = 0"""
+
 URL_LIST = "SELECT url FROM pages UNION ALL SELECT url FROM pages WHERE page_id % 10 = 0"
 CHECKED = ("SELECT url FROM pages WHERE page_id % 8 = 0 "
            "UNION ALL SELECT url FROM pages WHERE page_id % 8 = 0 AND page_id % 16 = 0")

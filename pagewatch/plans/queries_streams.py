@@ -13,13 +13,17 @@ from ..schemas import LIVE_SCHEMA
 from ..session import scratch_path
 from ..streaming import streams as S
 from .detect import work_urls
-from .queries_detect import observed_sql
+from .queries_detect import OUTCOME_CASE, observed_sql
 
 
-def _two_files(df, path, first):
-    """Write ``df`` as two files, the ``first`` rows strictly before the rest (file order = arrival order)."""
-    df.filter(first).coalesce(1).write.mode("append").parquet(path)
-    df.filter(~first).coalesce(1).write.mode("append").parquet(path)
+def _two_runs(spark, schema, src, first, second, start) -> None:
+    """``first`` arrives, the stream runs and ends; ``second`` arrives, the stream is restarted from its checkpoint.
+
+    Both arrive as as many files as their partitions; a run takes what is there in one batch.
+    """
+    for part in (first, second):
+        part.write.mode("append").parquet(src)
+        start(spark.readStream.schema(schema).parquet(src))
 
 
 @register("stream_latest_good", f"""SELECT original, substr(best, 1, 14) AS ts14, cast(substr(best, 15) AS BIGINT) AS pos, n_captures
@@ -27,36 +31,36 @@ FROM (SELECT original, count(*) AS n_captures,
   max(CASE WHEN statuscode = '200' THEN ts14 || lpad(cast(pos AS VARCHAR), 20, '0') END) AS best
   FROM ({O.EVENT_CAPTURES}) GROUP BY original) WHERE best IS NOT NULL""")
 def q_stream_latest_good(spark, d):
-    """Newest good capture per URL over two arriving capture files (equals E2)."""
+    """Newest good capture per URL over two runs, compacted (equals E2)."""
     src, sink, ck = (scratch_path(spark, n) for n in ("s1_in", "s1_out", "s1_ck"))
-    _two_files(X.event_captures(spark, d), src, F.col("pos") % 2 == 0)
-    stream = spark.readStream.schema(S.CAPTURE_STREAM_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
-    S.stream_latest_good(stream, sink, ck)
-    return S.read_latest_good(spark, sink)
+    caps, even = X.event_captures(spark, d), F.col("pos") % 2 == 0
+    _two_runs(spark, S.CAPTURE_STREAM_SCHEMA, src, caps.filter(even), caps.filter(~even),
+              lambda stream: S.stream_latest_good(stream, sink, ck))
+    compacted = scratch_path(spark, "s1_compact")
+    S.compact_latest_good(spark, sink, compacted)
+    return S.read_latest_good(spark, compacted)
 
 
-@register("stream_verdicts", f"SELECT url, live_status_code, verdict FROM ({observed_sql()})")
+@register("stream_verdicts", f"""SELECT l.url, l.status_code AS live_status_code, l.fetched_at, v.verdict, coalesce(v.outcome, 'not_in_work') AS outcome
+FROM ({O.LIVE_ALL}) l LEFT JOIN (
+  SELECT *, {OUTCOME_CASE} AS outcome FROM ({observed_sql(live=O.LIVE_ALL)})) v
+ON v.url = l.url AND v.fetched_at = l.fetched_at""")
 def q_stream_verdicts(spark, d):
-    """Verdicts for live observations arriving in two files, joined to the static archive side (equals G5)."""
+    """Verdicts of live observations arriving in two runs, joined to the static archive side."""
     src, sink, ck = (scratch_path(spark, n) for n in ("s2_in", "s2_out", "s2_ck"))
-    live = X.live_observations(spark, d)
-    _two_files(live, src, F.length("url") % 2 == 0)
+    live, first = X.live_observations(spark, d), F.length("url") % 2 == 0
     urls, caps, bodies = X.url_list(spark, d), X.page_captures(spark, d), X.archive_bodies(spark, d)
     state = archive_state(work_urls(urls, X.checked_urls(spark, d)), caps, bodies).checkpoint()
-    stream = spark.readStream.schema(LIVE_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
-    S.stream_verdicts(stream, state, sink, ck)
-    return spark.read.parquet(sink).select("url", "live_status_code", "verdict")
+    _two_runs(spark, LIVE_SCHEMA, src, live.filter(first), live.filter(~first), lambda stream: S.stream_verdicts(stream, state, sink, ck))
+    return spark.read.parquet(sink).select("url", "live_status_code", "fetched_at", "verdict", "outcome")
 
 
 @register("stream_checked_ledger", f"SELECT DISTINCT url FROM ({O.URL_LIST})")
 def q_stream_checked_ledger(spark, d):
-    """S3: URL lines arriving in two overlapping files; every URL is in the ledger exactly once."""
+    """S3: URLs arriving in two overlapping runs; every URL is in the ledger exactly once."""
     src, ledger, ck = (scratch_path(spark, n) for n in ("s3_in", "s3_ledger", "s3_ck"))
-    lines = X.url_list(spark, d)
-    lines.filter(F.length("url") % 3 != 0).coalesce(1).write.mode("append").text(src)
-    lines.filter(F.length("url") % 3 != 1).coalesce(1).write.mode("append").text(src)
-    stream = spark.readStream.option("maxFilesPerTrigger", 1).text(src).select(F.col("value").alias("url"))
-    S.stream_checked(stream, ledger, ck)
+    lines, size = X.url_list(spark, d), F.length("url") % 3
+    _two_runs(spark, "url string", src, lines.filter(size != 0), lines.filter(size != 1), lambda stream: S.stream_checked(stream, ledger, ck))
     return spark.read.parquet(ledger).select("url")
 
 
@@ -64,12 +68,11 @@ def q_stream_checked_ledger(spark, d):
   substr(ts14, 1, 4) || '-' || substr(ts14, 5, 2) AS month, count(*) AS n_captures
 FROM ({O.EVENT_CAPTURES}) WHERE statuscode = '200' GROUP BY 1, 2""")
 def q_stream_monthly_counts(spark, d):
-    """Captures per domain-month from daily event-time windows with a watermark;
-    late rows (inside the watermark) arrive in the second file (equals the batch count)."""
-    src, sink, ck = (scratch_path(spark, n) for n in ("s4_in", "s4_out", "s4_ck"))
+    """Captures per domain-month from daily event-time windows with a watermark. The second run
+    brings rows inside the watermark and rows long past it (equals the batch count)."""
+    src, sink, ck, late = (scratch_path(spark, n) for n in ("s4_in", "s4_out", "s4_ck", "s4_late"))
     caps = X.event_captures(spark, d)
-    late = (F.col("ts14") >= "20241215") | ((F.col("pos") % 5 == 0) & (F.col("ts14") >= "20241101"))
-    _two_files(caps, src, ~late)
-    stream = spark.readStream.schema(S.CAPTURE_STREAM_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
-    S.stream_daily_counts(stream, sink, ck, watermark="45 days")
-    return S.read_monthly_counts(spark, sink)
+    second = (F.col("ts14") >= "20241215") | (F.col("pos") % 5 == 0)
+    _two_runs(spark, S.CAPTURE_STREAM_SCHEMA, src, caps.filter(~second), caps.filter(second),
+              lambda stream: S.stream_daily_counts(stream, sink, ck, late, watermark="45 days"))
+    return S.read_monthly_counts(spark, sink, late)

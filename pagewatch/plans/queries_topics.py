@@ -1,4 +1,4 @@
-"""Registered cluster / topic queries with oracle SQL (MMR is rows-only)."""
+"""Registered cluster / topic queries with oracle SQL."""
 
 from __future__ import annotations
 
@@ -32,13 +32,13 @@ def article_cache(arts):
     ok = ~F.startswith(key, F.lit("0"))
     return arts.filter(F.col("article_id") % 2 == 0).select(
         key.alias("src_sha1"),
-        F.when(ok, F.concat(F.lit("[cached] "), F.substring("text_src", 1, 30))).otherwise(F.lit("")).alias("text_out"),
+        F.when(ok, F.concat(F.lit("[cached] "), F.col("text_src"))).otherwise(F.lit("")).alias("text_out"),
         ok.alias("ok")).distinct()
 
 
 def translated(spark, d):
     arts = articles(spark, d)
-    out, _ = translate(arts, article_cache(arts), dictionary=X.dictionary(spark))
+    out, _ = translate(arts, article_cache(arts), dictionary=X.dictionary())
     return out
 
 
@@ -55,7 +55,7 @@ def labels(spark, d):
 ARTS = (f"SELECT cast(regexp_extract(url, '/([0-9]+)$', 1) AS BIGINT) AS article_id, url, archive_url, "
         f"archive_timestamp, text_src FROM ({FINDINGS_SQL})")
 CACHE = """SELECT DISTINCT sha1(text_src) AS src_sha1,
-  CASE WHEN NOT starts_with(sha1(text_src), '0') THEN '[cached] ' || substring(text_src, 1, 30) ELSE '' END AS text_out,
+  CASE WHEN NOT starts_with(sha1(text_src), '0') THEN '[cached] ' || text_src ELSE '' END AS text_out,
   NOT starts_with(sha1(text_src), '0') AS ok FROM arts WHERE article_id % 2 = 0"""
 DICT = "SELECT * FROM (VALUES " + ", ".join(f"({O.q(a)}, {O.q(b)})" for a, b in X.DICTIONARY) + ") d(token, out)"
 
@@ -119,6 +119,22 @@ kw AS (SELECT * FROM (SELECT cls, term, weight, row_number() OVER (PARTITION BY
        FROM sc) WHERE rank <= {k})"""
 
 
+def mmr_ctes(k: int = 10, diversity: float = 0.3) -> str:
+    """Table ``mm`` (cls, terms): the greedy choice among each class's candidates in ``kw``; needs WITH RECURSIVE."""
+    jac = "len(list_intersect(x, q.g)) / CAST(len(x) + len(q.g) - len(list_intersect(x, q.g)) AS DOUBLE)"
+    return f"""gr AS (SELECT cls, term, rank AS r0,
+  CASE WHEN max(weight) OVER (PARTITION BY cls) = 0 THEN 0 ELSE weight / max(weight) OVER (PARTITION BY cls) END AS rel,
+  list_distinct(list_transform(range(1, greatest(1, length(term)) + 1), lambda i: substring(' ' || term || ' ', CAST(i AS INTEGER), 3))) AS g FROM kw),
+ch(step, cls, terms, gs) AS (
+  SELECT 1, cls, [term], [g] FROM gr WHERE r0 = 1
+  UNION ALL
+  SELECT step + 1, cls, list_append(terms, term), list_append(gs, g) FROM (
+    SELECT c.step, c.cls, c.terms, c.gs, q.term, q.g, row_number() OVER (PARTITION BY c.cls ORDER BY
+        round((1 - {diversity}) * q.rel - {diversity} * list_max(list_transform(c.gs, lambda x: {jac})), 9) DESC, q.r0) AS pick
+    FROM ch c JOIN gr q ON q.cls = c.cls WHERE c.step < {k} AND NOT list_contains(c.terms, q.term)) WHERE pick = 1),
+mm AS (SELECT cls, arg_max(terms, step) AS terms FROM ch GROUP BY cls)"""
+
+
 def tokens_sql(src: str, text: str, keep: str) -> str:
     return (f"SELECT {keep}, term FROM (SELECT {keep}, unnest(regexp_split_to_array(lower({text}), "
             f"'[^\\p{{L}}\\p{{N}}]+')) AS term FROM {src}) WHERE length(term) >= 2")
@@ -129,11 +145,12 @@ def snip(expr: str, n: int) -> str:
 
 
 def topics_sql(select: str, k: int = 10) -> str:
-    """Topic rows with diversity 0 (MMR keeps c-TF-IDF order), translation by dictionary."""
+    """Topic rows with MMR keywords, translation by dictionary."""
     return f"""WITH RECURSIVE {translated_ctes()}, {weights_ctes()}, {PAIRS_CTE}, {dbscan_ctes()},
 lt AS (SELECT l.cluster, tr.* FROM labels l JOIN tr ON tr.article_id = l.article_id),
 {ctfidf_ctes(tokens_sql('lt', 'text_en', 'cluster'), 'cluster', 30)},
-kws AS (SELECT cls AS cluster, list(term ORDER BY rank) FILTER (WHERE rank <= {k}) AS keywords FROM kw GROUP BY cls),
+{mmr_ctes(k)},
+kws AS (SELECT cls AS cluster, terms AS keywords FROM mm),
 csize AS (SELECT cluster, count(*) AS n FROM labels WHERE cluster <> -1 AND article_id IN (SELECT article_id FROM w) GROUP BY cluster),
 cent AS (SELECT l.cluster, w.bucket, sum(w.weight) / max(csize.n) AS mean FROM labels l JOIN w ON w.article_id = l.article_id
          JOIN csize ON csize.cluster = l.cluster GROUP BY l.cluster, w.bucket),
@@ -241,11 +258,13 @@ def q_ctfidf_keywords(spark, d):
     return ctfidf(t, "lang", 10).select("lang", "term", "weight", F.col("rank").cast("int").alias("rank"))
 
 
-@register("mmr_keywords")
+@register("mmr_keywords", f"""WITH RECURSIVE {ctfidf_ctes(tokens_sql('documents', 'text', 'lang'), 'lang', 30)},
+{mmr_ctes(10, 0.3)}
+SELECT cls AS lang, CAST(generate_subscripts(terms, 1) AS INTEGER) AS rank, unnest(terms) AS term FROM mm""")
 def q_mmr_keywords(spark, d):
-    """10 diverse keywords per language class from the top-30 candidates (rows-only check)."""
+    """10 diverse keywords per language class from the top-30 candidates."""
     t = tokenise(table(spark, d, "documents").select("lang", "text"), "text", keep=("lang",))
-    return mmr(ctfidf(t, "lang", 30), "lang", 10, 0.3, class_type="string")
+    return mmr(ctfidf(t, "lang", 30), "lang", 10, 0.3)
 
 
 @register("topic_label", f"""WITH {ctfidf_ctes(tokens_sql('documents', 'text', 'lang'), 'lang', 4)}
@@ -297,9 +316,9 @@ def q_representatives_topk(spark, d):
     return representatives(v, lab, 3).select("cluster", "article_id", F.col("rep_rank").cast("int").alias("rep_rank"), "sim")
 
 
-def _topics(spark, d, diversity: float = 0.0):
+def _topics(spark, d, diversity: float = 0.3):
     arts = articles(spark, d)
-    res = cluster_articles(arts, article_cache(arts), X.dictionary(spark), threshold=THRESHOLD, min_pts=MIN_PTS,
+    res = cluster_articles(arts, article_cache(arts), X.dictionary(), threshold=THRESHOLD, min_pts=MIN_PTS,
                            min_topic_size=MIN_SIZE, dim=DIM, diversity=diversity)
     return res
 
@@ -307,7 +326,7 @@ def _topics(spark, d, diversity: float = 0.0):
 @register("topic_rows", topics_sql(f"""SELECT id, size, {LABEL_SQL} AS label, {DESC_SQL} AS description,
   array_to_string(kw[1:10], ', ') AS keywords_en, rep_urls FROM topics"""))
 def q_topic_rows(spark, d):
-    """I9 (+ I8, H8, H9, F7): topic rows from the full cluster plan (diversity 0: c-TF-IDF order)."""
+    """I9 (+ I8, H8, H9, F7): topic rows from the full cluster plan (MMR at diversity 0.3)."""
     t = _topics(spark, d).topics
     return t.select("id", "size", "label", "description", F.array_join("keywords_en", ", ").alias("keywords_en"),
                     F.array_join(F.transform("representative_articles", lambda r: r["url"]), " ").alias("rep_urls"))
@@ -366,7 +385,7 @@ def q_write_translation_cache(spark, d):
     from ..sinks.writers import append_cache
     from ..sources.readers import load_cache
     arts = articles(spark, d)
-    _, new = translate(arts, article_cache(arts), dictionary=X.dictionary(spark))
+    _, new = translate(arts, article_cache(arts), dictionary=X.dictionary())
     path = scratch_path(spark, "cache_new")
     append_cache(new, path)
     return load_cache(spark, path)

@@ -16,6 +16,8 @@ LIVE_SCHEMA = T.StructType([
     T.StructField("url", T.StringType()),
     T.StructField("status_code", T.IntegerType()),
     T.StructField("html", T.StringType()),
+    T.StructField("fetched_at", T.StringType()),
+    T.StructField("error", T.StringType()),
 ])
 
 ARCHIVE_SIDE = T.StructType([

@@ -10,8 +10,8 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Defaults tuned for correctness (UTC, no UI) and scale (AQE, skew join,
-# runtime bloom filters for the big archive-body joins).
+# Settings that the operators rely on for right results or for scale. Memory
+# and partition counts are left to the cluster or the caller.
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
@@ -21,20 +21,17 @@ DEFAULT_CONF = {
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
-    # Local mode runs everything in the driver JVM; on a cluster this is the
-    # driver only and executors are sized by the cluster's own settings.
-    "spark.driver.memory": "12g",
 }
+# What a run in one JVM needs besides; callers pass it as ``extra``.
+LOCAL_CONF = {"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g"}
+SPREAD = "pagewatch.inputPartitions"
 
 
-def get_session(master: str | None = None, shuffle_partitions: int = 8,
-                app_name: str = "pagewatch", extra: dict | None = None) -> SparkSession:
+def get_session(master: str | None = None, app_name: str = "pagewatch", extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.update(extra or {})
+    conf = DEFAULT_CONF | (extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
@@ -100,20 +97,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin an input with fewer partitions than the cluster has cores.
+def spread(df: DataFrame) -> DataFrame:
+    """Deal an input over ``pagewatch.inputPartitions`` partitions where the session sets it.
 
-    Large inputs are already split by the file scan and pass through untouched
-    (no shuffle); a tiny or unsplittable input (one row group) would otherwise
-    run its CPU-heavy per-row work (regex extraction, tokenising) in one task.
+    For inputs that Spark cannot split (one row group) in runs that are bound
+    by CPU. Without the setting inputs stay as the file scan splits them
+    (``spark.sql.files.maxPartitionBytes``) and nothing is shuffled.
     """
-    if df.isStreaming:
-        return df
-    # A plan with a shuffle already has shuffle-sized partitions; asking for its
-    # RDD would make adaptive execution run those stages eagerly.
-    if re.search(r"(?<!Broadcast)Exchange ", df._jdf.queryExecution().sparkPlan().toString()):
-        return df
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    n = None if df.isStreaming else df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(n)) if n else df

@@ -85,7 +85,7 @@ def load_checked(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
 
     ``fmt='text'`` reads the reference's one-URL-per-line file.
     """
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], "url string")
     if fmt == "text":
         return read_url_list(spark, path).dropDuplicates(["url"])
@@ -100,7 +100,7 @@ SHA1_HEX = r"^[0-9a-f]{40}$"
 def load_cache(spark: SparkSession, path: str) -> DataFrame:
     """The translation cache; rows with a malformed key are dropped (not the
     whole cache, as the reference does on any corruption). One row per key."""
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], CACHE_SCHEMA)
     df = spark.read.schema(CACHE_SCHEMA).parquet(path)
     good = df.filter(F.col("src_sha1").rlike(SHA1_HEX) & F.col("text_out").isNotNull())
@@ -109,7 +109,7 @@ def load_cache(spark: SparkSession, path: str) -> DataFrame:
         F.max_by("text_out", F.col("ok").cast("int")).alias("text_out"), F.max("ok").alias("ok"))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     jpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

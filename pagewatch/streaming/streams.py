@@ -1,11 +1,11 @@
 """Structured Streaming operators (S1-S4) for incremental, restartable runs.
 
 Each stream reads files with an explicit schema, checkpoints to a folder
-under the cluster's checkpoint directory, and writes through ``foreachBatch``
-into a table partitioned by ``batch_id``: a replayed batch (after a crash
-between write and commit) overwrites its own partition, so the sink stays
-exactly-once. Readers reduce the appended updates (S1, S4) or take the rows
-as they are (S2, S3).
+under the cluster's checkpoint directory, keeps keyed state in RocksDB, and
+writes through ``foreachBatch`` into a table partitioned by ``batch_id``: a
+replayed batch (after a crash between write and commit) overwrites its own
+partition, so the sink stays exactly-once. Readers reduce the appended updates
+(S1, S4) or take the rows as they are (S2, S3).
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.urls import classify_verdict, url_host
-from ..operators.verdicts import normalise_live
+from ..operators.verdicts import normalise_live, outcome_col
+from ..sources.readers import path_exists
 
 
 def _write_batch(df: DataFrame, batch_id: int, path: str) -> None:
@@ -24,8 +25,13 @@ def _write_batch(df: DataFrame, batch_id: int, path: str) -> None:
      .partitionBy("batch_id").parquet(path))
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def run_available_now(query_builder, checkpoint: str):
     """Start a stream with ``trigger(availableNow=True)`` and wait for it to finish."""
+    SparkSession.active().conf.set(STATE_STORE, ROCKSDB)  # state on executors' disks, not in their heap
     q = query_builder.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception() is not None:
@@ -37,9 +43,9 @@ def run_available_now(query_builder, checkpoint: str):
 def stream_latest_good(captures: DataFrame, sink: str, checkpoint: str, code: str = "200"):
     """Newest good capture per URL as capture files arrive (update mode).
 
-    State is one row per URL ("latest ever", no watermark: use the RocksDB
-    state store provider for large URL counts). Each batch's updated rows are
-    appended; ``read_latest_good`` reduces them on read.
+    State is one row per URL ("latest ever", no watermark), in RocksDB. Each
+    batch's updated rows are appended; ``read_latest_good`` reduces them on
+    read and ``compact_latest_good`` folds them into one partition.
     """
     good = F.when(F.col("statuscode") == F.lit(code), F.struct("ts14", "pos"))
     agg = captures.groupBy("original").agg(F.max(good).alias("best"), F.count(F.lit(1)).alias("n_captures"))
@@ -57,73 +63,100 @@ def read_latest_good(spark: SparkSession, sink: str) -> DataFrame:
         F.col("r.n_captures").alias("n_captures"))
 
 
+def compact_latest_good(spark: SparkSession, sink: str, compacted: str) -> None:
+    """Write the newest update per URL of ``sink`` to ``compacted``, a table that is read the same way."""
+    df = spark.read.parquet(sink)
+    last = df.groupBy("original").agg(F.max_by(F.struct("best", "n_captures", "batch_id"), "batch_id").alias("r"))
+    last.select("original", "r.best", "r.n_captures", "r.batch_id").write.mode("overwrite").parquet(compacted)
+
+
 # ------------------------------------------------------------------ S2
 def stream_verdicts(live: DataFrame, archive_state: DataFrame, sink: str, checkpoint: str,
                     content_only: bool = True):
-    """A verdict per arriving live observation (stream-static join, append).
+    """A verdict and an outcome per arriving live observation (stream-static join, append).
 
-    ``archive_state`` is the static per-URL archive side: (url, ts14, has_body,
-    archive_digest). Live pages are digested in the stream, then joined.
+    ``archive_state`` is the static per-URL archive side: (url, n_captures,
+    ts14, has_body, archive_digest). Live pages are digested in the stream,
+    then joined. An observation of a URL that is not in the archive side is
+    kept, with the outcome ``not_in_work``.
     """
     obs = normalise_live(live, content_only)
-    j = obs.join(archive_state, "url")
-    v = classify_verdict("live_status_code", "live_digest", "archive_digest", "has_body")
-    out = j.select("url", "live_status_code", v.alias("verdict"))
+    j = obs.join(archive_state.withColumn("in_work", F.lit(True)), "url", "left")
+    v = F.when(F.col("has_body"), classify_verdict("live_status_code", "live_digest", "archive_digest", "has_body"))
+    out = j.select("url", "live_status_code", *[c for c in ("fetched_at",) if c in obs.columns], v.alias("verdict"),
+                   F.when(F.col("in_work"), outcome_col(content_only)).otherwise(F.lit("not_in_work")).alias("outcome"))
     w = out.writeStream.outputMode("append").foreachBatch(lambda df, bid: _write_batch(df, bid, sink))
     return run_available_now(w, checkpoint)
 
 
 # ------------------------------------------------------------------ S3
-def stream_checked(urls: DataFrame, ledger: str, checkpoint: str):
+def stream_checked(urls: DataFrame, ledger: str, checkpoint: str, known: DataFrame | None = None):
     """S3: each URL enters the ledger once across batches and restarts.
 
-    Per batch: distinct URLs, minus those already in the ledger from *other*
-    batches (a replay of this batch must not see its own rows), written to the
-    batch's own partition. Not ``dropDuplicatesWithinWatermark``: that forgets
-    a URL once the watermark passes it.
+    The URLs seen so far are the stream's state (RocksDB, in the checkpoint
+    folder), so a batch costs its own rows and the ledger is not read again.
+    Not ``dropDuplicatesWithinWatermark``: that forgets a URL once the
+    watermark passes it. ``known``: URLs of an earlier ledger, left out.
     """
-    def upsert(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        batch = df.select("url").distinct()
-        try:
-            seen = spark.read.parquet(ledger).filter(F.col("batch_id") != batch_id).select("url")
-            batch = batch.join(seen, "url", "left_anti")
-        except Exception as e:  # noqa: BLE001 - the ledger does not exist before the first batch
-            if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
-                raise
-        _write_batch(batch, batch_id, ledger)
-
-    w = urls.writeStream.outputMode("append").foreachBatch(upsert)
+    fresh = urls.select("url").dropDuplicates(["url"])
+    if known is not None:
+        fresh = fresh.join(known.select("url"), "url", "left_anti")
+    w = fresh.writeStream.outputMode("append").foreachBatch(lambda df, bid: _write_batch(df, bid, ledger))
     return run_available_now(w, checkpoint)
 
 
 # ------------------------------------------------------------------ S4
-def stream_daily_counts(captures: DataFrame, sink: str, checkpoint: str, watermark: str = "45 days",
+def stream_daily_counts(captures: DataFrame, sink: str, checkpoint: str, late: str, watermark: str = "45 days",
                         code: str = "200"):
-    """Good captures per (domain, day) with late data up to ``watermark``.
+    """Good captures per (domain, day); rows later than ``watermark`` go to a table of corrections.
 
     Update mode: each batch appends the new running counts of the windows it
     touched; a window's state is dropped once the watermark passes its end.
-    Month totals are rolled up at read time (``window`` rejects month lengths).
+    What the watermark would drop is counted by a second stream over the same
+    input: per batch, the rows whose window had ended before the watermark
+    that held for that batch, added up per (domain, day) and written to
+    ``late``. Month totals are rolled up at read time from both.
     """
+    daily = _days(captures, code)
+    agg = (daily.withWatermark("ts", watermark)
+           .groupBy("domain", F.window("ts", "1 day"), "month").agg(F.count(F.lit(1)).alias("n")))
+    out = agg.select("domain", F.col("window.start").alias("day"), "month", "n")
+    w = out.writeStream.outputMode("update").foreachBatch(lambda df, bid: _write_batch(df, bid, sink))
+    run_available_now(w, checkpoint)
+
+    delay = F.expr(f"INTERVAL {watermark}")
+
+    def correct(df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        seen = f"{late}/seen"
+        highest = (spark.read.schema("top timestamp, batch_id long").parquet(seen).filter(F.col("batch_id") < batch_id)
+                   .agg(F.max("top")).first()[0] if path_exists(spark, seen) else None)
+        _write_batch(df.agg(F.max("ts").alias("top")), batch_id, seen)
+        passed = F.lit(highest).cast("timestamp") - delay
+        rows = df.filter(F.window("ts", "1 day").getField("end") <= passed) if highest is not None else df.limit(0)
+        counts = rows.groupBy("domain", F.window("ts", "1 day").getField("start").alias("day"), "month").agg(F.count(F.lit(1)).alias("n"))
+        _write_batch(counts, batch_id, f"{late}/counts")
+
+    w = daily.writeStream.outputMode("append").foreachBatch(correct)
+    return run_available_now(w, f"{checkpoint}/late")
+
+
+def _days(captures: DataFrame, code: str) -> DataFrame:
     # ts14 is UTC: parse it as an absolute instant so day windows (UTC-aligned)
     # never straddle a month, and carry the month from the string itself, so the
     # result does not depend on the session time zone.
-    c = captures.filter(F.col("statuscode") == F.lit(code)).withColumn(
-        "ts", F.to_timestamp(F.concat(F.col("ts14"), F.lit("+0000")), "yyyyMMddHHmmssZ"))
-    agg = (c.withWatermark("ts", watermark)
-           .groupBy(url_host(F.col("original")).alias("domain"), F.window("ts", "1 day"),
-                    F.concat_ws("-", F.substring("ts14", 1, 4), F.substring("ts14", 5, 2)).alias("month"))
-           .agg(F.count(F.lit(1)).alias("n")))
-    out = agg.select("domain", F.col("window.start").alias("day"), "month", "n")
-    w = out.writeStream.outputMode("update").foreachBatch(lambda df, bid: _write_batch(df, bid, sink))
-    return run_available_now(w, checkpoint)
+    return captures.filter(F.col("statuscode") == F.lit(code)).select(
+        url_host(F.col("original")).alias("domain"),
+        F.to_timestamp(F.concat(F.col("ts14"), F.lit("+0000")), "yyyyMMddHHmmssZ").alias("ts"),
+        F.concat_ws("-", F.substring("ts14", 1, 4), F.substring("ts14", 5, 2)).alias("month"))
 
 
-def read_monthly_counts(spark: SparkSession, sink: str) -> DataFrame:
-    """S4 read side: latest count per (domain, day), rolled up to months."""
+def read_monthly_counts(spark: SparkSession, sink: str, late: str | None = None) -> DataFrame:
+    """S4 read side: latest count per (domain, day) and the late rows, rolled up to months."""
     df = spark.read.parquet(sink)
     days = df.groupBy("domain", "day", "month").agg(F.max_by("n", "batch_id").alias("n"))
+    if late is not None:
+        days = days.unionByName(spark.read.parquet(f"{late}/counts").select("domain", "day", "month", "n"))
     return days.groupBy("domain", "month").agg(F.sum("n").alias("n_captures"))
 
 

@@ -59,14 +59,6 @@ def test_sample_limit_edges(spark):
     assert sorted(tuple(r) for r in s.collect()) == sorted(tuple(r) for r in S.sample_urls(urls, 37, "1").collect())
 
 
-def test_exact_top_n_histogram_path(spark, monkeypatch):
-    df = spark.range(5000).select(F.md5(F.col("id").cast("string")).alias("k"), "id")
-    monkeypatch.setattr(S, "SMALL_TOP_N", 10)
-    got = sorted(r["id"] for r in S.exact_top_n(df, "k", 1234, ties=("id",)).collect())
-    want = sorted(r["id"] for r in df.orderBy("k", "id").limit(1234).collect())
-    assert got == want
-
-
 def test_weekly_windows_leap_february(spark):
     months = spark.createDataFrame([("2024-02-01", "2024-03-01")], "start string, end string").select(
         F.to_date("start").alias("start"), F.to_date("end").alias("end"))
@@ -112,3 +104,107 @@ def test_decode_cdx_payload_short_rows_and_field_order(spark):
     out = sorted((r["row_pos"], r["original"], r["ts14"], r["statuscode"], r["digest"])
                  for r in decode_cdx_payload(df).collect())
     assert out == [(1, "http://a/", "20200101000000", "200", None), (2, "http://b/", None, None, None)]
+
+
+def test_detect_changes_never_shuffles_pages(spark, sf):
+    from pagewatch import fixtures as X
+    from pagewatch.plans.detect import detect_changes
+    pages = (X.archive_bodies(spark, sf), X.live_observations(spark, sf))
+    stored = []
+    for i, df in enumerate(pages):
+        path = scratch_path(spark, f"t_pages{i}")
+        df.write.parquet(path)
+        stored.append(spark.read.parquet(path))
+    df = detect_changes(X.url_list(spark, sf), X.page_captures(spark, sf), stored[0], stored[1], X.checked_urls(spark, sf))
+    df.collect()
+    qe = df._jdf.queryExecution()
+    n = 0
+
+    def walk(node):
+        nonlocal n
+        if "Exchange" in node.nodeName():
+            n += 1
+            names = [node.output().apply(i).name() for i in range(node.output().size())]
+            assert not {"html", "_body", "archive_html", "live_html"} & set(names), names
+        kids = node.children()
+        for i in range(kids.size()):
+            walk(kids.apply(i))
+    walk(spark._jvm.org.apache.spark.sql.execution.QueryExecution.prepareExecutedPlan(df.sparkSession._jsparkSession, qe.sparkPlan()))
+    assert n > 0
+
+
+def test_newest_live_observation_wins(spark):
+    from pagewatch.operators.verdicts import newest_live, normalise_live
+    rows = [("u", 404, "<p>x</p>", "2024-01-01"), ("u", 200, "<p>" + "y" * 60 + "</p>", "2024-02-01"), ("u", 500, None, None), ("v", None, None, "2024-01-01")]
+    live = spark.createDataFrame(rows, "url string, status_code int, html string, fetched_at string")
+    got = {r["url"]: r for r in newest_live(normalise_live(live)).collect()}
+    assert got["u"]["live_status_code"] == 200 and got["u"]["live_digest"] is not None and got["v"]["live_status_code"] is None
+
+
+def test_key_filter_keeps_every_key(spark):
+    from pagewatch.operators.verdicts import key_filter
+    keys = spark.range(0, 3000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("a"))
+    like = spark.range(0, 60000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("b"), F.col("id"))
+    got = key_filter(keys, ["a"], like, ["b"])
+    assert got.filter("id < 3000").count() == 3000
+    assert got.filter("id >= 3000").count() < 100
+    assert key_filter(keys.limit(0), ["a"], like, ["b"]).count() == 0
+
+
+def test_exact_top_n_of_any_key(spark):
+    rows = [(f"{c}{i:04d}",) for i in range(50) for c in "fgz"]
+    df = spark.createDataFrame(rows, "k string")
+    for n in (1, 30, 120, 500):
+        assert sorted(r["k"] for r in S.exact_top_n(df, "k", n).collect()) == sorted(r[0] for r in rows)[:n]
+
+
+def test_target_stops_after_the_slices_it_needs(spark, monkeypatch):
+    from pagewatch.plans import detect as P
+    urls = [f"http://a/{i}" for i in range(60)]
+    work = P.work_urls(spark.createDataFrame([(u,) for u in urls], "url string"))
+    body = "<p>" + "w" * 60 + "</p>"
+    caps = spark.createDataFrame([(u, "20200101000000", "200", "d", 0) for u in urls], CAP)
+    bodies = spark.createDataFrame([(u, "20200101000000", body) for u in urls], "original string, ts14 string, html string")
+    live = spark.createDataFrame([(u, 404, None) for u in urls], "url string, status_code int, html string")
+    calls = []
+    monkeypatch.setattr(P, "observe", lambda *a, f=P.observe, **k: calls.append(1) or f(*a, **k))
+    found = P.find_until(work, caps, bodies, live, 10, slices=4)
+    first = sorted(r["sample_rank"] for r in work.collect())[:10]
+    assert sorted(r["sample_rank"] for r in found.collect()) == first and len(calls) < 4
+
+
+def test_translator_runs_once_per_distinct_miss(spark):
+    from pagewatch.operators.articles import cache_key, translate
+    log = scratch_path(spark, "t_calls").removeprefix("file:")
+
+    def fn(texts):
+        import os
+        import uuid
+        os.makedirs(log, exist_ok=True)
+        with open(f"{log}/{uuid.uuid4().hex}", "w") as f:
+            f.write("\n".join(texts))
+        if "bad" in texts:
+            raise ValueError("bad text")
+        return [t.upper() for t in texts]
+
+    arts = spark.createDataFrame([(i, t) for i, t in enumerate(["one", "two", "two", "known", "bad"])], "article_id long, text_src string")
+    cache = arts.filter("text_src = 'known'").select(cache_key("text_src").alias("src_sha1"), F.lit("K").alias("text_out"), F.lit(True).alias("ok"))
+    out, new = translate(arts.coalesce(1), cache, translate_fn=fn)
+    assert {r["text_src"]: r["text_en"] for r in out.collect()} == {"one": "ONE", "two": "TWO", "known": "K", "bad": ""}
+    assert sorted((r["text_out"], r["ok"]) for r in new.collect()) == [("", False), ("ONE", True), ("TWO", True)]
+    import os
+    done = [t for f in os.listdir(log) for t in open(f"{log}/{f}").read().split("\n")]
+    assert "known" not in done and all(done.count(t) <= 2 for t in ("one", "two", "bad"))
+    off, none = translate(arts, cache)
+    assert {r["text_en"] for r in off.collect()} == {""} and none.count() == 0
+
+
+def test_embed_fn_sees_whole_texts(spark):
+    import numpy as np
+
+    from pagewatch.operators.vectors import embed
+    df = spark.createDataFrame([(1, "a " * 9 + "b"), (2, ""), (3, "b b")], "article_id long, text_src string")
+    got = {r["article_id"]: r["vec"] for r in embed(df, embed_fn=lambda ts: np.array([[t.split().count("a"), t.split().count("b")] for t in ts], float),
+                                                    max_tokens=4, batch_size=2).collect()}
+    # windows of 4, 4 and 2 words: (4, 0), (4, 0), (1, 1)
+    assert np.allclose(got[1], [3.4, 0.2]) and np.allclose(got[2], [0, 0]) and np.allclose(got[3], [0, 2])

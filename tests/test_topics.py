@@ -1,10 +1,10 @@
-"""c-TF-IDF formula, MMR greedy rule, summary and CSV order."""
+"""c-TF-IDF formula, MMR choice, summary and CSV order."""
 
 import math
 
 from pyspark.sql import functions as F
 
-from pagewatch.operators.topics import ctfidf, mmr_select, topic_summary, trigram_jaccard
+from pagewatch.operators.topics import ctfidf, mmr, topic_summary
 
 
 def test_ctfidf_formula(spark):
@@ -19,17 +19,19 @@ def test_ctfidf_formula(spark):
         assert abs(got[(c, t)] - round(n / W[c] * math.log(1 + A / f[t]), 9)) < 1e-12
 
 
-def test_mmr_rule():
+def test_mmr_rule(spark):
     terms = ["protest", "protests", "protester", "court", "election"]
-    weights = [1.0, 0.95, 0.9, 0.6, 0.5]
-    # d = 0: pure relevance order
-    assert mmr_select(terms, weights, 5, 0.0) == terms
-    # the formula: after "protest", each candidate scores (1-d)*rel - d*max_sim
-    d = 0.7
-    chosen = mmr_select(terms, weights, 2, d)
-    scores = {t: (1 - d) * w - d * trigram_jaccard(t, "protest") for t, w in zip(terms[1:], weights[1:])}
-    assert chosen == ["protest", max(scores, key=scores.get)]
-    assert chosen[1] not in ("protests", "protester")
+    rows = [(1, t, w) for t, w in zip(terms, [1.0, 0.95, 0.9, 0.6, 0.5], strict=True)] + [(2, "only", 0.0)]
+    df = spark.createDataFrame(rows, "cluster int, term string, weight double")
+
+    def chosen(k, d):
+        return [r["term"] for r in mmr(df, "cluster", k, d).filter("cluster = 1").orderBy("rank").collect()]
+    assert chosen(5, 0.0) == terms  # no diversity: order of relevance
+    assert chosen(9, 0.3)[0] == "protest" and sorted(chosen(9, 0.3)) == sorted(terms)
+    # " protest " and " protests " share 7 of 10 trigrams: 0.3 * 0.95 - 0.7 * 0.7 < 0.3 * 0.6 - 0
+    assert chosen(2, 0.7) == ["protest", "court"]
+    assert chosen(2, 0.1) == ["protest", "protests"]
+    assert [tuple(r) for r in mmr(df, "cluster", 3, 0.3).filter("cluster = 2").collect()] == [(2, 1, "only")]
 
 
 def test_summary_order_outliers_last(spark):
