@@ -118,6 +118,16 @@ def live_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest.unionByName(older)
 
 
+def decorated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a nested menu, users' comments, a table and a second article added."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    n = _s("page_id")
+    more = F.concat(F.lit('<div class="post comments"><div><p>A user comment on '), n, F.lit('.</p></div></div><table><tr><th>pair</th><td>rate '),
+                    n, F.lit('</td></tr></table></article><article><p>Second part of the story '), n, F.lit('.</p></article>'))
+    html = F.replace(F.col("html"), F.lit("<article>"), F.lit("<nav>menu<ul><li><nav>inner menu</nav></li></ul>tail of the menu</nav><article>"))
+    return p.select("page_id", "url", F.replace(html, F.lit("</article>"), more).alias("html"))
+
+
 def url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The URL list to check (M1): every page URL, ``page_id % 10 = 0`` twice."""
     p = table(spark, sf_dir, "pages").select("page_id", "url")

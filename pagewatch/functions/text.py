@@ -1,13 +1,15 @@
 """Column functions for text: HTML to main text, gates, digests, Markdown, snippets.
 
-All are native Spark expressions on the JVM side but ``nfkc``: Spark has no
-Unicode normalisation builtin, so that is an Arrow-batched pandas function.
+All are native Spark expressions on the JVM side but two Arrow-batched pandas
+functions: ``nfkc`` (Spark has no Unicode normalisation) and the cut of a page
+to its article (nested elements have no regular expression).
 Regexes are written so the same pattern means the same thing in Java regex and
 RE2, which lets the DuckDB oracles reuse them.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -35,11 +37,12 @@ ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&ap
             ("&nbsp;", "\u00a0"), ("&middot;", "·"), ("&copy;", "©"), ("&reg;", "®"),
             ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&amp;", "&")]
 
-COMMENT_RE = r"(?s)<!--.*?-->"
 BLOCK_RE = r"(?i)</?(" + "|".join(BLOCK_TAGS) + r")\b[^>]*>"
 TAG_RE = r"<[^>]*>"
-ARTICLE_RE = r"(?is)<article\b[^>]*>(.*)</article\s*>"
-BODY_RE = r"(?is)<body\b[^>]*>(.*)</body\s*>"
+# Elements whose id or class says that they hold users' comments.
+COMMENT_TAGS = ["div", "section", "ul", "ol", "aside", "article"]
+COMMENT_NAMES = ["comment", "comments", "commentlist", "comment-list", "disqus_thread"]
+RAW_TAGS = ["script", "style"]  # their content is no markup
 EDGE_WS_RE = r"^[\s\x0B]+|[\s\x0B]+\z"
 # Java (?U)\s is Unicode White_Space; Python's str.split() also splits on \x1c-\x1f.
 UNICODE_WS_RE = r"(?U)[\s\x1c-\x1f]+"
@@ -69,28 +72,80 @@ def decode_entities(c) -> Column:
     return _let(_c(c), decode)
 
 
-def strip_noise(html) -> Column:
-    """Drop comments and noise elements (scripts, styles, navigation, footers)."""
-    out = F.regexp_replace(_c(html), COMMENT_RE, "")
-    # One pattern per tag: RE2 (the oracle's engine) has no back-references.
-    for tag in NOISE_TAGS:
-        out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
-    return out
+_TOKEN = re.compile(r"<!--.*?-->|</?([a-zA-Z][a-zA-Z0-9]*)\b[^>]*>|<[^>]*>|[^<]+|<", re.S)
+_COMMENTS = re.compile(r"\b(?:id|class)\s*=\s*[\"']?[^\"'>]*(?<![\w-])(?:" + "|".join(COMMENT_NAMES) + r")(?![\w-])", re.I)
 
 
-def main_region(html) -> Column:
-    """The ``<article>`` element if any, else ``<body>``, else everything."""
-    def pick(h):
-        return (F.when(h.rlike(r"(?is)<article\b[^>]*>.*</article\s*>"), F.regexp_extract(h, ARTICLE_RE, 1))
-                .when(h.rlike(r"(?is)<body\b[^>]*>.*</body\s*>"), F.regexp_extract(h, BODY_RE, 1))
-                .otherwise(h))
-    return _let(_c(html), pick)
+def _region(html: str | None, drop: frozenset, comments: bool) -> str | None:
+    """The markup of every ``article`` (else of ``body``, else all) without the elements to drop.
+
+    Elements end where their nesting says; one that is never closed is left
+    in place, tag only.
+    """
+    if html is None:
+        return None
+    tokens = [(m[0], (m[1] or "").lower()) for m in _TOKEN.finditer(html) if not m[0].startswith("<!--")]
+    last = {name: i for i, (tok, name) in enumerate(tokens) if tok.startswith("</")}
+
+    def close(i: int) -> int | None:
+        name, depth = tokens[i][1], 0
+        for j in range(i, last.get(name, -1) + 1):
+            tok, other = tokens[j]
+            if other == name:
+                if tok.startswith("</"):
+                    depth -= 1
+                    if depth == 0:
+                        return j
+                elif not tok.endswith("/>") and (depth == 0 or name not in RAW_TAGS):
+                    depth += 1
+        return None
+
+    def opens(i: int) -> bool:
+        return bool(tokens[i][1]) and not tokens[i][0].startswith("</") and not tokens[i][0].endswith("/>")
+
+    gone, i = set(), 0
+    while i < len(tokens):
+        tok, name = tokens[i]
+        end = None
+        if opens(i) and (name in drop or comments and name in COMMENT_TAGS and _COMMENTS.search(tok)):
+            end = close(i)
+        if end is not None:
+            gone.update(range(i, end + 1))
+            i = end
+        i += 1
+
+    def extents(name: str) -> list[str]:
+        found, i = [], 0
+        while i < len(tokens):
+            if tokens[i][1] == name and i not in gone and opens(i):
+                end = close(i)
+                if end is not None:
+                    found.append("".join(tokens[k][0] for k in range(i + 1, end) if k not in gone))
+                    i = end
+            i += 1
+        return found
+
+    parts = extents("article") or extents("body") or ["".join(t for k, (t, _) in enumerate(tokens) if k not in gone)]
+    return "\n".join(parts)
+
+
+@F.pandas_udf(StringType())
+def text_region(html: pd.Series) -> pd.Series:
+    """The article's markup without noise elements, tables and users' comments."""
+    drop = frozenset([*NOISE_TAGS, "table"])
+    return html.map(lambda h: _region(h, drop, True))
+
+
+@F.pandas_udf(StringType())
+def evidence_region(html: pd.Series) -> pd.Series:
+    """H5: the article's markup without noise elements; tables and comments stay."""
+    drop = frozenset(NOISE_TAGS)
+    return html.map(lambda h: _region(h, drop, False))
 
 
 def html_blocks(html) -> Column:
     """H1b + H1d: ``array<string>`` of trimmed, non-empty text blocks of the main region."""
-    region = main_region(strip_noise(html))
-    flat = F.regexp_replace(F.regexp_replace(region, BLOCK_RE, "\n"), TAG_RE, "")
+    flat = F.regexp_replace(F.regexp_replace(text_region(_c(html)), BLOCK_RE, "\n"), TAG_RE, "")
     flat = decode_entities(flat)
     parts = F.transform(F.split(flat, "\n"), lambda b: F.regexp_replace(b, EDGE_WS_RE, ""))
     return F.filter(parts, lambda b: b != F.lit(""))
@@ -135,7 +190,7 @@ def extract_main_text(html, min_chars: int = 50, use_nfkc: bool = True) -> Colum
 # ------------------------------------------------------------ evidence (H5/H6)
 def evidence_markdown(html, min_chars: int = 50) -> Column:
     """H5: Markdown rendering of the main region keeping headings, links, lists, emphasis, table rows."""
-    t = main_region(strip_noise(html))
+    t = evidence_region(_c(html))
     t = F.regexp_replace(t, r"(?i)<h1\b[^>]*>", "\n# ")
     t = F.regexp_replace(t, r"(?i)<h2\b[^>]*>", "\n## ")
     t = F.regexp_replace(t, r"(?i)<h3\b[^>]*>", "\n### ")
@@ -145,6 +200,7 @@ def evidence_markdown(html, min_chars: int = 50) -> Column:
     t = F.regexp_replace(t, r"(?i)</?(b|strong)\s*>", "**")
     t = F.regexp_replace(t, r"(?i)</?(i|em)\s*>", "*")
     t = F.regexp_replace(t, r"(?i)</t[dh]\s*>", " | ")
+    t = F.regexp_replace(t, r"(?i)<t[dh]\b[^>]*>", "")  # a table row is one line
     t = F.regexp_replace(t, BLOCK_RE, "\n")
     t = decode_entities(F.regexp_replace(t, TAG_RE, ""))
     lines = F.transform(F.split(t, "\n"), lambda b: F.regexp_replace(b, EDGE_WS_RE, ""))

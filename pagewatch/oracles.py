@@ -2,16 +2,23 @@
 
 Each twin recomputes, from the same parquet views, what the Spark query
 computes: the fixture derivations of ``pagewatch.fixtures`` and the text
-rules of ``pagewatch.functions`` are restated here in DuckDB SQL. The text
-helpers reuse the Spark side's fixed-value lists so both engines apply the
-same tags, entities and patterns; regexes are RE2 (no ``(?U)``: in RE2 it
+rules of ``pagewatch.functions`` are restated here in DuckDB SQL, fixed values
+included. The page rules are those for flat pages: queries whose pages Spark
+decorates (nested menus, tables, comments, a second article) are compared with
+flat pages that should give the same text; regexes are RE2 (no ``(?U)``: in RE2 it
 means "ungreedy"), so Unicode whitespace is spelled out.
 """
 
 from __future__ import annotations
 
-from .functions.text import BLOCK_TAGS, ENTITIES, NOISE_TAGS
-from .functions.urls import ARCHIVE_PREFIX
+# Fixed values, stated here again so that a slip on the Spark side shows.
+ARCHIVE_PREFIX = "https://web.archive.org/web/"
+NOISE_TAGS = ["script", "style", "nav", "footer", "noscript", "template", "iframe", "svg", "form", "aside"]
+BLOCK_TAGS = ["p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "br", "tr", "td", "th", "table",
+              "section", "blockquote", "pre", "article", "header", "main", "dd", "dt", "figcaption", "hr"]
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", chr(160)),
+            ("&middot;", chr(183)), ("&copy;", chr(169)), ("&reg;", chr(174)), ("&mdash;", chr(8212)),
+            ("&ndash;", chr(8211)), ("&hellip;", chr(8230)), ("&amp;", "&")]
 
 NL = "chr(10)"
 # Java (?U)\s plus Python's extra \x1c-\x1f, spelled out for RE2.

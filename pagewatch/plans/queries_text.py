@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import fixtures as X
 from .. import oracles as O
 from ..functions import text as T
 from ..operators.content import extract_main_text
@@ -19,10 +20,17 @@ def _pages(spark, d):
     return spread(table(spark, d, "pages").select("page_id", "url", "html"))
 
 
-@register("extract_main_text", O.corpus_text_sql("SELECT page_id, url, html FROM pages"))
+# Flat pages with the same article text as the decorated ones, without and with what only the evidence keeps.
+FLAT = """SELECT page_id, url, replace(html, '</article>', '<p>Second part of the story ' || CAST(page_id AS VARCHAR) || '.</p></article>') AS html FROM pages"""
+FLAT_EVIDENCE = """SELECT page_id, url, replace(html, '</article>', '<p>A user comment on ' || CAST(page_id AS VARCHAR) || '.</p><p>pair | rate '
+  || CAST(page_id AS VARCHAR) || ' |</p><p>Second part of the story ' || CAST(page_id AS VARCHAR) || '.</p></article>') AS html FROM pages"""
+
+
+@register("extract_main_text", O.corpus_text_sql(FLAT))
 def q_extract_main_text(spark, d):
-    """H1: main text of every page with per-host boilerplate blocks removed (+ H2-H4)."""
-    return extract_main_text(table(spark, d, "pages").select("page_id", "url", "html"))
+    """H1: main text of every page (nested menus, tables, comments and two articles) with per-host
+    boilerplate blocks removed (+ H2-H4)."""
+    return extract_main_text(X.decorated_pages(spark, d))
 
 
 @register("length_gate", f"SELECT doc_id, {O.length_gate('text')} AS gated FROM documents")
@@ -43,17 +51,18 @@ def q_content_digest(spark, d):
     return _docs(spark, d).select("doc_id", T.content_digest(T.normalise_text("text")).alias("digest"))
 
 
-@register("evidence_text", f"SELECT page_id, {O.evidence_markdown('html')} AS evidence FROM pages")
+@register("evidence_text", f"SELECT page_id, {O.evidence_markdown('html')} AS evidence FROM ({FLAT_EVIDENCE})")
 def q_evidence_text(spark, d):
-    """H5: Markdown evidence (headings, links, lists, emphasis) of each page's main region."""
-    return _pages(spark, d).select("page_id", T.evidence_markdown("html").alias("evidence"))
+    """H5: Markdown evidence (headings, links, lists, emphasis, table rows) of each page's main region."""
+    return spread(X.decorated_pages(spark, d)).select("page_id", T.evidence_markdown("html").alias("evidence"))
 
 
-@register("evidence_fallback", f"""SELECT page_id, {O.evidence_text("CASE WHEN page_id % 4 = 0 THEN '<p>' || substr(url, 1, 30) || '</p>' ELSE html END")} AS evidence FROM pages""")
+@register("evidence_fallback", f"""SELECT page_id, {O.evidence_text("CASE page_id % 4 WHEN 0 THEN '<p>' || url || '</p>' WHEN 1 THEN '<p>a</p><p>' || page_id || '</p>' ELSE html END")} AS evidence FROM pages""")
 def q_evidence_fallback(spark, d):
-    """H6: Markdown, else plain text, else null (a quarter of pages cut to a short stub)."""
-    p = _pages(spark, d)
-    h = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("<p>"), F.substring("url", 1, 30), F.lit("</p>"))).otherwise(F.col("html"))
+    """H6: Markdown, else plain text, else null: whole pages, pages of one address and pages too short for either."""
+    p, n = _pages(spark, d), F.col("page_id")
+    h = (F.when(n % 4 == 0, F.concat(F.lit("<p>"), F.col("url"), F.lit("</p>")))
+         .when(n % 4 == 1, F.concat(F.lit("<p>a</p><p>"), n.cast("string"), F.lit("</p>"))).otherwise(F.col("html")))
     return p.select("page_id", T.evidence_text(h).alias("evidence"))
 
 
