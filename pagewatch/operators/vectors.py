@@ -4,11 +4,12 @@ The built-in encoder is native Spark: hashed term counts (md5 bucket of each
 token), L2-normalised. A model encoder plugs in as a batch function through
 ``mapInPandas`` (Arrow batches; the function loads its model once per worker).
 
-Similarity pairs are exact. Vectors are hashed into ``nb = ceil(n / block_size)`` blocks; every
+Similarity is exact. Vectors are hashed into ``nb = ceil(n / block_size)`` blocks; every
 block pair (a <= b) is one group holding at most two blocks, so each task
-multiplies two bounded matrices and emits only pairs at or above the
-threshold. Work is O(n^2 / tasks) but no group grows with the data and no
-pair below the threshold is ever materialised.
+multiplies two bounded matrices. ``similarity_pairs`` emits the pairs at or
+above the threshold; ``degrees`` and ``core_graph`` give what density clusters
+need of them (a count per vector, a forest of core links and each border
+vector's best core), so no table of all pairs is written.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, spread
+from .joins import merge_labels
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -86,48 +88,99 @@ def embed(df: DataFrame, id_col: str = "article_id", text_col: str = "text_src",
     return spread(df.select(id_col, text_col)).mapInPandas(run, f"{id_col} long, vec array<double>")
 
 
-def _pairs_fn(threshold: float, decimals: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf[pdf["side"] == 0]
-        right = pdf[pdf["side"] == 1]
-        if left.empty or right.empty:
-            return pd.DataFrame({"i": [], "j": [], "cosine": []})
-        a = np.vstack(left["vec"].to_numpy()).astype("float64")
-        b = np.vstack(right["vec"].to_numpy()).astype("float64")
-        na = np.linalg.norm(a, axis=1)
-        nb = np.linalg.norm(b, axis=1)
-        sims = (a @ b.T) / np.where(np.outer(na, nb) == 0, 1e-12, np.outer(na, nb))
-        sims = np.round(sims, decimals)
-        ia = left["id"].to_numpy()
-        ib = right["id"].to_numpy()
-        r, c = np.nonzero(sims >= threshold)
-        i, j = ia[r], ib[c]
-        same_block = int(pdf["a"].iloc[0]) == int(pdf["b"].iloc[0])
-        keep = (i < j) if same_block else (i != j)  # each unordered pair once
-        lo, hi = np.minimum(i, j)[keep], np.maximum(i, j)[keep]
-        return pd.DataFrame({"i": lo, "j": hi, "cosine": sims[r, c][keep]})
-    return run
-
-
-def similarity_pairs(vectors: DataFrame, threshold: float, id_col: str = "article_id", vec_col: str = "vec",
-                     block_size: int = 2048, decimals: int = 6, checkpoint_input: bool = True) -> DataFrame:
-    """Every pair ``i < j`` with cosine (rounded to ``decimals``) >= ``threshold``, exactly.
+def _blocks(vectors: DataFrame, n: int, id_col: str, vec_col: str, block_size: int, extra=()) -> DataFrame:
+    """Rows (a, b, side, id, vec, extra): every pair of blocks a <= b with the vectors of both.
 
     Vector ``v`` in block ``k`` is sent to block pairs (k, b) for b >= k as the
     left side and (a, k) for a <= k as the right side; pairs are generated
-    with ``explode(sequence)`` (no cross join) and grouped by block pair.
+    with ``explode(sequence)`` (no cross join).
     """
-    ensure_checkpoint_dir(vectors.sparkSession)  # also ships this package to the Python workers
-    if checkpoint_input:  # counted, then read again: compute the vectors once
-        vectors = vectors.checkpoint()
-    n = vectors.count()
     nb = max(1, math.ceil(n / block_size))
-    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"),
+    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), *extra,
                        F.pmod(F.xxhash64(F.col(id_col)), F.lit(nb)).cast("int").alias("blk"))
-    left = v.select("id", "vec", F.col("blk").alias("a"), F.explode(F.sequence("blk", F.lit(nb - 1))).alias("b"),
+    left = v.select("id", "vec", *extra, F.col("blk").alias("a"), F.explode(F.sequence("blk", F.lit(nb - 1))).alias("b"),
                     F.lit(0).alias("side"))
-    right = v.select("id", "vec", F.explode(F.sequence(F.lit(0), "blk")).alias("a"), F.col("blk").alias("b"),
+    right = v.select("id", "vec", *extra, F.explode(F.sequence(F.lit(0), "blk")).alias("a"), F.col("blk").alias("b"),
                      F.lit(1).alias("side"))
-    both = left.unionByName(right)
-    out = both.groupBy("a", "b").applyInPandas(_pairs_fn(threshold, decimals), "i long, j long, cosine double")
-    return out
+    return left.unionByName(right)
+
+
+def _similar(pdf: pd.DataFrame, threshold: float, decimals: int):
+    """(left rows, right rows, cosines, at or above the threshold) of a block pair, both sides ordered by id; None without both."""
+    left = pdf[pdf["side"] == 0].sort_values("id")
+    right = pdf[pdf["side"] == 1].sort_values("id")
+    if left.empty or right.empty:
+        return None
+    a = np.vstack(left["vec"].to_numpy()).astype("float64")
+    b = np.vstack(right["vec"].to_numpy()).astype("float64")
+    scale = np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1))
+    sims = np.round((a @ b.T) / np.where(scale == 0, 1e-12, scale), decimals)
+    hit = (sims >= threshold) & (left["id"].to_numpy()[:, None] != right["id"].to_numpy()[None, :])
+    return left, right, sims, hit
+
+
+def similarity_pairs(vectors: DataFrame, threshold: float, id_col: str = "article_id", vec_col: str = "vec",
+                     block_size: int = 2048, decimals: int = 6, checkpoint_input: bool = True) -> DataFrame:
+    """Every pair ``i < j`` with cosine (rounded to ``decimals``) >= ``threshold``, exactly."""
+    ensure_checkpoint_dir(vectors.sparkSession)  # also ships this package to the Python workers
+    if checkpoint_input:  # counted, then read again: compute the vectors once
+        vectors = vectors.checkpoint()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = _similar(pdf, threshold, decimals)
+        if got is None:
+            return pd.DataFrame({"i": [], "j": [], "cosine": []})
+        left, right, sims, hit = got
+        r, c = np.nonzero(hit)
+        i, j = left["id"].to_numpy()[r], right["id"].to_numpy()[c]
+        keep = (i < j) | (pdf["a"].iloc[0] != pdf["b"].iloc[0])  # each unordered pair once
+        return pd.DataFrame({"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "cosine": sims[r, c][keep]})
+
+    rows = _blocks(vectors, vectors.count(), id_col, vec_col, block_size)
+    return rows.groupBy("a", "b").applyInPandas(run, "i long, j long, cosine double")
+
+
+def degrees(vectors: DataFrame, n: int, threshold: float, id_col: str = "article_id", vec_col: str = "vec",
+            block_size: int = 2048, decimals: int = 6) -> DataFrame:
+    """(id, degree): how many other vectors are at or above the threshold; vectors without any are left out."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = _similar(pdf, threshold, decimals)
+        if got is None:
+            return pd.DataFrame({"id": [], "n": []})
+        left, right, _, hit = got
+        parts = [(left["id"].to_numpy(), hit.sum(1))]
+        if pdf["a"].iloc[0] != pdf["b"].iloc[0]:
+            parts.append((right["id"].to_numpy(), hit.sum(0)))
+        ids, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return pd.DataFrame({"id": ids[n > 0], "n": n[n > 0]})
+
+    rows = _blocks(vectors, n, id_col, vec_col, block_size)
+    return rows.groupBy("a", "b").applyInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("degree"))
+
+
+def core_graph(vectors: DataFrame, n: int, threshold: float, id_col: str = "article_id", vec_col: str = "vec",
+               core_col: str = "core", block_size: int = 2048, decimals: int = 6) -> DataFrame:
+    """(border, i, j, cosine): links that join all linked cores (border false), and per block pair the
+    best core j of each other vector i (border true; ties to the smaller id)."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = _similar(pdf, threshold, decimals)
+        out = {"border": [], "i": [], "j": [], "cosine": []}
+        if got is None:
+            return pd.DataFrame(out)
+        left, right, sims, hit = got
+        li, ri = left["id"].to_numpy(), right["id"].to_numpy()
+        lc, rc = left[core_col].to_numpy(bool), right[core_col].to_numpy(bool)
+        ids, at = np.unique(np.concatenate((li, ri)), return_inverse=True)
+        r, c = np.nonzero(hit & lc[:, None] & rc[None, :])
+        label = merge_labels(np.arange(len(ids)), at[r], at[len(li) + c])
+        moved = np.flatnonzero(label != np.arange(len(ids)))
+        frames = [pd.DataFrame({"border": False, "i": ids[moved], "j": ids[label[moved]], "cosine": 1.0})]
+        for mine, other, oc, h, s, core in ((li, ri, rc, hit, sims, lc), (ri, li, lc, hit.T, sims.T, rc)):
+            masked = np.where(h & oc[None, :], s, -2.0)
+            best = masked.argmax(1)  # the smallest id of equal cosines, as columns stand by id
+            k = np.flatnonzero((masked.max(1) > -2.0) & ~core)
+            frames.append(pd.DataFrame({"border": True, "i": mine[k], "j": other[best[k]], "cosine": masked[k, best[k]]}))
+        return pd.concat(frames, ignore_index=True)
+
+    rows = _blocks(vectors, n, id_col, vec_col, block_size, extra=(core_col,))
+    return rows.groupBy("a", "b").applyInPandas(run, "border boolean, i long, j long, cosine double")

@@ -48,7 +48,7 @@ def vectors(spark, d):
 
 def labels(spark, d):
     arts = articles(spark, d)
-    return density_clusters(similarity_pairs(embed(arts), THRESHOLD), arts, MIN_PTS, MIN_SIZE)
+    return density_clusters(embed(arts), arts, THRESHOLD, MIN_PTS, MIN_SIZE)
 
 
 # ------------------------------------------------------------------- SQL side

@@ -51,23 +51,29 @@ def test_similarity_pairs_brute_force(spark):
     assert got == want
 
 
-def test_density_clusters_properties(spark):
-    # two dense groups of 8, one pair, and singletons
-    pairs = [(i, j, 0.99) for i in range(8) for j in range(i + 1, 8)]
-    pairs += [(i, j, 0.98) for i in range(10, 18) for j in range(i + 1, 18)]
-    pairs += [(30, 31, 0.97), (7, 40, 0.96)]          # 40 is a border point of group 0
-    pairs_df = spark.createDataFrame(pairs, "i long, j long, cosine double")
-    ids = spark.createDataFrame([(i,) for i in list(range(0, 18)) + [30, 31, 40, 50]], "article_id long")
-    lab = {r["article_id"]: r["cluster"] for r in density_clusters(pairs_df, ids, 5, 5).collect()}
-    assert lab[50] == -1 and lab[30] == -1 and lab[31] == -1
-    assert lab[40] == lab[7]                            # border joins its core's cluster
-    sizes = {}
-    for c in lab.values():
-        sizes[c] = sizes.get(c, 0) + 1
-    real = sorted(c for c in sizes if c != -1)
-    assert real == list(range(len(real)))               # ids 0..k-1
-    assert all(sizes[c] >= 5 for c in real)
-    assert sizes[0] >= sizes[1]                        # by size descending
+def test_density_clusters_equal_plain_dbscan(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(5, 12))
+    spread = rng.choice([0.03, 0.16, 0.22, 0.8], (220, 1))
+    x = base[rng.integers(0, 5, 220)] + rng.normal(size=(220, 12)) * spread
+    df = spark.createDataFrame([(i * 3, x[i].tolist()) for i in range(220)], "article_id long, vec array<double>")
+    ids = spark.createDataFrame([(i * 3,) for i in range(220)] + [(9999,)], "article_id long")
+    got = {r["article_id"]: r["cluster"] for r in density_clusters(df, ids, 0.97, 5, 4, block_size=40).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = np.round(unit @ unit.T, 6)
+    near = (sims >= 0.97) & ~np.eye(220, dtype=bool)
+    core = near.sum(1) + 1 >= 5
+    comp = py_components(220, [(i, j) for i in range(220) for j in range(i) if near[i, j] and core[i] and core[j]])
+    member = {i: comp[i] for i in range(220) if core[i]}
+    for i in range(220):
+        best = [(-sims[i, j], j) for j in range(220) if near[i, j] and core[j]]
+        if not core[i] and best:
+            member[i] = comp[min(best)[1]]
+    sizes = {c: sum(1 for m in member.values() if m == c) for c in set(member.values())}
+    order = sorted((c for c in sizes if sizes[c] >= 4), key=lambda c: (-sizes[c], c))
+    assert len(order) >= 3 and any(not core[i] for i in member) and len(member) < 220
+    want = {i * 3: order.index(member[i]) if member.get(i) in order else -1 for i in range(220)}
+    assert got == want | {9999: -1}
 
 
 def test_dense_rank_ids(spark):
