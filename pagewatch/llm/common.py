@@ -5,13 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import hot_join, merge_labels  # noqa: F401 (for the operators)
 from ..session import ensure_checkpoint_dir, scratch_path
 
-# A key that holds more than one row in HOT_SHARE is hot. There can be at most
-# HOT_SHARE such keys whatever the table's size, which bounds their broadcast.
-HOT_SHARE = 1000
-
-
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -30,24 +26,6 @@ def crc_mod(id_col: str, mod: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % mod
 
 
-def hot_join(left: DataFrame, right: DataFrame, keys: list[str], count_col: str, total: int) -> DataFrame:
-    """``left`` left-joined with ``right`` (one row per key) without a hot task.
-
-    ``right`` carries in ``count_col`` how many left rows have the key. Keys
-    with more than ``total / HOT_SHARE`` rows (at most HOT_SHARE of them) are
-    broadcast, so their left rows stay where they are; the others are joined
-    by shuffle. ``left`` is read twice: pass a written table.
-    """
-    values = [c for c in right.columns if c not in keys and c != count_col]
-    limit = max(total // HOT_SHARE, 1)
-    hot = right.filter(F.col(count_col) > limit).select(*keys, *values, F.lit(True).alias("_hot"))
-    cold = right.filter(F.col(count_col) <= limit).select(*keys, *values)
-    marked = left.join(F.broadcast(hot), keys, "left")
-    done = marked.filter("_hot").drop("_hot")
-    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, "left")
-    return done.unionByName(rest)
-
-
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", salts: int = 8, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges``; root is the smallest node reachable.
 
@@ -86,20 +64,3 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", salts: in
         raise RuntimeError("connected components did not converge")
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
-def merge_labels(labels, a, b):
-    """Join the components of index pairs (a[i], b[i]); ``labels`` points every index to its component's smallest."""
-    import numpy as np
-
-    while True:
-        la, lb = labels[a], labels[b]
-        apart = la != lb
-        if not apart.any():
-            return labels
-        np.minimum.at(labels, np.maximum(la, lb)[apart], np.minimum(la, lb)[apart])
-        while True:
-            jumped = labels[labels]
-            if (jumped == labels).all():
-                break
-            labels = jumped

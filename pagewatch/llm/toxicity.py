@@ -24,6 +24,7 @@ MIN_DOCS = 5            # features of fewer training documents are left out
 SMOOTHING = 1.0
 L2 = 1e-4
 ROUNDS = 80
+BLOCK = 512
 THRESHOLD = 0.3
 
 
@@ -70,13 +71,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = Features()
         for pdf in parts:
-            yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "f": [x.astype("int32") for t in pdf["text"] for x in f.of([t or ""])]})
+            yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "f": [x.astype("<i4").tobytes() for t in pdf["text"] for x in f.of([t or ""])]})
 
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     # At most sum(SAMPLE) ids are broadcast; the sample's features come to the driver to be fitted.
-    rows = texts.join(F.broadcast(picked), "id").mapInPandas(features, "id long, y int, f array<int>")
-    pdf = write_table(rows, "toxic_features").toPandas().drop_duplicates("id").sort_values("id")
-    return fit(pdf["f"].tolist(), pdf["y"].to_numpy(float), share)
+    rows = texts.join(F.broadcast(picked), "id").mapInPandas(features, "id long, y int, f binary")
+    made = write_table(rows, "toxic_features").dropDuplicates(["id"])
+    got = sorted(((r["id"], r["y"], np.frombuffer(r["f"], "<i4")) for r in made.toLocalIterator()), key=lambda x: x[0])
+    return fit([f for _, _, f in got], np.array([y for _, y, _ in got], float), share)
 
 
 def fit(features: list[np.ndarray], y: np.ndarray, share: float) -> Model:
@@ -85,25 +87,30 @@ def fit(features: list[np.ndarray], y: np.ndarray, share: float) -> Model:
     if len(y) == 0 or y.min() == y.max():
         share = float(np.clip(share, 1e-6, 1 - 1e-6))
         return Model(np.zeros(size), np.log(share / (1 - share)))
-    ids = np.concatenate(features).astype(np.int64)
-    row = np.repeat(np.arange(len(y)), [len(f) for f in features])
-    toxic = np.bincount(ids[y[row] == 1], minlength=size)
-    clean = np.bincount(ids[y[row] == 0], minlength=size)
-    ratio = np.log((toxic + SMOOTHING) / (y.sum() + 2 * SMOOTHING)) - np.log((clean + SMOOTHING) / ((1 - y).sum() + 2 * SMOOTHING))
-    used = toxic + clean >= MIN_DOCS
-    keep = used[ids]
-    number = np.cumsum(used) - 1
-    col, row, r = number[ids[keep]], row[keep], ratio[used]
+    df = {label: np.zeros(size, np.int32) for label in (0, 1)}
+    for f, label in zip(features, y, strict=True):
+        df[int(label)][f] += 1  # a text's features are distinct
+    ratio = np.log((df[1] + SMOOTHING) / (y.sum() + 2 * SMOOTHING)) - np.log((df[0] + SMOOTHING) / ((1 - y).sum() + 2 * SMOOTHING))
+    used = df[0] + df[1] >= MIN_DOCS
+    number, r = (np.cumsum(used) - 1).astype(np.int32), ratio[used]
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     weight /= weight.sum()
-    w, b = np.zeros(used.sum() + 1), np.log(share / (1 - share))
+    # Documents in blocks, so that what is computed for a block stays small: (first document, column of each feature, bounds of documents).
+    blocks = []
+    for s in range(0, len(y), BLOCK):
+        cols = [number[f[used[f]]] for f in features[s:s + BLOCK]]
+        blocks.append((s, np.concatenate(cols), np.repeat(np.arange(len(cols), dtype=np.int32), [len(c) for c in cols])))
+    w, b = np.zeros(len(r) + 1), np.log(share / (1 - share))
     w[-1] = b
     m, v = np.zeros_like(w), np.zeros_like(w)
-    value = r[col]
     for t in range(1, ROUNDS + 1):
-        z = np.bincount(row, value * w[col], minlength=len(y)) + w[-1]
-        off = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        g = np.append(np.bincount(col, value * off[row], minlength=len(r)) + L2 * w[:-1], off.sum())
+        g, scaled = np.append(L2 * w[:-1], 0.0), r * w[:-1]
+        for s, col, row in blocks:
+            here = slice(s, min(s + BLOCK, len(y)))
+            z = np.bincount(row, scaled[col], minlength=here.stop - s) + w[-1]
+            off = weight[here] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[here])
+            g[:-1] += r * np.bincount(col, off[row], minlength=len(r))
+            g[-1] += off.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.02 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-6)
     full = np.zeros(size)
