@@ -8,7 +8,7 @@ arithmetic (an equi key), never by a range join against the window table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import url_host
@@ -19,22 +19,6 @@ def _day(ts14="ts14") -> Column:
     return F.to_date(F.substring(F.col(ts14), 1, 8), "yyyyMMdd")
 
 
-def month_windows(spark: SparkSession, start_year: int, end_year: int) -> DataFrame:
-    """One window per month of ``start_year..end_year`` (inclusive), ``[start, end)``."""
-    seq = F.sequence(F.make_date(F.lit(start_year), F.lit(1), F.lit(1)),
-                     F.make_date(F.lit(end_year), F.lit(12), F.lit(1)), F.expr("INTERVAL 1 MONTH"))
-    m = spark.range(1).select(F.explode(seq).alias("start"))
-    return m.select(F.lit("month").alias("level"), "start", F.add_months("start", 1).alias("end"))
-
-
-def year_windows(spark: SparkSession, start_year: int, end_year: int) -> DataFrame:
-    """G2 (no-split mode): one window per year."""
-    seq = F.sequence(F.lit(start_year), F.lit(end_year))
-    y = spark.range(1).select(F.explode(seq).alias("y"))
-    return y.select(F.lit("year").alias("level"), F.make_date("y", F.lit(1), F.lit(1)).alias("start"),
-                    F.make_date(F.col("y") + 1, F.lit(1), F.lit(1)).alias("end"))
-
-
 def month_windows_for(captures: DataFrame) -> DataFrame:
     """G2 over the years the captures span (whole years, as the reference loops years)."""
     rng = captures.agg(F.min(F.substring("ts14", 1, 4).cast("int")).alias("y0"),
@@ -45,6 +29,13 @@ def month_windows_for(captures: DataFrame) -> DataFrame:
     return m.select(F.lit("month").alias("level"), "start", F.add_months("start", 1).alias("end"))
 
 
+def year_windows_for(captures: DataFrame) -> DataFrame:
+    """G2 (no-split mode) over the years the captures span: one window per year."""
+    years = month_windows_for(captures).select(F.year("start").alias("y")).distinct()
+    return years.select(F.lit("year").alias("level"), F.make_date("y", F.lit(1), F.lit(1)).alias("start"),
+                        F.make_date(F.col("y") + 1, F.lit(1), F.lit(1)).alias("end"))
+
+
 def week_windows(months: DataFrame, days: int = 7) -> DataFrame:
     """G1 windows: each month cut into ``days``-day windows, the last clipped at month end."""
     seq = F.sequence(F.col("start"), F.date_sub(F.col("end"), 1), F.expr(f"INTERVAL {days} DAYS"))
@@ -139,8 +130,15 @@ def month_coverage(fetch_log: DataFrame, days: int = 7) -> DataFrame:
         "n_weeks", "n_weeks_ok")
 
 
-def pending_windows(windows: DataFrame, index: DataFrame, keys=("domain", "year", "month")) -> DataFrame:
-    """Windows with no stored, non-empty result. Empty months stay pending
-    (nothing was written for them), so they are recomputed on every run."""
-    done = index.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 0).select(*keys)
+def pending_windows(windows: DataFrame, index: DataFrame, keys=("domain", "year", "month"), coverage: DataFrame | None = None) -> DataFrame:
+    """Windows without a stored, complete result.
+
+    A window is done if its index is not empty and, where ``coverage``
+    (month_start, coverage) is given, its month is ``complete``: a partial
+    month is fetched again. Empty months stay pending, as nothing was written for them.
+    """
+    done = index.select(*keys).distinct()
+    if coverage is not None:
+        whole = coverage.filter(F.col("coverage") == "complete").select(F.year("month_start").alias("year"), F.month("month_start").alias("month"))
+        done = done.join(whole, ["year", "month"], "left_semi")
     return windows.join(done, list(keys), "left_anti")

@@ -15,9 +15,13 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import snippet, topic_description
+from ..functions.text import KEYWORDS_LEAD, snippet, topic_description
 from ..session import ensure_checkpoint_dir
 
+# Fixed values of the summary's layout.
+SUMMARY_KEYWORDS = 8
+HEADING_RULE = 78
+
 
 def ctfidf(tokens: DataFrame, class_col: str = "cluster", k: int = 30, decimals: int = 9) -> DataFrame:
     """Top-``k`` terms per class: (class, term, weight, rank)."""
@@ -160,22 +164,39 @@ def topic_rows(sizes: DataFrame, keywords: DataFrame, reps: DataFrame, articles:
     )
 
 
-def topic_summary(topics: DataFrame, n_keywords: int = 8) -> DataFrame:
-    """B6 (+ F5): summary lines ordered outliers last, then size desc, then id."""
+def topic_summary(topics: DataFrame, n_keywords: int = SUMMARY_KEYWORDS) -> DataFrame:
+    """B6 (+ F5): a block of lines per topic, outliers last, then size desc, then id."""
     tag = F.when(F.col("id") == -1, F.lit("OUTLIERS")).otherwise(F.concat(F.lit("Cluster "), F.col("id").cast("string")))
     kw = F.slice("keywords_en", 1, n_keywords)
     head = F.concat(tag, F.lit("  ("), F.col("size").cast("string"), F.lit(" articles)"))
+    empty = F.array().cast("array<string>")
+
+    def article(r: Column) -> Column:
+        text = F.coalesce(F.nullif(r["snippet_en"], F.lit("")), r["snippet_src"], F.lit(""))
+        return F.concat_ws("\n", F.concat(F.lit("  - "), r["url"]), F.when(text != "", F.concat(F.lit("      "), text)))
+
+    reps = F.transform("representative_articles", article) if "representative_articles" in topics.columns else empty
     return topics.select(
         "id", "size",
         (F.col("id") == -1).alias("is_outlier"),
         tag.alias("tag"),
         F.array_join(kw, ", ").alias("keywords"),
-        F.concat_ws("\n", head, F.when(F.size(kw) > 0, F.concat(F.lit("  Keywords: "), F.array_join(kw, ", ")))).alias("text"),
+        F.array_join(F.concat(F.array(head), F.when(F.size(kw) > 0, F.array(F.concat(F.lit("  " + KEYWORDS_LEAD), F.array_join(kw, ", ")))).otherwise(empty),
+                              reps, F.array(F.lit(""))), "\n").alias("text"),
     ).orderBy(F.col("is_outlier"), F.col("size").desc(), F.col("id"))
 
 
-def cluster_payload(labels_with_articles: DataFrame, topics: DataFrame, params: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(run summary row, articles, topics) relations instead of one giant JSON."""
-    counts = topic_counts(labels_with_articles)
-    summary = counts.select(*[F.lit(v).alias(k) for k, v in params.items()], "*")
-    return summary, labels_with_articles, topics
+def summary_heading(counts: DataFrame) -> DataFrame:
+    """The heading of the summary from the totals."""
+    return counts.select(F.concat(F.lit("Clusters from "), F.col("n_articles").cast("string"), F.lit(" deleted articles ("), F.col("n_topics").cast("string"),
+                                  F.lit(" topics, "), F.col("n_outliers").cast("string"), F.lit(" outliers)\n"), F.lit("=" * HEADING_RULE), F.lit("\n")).alias("text"))
+
+
+def cluster_payload(articles: DataFrame, topics: DataFrame, params: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(run summary row, articles, clusters) relations instead of one giant JSON.
+
+    ``params`` are the run's input_dir, model, min_topic_size and translation.
+    """
+    summary = topic_counts(articles).select(F.struct(*[F.lit(v).alias(k) for k, v in params.items()]).alias("params"), "*")
+    names = ["source_file", "url", "archive_url", "archive_timestamp", "cluster", "text_src", "text_en"]
+    return summary, articles.select(*[c for c in names if c in articles.columns]), topics

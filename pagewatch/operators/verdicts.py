@@ -236,6 +236,12 @@ def flatten_finding(doc: DataFrame) -> DataFrame:
     )
 
 
+def with_rate(counters: DataFrame, elapsed_sec: float, checked: str = "total_checked") -> DataFrame:
+    """The time a run took and URLs per second (0 for no time) beside its counters."""
+    rate = F.round(F.col(checked) / F.lit(float(elapsed_sec)), 1) if elapsed_sec > 0 else F.lit(0.0)
+    return counters.withColumn("elapsed_sec", F.lit(float(elapsed_sec))).withColumn("urls_per_sec", rate)
+
+
 def run_counters(outs: DataFrame, loaded: DataFrame | None = None) -> DataFrame:
     """E5: one row of run counters from the outcome table."""
     agg = outs.agg(

@@ -90,12 +90,13 @@ def q_weekly_union(spark, d):
 
 
 @register("window_generation", f"""SELECT level, cast(start AS VARCHAR) AS start, cast("end" AS VARCHAR) AS "end" FROM ({MONTHS_SQL})
-UNION ALL SELECT 'week', cast(start AS VARCHAR), cast("end" AS VARCHAR) FROM ({weeks_sql(MONTHS_SQL)})""")
+UNION ALL SELECT 'week', cast(start AS VARCHAR), cast("end" AS VARCHAR) FROM ({weeks_sql(MONTHS_SQL)})
+UNION ALL SELECT DISTINCT 'year', substr(cast(start AS VARCHAR), 1, 4) || '-01-01', cast(cast(substr(cast(start AS VARCHAR), 1, 4) AS INTEGER) + 1 AS VARCHAR) || '-01-01' FROM ({MONTHS_SQL})""")
 def q_window_generation(spark, d):
-    """G2 (+ G1 windows): months of the years the captures span, and their ~7-day windows."""
+    """G2 (+ G1 windows): years and months of the years the captures span, and the months' ~7-day windows."""
     months = D.month_windows_for(caps(spark, d))
     weeks = D.week_windows(months).select(F.lit("week").alias("level"), "start", "end")
-    both = months.unionByName(weeks)
+    both = months.unionByName(weeks).unionByName(D.year_windows_for(caps(spark, d)))
     return both.select("level", F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"))
 
 
@@ -116,16 +117,28 @@ def q_coverage_resolution(spark, d):
     return r.select(F.col("month_start").cast("string").alias("month_start"), "original", "coverage")
 
 
-@register("skip_done_windows", f"""SELECT cast(substr(cast(start AS VARCHAR), 1, 4) AS INTEGER) AS year,
-  cast(substr(cast(start AS VARCHAR), 6, 2) AS INTEGER) AS month FROM ({MONTHS_SQL}) w
-WHERE NOT EXISTS (SELECT 1 FROM ({INDEX_SQL}) i WHERE i.domain = 'site3.example' AND i.month % 3 <> 0
-                  AND i.year = cast(substr(cast(w.start AS VARCHAR), 1, 4) AS INTEGER)
-                  AND i.month = cast(substr(cast(w.start AS VARCHAR), 6, 2) AS INTEGER))""")
+@register("skip_done_windows", f"""WITH log AS ({FETCH_LOG_SQL}),
+mo AS (SELECT start AS month_start, status AS month_status FROM log WHERE level = 'month'),
+wk AS (SELECT start AS week_start, status AS week_status FROM log WHERE level = 'week'),
+ws AS (SELECT w.month_start, count(*) AS n_weeks, count(*) FILTER (WHERE wk.week_status = 'ok') AS n_weeks_ok
+       FROM ({weeks_sql("SELECT * FROM log WHERE level = 'month'")}) w LEFT JOIN wk ON wk.week_start = w.start GROUP BY w.month_start),
+whole AS (SELECT cast(substr(cast(mo.month_start AS VARCHAR), 1, 4) AS INTEGER) AS year, cast(substr(cast(mo.month_start AS VARCHAR), 6, 2) AS INTEGER) AS month
+          FROM mo LEFT JOIN ws ON ws.month_start = mo.month_start WHERE month_status = 'ok' OR n_weeks_ok = n_weeks),
+idx AS (SELECT DISTINCT domain, year, month FROM ({INDEX_SQL}) WHERE month % 3 <> 0),
+doms AS (SELECT DISTINCT domain FROM ({INDEX_SQL})),
+win AS (SELECT domain, cast(substr(cast(start AS VARCHAR), 1, 4) AS INTEGER) AS year, cast(substr(cast(start AS VARCHAR), 6, 2) AS INTEGER) AS month
+        FROM ({MONTHS_SQL}) m, doms)
+SELECT domain, year, month FROM win WHERE NOT EXISTS (SELECT 1 FROM idx JOIN whole ON whole.year = idx.year AND whole.month = idx.month
+  WHERE idx.domain = win.domain AND idx.year = win.year AND idx.month = win.month)""")
 def q_skip_done_windows(spark, d):
-    """Months of one domain with no stored non-empty result (here: index kept for months not divisible by 3)."""
-    months = D.month_windows_for(caps(spark, d)).select(F.year("start").alias("year"), F.month("start").alias("month"))
-    index = D.distinct_urls_by_month(caps(spark, d)).filter((F.col("domain") == "site3.example") & (F.col("month") % 3 != 0))
-    return D.pending_windows(months, index, keys=("year", "month"))
+    """Every domain's months without a stored complete result (here the index keeps months not divisible by 3)."""
+    c = caps(spark, d)
+    index = D.distinct_urls_by_month(c)
+    months = D.month_windows_for(c).agg(F.collect_list(F.struct(F.year("start").alias("year"), F.month("start").alias("month"))).alias("m"))
+    first = months.first()["m"]  # the months of the years that the captures span
+    wins = F.array(*[F.struct(F.lit(m["year"]).alias("year"), F.lit(m["month"]).alias("month")) for m in first])
+    windows = index.select("domain").distinct().withColumn("w", F.explode(wins)).select("domain", "w.year", "w.month")
+    return D.pending_windows(windows, index.filter(F.col("month") % 3 != 0), coverage=D.month_coverage(X.fetch_log(spark, d)))
 
 
 @register("write_url_index", INDEX_SQL)

@@ -9,11 +9,12 @@ from .. import oracles as O
 from ..functions.text import preview as preview_col
 from ..operators.articles import articles_from_findings, cache_hits, cache_key, translate
 from ..operators.clustering import connected_components, dense_rank_ids, density_clusters
-from ..operators.topics import (centroid_similarity, centroids, ctfidf, keyword_lists, mmr, representatives,
-                                topic_counts, topic_label, topic_sizes, topic_summary)
+from ..operators.topics import (centroid_similarity, centroids, cluster_payload, ctfidf, keyword_lists, mmr, representatives,
+                                summary_heading, topic_counts, topic_label, topic_sizes, topic_summary)
 from ..operators.vectors import embed, hashed_weights, similarity_pairs, tokenise
 from ..registry import register
-from ..session import table
+from ..session import scratch_path, table
+from ..sinks.writers import CSV, write_cluster_csv, write_cluster_payload
 from .cluster import cluster_articles
 from .queries_io import FINDINGS_SQL
 
@@ -233,16 +234,6 @@ def q_topic_sizes(spark, d):
     return topic_sizes(labels(spark, d))
 
 
-@register("cluster_payload", labels_sql("""SELECT 'documents' AS input_dir, 'hashed-64' AS model, 5 AS min_topic_size,
-  count(*) AS n_articles, count(DISTINCT cluster) FILTER (WHERE cluster <> -1) AS n_topics,
-  count(*) FILTER (WHERE cluster = -1) AS n_outliers FROM labels"""))
-def q_cluster_payload(spark, d):
-    """The run summary relation (params + counts)."""
-    c = topic_counts(labels(spark, d))
-    return c.select(F.lit("documents").alias("input_dir"), F.lit("hashed-64").alias("model"),
-                    F.lit(MIN_SIZE).alias("min_topic_size"), "*")
-
-
 @register("tokenise_terms", f"SELECT doc_id, term, count(*) AS n FROM ({tokens_sql('documents', 'text', 'doc_id')}) GROUP BY doc_id, term")
 def q_tokenise_terms(spark, d):
     """letter/digit tokens of 2+ characters per document (counted)."""
@@ -332,6 +323,45 @@ def q_topic_rows(spark, d):
                     F.array_join(F.transform("representative_articles", lambda r: r["url"]), " ").alias("rep_urls"))
 
 
+PAYLOAD_PARAMS = {"input_dir": "documents", "model": "hashed-64", "min_topic_size": MIN_SIZE, "translation": "dictionary"}
+
+
+def _payload(spark, d):
+    """B5 written to a folder; its path."""
+    res = _topics(spark, d)
+    path = scratch_path(spark, "clusters")
+    payload = cluster_payload(res.articles, res.topics, PAYLOAD_PARAMS)
+    write_cluster_payload(payload, path)
+    return path, [df.schema for df in payload]
+
+
+@register("cluster_payload", labels_sql("""SELECT 'documents' AS input_dir, 'hashed-64' AS model, 5 AS min_topic_size, 'dictionary' AS translation,
+  count(*) AS n_articles, count(DISTINCT cluster) FILTER (WHERE cluster <> -1) AS n_topics,
+  count(*) FILTER (WHERE cluster = -1) AS n_outliers FROM labels"""))
+def q_cluster_payload(spark, d):
+    """The written run summary (all four params + counts)."""
+    path, schemas = _payload(spark, d)
+    return spark.read.schema(schemas[0]).json(f"{path}/summary").select("params.*", "n_articles", "n_topics", "n_outliers")
+
+
+@register("cluster_payload_articles", topics_sql("""SELECT url, archive_url, archive_timestamp, cluster, text_src, text_en FROM lt"""))
+def q_cluster_payload_articles(spark, d):
+    """The written article relation."""
+    path, schemas = _payload(spark, d)
+    return spark.read.schema(schemas[1]).json(f"{path}/articles").select("url", "archive_url", "archive_timestamp", "cluster", "text_src", "text_en")
+
+
+@register("cluster_payload_clusters", topics_sql(f"""SELECT id, size, {LABEL_SQL} AS label, {DESC_SQL} AS description, array_to_string(kw, ', ') AS keywords_en,
+  coalesce((SELECT string_agg(concat_ws(chr(9), url, archive_url, snippet_en, snippet_src), chr(10) ORDER BY rep_rank) FROM repa WHERE repa.cluster = id), '') AS reps
+FROM topics"""))
+def q_cluster_payload_clusters(spark, d):
+    """The written cluster relation with the representatives' snippets."""
+    path, schemas = _payload(spark, d)
+    c = spark.read.schema(schemas[2]).json(f"{path}/clusters")
+    reps = F.transform("representative_articles", lambda r: F.concat_ws("\t", r["url"], r["archive_url"], r["snippet_en"], r["snippet_src"]))
+    return c.select("id", "size", "label", "description", F.array_join("keywords_en", ", ").alias("keywords_en"), F.array_join(reps, "\n").alias("reps"))
+
+
 @register("topic_description", topics_sql(f"SELECT id, {DESC_SQL} AS description FROM topics"))
 def q_topic_description(spark, d):
     """H9: the one-line topic description (keywords + example snippet)."""
@@ -348,28 +378,30 @@ def q_keyword_topk(spark, d):
                     F.array_join(F.slice("keywords_en", 1, 6), ", ").alias("k6"))
 
 
-@register("topic_summary", topics_sql("""SELECT id, size, CASE WHEN id = -1 THEN 'OUTLIERS' ELSE 'Cluster ' || cast(id AS VARCHAR) END AS tag,
-  array_to_string(kw[1:8], ', ') AS keywords,
-  cast(row_number() OVER (ORDER BY id = -1, size DESC, id) - 1 AS INTEGER) AS summary_rank FROM topics"""))
+@register("topic_summary", topics_sql("""SELECT text FROM (
+  SELECT -1 AS r, 'Clusters from ' || (SELECT count(*) FROM labels) || ' deleted articles (' || (SELECT count(*) FROM topics WHERE id <> -1) || ' topics, '
+    || (SELECT count(*) FROM labels WHERE cluster = -1) || ' outliers)' || chr(10) || repeat('=', 78) || chr(10) AS text
+  UNION ALL
+  SELECT row_number() OVER (ORDER BY id = -1, size DESC, id),
+    CASE WHEN id = -1 THEN 'OUTLIERS' ELSE 'Cluster ' || id END || '  (' || size || ' articles)' || chr(10)
+    || CASE WHEN len(kw) > 0 THEN '  Keywords: ' || array_to_string(kw[1:8], ', ') || chr(10) ELSE '' END
+    || coalesce((SELECT string_agg('  - ' || url || CASE WHEN coalesce(nullif(snippet_en, ''), snippet_src) <> ''
+         THEN chr(10) || '      ' || coalesce(nullif(snippet_en, ''), snippet_src) ELSE '' END || chr(10), '' ORDER BY rep_rank) FROM repa WHERE repa.cluster = id), '')
+  FROM topics)"""))
 def q_topic_summary(spark, d):
-    """B6 + F5: summary rows, outliers last, then size desc (rank given as a column)."""
-    s = topic_summary(_topics(spark, d).topics)
-    s = dense_rank_ids(s.select("id", "size", "tag", "keywords", "is_outlier", (-F.col("size")).alias("_neg")),
-                       ["is_outlier", "_neg", "id"], "summary_rank")
-    return s.select("id", "size", "tag", "keywords", "summary_rank")
+    """Heading and a block per topic with keywords, representatives and snippets."""
+    res = _topics(spark, d)
+    return summary_heading(topic_counts(res.articles)).unionByName(topic_summary(res.topics).select("text"))
 
 
-@register("cluster_csv", topics_sql(f"""SELECT cluster, url, archive_timestamp,
-  translate(substring(coalesce(nullif(text_en, ''), text_src), 1, 200), chr(10), ' ') AS text_en_preview,
-  cast(row_number() OVER (ORDER BY cluster, coalesce(archive_timestamp, ''), article_id) - 1 AS INTEGER) AS csv_rank FROM lt"""))
+@register("cluster_csv", topics_sql(f"""SELECT CAST(cluster AS VARCHAR) AS cluster, url, archive_timestamp, 'documents/' || article_id || '.json' AS source_file,
+  translate(substring(coalesce(nullif(text_en, ''), text_src), 1, 200), chr(10), ' ') AS text_en_preview FROM lt"""))
 def q_cluster_csv(spark, d):
-    """B7 + F6 + H10: one CSV row per article, ordered (cluster, timestamp or ''), -1 first."""
-    a = _topics(spark, d).articles
-    rows = a.select("cluster", "url", "archive_timestamp", "article_id",
-                    preview_col(F.col("text_en"), F.col("text_src"), 200).alias("text_en_preview"),
-                    F.coalesce("archive_timestamp", F.lit("")).alias("_ts"))
-    r = dense_rank_ids(rows, ["cluster", "_ts", "article_id"], "csv_rank")
-    return r.select("cluster", "url", "archive_timestamp", "text_en_preview", "csv_rank")
+    """B7 + H10: the CSV written with its header and read back, one row per article, with the file it came from."""
+    a = _topics(spark, d).articles.withColumn("source_file", F.concat(F.lit("documents/"), F.col("article_id").cast("string"), F.lit(".json")))
+    path = scratch_path(spark, "cluster_csv")
+    write_cluster_csv(a, path)
+    return spark.read.options(**CSV, multiLine=True).csv(path).select("cluster", "url", "archive_timestamp", "source_file", "text_en_preview")
 
 
 @register("preview", f"WITH {translated_ctes()} SELECT url, translate(substring(coalesce(nullif(text_en, ''), text_src), 1, 200), chr(10), ' ') AS preview FROM tr")
@@ -381,7 +413,6 @@ def q_preview(spark, d):
 @register("write_translation_cache", f"WITH {translated_ctes()} SELECT src_sha1, text_out, true AS ok FROM newt")
 def q_write_translation_cache(spark, d):
     """Only the newly translated keys are appended to the cache, then read back."""
-    from ..session import scratch_path
     from ..sinks.writers import append_cache
     from ..sources.readers import load_cache
     arts = articles(spark, d)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.urls import finding_key
+
 
 def write_url_index(index: DataFrame, path: str, fmt: str = "text") -> None:
     """B1 + F4: sorted URL files per (domain, year, month); empty months write nothing.
@@ -40,10 +42,18 @@ def read_url_index(spark, path: str, fmt: str = "text") -> DataFrame:
                      "original")
 
 
-def write_findings(docs: DataFrame, path: str, fmt: str = "json") -> None:
-    """B2: finding documents (M7), partitioned by verdict (``verdict=deleted/``)."""
-    w = docs.write.mode("append").partitionBy("verdict")
-    (w.json(path) if fmt == "json" else w.parquet(path))
+def write_findings(docs: DataFrame, path: str, run_id: str, per_document: bool = False) -> None:
+    """B2: finding documents (M7) as JSON, partitioned by run and verdict.
+
+    Writing a run again replaces its own partition. ``per_document`` adds a
+    folder per finding, named by its key (C7), so each document is a file of its own.
+    """
+    docs = docs.withColumn("run_id", F.lit(run_id))
+    keys = ["run_id", "verdict"]
+    if per_document:
+        docs = docs.withColumn("finding_key", finding_key(F.col("verdict"), F.col("archive.timestamp"), F.col("url")))
+        keys.append("finding_key")
+    (docs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).json(path))
 
 
 def append_checked(ledger_rows: DataFrame, path: str, run_id: str) -> None:
@@ -54,23 +64,25 @@ def append_checked(ledger_rows: DataFrame, path: str, run_id: str) -> None:
      .partitionBy("run_id").parquet(path))
 
 
-def run_report(metadata: DataFrame, counters: DataFrame, params: dict, scan_time: str,
-               max_items: int = 50, order=("archive_timestamp", "url")) -> DataFrame:
-    """One report row: parameters, counters and the findings array.
+def run_report(metadata: DataFrame, counters: DataFrame, params: dict, scan_time: str) -> DataFrame:
+    """One report row: parameters, counters and the array of the run's findings.
 
-    The array holds at most ``max_items`` findings (the run's ``target``),
-    taken by a bounded top-k before collecting, so the report row never
-    gathers an unbounded list; every finding stays in the findings table (B2).
+    The array is as long as the run's target lets ``metadata`` be (F3); a run
+    without a target keeps its findings as a table (B2) and passes an empty
+    ``metadata`` here.
     """
-    top = metadata.orderBy(*order).limit(max_items)
     item = F.struct(*[F.col(c) for c in metadata.columns])
-    items = top.agg(F.sort_array(F.collect_list(item)).alias("deleted_changed_articles"))
+    items = metadata.agg(F.sort_array(F.collect_list(item)).alias("deleted_changed_articles"))
     from ..operators.verdicts import combine_rows
     p = [F.lit(v).alias(k) for k, v in params.items()]
     head = counters.select(*p, F.lit(scan_time).alias("scan_time"), "*")
     return combine_rows(head, items)
 
 
+# Double quotes are doubled and blanks kept, as spreadsheet programs expect.
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def cluster_csv_rows(articles: DataFrame, n: int = 200) -> DataFrame:
     """B7 (+ F6, H10): one row per article, ordered by (cluster, timestamp or '')."""
     from ..functions.text import preview
@@ -84,13 +96,20 @@ def cluster_csv_rows(articles: DataFrame, n: int = 200) -> DataFrame:
 def write_cluster_csv(articles: DataFrame, path: str, n: int = 200) -> None:
     """CSV with header, globally ordered (range partitioning, no single task)."""
     rows = cluster_csv_rows(articles, n)
-    rows.drop("article_id").write.mode("overwrite").option("header", True).csv(path)
+    rows.drop("article_id").write.mode("overwrite").options(**CSV).csv(path)
+
+
+def write_cluster_payload(payload: tuple[DataFrame, DataFrame, DataFrame], path: str) -> None:
+    """The run's summary, articles and clusters as JSON tables under one folder."""
+    for name, df in zip(("summary", "articles", "clusters"), payload, strict=True):
+        df.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def write_topic_summary(lines: DataFrame, path: str) -> None:
+    """The readable summary as text in its order (range partitioning, no single task)."""
+    lines.select(F.col("text").alias("value")).write.mode("overwrite").text(path)
 
 
 def append_cache(new_entries: DataFrame, path: str) -> None:
     """Append only new cache keys (callers pass the misses they translated)."""
     new_entries.select("src_sha1", "text_out", "ok").write.mode("append").parquet(path)
-
-
-def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    df.write.mode("overwrite").format(fmt).save(path)

@@ -78,12 +78,14 @@ def stream_verdicts(live: DataFrame, archive_state: DataFrame, sink: str, checkp
     ``archive_state`` is the static per-URL archive side: (url, n_captures,
     ts14, has_body, archive_digest). Live pages are digested in the stream,
     then joined. An observation of a URL that is not in the archive side is
-    kept, with the outcome ``not_in_work``.
+    kept, with the outcome ``not_in_work``. Each batch reports E6's counters
+    (checked, found) in the query's progress, under ``progress``.
     """
     obs = normalise_live(live, content_only)
     j = obs.join(archive_state.withColumn("in_work", F.lit(True)), "url", "left")
     v = F.when(F.col("has_body"), classify_verdict("live_status_code", "live_digest", "archive_digest", "has_body"))
-    out = j.select("url", "live_status_code", *[c for c in ("fetched_at",) if c in obs.columns], v.alias("verdict"),
+    j = j.withColumn("verdict", v).observe("progress", F.count(F.lit(1)).alias("checked"), F.count("verdict").alias("found"))
+    out = j.select("url", "live_status_code", *[c for c in ("fetched_at",) if c in obs.columns], "verdict",
                    F.when(F.col("in_work"), outcome_col(content_only)).otherwise(F.lit("not_in_work")).alias("outcome"))
     w = out.writeStream.outputMode("append").foreachBatch(lambda df, bid: _write_batch(df, bid, sink))
     return run_available_now(w, checkpoint)
