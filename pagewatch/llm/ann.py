@@ -49,33 +49,68 @@ def codes(x: np.ndarray, rotations: list[np.ndarray]) -> np.ndarray:
     return np.packbits(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64))), axis=1)
 
 
-_NEAR = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
+UNSEEN = 1 << 14
+_NEAR = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :]).astype(np.int8)
 
 
 class MultiIndex:
     """One index per byte of the codes: rows ordered by the byte's value and where each value begins."""
 
     def __init__(self, code: np.ndarray):
-        self.words = code.view(np.uint64)
+        self.words = np.ascontiguousarray(code.view(np.uint64).T)
         self.m = code.shape[1]
-        self.rows = np.argsort(code, axis=0, kind="stable").T
-        self.begin = np.stack([np.searchsorted(np.sort(code[:, s]), np.arange(257)) for s in range(self.m)])
-
-    def within(self, code: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, distances) of every code within ``radius`` bits."""
-        low, extra = divmod(radius, self.m)
-        seen = np.zeros(len(self.words), bool)
-        for s in range(self.m):
+        self.bytes = np.ascontiguousarray(code.T)
+        self.rows = np.argsort(self.bytes, axis=1, kind="stable").astype(np.int32)
+        self.count = np.stack([np.bincount(b, minlength=256) for b in self.bytes])
+        self.begin = np.cumsum(self.count, axis=1) - self.count
+
+    def probe(self, code: np.ndarray) -> "Probe":
+        return Probe(self, code)
+
+    def marked(self, s: int, byte: int, low: int, high: int) -> np.ndarray:
+        """Which rows' byte ``s`` differs from ``byte`` in low to high bits: from their lists, or from the column where they are many."""
+        near = (_NEAR[byte] >= low) & (_NEAR[byte] <= high)
+        n = self.count[s][near]
+        if 8 * n.sum() > self.words.shape[1]:
+            bits = np.bitwise_count(self.bytes[s] ^ byte)
+            return (bits >= low) & (bits <= high)
+        out = np.zeros(self.words.shape[1], bool)
+        start = self.begin[s][near]
+        out[self.rows[s][np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())]] = True
+        return out
+
+    def distances(self, rows: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Bits in which the codes of the marked rows differ from ``word``; UNSEEN for the others."""
+        out = np.full(len(rows), UNSEEN, np.int16)
+        few = np.flatnonzero(rows) if 4 * rows.sum() < len(rows) else slice(None)
+        d = sum(np.bitwise_count(column[few] ^ w).astype(np.int16) for column, w in zip(self.words, word, strict=True))
+        out[few] = d
+        out[~rows] = UNSEEN
+        return out
+
+
+class Probe:
+    """Retrieval for one query by growing radius; each list is looked up once."""
+
+    def __init__(self, index: MultiIndex, code: np.ndarray):
+        self.index, self.code, self.word = index, code, code.view(np.uint64)
+        self.reach = [-1] * index.m
+        self.seen = np.zeros(index.words.shape[1], bool)
+        self.distance = np.full(index.words.shape[1], UNSEEN, np.int16)
+
+    def within(self, radius: int) -> np.ndarray:
+        """Rows of every code within ``radius`` bits (not smaller than at the call before)."""
+        low, extra = divmod(radius, self.index.m)
+        fresh = np.zeros(len(self.seen), bool)
+        for s, byte in enumerate(self.code):
             reach = low if s <= extra else low - 1  # m substrings that all differ more sum to over radius
-            if reach < 0:
-                continue
-            values = np.flatnonzero(_NEAR[code[s]] <= reach)
-            start, n = self.begin[s][values], self.begin[s][values + 1] - self.begin[s][values]
-            at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            seen[self.rows[s][at]] = True
-        rows = np.flatnonzero(seen)
-        d = np.bitwise_count(self.words[rows] ^ code.view(np.uint64)).sum(1)
-        return rows[d <= radius], d[d <= radius]
+            if reach > self.reach[s]:
+                fresh |= self.index.marked(s, byte, self.reach[s] + 1, reach)
+                self.reach[s] = reach
+        fresh &= ~self.seen
+        self.seen |= fresh
+        self.distance = np.minimum(self.distance, self.index.distances(fresh, self.word))
+        return np.flatnonzero(self.distance <= radius)
 
 
 def _augment(x: np.ndarray, top: float) -> np.ndarray:
@@ -131,8 +166,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
             bits, radius = q_codes.shape[1] * 8, 0
             for q, qx, code in zip(ids[n:], x[n:], q_codes, strict=True):
                 radius = max(radius - STEP, 0)  # the radius of the query before is a first guess
+                probe = found.probe(code)
                 while True:
-                    near, d = found.within(code, radius)
+                    near = probe.within(radius)
                     near = near[ids[:n][near] != q]
                     if len(near) >= retrieve or radius >= bits:
                         break

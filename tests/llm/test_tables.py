@@ -204,9 +204,9 @@ def test_multi_index_retrieves_every_code_in_the_radius():
     index = ann.MultiIndex(code)
     for q in code[:5]:
         d = np.bitwise_count(code ^ q).sum(1)
+        growing = index.probe(q)
         for r in (0, 3, 7, 8, 20, 31, 64):
-            rows, dist = index.within(q, r)
-            assert sorted(rows) == np.flatnonzero(d <= r).tolist() and (dist == d[rows]).all()
+            assert growing.within(r).tolist() == index.probe(q).within(r).tolist() == np.flatnonzero(d <= r).tolist()
 
 
 def test_nearest_neighbours_recall_and_ties(spark):
