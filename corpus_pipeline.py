@@ -15,7 +15,7 @@ from pagewatch.llm.common import crc_mod, read, write_table
 from pagewatch.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-MIN_SHARE = 0.5  # a document is kept if one language has at least half of it
+MIN_SHARE = 0.4  # a document is kept if one language has at least this share of it
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
