@@ -196,13 +196,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest id (any one of repeated rows)."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = with_fingerprint(rows.withColumn("text", F.col(f"row.`{text_col}`")), "text", shingle).drop("text")
-    rows = write_table(rows.withColumn("id", F.col(f"row.`{id_col}`")), "simhash_rows")
-    prints = rows.select("id", "fp")
-    found = groups(prints, "id", radius)
-    winners = hot_join(prints, found, ["fp"], "n", prints.count())
-    winners = winners.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("fp").alias("fp"), F.first("id").alias("id"))
-    winners = winners.select(F.col("fp").alias("fp2"), F.col("id").alias("id2"))
-    kept = rows.join(winners, (F.col("fp") == F.col("fp2")) & F.col("id").eqNullSafe(F.col("id2")))
-    return kept.dropDuplicates(["fp", "id"]).select("row.*")
+    # Texts are read twice and shuffled once; what is written are ids, fingerprints and hashes of the texts,
+    # which tell rows of the same id apart.
+    of = F.xxhash64(F.col(f"`{text_col}`"))
+    prints = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), of.alias("text_hash"))
+    prints = write_table(with_fingerprint(prints, "text", shingle).select("id", "text_hash", "fp"), "simhash_prints")
+    winners = hot_join(prints, groups(prints, "id", radius), ["fp"], "n", prints.count())
+    winners = (winners.filter(F.col("id").eqNullSafe(F.col("component_id")))
+               .groupBy("root").agg(F.min("text_hash").alias("hash2"), F.first("id").alias("id2")).drop("root"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), of.alias("text_hash"))
+    kept = rows.join(winners, (F.col("text_hash") == F.col("hash2")) & F.col("id").eqNullSafe(F.col("id2")))
+    return kept.dropDuplicates(["text_hash", "id"]).select("row.*")

@@ -76,9 +76,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     # At most sum(SAMPLE) ids are broadcast; the sample's features come to the driver to be fitted.
     rows = texts.join(F.broadcast(picked), "id").mapInPandas(features, "id long, y int, f binary")
-    made = write_table(rows, "toxic_features").dropDuplicates(["id"])
-    got = sorted(((r["id"], r["y"], np.frombuffer(r["f"], "<i4")) for r in made.toLocalIterator()), key=lambda x: x[0])
-    return fit([f for _, _, f in got], np.array([y for _, y, _ in got], float), share)
+    pdf = rows.toPandas().drop_duplicates("id").sort_values("id")
+    return fit([np.frombuffer(f, "<i4") for f in pdf["f"]], pdf["y"].to_numpy(float), share)
 
 
 def fit(features: list[np.ndarray], y: np.ndarray, share: float) -> Model:
