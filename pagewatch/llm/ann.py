@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import columns, write_table
 from .embedding_dedup import clean
 
 ROTATIONS = 4          # each gives one bit per dimension
@@ -141,8 +141,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     dim, total, top = (dims["dim"], dims["n"], dims["top"]) if dims else (1, 0, 1.0)
     index, asked = index.filter(F.size("v") == dim), asked.filter(F.size("v") == dim)
     order = F.xxhash64("id")
-    picked = index.select(order.alias("h"), "id", "v").orderBy("h", "id").limit(SAMPLE).toPandas()
-    picked = np.stack(picked["v"].to_list()).astype(float) if len(picked) else np.zeros((0, dim))
+    picked = index.select(order.alias("h"), "id", "v").orderBy("h", "id").limit(SAMPLE)
+    picked = columns(picked)["v"]
+    picked = np.stack(picked).astype(float) if len(picked) else np.zeros((0, dim))
     model = spark.sparkContext.broadcast(learn_rotations(_augment(picked, top)))
     shards = max(1, -(-total // shard_rows))
     blocks = max(1, -(-asked.count() // query_rows))

@@ -21,6 +21,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def columns(df: DataFrame) -> dict:
+    """The columns of a table of bounded size as arrays, sent to the driver as Arrow batches."""
+    got = df.toArrow()
+    return {name: got[name].to_numpy() for name in got.column_names}
+
+
 def crc_mod(id_col: str, mod: int) -> Column:
     """crc32 of the id written as text, modulo ``mod`` (null id: null)."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % mod

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chargrams
-from .common import write_table
+from .common import columns, write_table
 
 ORDER = 3
 BITS = 16
@@ -59,10 +59,11 @@ def count_trigrams(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model:
     """The model of all labelled rows; null text or language teaches nothing."""
-    table = write_table(count_trigrams(docs, lang_col, text_col), "trigrams").toPandas()
-    langs = sorted(table["lang"].unique())
+    table = columns(write_table(count_trigrams(docs, lang_col, text_col), "trigrams"))
+    langs, which = np.unique(table["lang"].astype(str), return_inverse=True)
     counts = np.zeros((len(langs), 1 << BITS))
-    counts[[langs.index(x) for x in table["lang"]], table["gram"]] = table["n"]
+    counts[which, table["gram"]] = table["n"]
+    langs = langs.tolist()
     return Model(langs, counts)
 
 

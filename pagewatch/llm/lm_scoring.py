@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import columns, write_table
 
 MAX_WORDS = 1 << 18     # words of the shared vocabulary
 MAX_BIGRAMS = 1 << 20   # bigrams kept by both models
@@ -93,24 +93,24 @@ def _most_frequent(counts: DataFrame, bound: int) -> DataFrame:
 class Models:
     """Both models as arrays: words sorted by hash, bigrams sorted by key."""
 
-    def __init__(self, words: pd.DataFrame, known: np.ndarray, totals: tuple[int, int], bigrams: pd.DataFrame):
+    def __init__(self, words: dict, known: np.ndarray, totals: tuple[int, int], bigrams: dict):
         """``known``: the vocabulary in the order of ids; ``totals``: tokens of background and target."""
         self.known = known
         n = {k: np.zeros(len(known) + 2) for k in "nt"}
-        at = np.searchsorted(known, words["key"].to_numpy().view(np.uint64)) + 2
+        at = np.searchsorted(known, words["key"].view(np.uint64)) + 2
         for k in "nt":
             n[k][at] = words[k]
         n["n"][0], n["t"][0] = totals[0] - n["n"].sum(), totals[1] - n["t"].sum()
         scale = {"n": totals[1] / totals[0] if totals[0] else 1.0, "t": 1.0}
-        bigrams = bigrams.sort_values("key")
-        self.keys = bigrams["key"].to_numpy()
+        order = np.argsort(bigrams["key"])
+        self.keys = bigrams["key"][order]
         before = self.keys >> WIDTH
         self.first, self.after, self.pair = {}, {}, {}
         for k in "nt":
             uni = n[k] * scale[k] + ADD
             uni[1] = 0.0  # the start is never a next word
             self.first[k] = (PRIOR * uni / uni.sum()).astype(np.float32)
-            self.pair[k] = (bigrams[k].to_numpy() * scale[k]).astype(np.float32)
+            self.pair[k] = (bigrams[k][order] * scale[k]).astype(np.float32)
             self.after[k] = (np.bincount(before, self.pair[k], minlength=len(known) + 2) + PRIOR).astype(np.float32)
 
     def losses(self, ids: np.ndarray, keys: np.ndarray) -> dict[str, np.ndarray]:
@@ -149,8 +149,8 @@ def train(background: DataFrame, target: DataFrame, text_col: str = "text", targ
         target.select(F.col(f"`{target_text_col}`").alias("text"), F.lit(True).alias("target")))
     words = write_table(_count(rows, lambda texts: tokens(texts)[0]), "lm_words")
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
-    kept = _most_frequent(words, MAX_WORDS).toPandas()  # MAX_WORDS rows at most
-    known = np.sort(kept["key"].to_numpy().view(np.uint64))
+    kept = columns(_most_frequent(words, MAX_WORDS))  # MAX_WORDS rows at most
+    known = np.sort(kept["key"].view(np.uint64))
     shared = spark.sparkContext.broadcast(known)
 
     def pairs(texts) -> np.ndarray:
@@ -158,7 +158,7 @@ def train(background: DataFrame, target: DataFrame, text_col: str = "text", targ
         return bigram_keys(word_ids(shared.value, hashes), lengths)
 
     bigrams = write_table(_count(rows, pairs), "lm_bigrams")
-    return Models(kept, known, (totals[0], totals[1]), _most_frequent(bigrams, MAX_BIGRAMS).toPandas())  # MAX_BIGRAMS rows at most
+    return Models(kept, known, (totals[0], totals[1]), columns(_most_frequent(bigrams, MAX_BIGRAMS)))  # MAX_BIGRAMS rows at most
 
 
 def score(docs: DataFrame, models: Models, text_col: str = "text", out: str = "lm") -> DataFrame:

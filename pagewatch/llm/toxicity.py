@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chargrams
-from .common import write_table
+from .common import columns, write_table
 
 ORDERS = (4, 5)
 BITS = 20
@@ -76,8 +76,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     # At most sum(SAMPLE) ids are broadcast; the sample's features come to the driver to be fitted.
     rows = texts.join(F.broadcast(picked), "id").mapInPandas(features, "id long, y int, f binary")
-    pdf = rows.toPandas().drop_duplicates("id").sort_values("id")
-    return fit([np.frombuffer(f, "<i4") for f in pdf["f"]], pdf["y"].to_numpy(float), share)
+    got = columns(rows)
+    first = np.unique(got["id"], return_index=True)[1]  # one of repeated documents, in the order of ids
+    return fit([np.frombuffer(f, "<i4") for f in got["f"][first]], got["y"][first].astype(float), share)
 
 
 def fit(features: list[np.ndarray], y: np.ndarray, share: float) -> Model:
