@@ -10,8 +10,10 @@ Fragments repeat all through a corpus, so each is encoded once per task and kept
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -20,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO = 400_000       # entries that a task keeps before it starts afresh (memory only, never results)
+MEMO = 300_000       # entries that a task keeps before it starts afresh (memory only, never results)
 MEMO_CHARS = 64      # longer fragments are encoded anew each time
 
 # Cuts that hold before normalisation: blanks that the pre-tokeniser drops and
@@ -51,6 +53,7 @@ class Codec:
     """Encoder and decoder of one vocabulary file (its JSON text), equal to the tokenizers library's."""
 
     def __init__(self, spec: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         data = json.loads(spec)
@@ -119,6 +122,12 @@ class Codec:
         return b"".join([x[0] for x in both]), " ".join([x[1] for x in both if x[0]])
 
 
+@functools.lru_cache(maxsize=1)
+def codec_of(spec: str) -> Codec:
+    """The codec of this worker process, kept from task to task."""
+    return Codec(spec)
+
+
 def _byte_alphabet() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies (a public rule)."""
     kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -150,7 +159,7 @@ def _apply(docs: DataFrame, vocabulary: str, text_col: str, fields: str, made) -
 
     @F.pandas_udf(fields)
     def bpe(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = Codec(spec.value)
+        codec = codec_of(spec.value)
         for texts in batches:
             yield pd.DataFrame([made(*codec.encode(t or "")) for t in texts], columns=names)
 

@@ -13,6 +13,8 @@ the document's chunks are encoded again, in the end up to its whole text.
 
 from __future__ import annotations
 
+import functools
+import os
 import re
 from collections.abc import Iterator
 
@@ -27,7 +29,7 @@ from .common import hot_join, write_table
 CHUNK = 32_768       # characters that a chunk adds; texts up to this size are one chunk
 OVERLAP = 256        # characters that it shares with the next at first
 LIMIT = 1024         # over_limit: more tokens than this
-MEMO = 300_000       # units whose counts a task keeps (memory only, never results)
+MEMO = 200_000       # units whose counts a task keeps (memory only, never results)
 MEMO_CHARS = 48
 SLICE = 8192         # new units that the library encodes at once: its results are much larger than the counts
 
@@ -41,6 +43,7 @@ class UnitCounter:
     """Token counts as the tokenizers library gives them, special strings in texts as its default."""
 
     def __init__(self, spec: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads only hold memory
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(spec)
@@ -66,6 +69,12 @@ class UnitCounter:
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def unit_counter(spec: str) -> UnitCounter:
+    """The counter of this worker process, kept from task to task."""
+    return UnitCounter(spec)
+
+
 def units(text: str) -> list[str]:
     """``text`` cut at stable boundaries."""
     if text.replace("\n", "").isprintable():
@@ -101,7 +110,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text", keep:
 
     @F.pandas_udf("long")
     def whole(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = UnitCounter(spec.value)
+        counter = unit_counter(spec.value)
         for texts in batches:
             yield pd.Series([sum(n) for part in _batches(texts) for n in counter.counts([units(t) for t in part])], dtype="int64")
 
@@ -143,7 +152,7 @@ def _pieces(texts: DataFrame, chunk: int, overlap: int) -> DataFrame:
 def _spliced(pieces: DataFrame, spec, chunk: int, overlap: int) -> DataFrame:
     """(digest, n_tokens), null where two neighbours share no stable boundary."""
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = UnitCounter(spec.value)
+        counter = unit_counter(spec.value)
         for pdf in batches:
             out = []
             for digest, no, piece in zip(pdf["digest"], pdf["no"], pdf["piece"], strict=True):
