@@ -79,15 +79,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     rows = rows.withColumn("h", F.when(F.col("id").isNull(), "").otherwise(F.col("h")))
     rows = rows.withColumn("bucket", F.coalesce(F.conv(F.substring("h", 1, 3), 16, 10).cast("int") * BUCKETS / 4096,
                                                 F.lit(0)).cast("int"))
-    by_bucket = rows.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
+    # A key that is never null, so that the join and the running sum share one shuffle of the rows.
+    rows = rows.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("src").cast("string")), F.lit("")))
+    by_bucket = rows.groupBy("src", "bucket", "key").agg(F.sum("size").alias("words"))
     before = W.partitionBy("src").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = by_bucket.withColumn("offset", F.coalesce(F.sum("words").over(before), F.lit(0)))
     targets = source_targets(by_bucket.groupBy("src").agg(F.sum("words").alias("source_size")))
     # One row per source and hash range, with all that the documents of the range need.
     ranges = offsets.join(targets, offsets["src"].eqNullSafe(targets["src"])).select(
-        offsets["src"].alias("src2"), F.col("bucket").alias("bucket2"), "offset", "source_size", "weight", "slope", "target")
-    inside = W.partitionBy("src", "bucket").orderBy("h", "id", "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = rows.join(ranges, F.col("src").eqNullSafe(F.col("src2")) & (F.col("bucket") == F.col("bucket2")))
+        "key", "bucket", "offset", "source_size", "weight", "slope", "target")
+    inside = W.partitionBy("key", "bucket").orderBy("h", "id", "size").rowsBetween(W.unboundedPreceding, -1)
+    placed = rows.join(ranges, ["key", "bucket"])
     placed = placed.withColumn("start", F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.withColumn("wanted", F.floor(F.col("target") + 0.5).cast("long"))
     zero = F.lit(0).cast("long")
