@@ -196,14 +196,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest id (any one of repeated rows)."""
-    # Texts are read twice and shuffled once; what is written are ids, fingerprints and hashes of the texts,
-    # which tell rows of the same id apart.
-    of = F.xxhash64(F.col(f"`{text_col}`"))
-    prints = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), of.alias("text_hash"))
-    prints = write_table(with_fingerprint(prints, "text", shingle).select("id", "text_hash", "fp"), "simhash_prints")
+    # Texts are read twice and shuffled once: what is written are ids, fingerprints and 128 bits that tell
+    # rows apart (two hashes of id and text), by which the rows are joined and repeated ones dropped.
+    key = ["k1", "k2"]
+    of = [F.col(f"`{c}`") for c in (id_col, text_col)]
+    hashes = [F.xxhash64(*of, *[c.isNull() for c in of]).alias("k1"), F.xxhash64(F.lit(1), *of, *[c.isNull() for c in of]).alias("k2")]
+    prints = docs.select(of[0].alias("id"), of[1].alias("text"), *hashes)
+    prints = write_table(with_fingerprint(prints, "text", shingle).select("id", *key, "fp"), "simhash_prints")
     winners = hot_join(prints, groups(prints, "id", radius), ["fp"], "n", prints.count())
     winners = (winners.filter(F.col("id").eqNullSafe(F.col("component_id")))
-               .groupBy("root").agg(F.min("text_hash").alias("hash2"), F.first("id").alias("id2")).drop("root"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), of.alias("text_hash"))
-    kept = rows.join(winners, (F.col("text_hash") == F.col("hash2")) & F.col("id").eqNullSafe(F.col("id2")))
-    return kept.dropDuplicates(["text_hash", "id"]).select("row.*")
+               .groupBy("root").agg(F.min(F.struct(*key)).alias("k")).select("k.*"))
+    rows = docs.select(*hashes, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(winners, key).dropDuplicates(key).select("row.*")
