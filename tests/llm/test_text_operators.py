@@ -126,6 +126,23 @@ def test_lm_of_empty_tables(spark):
     assert lm_scoring.score(docs.limit(0), lm_scoring.train(docs, docs)).count() == 0
 
 
+def test_lm_keeps_every_word_and_bigram(spark, monkeypatch):
+    """Limits of memory set very low: blocks, buckets and hot words change nothing, and rare words and bigrams count like others."""
+    for name, low in (("MAX_WORDS", 4), ("MAX_BIGRAMS", 4), ("BUFFER", 40), ("BLOCK", 30), ("BUCKET", 8), ("MIN_BUCKETS", 3), ("HOT_WORDS", 4)):
+        monkeypatch.setattr(lm_scoring, name, low, raising=False)
+    background = ["the cat sat on the mat", "The dog sat", None, "", "the cat sat on the mat", "a dog and a cat " * 20, "mat the on sat",
+                  *(f"w{i} the w{i * 7 % 40} once{i}" for i in range(40)), "the"]
+    target = ["the cat sat", "the dog ran home", "w3 the w21 seen"]
+    other = [*background, "never seen words the cat", "the the", " "]
+    bg = spark.createDataFrame([(i, t) for i, t in enumerate(background)], "doc_id long, text string")
+    models = lm_scoring.train(bg, spark.createDataFrame([(t,) for t in target], "text string"))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(other)], "doc_id long, text string")
+    for scored, texts in ((bg, background), (docs, other)):
+        got = lm_scoring.score(scored, models).orderBy("doc_id").select("lm.*").collect()
+        for r, (n, t, b) in zip(got, plain_scores(background, target, texts), strict=True):
+            assert (r["n_tokens"], r["target_loss"], r["background_loss"]) == (n, pytest.approx(t, abs=1e-6), pytest.approx(b, abs=1e-6))
+
+
 def test_most_frequent_keeps_whole_grades(spark):
     counts = spark.createDataFrame([(i, n, 0) for i, n in enumerate([9, 9, 5, 5, 5, 1])], "key long, n long, t long")
     assert lm_scoring._most_frequent(counts, 4).count() == 2
