@@ -124,35 +124,39 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     """(query_id, rank, id, score): each query's ``k`` rows of largest inner product among those retrieved.
 
     Rows with the query's own id are no candidates. Vectors that are null,
-    zero or hold null or non-finite components, rows with a null id, and vectors of another
-    length than the most frequent take no part. Ties go to the smaller id; a
-    repeated id counts once (its largest score). Every row of ``vectors`` is
-    indexed; each (shard, block of queries) is one bounded task. An empty table gives an empty result.
+    zero or hold null or non-finite components, and rows with a null id take no
+    part. A query is searched among all vectors of its own length; each length
+    has rotations, shards and blocks of its own. Ties go to the smaller id; a
+    repeated id counts once (its largest score). Every row of ``vectors`` whose length is asked for is
+    indexed; each (length, shard, block of queries) is one bounded task. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
 
     def part(df: DataFrame, name: str) -> DataFrame:
         rows = clean(df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("e")), "e")
-        rows = rows.filter("id IS NOT NULL AND v IS NOT NULL").select("id", "v", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("norm"))
+        rows = rows.filter("id IS NOT NULL AND v IS NOT NULL").select(
+            "id", "v", F.size("v").alias("dim"), F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("norm"))
         return write_table(rows, name)
 
     index, asked = part(vectors, "ann_rows"), part(queries, "ann_queries")
-    dims = index.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max("norm").alias("top")).orderBy(F.desc("n"), "dim").first()
-    dim, total, top = (dims["dim"], dims["n"], dims["top"]) if dims else (1, 0, 1.0)
-    index, asked = index.filter(F.size("v") == dim), asked.filter(F.size("v") == dim)
-    order = F.xxhash64("id")
-    picked = index.select(order.alias("h"), "id", "v").orderBy("h", "id").limit(SAMPLE)
-    picked = columns(picked)["v"]
-    picked = np.stack(picked).astype(float) if len(picked) else np.zeros((0, dim))
-    model = spark.sparkContext.broadcast(learn_rotations(_augment(picked, top)))
-    shards = max(1, -(-total // shard_rows))
-    blocks = max(1, -(-asked.count() // query_rows))
-
-    # A grid of shards and blocks of queries: every stated query meets every shard of the index once.
-    deal = lambda n: F.pmod(F.xxhash64("id", F.lit("deal")), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = index.select(deal(shards).alias("shard"), every(blocks).alias("block"), F.lit(False).alias("asks"), "id", "v")
-    rows = rows.unionByName(asked.select(deal(blocks).alias("block"), every(shards).alias("shard"), F.lit(True).alias("asks"), "id", "v"))
+    asked_of = {r["dim"]: r["count"] for r in asked.groupBy("dim").count().collect()}  # a row for each length
+    found_of = index.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm").alias("top")).orderBy("dim").collect()
+    found_of = {r["dim"]: r for r in found_of if r["dim"] in asked_of}
+    top = {dim: r["top"] for dim, r in found_of.items()}
+    order, rotations = F.xxhash64("id"), {}
+    for dim in found_of:
+        picked = index.filter(F.col("dim") == dim).select(order.alias("h"), "id", "v").orderBy("h", "id").limit(SAMPLE)
+        rotations[dim] = learn_rotations(_augment(np.stack(columns(picked)["v"]).astype(float), top[dim]))
+    model = spark.sparkContext.broadcast(rotations)
+    grid = spark.createDataFrame([(dim, max(1, -(-r["n"] // shard_rows)), max(1, -(-asked_of[dim] // query_rows))) for dim, r in found_of.items()],
+                                 "dim int, shards int, blocks int")
+
+    # A grid of shards and blocks of queries for each length: every stated query meets every shard of its length once.
+    deal = lambda n: F.pmod(F.xxhash64("id", F.lit("deal")), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    index, asked = (x.join(F.broadcast(grid), "dim") for x in (index, asked))  # a row for each length
+    rows = index.select("dim", deal("shards").alias("shard"), every("blocks").alias("block"), F.lit(False).alias("asks"), "id", "v")
+    rows = rows.unionByName(asked.select("dim", deal("blocks").alias("block"), every("shards").alias("shard"), F.lit(True).alias("asks"), "id", "v"))
 
     def look(pdf: pd.DataFrame) -> pd.DataFrame:
         asks = pdf["asks"].to_numpy()
@@ -160,10 +164,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
         if asks.any() and not asks.all():
             pdf = pdf.sort_values(["asks", "id"])
             ids, x = pdf["id"].to_numpy(), np.stack(pdf["v"].to_list()).astype(float)
-            n = int((~asks).sum())
-            found = MultiIndex(codes(_augment(x[:n], top), model.value))
+            n, dim = int((~asks).sum()), x.shape[1]
+            found = MultiIndex(codes(_augment(x[:n], top[dim]), model.value[dim]))
             unit = x[n:] / np.linalg.norm(x[n:], axis=1, keepdims=True)
-            q_codes = codes(np.concatenate((unit, np.zeros((len(unit), 1))), axis=1), model.value)
+            q_codes = codes(np.concatenate((unit, np.zeros((len(unit), 1))), axis=1), model.value[dim])
             bits, radius = q_codes.shape[1] * 8, 0
             for q, qx, code in zip(ids[n:], x[n:], q_codes, strict=True):
                 radius = max(radius - STEP, 0)  # the radius of the query before is a first guess
@@ -181,7 +185,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
                 out += [(q, i, s) for i, s in zip(ids[:n][near][best], score[best], strict=True)]
         return pd.DataFrame(out, columns=["query_id", "id", "score"])
 
-    found = rows.groupBy("shard", "block").applyInPandas(look, "query_id long, id long, score double")
+    found = rows.groupBy("dim", "shard", "block").applyInPandas(look, "query_id long, id long, score double")
     found = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -238,6 +238,19 @@ def test_nearest_neighbours_of_few_or_no_rows(spark):
     assert got == [(0, 1, 20, 1.0), (0, 2, 3, -1.0), (20, 1, 0, 1.0), (20, 2, 3, -1.0)]
 
 
+def test_nearest_neighbours_of_each_length(spark):
+    rng = np.random.default_rng(8)
+    x = {i: rng.normal(size=(12, 5, 1)[i % 3]) for i in range(90)}
+    x[300] = rng.normal(size=7)  # the only one of its length
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in x.items()], "vec_id long, embedding array<double>")
+    got = ann.search(vectors, vectors.filter("vec_id % 10 = 0"), k=4, shard_rows=12, query_rows=2).collect()
+    want = []
+    for q in range(0, 90, 10):
+        ids = np.array([i for i, v in x.items() if len(v) == len(x[q])])
+        want += [(q, rank, i) for rank, i in enumerate(ann.brute_force(np.stack([x[i] for i in ids]), ids, x[q], q, 4).tolist(), 1)]
+    assert sorted((r["query_id"], r["rank"], r["id"]) for r in got) == want
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark, sf):
     import corpus_pipeline as P
     from pagewatch.llm import language_id, toxicity
