@@ -77,21 +77,29 @@ def latest_good_capture(captures: DataFrame, code: str = "200", keep_all: bool =
 
     ts14 and pos are packed into one decimal, so ``max`` is a hash aggregate
     that combines map-side: a hot URL costs one row per map task in the
-    shuffle, no sort and no window. With ``keep_all`` URLs that have captures
-    but no good one are kept with null fields and ``n_captures``.
+    shuffle, no sort and no window. Stamps compare as text, shorter ones too; a
+    null pos comes before all others. A stamp that is not 1 to 14 digits has no
+    place in time: such a capture is counted but never the newest good one. With
+    ``keep_all`` URLs that have captures but no good one are kept with null
+    fields and ``n_captures``.
     """
-    # A position is a non-negative long: 19 digits at most.
-    packed = F.col("ts14").cast("decimal(14,0)").cast("decimal(38,0)") * F.lit(Decimal(10 ** POS_DIGITS)) + F.col("pos")
+    # The stamp filled up with zeros, its length (2 digits), and 0 for a null pos or pos + 1: a non-negative long, 19 digits at most.
+    digits = F.when(F.col("ts14").rlike(r"\A[0-9]{1,14}\z"), F.col("ts14"))
+    stamp = F.concat(F.rpad(digits, 14, "0"), F.lpad(F.length(digits).cast("string"), 2, "0"))
+    place = F.coalesce(F.col("pos").cast("decimal(19,0)") + F.lit(Decimal(1)), F.lit(Decimal(0)))
+    packed = stamp.try_cast("decimal(16,0)").cast("decimal(38,0)") * F.lit(Decimal(10 ** POS_DIGITS)) + place
     agg = captures.groupBy(F.col("original")).agg(
         F.max(F.when(F.col("statuscode") == F.lit(code), packed.cast("decimal(38,0)"))).alias("_best"), F.count(F.lit(1)).alias("n_captures"))
     if not keep_all:
         agg = agg.filter(F.col("_best").isNotNull())
-    digits = F.lpad(F.col("_best").cast("string"), 14 + POS_DIGITS, "0")
+    best = F.lpad(F.col("_best").cast("string"), 16 + POS_DIGITS, "0")
+    ts14 = F.left(best, F.substring(best, 15, 2).cast("int"))
+    place = F.substring(best, 17, POS_DIGITS).cast("decimal(19,0)")
     return agg.select(
         "original",
-        F.substring(digits, 1, 14).alias("ts14"),
-        F.substring(digits, 15, POS_DIGITS).cast("long").alias("pos"),
-        F.when(F.col("_best").isNotNull(), archive_url(F.substring(digits, 1, 14), F.col("original"))).alias("archive_url"),
+        ts14.alias("ts14"),
+        F.when(place > 0, (place - F.lit(Decimal(1))).cast("long")).alias("pos"),
+        F.when(F.col("_best").isNotNull(), archive_url(ts14, F.col("original"))).alias("archive_url"),
         "n_captures",
     )
 

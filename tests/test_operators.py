@@ -25,6 +25,21 @@ def test_latest_good_ties_and_status(spark):
     assert allr["u2"] is None
 
 
+def test_latest_good_of_odd_stamps_and_positions(spark):
+    most = 2 ** 63 - 1
+    rows = [("null pos", "20200101000000", "200", "a", None), ("tie", "20200101000000", "200", "a", None), ("tie", "20200101000000", "200", "b", 0),
+            ("later", "20200101000001", "200", "a", None), ("later", "20200101000000", "200", "b", most), ("most", "99999999999999", "200", "a", most),
+            ("short", "2021", "200", "a", 1), ("short", "20200101000000", "200", "b", 2), ("prefix", "2021", "200", "a", 9), ("prefix", "20210000000000", "200", "b", 1),
+            ("zeros", "00000000000000", "200", "a", 0), ("zeros", "0", "200", "b", 5),
+            *(("mixed", t, "200", "x", 7) for t in (None, "", "abc", "1e3", " 2030", "-2030", "2030\n", "209901010000001")), ("mixed", "20200101000000", "200", "b", 3),
+            ("malformed", "soon", "200", "a", 1)]
+    got = {r["original"]: tuple(r)[1:] for r in latest_good_capture(spark.createDataFrame(rows, CAP), keep_all=True).collect()}
+    best = {u: x[:2] for u, x in got.items()}
+    assert best == {"null pos": ("20200101000000", None), "tie": ("20200101000000", 0), "later": ("20200101000001", None), "most": ("99999999999999", most),
+                    "short": ("2021", 1), "prefix": ("20210000000000", 1), "zeros": ("00000000000000", 0), "mixed": ("20200101000000", 3), "malformed": (None, None)}
+    assert got["mixed"][3] == 9 and got["malformed"][2:] == (None, 1) and got["null pos"][2].endswith("/20200101000000/null pos")
+
+
 def test_capture_cap_and_filters(spark):
     rows = [("https://www.a.example/x", f"2020010{i}000000", "200", None, i) for i in range(1, 6)]
     rows += [("http://b.example/y", "20200301000000", "200", None, 9)]
