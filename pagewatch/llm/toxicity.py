@@ -62,7 +62,8 @@ def sample(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic",
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on the bounded sample of ``labels``; the prior is that of all labelled rows.
 
-    Null labels and ids teach nothing. Without both classes the model scores
+    Null labels and ids teach nothing. Of documents with one id the text with
+    the smallest hash teaches, whatever the order of rows; an id labelled both ways counts as toxic. Without both classes the model scores
     every text with the share of toxic labels (0 without any).
     """
     share = labels.filter(F.col(f"`{label_col}`").isin(0, 1)).agg(F.avg(F.col(f"`{label_col}`").cast("double"))).first()[0] or 0.0
@@ -73,12 +74,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for pdf in parts:
             yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "f": [x.astype("<i4").tobytes() for t in pdf["text"] for x in f.of([t or ""])]})
 
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    # At most sum(SAMPLE) ids are broadcast; the sample's features come to the driver to be fitted.
-    rows = texts.join(F.broadcast(picked), "id").mapInPandas(features, "id long, y int, f binary")
-    got = columns(rows)
-    first = np.unique(got["id"], return_index=True)[1]  # one of repeated documents, in the order of ids
-    return fit([np.frombuffer(f, "<i4") for f in got["f"][first]], got["y"][first].astype(float), share)
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    # At most sum(SAMPLE) ids are broadcast, and each map task sends one text an id on; the features of one text an id come to the driver to be fitted.
+    rows = texts.join(F.broadcast(picked), "id").groupBy("id").agg(
+        F.max("y").alias("y"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first"))
+    got = columns(rows.select("id", "y", "first.text").mapInPandas(features, "id long, y int, f binary"))
+    order = np.argsort(got["id"], kind="stable")
+    return fit([np.frombuffer(f, "<i4") for f in got["f"][order]], got["y"][order].astype(float), share)
 
 
 def fit(features: list[np.ndarray], y: np.ndarray, share: float) -> Model:

@@ -214,6 +214,19 @@ def test_toxicity_learns_and_scores(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_trains_on_one_text_an_id(spark, monkeypatch):
+    rows = [(i, f"{'you idiot' if i % 2 else 'a kind word'} number {i}") for i in range(40)]
+    rows += [(7, f"copy {i} of an idiot") for i in range(60)] + [(8, None)] * 3 + [(9, rows[9][1])] * 30
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(4, 1)], "doc_id long, toxic int")
+    sent, models, columns = [], [], toxicity.columns
+    monkeypatch.setattr(toxicity, "columns", lambda df: sent.append(columns(df)) or sent[-1])
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        models.append(toxicity.train(docs, labels))
+    assert [len(x["id"]) for x in sent] == [40, 40]
+    assert (models[0].weights == models[1].weights).all() and models[0].intercept == models[1].intercept
+
+
 def test_toxicity_without_both_classes(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
     for labels in ([], [(1, 0)]):
