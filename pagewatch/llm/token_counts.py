@@ -1,14 +1,17 @@
 """Token counts of huge documents by overlap resynchronisation.
 
 A huge text is cut into chunks that overlap; every chunk is a row of its own,
-so many tasks encode one document. Each chunk is encoded with offsets. Where
-two neighbours overlap they must share a stable boundary: a position where a
+so many tasks encode one document. No token offsets are read: instead of whole
+chunks, the units of text between stable boundaries are encoded, each alone and
+each new one once, and only their numbers of tokens are kept. Where two
+neighbours overlap they must share a stable boundary: a position where a
 surely non-blank character meets a blank one. No token of a byte-level
 vocabulary with the usual split pattern reaches from a non-blank into a blank
 character, and that pattern looks ahead only inside blanks, so what stands on
 either side is encoded alike whatever lies beyond. The counts left and right of
 the shared boundary are spliced. Where an overlap has none, it is doubled and
-the document's chunks are encoded again, in the end up to its whole text.
+the document's chunks are encoded again, in the end up to its whole text: a
+huge text without space or newline has no boundary, and one task encodes all of it.
 """
 
 from __future__ import annotations
