@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, scratch_path
-from . import ann, bpe_codec, embedding_dedup, language_id, lm_scoring, mixing, simhash, token_counts, toxicity, warc
+from . import (
+    ann, bpe_codec, centroid_clusters, embedding_dedup, exact_topk, language_id, lm_scoring, mixing, simhash, token_counts, toxicity, warc)
 from .common import crc_mod, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,6 +152,55 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
             .orderBy(F.col("first_position").asc_nulls_last(), "doc_id"))
 
 
+CENTROID_ROUNDS = "".join(f"""
+a{i} AS (SELECT r, unnest(arg_min({{'c': cluster, 'd': d}}, (d, cluster)), recursive := true)
+       FROM (SELECT v.r, c.cluster, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS d FROM v JOIN c{i} c USING (p) GROUP BY v.r, c.cluster) GROUP BY r),
+m{i} AS (SELECT a.c AS cluster, v.p, sum(v.x)::BIGINT AS s, count(*)::BIGINT AS n FROM v JOIN a{i} a USING (r) GROUP BY a.c, v.p),
+c{i + 1} AS (SELECT c.cluster, c.p, CASE WHEN n IS NULL THEN c.x ELSE (s - ((s % n) + n) % n) // n END AS x FROM c{i} c LEFT JOIN m{i} m USING (cluster, p)),""" for i in range(3))
+CENTROID_SQL = f"""
+WITH e AS (SELECT vec_id, row_number() OVER () AS r, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS x
+           FROM embeddings WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = 64),
+f AS (SELECT r, row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR) NULLS LAST, x) - 1 AS cluster FROM e),
+v AS (SELECT r, unnest(x) AS x, generate_subscripts(x, 1) AS p FROM e),
+c0 AS (SELECT f.cluster, v.p, v.x FROM f JOIN v USING (r) WHERE f.cluster < 16),{CENTROID_ROUNDS}
+a3 AS (SELECT r, unnest(arg_min({{'c': cluster, 'd': d}}, (d, cluster)), recursive := true)
+       FROM (SELECT v.r, c.cluster, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS d FROM v JOIN c3 c USING (p) GROUP BY v.r, c.cluster) GROUP BY r),
+h AS (SELECT cluster, sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY p)) AS centroid_sha256 FROM c3 GROUP BY cluster)
+SELECT e.vec_id, a.c::INT AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+       (sum(a.d) OVER ())::BIGINT AS inertia, h.centroid_sha256
+FROM e JOIN a3 a USING (r) JOIN h ON h.cluster = a.c
+"""
+
+
+@register("op12_centroid_clusters", CENTROID_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centroids = centroid_clusters.cluster(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    numbers = F.array_join(F.transform("centroid", lambda x: x.cast("string")), ",").cast("binary")
+    of = centroids.select("cluster", F.col("inertia").alias("cluster_inertia"), F.sha2(numbers, 256).alias("centroid_sha256"))
+    total = centroids.agg(F.sum("inertia").alias("inertia"))
+    found = found.join(F.broadcast(of), "cluster").join(F.broadcast(total))  # a row a centroid, and one row
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+TOPK_SQL = """
+WITH v AS (SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)),
+e AS (SELECT vec_id, row_number() OVER () AS r, len(x) AS n, unnest(x) AS x, generate_subscripts(x, 1) AS p FROM v),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, q.r, d.r AS dr, sum(q.x * d.x)::BIGINT AS score
+      FROM e q JOIN e d ON q.p = d.p AND q.n = d.n AND q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0 GROUP BY ALL),
+b AS (SELECT query_id, vec_id, max(score) AS score FROM s GROUP BY ALL)
+SELECT query_id, (row_number() OVER w)::INT AS rank, vec_id, score FROM b
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 10
+"""
+
+
+@register("op13_exact_topk", TOPK_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = exact_topk.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 @register("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
