@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, scratch_path
 from . import (
-    ann, bpe_codec, centroid_clusters, embedding_dedup, exact_topk, language_id, lm_scoring, mixing, simhash, token_counts, toxicity, warc)
+    ann, bpe_codec, centroid_clusters, conversation_repair, embedding_dedup, exact_topk, language_id, lm_scoring, mixing, simhash, token_counts, toxicity, warc)
 from .common import crc_mod, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -201,6 +201,76 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+REPAIR_SQL = r"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+z AS (SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], [ord(c)::BIGINT FOR c IN string_split(key, '')]), lambda crc, b:
+             list_reduce(list_concat([xor(crc, b)], [0::BIGINT FOR i IN range(8)]), lambda x, i:
+               CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 20 AS kind FROM k),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                   CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                   unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM z),
+r0 AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged),
+r1 AS (SELECT *, left(role, 1) AS x, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+              CASE WHEN rtrim(text, E' \t\n\x0b\x0c\r') = '' THEN 'blank'
+                   WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                   WHEN right(rtrim(text, E' \t\n\x0b\x0c\r'), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM r0),
+counts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+                  count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                  count(*) FILTER (fault = 'truncated') AS truncated,
+                  count(*) FILTER (before IS NOT NULL AND before || x NOT IN ('su', 'ua', 'au')) AS illegal FROM r1 GROUP BY conv_id),
+next(q, x, q2) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+moves AS (SELECT '-' AS op, q, '' AS x, q AS q2, 0 AS price FROM range(4) t(q) UNION ALL SELECT 'D', q, '', q, 4 FROM range(4) t(q)
+          UNION ALL SELECT 'K', q, x, q2, 0 FROM next UNION ALL SELECT 'R', q, x, q2, 3 FROM next WHERE x <> 's'
+          UNION ALL SELECT 'I', q, x, q2, 3 FROM next WHERE x <> 's'),
+-- Three steps a row: two insertions at most, then the row's own edit; after the last row two more insertions.
+place(conv_id, n, t, q, cost, audit) AS (
+  SELECT conv_id, n, 0, 0::BIGINT, 0::BIGINT, '' FROM counts
+  UNION ALL
+  SELECT conv_id, n, t, q, cost, audit FROM (
+    SELECT p.conv_id, p.n, p.t + 1 AS t, m.q2 AS q, p.audit || CASE m.op WHEN '-' THEN '' ELSE m.op END AS audit,
+           p.cost + m.price + CASE WHEN m.op IN ('K', 'R') AND r.fault = 'truncated' THEN 3 ELSE 0 END AS cost
+    FROM place p JOIN moves m ON m.q = p.q
+    LEFT JOIN r1 r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND p.t % 3 = 2 AND r.i = p.t // 3 + 1
+    WHERE p.t < 3 * p.n + 2 AND CASE WHEN p.t % 3 < 2 THEN m.op IN ('-', 'I')
+          ELSE m.op = 'D' OR (r.fault IN ('', 'truncated') AND (m.op = 'R' OR (m.op = 'K' AND m.x = r.x))) END)
+  QUALIFY row_number() OVER (PARTITION BY conv_id, q ORDER BY cost, audit) = 1),
+best AS (SELECT conv_id, cost, audit FROM place WHERE t = 3 * n + 2 AND q IN (0, 3)
+         QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1),
+letters AS (SELECT conv_id, j, substr(audit, j, 1) AS op FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS j FROM best)),
+numbered AS (SELECT *, count(*) FILTER (op <> 'I') OVER w AS i, count(*) FILTER (op <> 'D') OVER w AS o FROM letters
+             WINDOW w AS (PARTITION BY conv_id ORDER BY j)),
+said AS (SELECT l.conv_id, l.j, l.o, l.op, r.role, CASE WHEN l.op = 'I' THEN '' ELSE r.text END AS text,
+                max(CASE WHEN l.o = 1 AND l.op = 'K' AND r.x = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS s
+         FROM numbered l LEFT JOIN r1 r ON r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.i = l.i AND l.op <> 'I' WHERE l.op <> 'D'),
+lines AS (SELECT conv_id, string_agg(CASE WHEN op = 'K' THEN role WHEN (o - s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j) AS t
+          FROM said GROUP BY conv_id),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM ids LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM ids.conv_id
+LEFT JOIN lines l ON l.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
+
+
+@register("op11_conversation_repair", REPAIR_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversation_repair.damage(read(spark, sf_dir, "conversations"))
+    return conversation_digests(conversation_repair.repair(damaged, copies=F.col("copies")))
+
+
+def conversation_digests(repaired: conversation_repair.Repaired) -> DataFrame:
+    """Counts, audit and SHA-256 of the repaired lines of each conversation; lines of cut conversations are digested part by part."""
+    rows = repaired.conversations
+    lines = F.array_join(F.transform("repaired", lambda r: F.concat(r["role"], F.lit(":"), r["text"])), "\n")
+    whole = rows.filter("repaired IS NOT NULL").withColumn("repaired_sha256", F.sha2(lines.cast("binary"), 256)).drop("repaired")
+    parts = conversation_repair.sha256_of_parts(repaired.parts).select(F.col("conv").alias("_conv"), F.col("sha256").alias("repaired_sha256"))
+    cut = rows.filter("repaired IS NULL").drop("repaired")
+    cut = cut.join(parts, cut["conv"].eqNullSafe(parts["_conv"]), "left").drop("_conv")
+    return whole.unionByName(cut).withColumnRenamed("conv", "conv_id")
+
+
 @register("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
