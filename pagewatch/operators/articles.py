@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import markdown_to_plain
-from ..session import ensure_checkpoint_dir, spread
+from ..session import ensure_checkpoint_dir, spread, store
 
 
 def articles_from_findings(findings: DataFrame, verdict: str = "deleted", id_expr: Column | None = None) -> DataFrame:
@@ -101,7 +101,7 @@ def translate(articles: DataFrame, cache: DataFrame, translate_fn: Callable | No
     if translate_fn is not None:
         ensure_checkpoint_dir(articles.sparkSession)  # ships this package to the Python workers
         new = misses.mapInPandas(_batch_translator(translate_fn, batch_size), "src_sha1 string, text_out string, ok boolean")
-        new = new.checkpoint()
+        new = store(new, "translations")
     else:
         new = dictionary_translate(misses, dictionary)
     known = usable.select("src_sha1", "text_out", "ok").unionByName(new.select("src_sha1", "text_out", "ok"))

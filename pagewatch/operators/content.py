@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.urls import url_host
-from ..session import ensure_checkpoint_dir, spread
+from ..session import ensure_checkpoint_dir, spread, store
 
 
 def page_blocks(pages: DataFrame, key: str = "page_id", url_col: str = "url", html_col: str = "html",
@@ -65,7 +65,7 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url_col: str = "ur
     ids = pages.select(key)
     if keep is not None:
         blocks, ids = blocks.join(keep, key, "left_semi"), ids.join(keep, key, "left_semi")
-    blocks = blocks.checkpoint()
+    blocks = store(blocks, "blocks")
     bp = boilerplate_blocks(blocks, min_pages, share, key, page_col)
     kept = blocks.join(bp.select("host", "block_hash"), ["host", "block_hash"], "left_anti")
     joined = (kept.groupBy(key)

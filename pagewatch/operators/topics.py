@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import KEYWORDS_LEAD, snippet, topic_description
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, store
 
 # Fixed values of the summary's layout.
 SUMMARY_KEYWORDS = 8
@@ -28,7 +28,7 @@ def ctfidf(tokens: DataFrame, class_col: str = "cluster", k: int = 30, decimals:
     # tf feeds three consumers; checkpoint the (small) aggregate so the token
     # stream is produced once.
     ensure_checkpoint_dir(tokens.sparkSession)
-    tf = tokens.groupBy(class_col, "term").agg(F.count(F.lit(1)).alias("tf")).checkpoint()
+    tf = store(tokens.groupBy(class_col, "term").agg(F.count(F.lit(1)).alias("tf")), "term_counts")
     words = tf.groupBy(class_col).agg(F.sum("tf").alias("W"))
     freq = tf.groupBy("term").agg(F.sum("tf").alias("f"))
     # A (mean words per class) is one number: fetch it as a literal instead of

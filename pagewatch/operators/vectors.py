@@ -4,9 +4,9 @@ The built-in encoder is native Spark: hashed term counts (md5 bucket of each
 token), L2-normalised. A model encoder plugs in as a batch function through
 ``mapInPandas`` (Arrow batches; the function loads its model once per worker).
 
-Similarity is exact. Vectors are hashed into ``nb = ceil(n / block_size)`` blocks; every
-block pair (a <= b) is one group holding at most two blocks, so each task
-multiplies two bounded matrices. ``similarity_pairs`` emits the pairs at or
+Similarity is exact. Vectors are dealt to pages around pivots (``cells.py``); a pair of pages whose
+pivots and radii leave room for a similar pair is one group of at most two pages, so each task
+multiplies two bounded matrices, and pages that cannot meet are never shuffled to one another. ``similarity_pairs`` emits the pairs at or
 above the threshold; ``degrees`` and ``core_graph`` give what density clusters
 need of them (a count per vector, a forest of core links and each border
 vector's best core), so no table of all pairs is written.
@@ -19,10 +19,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, spread
+from ..session import ensure_checkpoint_dir, spread, store
+from .cells import Pages, deal_pages
 from .joins import merge_labels
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
@@ -88,21 +91,10 @@ def embed(df: DataFrame, id_col: str = "article_id", text_col: str = "text_src",
     return spread(df.select(id_col, text_col)).mapInPandas(run, f"{id_col} long, vec array<double>")
 
 
-def _blocks(vectors: DataFrame, n: int, id_col: str, vec_col: str, block_size: int, extra=()) -> DataFrame:
-    """Rows (a, b, side, id, vec, extra): every pair of blocks a <= b with the vectors of both.
-
-    Vector ``v`` in block ``k`` is sent to block pairs (k, b) for b >= k as the
-    left side and (a, k) for a <= k as the right side; pairs are generated
-    with ``explode(sequence)`` (no cross join).
-    """
-    nb = max(1, math.ceil(n / block_size))
-    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), *extra,
-                       F.pmod(F.xxhash64(F.col(id_col)), F.lit(nb)).cast("int").alias("blk"))
-    left = v.select("id", "vec", *extra, F.col("blk").alias("a"), F.explode(F.sequence("blk", F.lit(nb - 1))).alias("b"),
-                    F.lit(0).alias("side"))
-    right = v.select("id", "vec", *extra, F.explode(F.sequence(F.lit(0), "blk")).alias("a"), F.col("blk").alias("b"),
-                     F.lit(1).alias("side"))
-    return left.unionByName(right)
+def pages_of(vectors: DataFrame, threshold: float, id_col: str = "article_id", vec_col: str = "vec",
+             block_size: int = 2048, decimals: int = 6) -> Pages:
+    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
+    return deal_pages(v, threshold, decimals, block_size)
 
 
 def _similar(pdf: pd.DataFrame, threshold: float, decimals: int):
@@ -119,29 +111,115 @@ def _similar(pdf: pd.DataFrame, threshold: float, decimals: int):
     return left, right, sims, hit
 
 
-def similarity_pairs(vectors: DataFrame, threshold: float, id_col: str = "article_id", vec_col: str = "vec",
-                     block_size: int = 2048, decimals: int = 6, checkpoint_input: bool = True) -> DataFrame:
-    """Every pair ``i < j`` with cosine (rounded to ``decimals``) >= ``threshold``, exactly."""
+def _found(pdf: pd.DataFrame, threshold: float, decimals: int, most: int | None, first_band: bool = False) -> pd.DataFrame:
+    """(i, j, cosine) of a block pair: each pair once, or with ``most`` the best partners of each vector, both ways."""
+    got = _similar(pdf, threshold, decimals)
+    if got is None:
+        return pd.DataFrame({"i": [], "j": [], "cosine": []})
+    left, right, sims, hit = got
+    if first_band:  # a pair is found in the first band of which it shares the key
+        lk, rk, band = np.stack(left["keys"].to_list()), np.stack(right["keys"].to_list()), pdf["band"].iloc[0]
+        r, c = np.nonzero(hit)
+        hit[r, c] = (lk[r] == rk[c]).argmax(1) == band
+    li, ri = left["id"].to_numpy(), right["id"].to_numpy()
+    if most is None:
+        r, c = np.nonzero(hit)
+        i, j = li[r], ri[c]
+        keep = (i < j) | (pdf["a"].iloc[0] != pdf["b"].iloc[0])
+        return pd.DataFrame({"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "cosine": sims[r, c][keep]})
+    frames = []
+    for mine, other, s, h in ((li, ri, sims, hit), (ri, li, sims.T, hit.T))[:1 if pdf["a"].iloc[0] == pdf["b"].iloc[0] else 2]:
+        r, c = np.nonzero(h)
+        order = np.lexsort((other[c], -s[r, c], r))
+        r, c = r[order], c[order]
+        best = np.arange(len(r)) - np.searchsorted(r, r) < most
+        frames.append(pd.DataFrame({"i": mine[r[best]], "j": other[c[best]], "cosine": s[r[best], c[best]]}))
+    return pd.concat(frames, ignore_index=True)
+
+
+PAIRS = "i long, j long, cosine double"
+
+
+def similarity_pairs(vectors: DataFrame, threshold: float, method: str = "blocked", max_neighbours: int | None = None,
+                     id_col: str = "article_id", vec_col: str = "vec", block_size: int = 2048, decimals: int = 6,
+                     checkpoint_input: bool = True, recall: float = 0.97) -> DataFrame:
+    """Every pair ``i < j`` with cosine (rounded to ``decimals``) >= ``threshold``.
+
+    ``blocked`` is exact. ``lsh`` looks at pairs that share a key of one of some bands of random hyperplanes (their number
+    follows from ``recall``, the share of pairs at the threshold that should be found); what it finds is checked exactly.
+    With ``max_neighbours`` only pairs are kept of which one is among the other's best (ties to the smaller id).
+    """
     ensure_checkpoint_dir(vectors.sparkSession)  # also ships this package to the Python workers
     if checkpoint_input:  # counted, then read again: compute the vectors once
-        vectors = vectors.checkpoint()
+        vectors = store(vectors, "vectors")
+    if method == "blocked":
+        rows = pages_of(vectors, threshold, id_col, vec_col, block_size, decimals).blocks()
+        keys = ["a", "b"]
+    elif method == "lsh":
+        v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
+        rows, keys = _banded(v, threshold, block_size, recall), ["band", "key", "a", "b"]
+    else:
+        raise ValueError(f"method is blocked or lsh, not {method}")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = _similar(pdf, threshold, decimals)
-        if got is None:
-            return pd.DataFrame({"i": [], "j": [], "cosine": []})
-        left, right, sims, hit = got
-        r, c = np.nonzero(hit)
-        i, j = left["id"].to_numpy()[r], right["id"].to_numpy()[c]
-        keep = (i < j) | (pdf["a"].iloc[0] != pdf["b"].iloc[0])  # each unordered pair once
-        return pd.DataFrame({"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "cosine": sims[r, c][keep]})
+        return _found(pdf, threshold, decimals, max_neighbours, method == "lsh")
+
+    found = rows.groupBy(*keys).applyInPandas(run, PAIRS)
+    if max_neighbours is None:
+        return found
+    rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("cosine"), "j"))
+    best = found.withColumn("no", rank).filter(F.col("no") <= max_neighbours)
+    return best.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "cosine").distinct()
 
-    rows = _blocks(vectors, vectors.count(), id_col, vec_col, block_size)
-    return rows.groupBy("a", "b").applyInPandas(run, "i long, j long, cosine double")
 
+def lsh_bands(threshold: float, spread: float, n: int, block_size: int, recall: float) -> tuple[int, int]:
+    """(bits of a key, bands): keys long enough that most hold a block at most, bands enough for ``recall`` at the threshold.
 
-def degrees(vectors: DataFrame, n: int, threshold: float, id_col: str = "article_id", vec_col: str = "vec",
-            block_size: int = 2048, decimals: int = 6) -> DataFrame:
+    ``spread``: squared length of the vectors that the hyperplanes cut; the shorter, the wider the angle of a similar pair.
+    """
+    bits = max(6, math.ceil(math.log2(max(n / block_size, 1))) + 2)
+    cosine = 1 - (1 - threshold) / max(spread, 1e-9)
+    equal = (1 - math.acos(max(-1.0, min(1.0, cosine))) / math.pi) ** bits
+    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - equal))) if equal < 1 else 1
+
+
+def _banded(vectors: DataFrame, threshold: float, block_size: int, recall: float, seed: int = 11) -> DataFrame:
+    """Rows (band, key, a, b, side, id, vec, keys): groups of equal keys, large ones as pairs of blocks of bounded size.
+
+    The mean of all unit vectors is taken off first, so hyperplanes part vectors that share a direction, unless that
+    leaves a fiftieth of them so short that similar pairs would stand far apart.
+    """
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+    unit = store(vectors.filter(norm > 0).withColumn("u", F.transform("vec", lambda x: x / norm)), "lsh_units")
+    stats = unit.agg(Summarizer.mean(array_to_vector("u")).alias("mean"), F.count("*").alias("n")).first()
+    mean = np.zeros(1) if stats["mean"] is None else stats["mean"].toArray()
+    off = F.aggregate(F.zip_with("u", F.array(*[F.lit(float(m)) for m in mean]), lambda x, m: (x - m) * (x - m)), F.lit(0.0), lambda s, x: s + x)
+    spread = unit.agg(F.percentile_approx(off, 0.02)).first()[0] or 1.0
+    if spread < 1.5 * (1 - threshold):
+        mean, spread = np.zeros(len(mean)), 1.0
+    bits, bands = lsh_bands(threshold, spread, stats["n"], block_size, recall)
+    planes = np.random.default_rng(seed).normal(size=(len(mean), bands * bits))
+    weight = 1 << np.arange(bits, dtype=np.int64)
+
+    @F.pandas_udf("array<long>")
+    def keys(u: pd.Series) -> pd.Series:
+        if not len(u):
+            return pd.Series([], dtype=object)
+        side = (np.stack(u.to_list()) - mean) @ planes > 0
+        return pd.Series(list(side.reshape(len(u), bands, bits) @ weight))
+
+    rows = store(unit.select("id", "vec", keys("u").alias("keys")), "lsh_keys")
+    each = rows.select("id", "vec", "keys", F.posexplode("keys").alias("band", "key"))
+    sizes = each.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    parts = sizes.select("band", "key", F.ceil(F.col("n") / block_size).cast("int").alias("parts"))
+    at = each.join(parts, ["band", "key"]).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    left = at.withColumn("a", F.col("blk")).withColumn("b", F.explode(F.sequence("blk", F.col("parts") - 1))).withColumn("side", F.lit(0))
+    right = at.withColumn("b", F.col("blk")).withColumn("a", F.explode(F.sequence(F.lit(0), "blk"))).withColumn("side", F.lit(1))
+    columns = ["band", "key", "a", "b", "side", "id", "vec", "keys"]
+    return left.select(*columns).unionByName(right.select(*columns))
+
+
+def degrees(pages: Pages, threshold: float, decimals: int = 6) -> DataFrame:
     """(id, degree): how many other vectors are at or above the threshold; vectors without any are left out."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         got = _similar(pdf, threshold, decimals)
@@ -154,14 +232,12 @@ def degrees(vectors: DataFrame, n: int, threshold: float, id_col: str = "article
         ids, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         return pd.DataFrame({"id": ids[n > 0], "n": n[n > 0]})
 
-    rows = _blocks(vectors, n, id_col, vec_col, block_size)
-    return rows.groupBy("a", "b").applyInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("degree"))
+    return pages.blocks().groupBy("a", "b").applyInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("degree"))
 
 
-def core_graph(vectors: DataFrame, n: int, threshold: float, id_col: str = "article_id", vec_col: str = "vec",
-               core_col: str = "core", block_size: int = 2048, decimals: int = 6) -> DataFrame:
+def core_graph(pages: Pages, flags: DataFrame, threshold: float, core_col: str = "core", decimals: int = 6) -> DataFrame:
     """(border, i, j, cosine): links that join all linked cores (border false), and per block pair the
-    best core j of each other vector i (border true; ties to the smaller id)."""
+    best core j of each other vector i (border true; ties to the smaller id). ``flags``: (id, core) of the vectors that have links."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         got = _similar(pdf, threshold, decimals)
         out = {"border": [], "i": [], "j": [], "cosine": []}
@@ -182,5 +258,4 @@ def core_graph(vectors: DataFrame, n: int, threshold: float, id_col: str = "arti
             frames.append(pd.DataFrame({"border": True, "i": mine[k], "j": other[best[k]], "cosine": masked[k, best[k]]}))
         return pd.concat(frames, ignore_index=True)
 
-    rows = _blocks(vectors, n, id_col, vec_col, block_size, extra=(core_col,))
-    return rows.groupBy("a", "b").applyInPandas(run, "border boolean, i long, j long, cosine double")
+    return pages.blocks(flags).groupBy("a", "b").applyInPandas(run, "border boolean, i long, j long, cosine double")

@@ -13,7 +13,7 @@ from ..operators.topics import (centroid_similarity, centroids, cluster_payload,
                                 summary_heading, topic_counts, topic_label, topic_sizes, topic_summary)
 from ..operators.vectors import embed, hashed_weights, similarity_pairs, tokenise
 from ..registry import register
-from ..session import scratch_path, table
+from ..session import scratch_path, store, table
 from ..sinks.writers import CSV, write_cluster_csv, write_cluster_payload
 from .cluster import cluster_articles
 from .queries_io import FINDINGS_SQL
@@ -207,6 +207,31 @@ def q_similarity_pairs(spark, d):
     return similarity_pairs(vectors(spark, d), THRESHOLD)
 
 
+MOST = 3
+
+
+@register("similarity_neighbours", f"""WITH arts AS ({ARTS}), {weights_ctes()}, {PAIRS_CTE},
+d AS (SELECT i, j, cosine FROM pairs UNION ALL SELECT j, i, cosine FROM pairs),
+r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY cosine DESC, j) AS no FROM d)
+SELECT DISTINCT least(i, j) AS i, greatest(i, j) AS j, cosine FROM r WHERE no <= {MOST}""")
+def q_similarity_neighbours(spark, d):
+    """D8 with at most three partners a vector: a bounded top-k in each block pair, then over all."""
+    return similarity_pairs(vectors(spark, d), THRESHOLD, max_neighbours=MOST)
+
+
+@register("similarity_lsh_recall", f"""WITH arts AS ({ARTS}), {weights_ctes()}, {PAIRS_CTE}
+SELECT count(*) AS pairs, true AS recall_reached, cast(0 AS BIGINT) AS wrong FROM pairs""")
+def q_similarity_lsh_recall(spark, d):
+    """D8 by hyperplane bands held against the exact pairs: their number, whether 0.9 of them are found, and pairs that are none."""
+    v = store(vectors(spark, d), "vectors")
+    exact = similarity_pairs(v, THRESHOLD, checkpoint_input=False).select("i", "j", F.lit(1).alias("is_pair"))
+    found = similarity_pairs(v, THRESHOLD, method="lsh", checkpoint_input=False).select("i", "j", F.lit(1).alias("is_found"))
+    both = exact.join(found, ["i", "j"], "full")
+    hits = F.count_if(F.col("is_pair").isNotNull() & F.col("is_found").isNotNull())
+    return both.agg(F.count("is_pair").alias("pairs"), (hits >= 0.9 * F.count("is_pair")).alias("recall_reached"),
+                    F.count_if(F.col("is_pair").isNull()).alias("wrong"))
+
+
 @register("connected_components", f"""WITH RECURSIVE arts AS ({ARTS}), {weights_ctes()}, {PAIRS_CTE},
 e AS (SELECT i AS src, j AS dst FROM pairs UNION ALL SELECT j, i FROM pairs),
 r(x, l) AS (SELECT DISTINCT src, src FROM e UNION SELECT e.dst, r.l FROM r JOIN e ON e.src = r.x)

@@ -3,8 +3,10 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from pagewatch.operators import cells
 from pagewatch.operators.clustering import connected_components, dense_rank_ids, density_clusters
 from pagewatch.operators.vectors import similarity_pairs
 
@@ -51,6 +53,69 @@ def test_similarity_pairs_brute_force(spark):
     assert got == want
 
 
+def clustered(groups, per, dim=16, noise=0.03, seed=3):
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(groups, dim))
+    return base[np.arange(groups * per) % groups] + noise * rng.normal(size=(groups * per, dim))
+
+
+def brute_pairs(x, threshold):
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    unit = x / np.where(norm == 0, 1, norm)
+    sims = np.round(unit @ unit.T, 6)
+    return {(i, j): sims[i, j] for i in range(len(x)) for j in range(i + 1, len(x)) if sims[i, j] >= threshold}
+
+
+@pytest.mark.parametrize("threshold", [0.95, -0.2])
+def test_cells_of_many_levels_lose_no_pair(spark, threshold):
+    x = np.vstack((clustered(9, 25), np.zeros((2, 16)), np.random.default_rng(1).normal(size=(60, 16)), np.ones((30, 16))))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>").checkpoint()
+    pages = cells.deal_pages(df, threshold, 6, 12, pivots=3)
+    blocks = pages.blocks().toPandas()
+    assert pages.rows.count() == len(x) and blocks["a"].str.len().max() >= 6  # two digits a level
+    assert blocks.groupby(["a", "b", "side"]).size().max() <= 2 * 12  # what no pivots part is dealt by hash
+    met = set()
+    for _, g in blocks.groupby(["a", "b"]):
+        for i in g["id"][g["side"] == 0]:
+            met |= {(min(i, j), max(i, j)) for j in g["id"][g["side"] == 1]}
+    assert set(brute_pairs(x, threshold)) <= met
+
+
+def test_copies_of_a_vector_do_not_grow_with_the_table(spark):
+    """Twice the clusters, so twice the vectors: a vector still meets the pages of its own neighbourhood only."""
+    copies = []
+    for groups in (16, 32, 64):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(clustered(groups, 30, dim=24))], "id long, vec array<double>").checkpoint()
+        n = cells.deal_pages(df, 0.95, 6, 60, pivots=64).blocks().count()
+        copies.append(n / (groups * 30))
+    assert max(copies) <= 1.5 * copies[0] and copies[-1] < 8, copies
+
+
+def test_lsh_finds_most_pairs_and_nothing_else(spark):
+    x = np.abs(clustered(20, 15, noise=0.12)) + 0.3
+    want = brute_pairs(x, 0.98)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, [0.0] * 16)], "article_id long, vec array<double>")
+    got = [(r["i"], r["j"], r["cosine"]) for r in similarity_pairs(df, 0.98, method="lsh", block_size=20).collect()]
+    assert len({g[:2] for g in got}) == len(got) and all(want[g[:2]] == g[2] for g in got)
+    print("recall", len(got) / len(want))
+    assert len(got) >= 0.9 * len(want)
+    with pytest.raises(ValueError):
+        similarity_pairs(df, 0.98, method="guess")
+
+
+@pytest.mark.parametrize("method", ["blocked", "lsh"])
+def test_max_neighbours_keeps_the_best(spark, method):
+    x = clustered(4, 30, noise=0.1)
+    sims = brute_pairs(x, 0.9)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "article_id long, vec array<double>")
+    got = {(r["i"], r["j"]) for r in similarity_pairs(df, 0.9, method=method, max_neighbours=2, block_size=25, recall=0.999999).collect()}
+    want = set()
+    for i in range(len(x)):
+        near = sorted((-c, a + b - i) for (a, b), c in sims.items() if i in (a, b))[:2]
+        want |= {(min(i, j), max(i, j)) for _, j in near}
+    assert got == want
+
+
 def test_density_clusters_equal_plain_dbscan(spark):
     rng = np.random.default_rng(8)
     base = rng.normal(size=(5, 12))
