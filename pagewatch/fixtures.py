@@ -94,7 +94,7 @@ def archive_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def live_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live observations (M5): 404, 500, 410, network error, edited and layout-only pages;
-    every sixth page has an older observation (404) besides."""
+    every sixth page has an older observation besides: a 404, or, every twelfth, the page as the archive has it."""
     p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     code = (F.when(_pid() % 23 == 0, F.lit(None).cast("int"))
             .when(_pid() % 5 == 0, F.lit(404))
@@ -113,7 +113,8 @@ def live_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(code.isNull(), F.lit("timeout")).alias("error"),
     )
     older = p.filter(_pid() % 6 == 0).select(
-        F.col("url"), F.lit(404).alias("status_code"), F.lit("<p>gone</p>").alias("html"),
+        F.col("url"), F.when(_pid() % 12 == 0, 200).otherwise(404).alias("status_code"),
+        F.when(_pid() % 12 == 0, F.col("html")).otherwise("<p>gone</p>").alias("html"),
         F.concat(day, F.lit("T06:00:00")).alias("fetched_at"), F.lit(None).cast("string").alias("error"))
     return newest.unionByName(older)
 

@@ -43,10 +43,12 @@ TAG_RE = r"<[^>]*>"
 COMMENT_TAGS = ["div", "section", "ul", "ol", "aside", "article"]
 COMMENT_NAMES = ["comment", "comments", "commentlist", "comment-list", "disqus_thread"]
 RAW_TAGS = ["script", "style"]  # their content is no markup
-EDGE_WS_RE = r"^[\s\x0B]+|[\s\x0B]+\z"
+EDGE_WS = " \t\n\x0b\f\r"
 # Java (?U)\s is Unicode White_Space; Python's str.split() also splits on \x1c-\x1f.
 UNICODE_WS_RE = r"(?U)[\s\x1c-\x1f]+"
-UNICODE_EDGE_WS_RE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+# The same characters one by one, to trim in one pass.
+UNICODE_EDGE_WS = ("\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+                   "\u2028\u2029\u202f\u205f\u3000")
 
 
 def _c(c) -> Column:
@@ -72,61 +74,95 @@ def decode_entities(c) -> Column:
     return _let(_c(c), decode)
 
 
-_TOKEN = re.compile(r"<!--.*?-->|</?([a-zA-Z][a-zA-Z0-9]*)\b[^>]*>|<[^>]*>|[^<]+|<", re.S)
-_COMMENTS = re.compile(r"\b(?:id|class)\s*=\s*[\"']?[^\"'>]*(?<![\w-])(?:" + "|".join(COMMENT_NAMES) + r")(?![\w-])", re.I)
+_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)\b")
+_ID_OR_CLASS = re.compile(r"\b(?:id|class)\s*=\s*[\"']?([^\"'>]*)", re.I)
+_COMMENTS = re.compile(r"(?<![\w-])(?:" + "|".join(COMMENT_NAMES) + r")(?![\w-])", re.I)
+
+
+def _tokens(html: str):
+    """(markup or text, tag name or nothing) in order, without comments, in one pass whatever is left open.
+
+    A ``<`` that no ``>`` follows is text; it stands as an entity, which no tag pattern can begin at.
+    """
+    i, comments = 0, True
+    while i < len(html):
+        at = html.find("<", i)
+        if at != i:
+            yield html[i:at if at > 0 else len(html)], ""
+            if at < 0:
+                return
+        if comments and html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            if end >= 0:
+                i = end + 3
+                continue
+            comments = False  # no comment ends from here on
+        end = html.find(">", at + 1)
+        if end < 0:
+            yield html[at:].replace("<", "&lt;"), ""
+            return
+        i = end + 1
+        tag = html[at:i]
+        if not tag.startswith("<!--"):
+            name = _NAME.match(tag)
+            yield tag, name[1].lower() if name else ""
+
+
+def _ends(tokens: list) -> dict[int, int]:
+    """Where each element that is closed ends, by the nesting of its name; an element of raw content ends at its next end tag."""
+    open_: dict[str, list[int]] = {}
+    ends = {}
+    for i, (tok, name) in enumerate(tokens):
+        if not name:
+            continue
+        mine = open_.setdefault(name, [])
+        if not tok.startswith("</"):
+            if not tok.endswith("/>"):
+                mine.append(i)
+        elif name in RAW_TAGS:
+            ends.update((k, i) for k in mine)
+            mine.clear()
+        elif mine:
+            ends[mine.pop()] = i
+    return ends
+
+
+def _is_comments(tok: str) -> bool:
+    return any(_COMMENTS.search(m[1]) for m in _ID_OR_CLASS.finditer(tok))
 
 
 def _region(html: str | None, drop: frozenset, comments: bool) -> str | None:
     """The markup of every ``article`` (else of ``body``, else all) without the elements to drop.
 
     Elements end where their nesting says; one that is never closed is left
-    in place, tag only.
+    in place, tag only. Work is in proportion to the page.
     """
     if html is None:
         return None
-    tokens = [(m[0], (m[1] or "").lower()) for m in _TOKEN.finditer(html) if not m[0].startswith("<!--")]
-    last = {name: i for i, (tok, name) in enumerate(tokens) if tok.startswith("</")}
-
-    def close(i: int) -> int | None:
-        name, depth = tokens[i][1], 0
-        for j in range(i, last.get(name, -1) + 1):
-            tok, other = tokens[j]
-            if other == name:
-                if tok.startswith("</"):
-                    depth -= 1
-                    if depth == 0:
-                        return j
-                elif not tok.endswith("/>") and (depth == 0 or name not in RAW_TAGS):
-                    depth += 1
-        return None
-
-    def opens(i: int) -> bool:
-        return bool(tokens[i][1]) and not tokens[i][0].startswith("</") and not tokens[i][0].endswith("/>")
-
-    gone, i = set(), 0
+    tokens = list(_tokens(html))
+    ends = _ends(tokens)
+    kept = [tok for tok, _ in tokens]
+    last_link = max((i for i, (tok, name) in enumerate(tokens) if name == "a" and tok.startswith("</")), default=-1)
+    i = 0
     while i < len(tokens):
         tok, name = tokens[i]
-        end = None
-        if opens(i) and (name in drop or comments and name in COMMENT_TAGS and _COMMENTS.search(tok)):
-            end = close(i)
-        if end is not None:
-            gone.update(range(i, end + 1))
-            i = end
+        if i in ends and (name in drop or comments and name in COMMENT_TAGS and _is_comments(tok)):
+            kept[i:ends[i] + 1] = [""] * (ends[i] + 1 - i)
+            i = ends[i]
+        elif name == "a" and i > last_link:
+            kept[i] = ""  # a link without an end is no link
         i += 1
 
     def extents(name: str) -> list[str]:
         found, i = [], 0
         while i < len(tokens):
-            if tokens[i][1] == name and i not in gone and opens(i):
-                end = close(i)
-                if end is not None:
-                    found.append("".join(tokens[k][0] for k in range(i + 1, end) if k not in gone))
-                    i = end
+            if tokens[i][1] == name and kept[i] and i in ends:
+                found.append("".join(kept[i + 1:ends[i]]))
+                i = ends[i]
             i += 1
         return found
 
-    parts = extents("article") or extents("body") or ["".join(t for k, (t, _) in enumerate(tokens) if k not in gone)]
-    return "\n".join(parts)
+    return "\n".join(extents("article") or extents("body") or ["".join(kept)])
 
 
 @F.pandas_udf(StringType())
@@ -147,7 +183,7 @@ def html_blocks(html) -> Column:
     """H1b + H1d: ``array<string>`` of trimmed, non-empty text blocks of the main region."""
     flat = F.regexp_replace(F.regexp_replace(text_region(_c(html)), BLOCK_RE, "\n"), TAG_RE, "")
     flat = decode_entities(flat)
-    parts = F.transform(F.split(flat, "\n"), lambda b: F.regexp_replace(b, EDGE_WS_RE, ""))
+    parts = F.transform(F.split(flat, "\n"), lambda b: F.btrim(b, F.lit(EDGE_WS)))
     return F.filter(parts, lambda b: b != F.lit(""))
 
 
@@ -157,7 +193,7 @@ def join_blocks(blocks) -> Column:
 
 def length_gate(text, n: int = 50) -> Column:
     """H2: null when the text, stripped, is shorter than ``n`` characters."""
-    return _let(_c(text), lambda t: F.when(F.length(F.regexp_replace(t, UNICODE_EDGE_WS_RE, "")) >= n, t))
+    return _let(_c(text), lambda t: F.when(F.length(F.btrim(t, F.lit(UNICODE_EDGE_WS))) >= n, t))
 
 
 @F.pandas_udf(StringType())
@@ -203,7 +239,7 @@ def evidence_markdown(html, min_chars: int = 50) -> Column:
     t = F.regexp_replace(t, r"(?i)<t[dh]\b[^>]*>", "")  # a table row is one line
     t = F.regexp_replace(t, BLOCK_RE, "\n")
     t = decode_entities(F.regexp_replace(t, TAG_RE, ""))
-    lines = F.transform(F.split(t, "\n"), lambda b: F.regexp_replace(b, EDGE_WS_RE, ""))
+    lines = F.transform(F.split(t, "\n"), lambda b: F.btrim(b, F.lit(EDGE_WS)))
     md = F.array_join(F.filter(lines, lambda b: b != F.lit("")), "\n")
     return _let(md, lambda m: F.when(F.length(m) >= min_chars, m))
 

@@ -56,7 +56,8 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url_col: str = "ur
 
     ``key`` identifies a document of the corpus; ``page_col`` (default ``key``)
     what counts as one page for boilerplate frequency. ``keep`` (a table of
-    keys) leaves all other documents out once they are cut to blocks.
+    distinct keys) leaves all other documents out once they are cut to blocks;
+    equal documents of one key count once.
     """
     # Blocks feed three aggregates/joins: extract them once (reliable checkpoint
     # into the cluster's checkpoint folder), not once per consumer.
@@ -64,12 +65,12 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url_col: str = "ur
     blocks = page_blocks(pages, key, url_col, html_col, extra=[page_col] if page_col and page_col != key else [])
     ids = pages.select(key)
     if keep is not None:
-        blocks, ids = blocks.join(keep, key, "left_semi"), ids.join(keep, key, "left_semi")
+        blocks, ids = blocks.join(keep, key, "left_semi"), keep.select(key)
     blocks = store(blocks, "blocks")
     bp = boilerplate_blocks(blocks, min_pages, share, key, page_col)
     kept = blocks.join(bp.select("host", "block_hash"), ["host", "block_hash"], "left_anti")
     joined = (kept.groupBy(key)
-              .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block_pos", "block"))),
+              .agg(F.array_join(F.transform(F.sort_array(F.collect_set(F.struct("block_pos", "block"))),
                                             lambda s: s["block"]), "\n").alias("_raw")))
     text = T.normalise_text(T.length_gate(F.col("_raw"), min_chars), use_nfkc)
     out = ids.join(joined, key, "left").select(key, text.alias("text"))

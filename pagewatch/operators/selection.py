@@ -9,14 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import UNICODE_EDGE_WS_RE
+from ..functions.text import UNICODE_EDGE_WS
 
 _CHUNK = 10_000
 
 
 def clean_url_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     """A1: strip every line of any Unicode whitespace, drop blanks, keep duplicates."""
-    url = F.regexp_replace(F.col(col), UNICODE_EDGE_WS_RE, "")
+    url = F.btrim(F.col(col), F.lit(UNICODE_EDGE_WS))
     return lines.select(url.alias("url")).filter(F.col("url") != "")
 
 

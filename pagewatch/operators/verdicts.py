@@ -2,20 +2,18 @@
 (G7), finding shapes (C9, C10), run counters (E5) and progress metrics (E6).
 
 Pages (HTML) are never shuffled: live pages and bodies that the work list
-cannot need are dropped where they are read by a bit set of its keys, the rest
+cannot need are dropped where they are read by a broadcast semi-join, the rest
 are digested there, and only digests travel to the joins.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.urls import classify_verdict, finding_key, mode_label, raw_archive_url
-from ..session import ensure_checkpoint_dir, spread
+from ..session import ensure_checkpoint_dir, spread, store
 from .captures import latest_good_capture
 
 OUTCOMES = ["deleted", "changed", "unchanged", "no_capture", "no_good_capture", "no_archive_body",
@@ -40,31 +38,20 @@ def newest_live(live: DataFrame) -> DataFrame:
     return live.groupBy("url").agg(best).select("url", *[F.col(f"_b.{c}").alias(c) for c in rest])
 
 
-KEY_BITS = 1 << 27       # bits of the set of keys: 16 MB however many keys there are
+MOST_KEYS = 1 << 21      # hashes of keys (8 bytes each) that are broadcast
 
 
-def key_filter(keys: DataFrame, cols: list[str], like: DataFrame, like_cols: list[str]) -> DataFrame:
-    """Rows of ``like`` whose key may be in ``keys``: none that is, is dropped; few others are kept.
+def needed(pages: DataFrame, cols: list[str], keys: DataFrame, key_cols: list[str] | None = None) -> DataFrame:
+    """Rows of ``pages`` whose key may be in ``keys`` (a written table): none that is, is dropped.
 
-    A bit set of hashed keys is built by Spark's bitmap aggregate (4 KB a
-    bucket, KEY_BITS in all) and broadcast; only the key's hash goes to
-    Python, wide columns stay where they were read.
+    A semi-join with the broadcast hashes of the keys, so wide columns stay where they were read. More keys than
+    MOST_KEYS are not broadcast: then all pages go on, and the caller's join by the key itself leaves the others out
+    (Spark's runtime Bloom filter, where it applies, before they are digested).
     """
-    spot = lambda names: F.pmod(F.xxhash64(*names), F.lit(KEY_BITS)) + 1
-    bits = (keys.select(spot(cols).alias("p"))
-            .groupBy(F.bitmap_bucket_number("p").alias("bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")))
-    table = np.zeros((KEY_BITS // 32768 + 2, 4096), np.uint8)
-    for r in bits.toLocalIterator():  # KEY_BITS / 32768 rows at most
-        table[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
-    shared = like.sparkSession.sparkContext.broadcast(table.reshape(-1))
-
-    @F.pandas_udf("boolean")
-    def maybe(p: pd.Series) -> pd.Series:
-        at = p.to_numpy("int64") + 32767  # bucket 1 holds positions 1 to 32768
-        return pd.Series(shared.value[at >> 3] >> (at & 7) & 1 == 1)
-
-    return like.filter(maybe(spot(like_cols)))
+    if keys.count() > MOST_KEYS:
+        return pages
+    hashes = keys.select(F.xxhash64(*(key_cols or cols)).alias("_h")).distinct()
+    return pages.join(F.broadcast(hashes), F.xxhash64(*[pages[c] for c in cols]) == hashes["_h"], "left_semi")
 
 
 def normalise_live(live: DataFrame, content_only: bool = True) -> DataFrame:
@@ -79,17 +66,22 @@ def _latest(work: DataFrame, captures: DataFrame) -> DataFrame:
     """The newest good capture of each work URL (and how many captures it has), computed once."""
     keys = work.select(F.col("url").alias("original"))
     caps = captures.select("original", "ts14", "statuscode", "pos").join(keys, "original", "left_semi")
-    ensure_checkpoint_dir(work.sparkSession)
-    return latest_good_capture(caps, keep_all=True).withColumnRenamed("original", "url").checkpoint()
+    return store(latest_good_capture(caps, keep_all=True).withColumnRenamed("original", "url"), "latest")
+
+
+def _won(latest: DataFrame) -> DataFrame:
+    return latest.filter(F.col("ts14").isNotNull()).select("url", "ts14")
 
 
 def body_digests(latest: DataFrame, bodies: DataFrame, content_only: bool = True) -> DataFrame:
-    """(url, ts14, has_body, archive_digest) of the winning captures' bodies, digested where they are read."""
-    won = latest.filter(F.col("ts14").isNotNull()).select("url", "ts14")
-    b = key_filter(won, ["url", "ts14"], bodies.select(F.col("original").alias("url"), "ts14", "html"), ["url", "ts14"])
+    """(url, ts14, has_body, archive_digest) of the winning captures' bodies, digested where they are read.
+
+    A body that is stored more than once counts once: one that is not empty, that with the largest digest.
+    """
+    b = needed(bodies.select(F.col("original").alias("url"), "ts14", "html"), ["url", "ts14"], _won(latest))
     has_body = F.col("html").isNotNull() & (F.col("html") != "")
-    return spread(b).select("url", "ts14", has_body.alias("has_body"),
-                            page_digest(F.when(has_body, F.col("html")), content_only).alias("archive_digest"))
+    digests = spread(b).select("url", "ts14", F.struct(has_body.alias("has_body"), page_digest(F.when(has_body, F.col("html")), content_only).alias("digest")).alias("d"))
+    return digests.groupBy("url", "ts14").agg(F.max("d").alias("d")).select("url", "ts14", "d.has_body", F.col("d.digest").alias("archive_digest"))
 
 
 def observe(work: DataFrame, captures: DataFrame, bodies: DataFrame, live: DataFrame,
@@ -102,12 +94,11 @@ def observe(work: DataFrame, captures: DataFrame, bodies: DataFrame, live: DataF
     pages before any page is digested); every join is keyed by ``url``.
     """
     ensure_checkpoint_dir(work.sparkSession)
-    work = work.checkpoint()
+    work = store(work, "work")
     latest = _latest(work, captures)
     if boilerplate is not None and content_only:
         return _observe_corpus(work, latest, bodies, live, boilerplate)
-    live = key_filter(work, ["url"], live, ["url"])
-    live_n = newest_live(normalise_live(spread(live), content_only))
+    live_n = newest_live(normalise_live(spread(needed(live, ["url"], work)), content_only))
     j = work.join(latest, "url", "left").join(live_n, "url", "left")
     j = j.join(body_digests(latest, bodies, content_only), ["url", "ts14"], "left")
     return j.withColumn("has_body", F.coalesce("has_body", F.lit(False)))
@@ -118,23 +109,27 @@ def _observe_corpus(work: DataFrame, latest: DataFrame, bodies: DataFrame, live:
     """D4 with H1c: winning archive bodies and newest live 200 pages form one corpus;
     blocks repeated on many pages of a host are removed before digesting.
 
-    Pages are cut to blocks where they are read, so here too no page is shuffled.
+    Pages are cut to blocks where they are read, so here too no page is shuffled. Which page of a URL counts is decided
+    first, by time and SHA-1: older observations and other copies of a body are no part of the corpus.
     """
     from .content import extract_main_text
-    live = key_filter(work, ["url"], live, ["url"]).withColumn("live_status_code", F.col("status_code").cast("int"))
-    newest = newest_live(live.select("url", "live_status_code", *[c for c in ("fetched_at",) if c in live.columns]))
-    won = latest.filter(F.col("ts14").isNotNull()).select("url", "ts14")
-    b = key_filter(won, ["url", "ts14"], bodies.select(F.col("original").alias("url"), "ts14", "html"), ["url", "ts14"])
-    has_body = F.col("html").isNotNull() & (F.col("html") != "")
-    arch_docs = b.filter(has_body).select(F.concat(F.lit("a|"), "ts14", F.lit("|"), "url").alias("doc"), "url", "html")
-    live_docs = live.filter(F.col("live_status_code") == 200).select(F.concat(F.lit("l|"), "url").alias("doc"), "url", "html")
-    # Pages that only look like work by the bit set would count as corpus: keep exact keys.
-    texts = extract_main_text(arch_docs.unionByName(live_docs), key="doc", url_col="url", page_col="url",
-                              keep=won.select(F.concat(F.lit("a|"), "ts14", F.lit("|"), "url").alias("doc"))
-                              .unionByName(work.select(F.concat(F.lit("l|"), "url").alias("doc"))), **params)
-    a = won.withColumn("doc", F.concat(F.lit("a|"), "ts14", F.lit("|"), "url")).join(texts, "doc").select("url", F.lit(True).alias("has_body"), F.col("digest").alias("archive_digest"))
-    side = texts.filter(F.startswith("doc", F.lit("l|"))).select(F.expr("substring(doc, 3)").alias("url"), F.col("digest").alias("live_digest"))
-    j = work.join(latest, "url", "left").join(newest, "url", "left").join(a, "url", "left").join(side, "url", "left")
+    seen = [c for c in ("fetched_at",) if c in live.columns]
+    page = F.sha1(F.col("html").cast("binary"))
+    live = needed(live, ["url"], work).withColumns({"live_status_code": F.col("status_code").cast("int"), "page": page})
+    newest = store(newest_live(live.select("url", "live_status_code", *seen, "page")).join(work.select("url"), "url", "left_semi"), "newest_live")
+    b = needed(bodies.select(F.col("original").alias("url"), "ts14", "html"), ["url", "ts14"], _won(latest))
+    b = b.filter(F.col("html") != "").withColumn("page", page)
+    won = store(b.join(_won(latest), ["url", "ts14"], "left_semi").groupBy("url", "ts14").agg(F.max("page").alias("page")), "won_bodies")
+    arch = F.concat_ws("|", F.lit("a"), "ts14", "page", "url").alias("doc")
+    now = F.concat_ws("|", F.lit("l"), *seen, "page", "url").alias("doc")
+    shown = newest.filter("live_status_code = 200")
+    docs = b.select(arch, "url", "html").unionByName(live.filter("live_status_code = 200").select(now, "url", "html"))
+    keys = won.select(arch, "url", F.lit(True).alias("archived")).unionByName(shown.select(now, "url", F.lit(False).alias("archived")))
+    texts = store(extract_main_text(docs, key="doc", url_col="url", page_col="url", keep=keys.select("doc"), **params).select("doc", "digest"), "page_digests")
+    digests = keys.join(texts, "doc")
+    a = digests.filter("archived").select("url", F.lit(True).alias("has_body"), F.col("digest").alias("archive_digest"))
+    side = digests.filter("NOT archived").select("url", F.col("digest").alias("live_digest"))
+    j = work.join(latest, "url", "left").join(newest.drop("page"), "url", "left").join(a, "url", "left").join(side, "url", "left")
     return j.withColumn("has_body", F.coalesce("has_body", F.lit(False)))
 
 
@@ -193,11 +188,12 @@ def finding_struct(findings: DataFrame, bodies: DataFrame, live: DataFrame, run_
     f = findings.select("url", "verdict", "live_status_code", "ts14", "archive_url", "archive_digest",
                         "live_digest", *[c for c in ("sample_rank", "fetched_at") if c in findings.columns])
     ensure_checkpoint_dir(findings.sparkSession)
-    f = f.checkpoint()
-    b = key_filter(f, ["url", "ts14"], bodies.select(F.col("original").alias("url"), "ts14", "html"), ["url", "ts14"])
-    b = b.select("url", "ts14", T.evidence_text(F.col("html")).alias("archive_text"))
+    f = store(f, "findings")
+    b = needed(bodies.select(F.col("original").alias("url"), "ts14", "html"), ["url", "ts14"], f)
+    b = b.select("url", "ts14", F.struct(page_digest(F.nullif("html", F.lit("")), content_only).alias("digest"), T.evidence_text(F.col("html")).alias("text")).alias("d"))
+    b = b.groupBy("url", "ts14").agg(F.max("d").alias("d")).select("url", "ts14", F.col("d.text").alias("archive_text"))
     moved = f.filter(F.col("verdict") == "changed")
-    lv = key_filter(moved, ["url"], live, ["url"])
+    lv = needed(live, ["url"], moved)
     lv = newest_live(lv.select("url", *[c for c in ("fetched_at",) if c in live.columns], T.evidence_text(F.col("html")).alias("live_text")))
     lv = lv.drop("fetched_at")
     j = f.join(b, ["url", "ts14"], "left").join(lv, "url", "left")

@@ -176,7 +176,7 @@ FROM pages)
 
 # With the older observations that every sixth page has besides.
 LIVE_ALL = f"""{LIVE}
-UNION ALL SELECT url, 404, '<p>gone</p>', '2024-01-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') || 'T06:00:00'
+UNION ALL SELECT url, CASE WHEN page_id % 12 = 0 THEN 200 ELSE 404 END, CASE WHEN page_id % 12 = 0 THEN html ELSE '<p>gone</p>' END, '2024-01-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') || 'T06:00:00'
 FROM pages WHERE page_id % 6 = 0"""
 
 URL_LIST = "SELECT url FROM pages UNION ALL SELECT url FROM pages WHERE page_id % 10 = 0"

@@ -2,13 +2,13 @@
 
     URL list --D1 anti ledger--> F2 exact sample --> distinct work URLs
         --D3 semi-join--> captures --E2 packed max--> newest good capture
-        --> bodies that may be winners (bit set of their keys), digested where read
+        --> bodies that may be winners (broadcast semi-join), digested where read
         --> live observations that may be work, digested where read, the newest kept
         --> G5 verdict / G7 outcome --> F3 target --> C9 metadata
 
 Everything keyed by ``url``; only digests are shuffled, never HTML (a test
-asserts it). With a target the work list is taken in slices of its sample
-order until the target is met.
+asserts it). With a target the work list is taken in growing batches of its
+sample order until the target is met.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators.selection import drop_checked, limit_findings, sample_key, sample_urls
 from ..operators.verdicts import finding_metadata, observe, outcomes
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, store
 
 
 def work_urls(urls: DataFrame, checked: DataFrame | None = None, limit: int | None = None,
@@ -64,26 +64,38 @@ def detect_changes(urls: DataFrame, captures: DataFrame, bodies: DataFrame, live
     return finding_metadata(found, content_only, output_dir)
 
 
-SLICES = 16  # parts of the sample order that a run with a target works through
+FIRST_BATCH = 1000  # URLs of the first batch at least
+PER_FINDING = 4     # and for each finding wanted
 
 
 def find_until(work: DataFrame, captures: DataFrame, bodies: DataFrame, live: DataFrame, target: int,
-               content_only: bool = True, gone_codes=(404,), boilerplate: dict | None = None, slices: int = SLICES) -> DataFrame:
-    """the first ``target`` findings in sample order; later slices of the work list are not looked at.
+               content_only: bool = True, gone_codes=(404,), boilerplate: dict | None = None, first_batch: int = FIRST_BATCH) -> DataFrame:
+    """the first ``target`` findings in sample order; the rest of the work list is not looked at.
 
-    ``sample_rank`` is uniform hex, so its first digits cut the order into
-    slices of equal size. Each slice's findings are written before the next begins.
+    The work list is written in rank order, so a batch reads its range of ranks only (``sample_rank`` is uniform hex).
+    Batches grow by the findings met so far: mostly one or two are enough, and no page is parsed in more than one. A
+    batch's findings are written before the next begins. What is boilerplate depends on all pages of a host: with
+    ``boilerplate`` the whole work list is one batch, so verdicts do not depend on the target.
     """
     ensure_checkpoint_dir(work.sparkSession)
-    place = F.floor(F.conv(F.substring("sample_rank", 1, 4), 16, 10).cast("long") * slices / 65536)
-    work = work.withColumn("_slice", place).checkpoint()
-    found, n = None, 0
-    for k in range(slices):
-        part = work.filter(F.col("_slice") == k).drop("_slice")
+    work = store(work.repartitionByRange("sample_rank").sortWithinPartitions("sample_rank"), "ranked_work")
+    n = work.count()
+    size = n if boilerplate is not None else max(first_batch, PER_FINDING * target)
+    found, met, done = None, 0, 0
+    while True:
+        end = min(done + size, n)
+        part = work if end - done == n else work.filter(F.col("sample_rank") >= _rank(done, n))
+        part = part if end == n else part.filter(F.col("sample_rank") < _rank(end, n))
         outs = outcomes(observe(part, captures, bodies, live, content_only, boilerplate), content_only, gone_codes)
-        got = outs.filter(F.col("verdict").isNotNull()).checkpoint()
+        got = store(outs.filter(F.col("verdict").isNotNull()), "found")
         found = got if found is None else found.unionByName(got)
-        n += got.count()
-        if n >= target:
-            break
-    return limit_findings(found, target)
+        met += got.count()
+        done = end
+        if met >= target or done >= n:
+            return limit_findings(found, target)
+        size = max(done, int(1.5 * (target - met) * done / max(met, 1)))
+
+
+def _rank(k: int, n: int) -> str:
+    """The rank below which about ``k`` of ``n`` uniform ranks lie."""
+    return f"{(k << 64) // max(n, 1):016x}"

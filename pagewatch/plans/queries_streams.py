@@ -10,7 +10,7 @@ from .. import oracles as O
 from ..operators.verdicts import archive_state
 from ..registry import register
 from ..schemas import LIVE_SCHEMA
-from ..session import scratch_path
+from ..session import scratch_path, store
 from ..streaming import streams as S
 from .detect import work_urls
 from .queries_detect import OUTCOME_CASE, observed_sql
@@ -50,7 +50,7 @@ def q_stream_verdicts(spark, d):
     src, sink, ck = (scratch_path(spark, n) for n in ("s2_in", "s2_out", "s2_ck"))
     live, first = X.live_observations(spark, d), F.length("url") % 2 == 0
     urls, caps, bodies = X.url_list(spark, d), X.page_captures(spark, d), X.archive_bodies(spark, d)
-    state = archive_state(work_urls(urls, X.checked_urls(spark, d)), caps, bodies).checkpoint()
+    state = store(archive_state(store(work_urls(urls, X.checked_urls(spark, d)), "work"), caps, bodies), "archive_state")
     _two_runs(spark, LIVE_SCHEMA, src, live.filter(first), live.filter(~first), lambda stream: S.stream_verdicts(stream, state, sink, ck))
     return spark.read.parquet(sink).select("url", "live_status_code", "fetched_at", "verdict", "outcome")
 

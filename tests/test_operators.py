@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagewatch.operators import discovery as D
@@ -156,14 +157,51 @@ def test_newest_live_observation_wins(spark):
     assert got["u"]["live_status_code"] == 200 and got["u"]["live_digest"] is not None and got["v"]["live_status_code"] is None
 
 
-def test_key_filter_keeps_every_key(spark):
-    from pagewatch.operators.verdicts import key_filter
+def test_needed_keeps_every_key(spark, monkeypatch):
+    from pagewatch.operators import verdicts
     keys = spark.range(0, 3000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("a"))
     like = spark.range(0, 60000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("b"), F.col("id"))
-    got = key_filter(keys, ["a"], like, ["b"])
-    assert got.filter("id < 3000").count() == 3000
-    assert got.filter("id >= 3000").count() < 100
-    assert key_filter(keys.limit(0), ["a"], like, ["b"]).count() == 0
+    got = verdicts.needed(like, ["b"], keys, ["a"])
+    assert got.filter("id < 3000").count() == 3000 and got.count() == 3000
+    assert verdicts.needed(like, ["b"], keys.limit(0), ["a"]).count() == 0
+    monkeypatch.setattr(verdicts, "MOST_KEYS", 10)
+    assert verdicts.needed(like, ["b"], keys, ["a"]).count() == 60000
+
+
+def detect_tables(spark, pages, bodies):
+    """(work, captures, bodies, live) of given live pages (url, code, html, time) and archive bodies (url, html)."""
+    from pagewatch.plans import detect as P
+    urls = sorted({p[0] for p in pages} | {b[0] for b in bodies})
+    ts = "20200101000000"
+    return (P.work_urls(spark.createDataFrame([(u,) for u in urls], "url string")), spark.createDataFrame([(u, ts, "200", "d", 0) for u in urls], CAP),
+            spark.createDataFrame([(u, ts, h) for u, h in bodies], "original string, ts14 string, html string"),
+            spark.createDataFrame(pages, "url string, status_code int, html string, fetched_at string"))
+
+
+@pytest.mark.parametrize("boilerplate", [None, {"min_pages": 3, "share": 0.5}])
+@pytest.mark.parametrize("most", [1 << 21, 1])
+def test_older_pages_and_stored_copies_count_for_nothing(spark, monkeypatch, boilerplate, most):
+    from pagewatch.operators import verdicts
+    monkeypatch.setattr(verdicts, "MOST_KEYS", most)
+    page = lambda i, t: f"<p>Menu of the host, on every page that it has to show to you</p><p>{t} of article {i} " + "w" * 60 + "</p>"
+    urls = [f"http://a.example/{i}" for i in range(6)]
+    bodies = [(u, page(i, "Text")) for i, u in enumerate(urls)] * 2 + [(urls[0], ""), (urls[1], None)]
+    live = [(u, 200, page(i, "Other"), "2024-01-01") for i, u in enumerate(urls)] + [(u, 200, page(i, "Text"), "2024-02-01") for i, u in enumerate(urls[:4])]
+    live += [(urls[5], 404, None, "2024-03-01")] + live[:2]
+    outs = verdicts.outcomes(verdicts.observe(*detect_tables(spark, live, bodies), boilerplate=boilerplate)).collect()
+    assert sorted((r["url"], r["outcome"]) for r in outs) == [(u, o) for u, o in zip(urls, ["unchanged"] * 4 + ["changed", "deleted"], strict=True)]
+
+
+def test_boilerplate_does_not_depend_on_the_target(spark):
+    from pagewatch.plans import detect as P
+    page = lambda i, menu: f"<p>Menu {menu} of the host, on every page that it has to show to you</p><p>Text of article {i} " + "w" * 60 + "</p>"
+    urls = [f"http://a.example/{i}" for i in range(40)]
+    work, caps, bodies, live = detect_tables(spark, [(u, 200, page(i if i < 38 else -i, "new"), "2024-01-01") for i, u in enumerate(urls)],
+                                             [(u, page(i, "old")) for i, u in enumerate(urls)])
+    boilerplate = {"min_pages": 3, "share": 0.5}
+    for target in (1, 100):
+        found = P.find_until(work, caps, bodies, live, target, boilerplate=boilerplate, first_batch=2)
+        assert {r["url"] for r in found.collect()} <= set(urls[38:]) and found.count() == min(target, 2)
 
 
 def test_exact_top_n_of_any_key(spark):
@@ -173,19 +211,21 @@ def test_exact_top_n_of_any_key(spark):
         assert sorted(r["k"] for r in S.exact_top_n(df, "k", n).collect()) == sorted(r[0] for r in rows)[:n]
 
 
-def test_target_stops_after_the_slices_it_needs(spark, monkeypatch):
+def test_target_stops_after_the_batches_it_needs(spark, monkeypatch):
+    """Batches grow with the findings met, no URL is in two of them, and the pages behind the rest are not parsed."""
     from pagewatch.plans import detect as P
-    urls = [f"http://a/{i}" for i in range(60)]
-    work = P.work_urls(spark.createDataFrame([(u,) for u in urls], "url string"))
+    urls = [f"http://a/{i}" for i in range(400)]
     body = "<p>" + "w" * 60 + "</p>"
-    caps = spark.createDataFrame([(u, "20200101000000", "200", "d", 0) for u in urls], CAP)
-    bodies = spark.createDataFrame([(u, "20200101000000", body) for u in urls], "original string, ts14 string, html string")
-    live = spark.createDataFrame([(u, 404, None) for u in urls], "url string, status_code int, html string")
-    calls = []
-    monkeypatch.setattr(P, "observe", lambda *a, f=P.observe, **k: calls.append(1) or f(*a, **k))
-    found = P.find_until(work, caps, bodies, live, 10, slices=4)
-    first = sorted(r["sample_rank"] for r in work.collect())[:10]
-    assert sorted(r["sample_rank"] for r in found.collect()) == first and len(calls) < 4
+    work, caps, bodies, live = detect_tables(spark, [(u, 404 if i % 4 == 0 else 200, body, "2024-01-01") for i, u in enumerate(urls)], [(u, body) for u in urls])
+    parts = []
+    monkeypatch.setattr(P, "observe", lambda part, *a, f=P.observe, **k: parts.append([r["url"] for r in part.collect()]) or f(part, *a, **k))
+    found = P.find_until(work, caps, bodies, live, 12, first_batch=20)
+    ranks = {r["url"]: r["sample_rank"] for r in work.collect()}
+    first = sorted(ranks[u] for i, u in enumerate(urls) if i % 4 == 0)[:12]
+    assert sorted(r["sample_rank"] for r in found.collect()) == first
+    seen = [u for p in parts for u in p]
+    assert len(seen) == len(set(seen)) < 200 and len(parts) <= 3
+    assert P.find_until(work, caps, bodies, live, 1000, first_batch=20).count() == 100
 
 
 def test_translator_runs_once_per_distinct_miss(spark):
