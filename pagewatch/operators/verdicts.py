@@ -280,11 +280,3 @@ def with_progress(df: DataFrame, name: str = "progress") -> tuple[DataFrame, Obs
         F.count_if(F.col("verdict").isNotNull()).alias("found"),
     )
     return observed, obs
-
-
-def archive_state(work: DataFrame, captures: DataFrame, bodies: DataFrame, content_only: bool = True) -> DataFrame:
-    """The archive half of D4 alone: per URL its newest good capture and that
-    body's digest (the static side for streaming verdicts, S2)."""
-    latest = _latest(work, captures)
-    j = work.select("url").join(latest, "url", "left").join(body_digests(latest, bodies, content_only), ["url", "ts14"], "left")
-    return j.select("url", "n_captures", "ts14", F.coalesce("has_body", F.lit(False)).alias("has_body"), "archive_digest")

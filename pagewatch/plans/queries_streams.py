@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as X
 from .. import oracles as O
-from ..operators.verdicts import archive_state
 from ..registry import register
 from ..schemas import LIVE_SCHEMA
 from ..session import scratch_path, store
@@ -31,14 +30,17 @@ FROM (SELECT original, count(*) AS n_captures,
   max(CASE WHEN statuscode = '200' THEN ts14 || lpad(cast(pos AS VARCHAR), 20, '0') END) AS best
   FROM ({O.EVENT_CAPTURES}) GROUP BY original) WHERE best IS NOT NULL""")
 def q_stream_latest_good(spark, d):
-    """Newest good capture per URL over two runs, compacted (equals E2)."""
+    """Newest good capture per URL over two runs, folded after the first (equals E2)."""
     src, sink, ck = (scratch_path(spark, n) for n in ("s1_in", "s1_out", "s1_ck"))
     caps, even = X.event_captures(spark, d), F.col("pos") % 2 == 0
-    _two_runs(spark, S.CAPTURE_STREAM_SCHEMA, src, caps.filter(even), caps.filter(~even),
-              lambda stream: S.stream_latest_good(stream, sink, ck))
-    compacted = scratch_path(spark, "s1_compact")
-    S.compact_latest_good(spark, sink, compacted)
-    return S.read_latest_good(spark, compacted)
+
+    def run(stream) -> None:
+        S.stream_latest_good(stream, sink, ck)
+        if S.snapshots._committed(spark, sink) == []:
+            S.compact_latest_good(spark, sink)
+
+    _two_runs(spark, S.CAPTURE_STREAM_SCHEMA, src, caps.filter(even), caps.filter(~even), run)
+    return S.read_latest_good(spark, sink)
 
 
 @register("stream_verdicts", f"""SELECT l.url, l.status_code AS live_status_code, l.fetched_at, v.verdict, coalesce(v.outcome, 'not_in_work') AS outcome
@@ -46,13 +48,19 @@ FROM ({O.LIVE_ALL}) l LEFT JOIN (
   SELECT *, {OUTCOME_CASE} AS outcome FROM ({observed_sql(live=O.LIVE_ALL)})) v
 ON v.url = l.url AND v.fetched_at = l.fetched_at""")
 def q_stream_verdicts(spark, d):
-    """Verdicts of live observations arriving in two runs, joined to the static archive side."""
-    src, sink, ck = (scratch_path(spark, n) for n in ("s2_in", "s2_out", "s2_ck"))
-    live, first = X.live_observations(spark, d), F.length("url") % 2 == 0
-    urls, caps, bodies = X.url_list(spark, d), X.page_captures(spark, d), X.archive_bodies(spark, d)
-    state = store(archive_state(store(work_urls(urls, X.checked_urls(spark, d)), "work"), caps, bodies), "archive_state")
-    _two_runs(spark, LIVE_SCHEMA, src, live.filter(first), live.filter(~first), lambda stream: S.stream_verdicts(stream, state, sink, ck))
-    return spark.read.parquet(sink).select("url", "live_status_code", "fetched_at", "verdict", "outcome")
+    """Verdicts of live observations arriving in two runs; captures and bodies of the second run's URLs arrive after the first."""
+    names = ("s2_captures", "s2_latest", "s2_bodies", "s2_in", "s2_out", "s2_ck", "s2_latest_ck")
+    caps_in, latest, bodies_in, src, sink, ck, latest_ck = (scratch_path(spark, n) for n in names)
+    urls, caps, bodies, live = X.url_list(spark, d), X.page_captures(spark, d), X.archive_bodies(spark, d), X.live_observations(spark, d)
+    work = store(work_urls(urls, X.checked_urls(spark, d)), "work")
+    for even in (True, False):
+        first = lambda c: (F.length(c) % 2 == 0) == even  # noqa: E731,B023
+        caps.filter(first("original")).select("original", "ts14", "statuscode", "digest", "pos").write.mode("append").parquet(caps_in)
+        S.stream_latest_good(spark.readStream.schema(S.CAPTURE_STREAM_SCHEMA).parquet(caps_in), latest, latest_ck)
+        bodies.filter(first("original")).select("original", "ts14", "html").write.mode("append").parquet(bodies_in)
+        live.filter(first("url")).write.mode("append").parquet(src)
+        S.stream_verdicts(spark.readStream.schema(LIVE_SCHEMA).parquet(src), work, latest, bodies_in, sink, ck)
+    return S.read_verdicts(spark, sink).select("url", "live_status_code", "fetched_at", "verdict", "outcome")
 
 
 @register("stream_checked_ledger", f"SELECT DISTINCT url FROM ({O.URL_LIST})")
@@ -68,11 +76,11 @@ def q_stream_checked_ledger(spark, d):
   substr(ts14, 1, 4) || '-' || substr(ts14, 5, 2) AS month, count(*) AS n_captures
 FROM ({O.EVENT_CAPTURES}) WHERE statuscode = '200' GROUP BY 1, 2""")
 def q_stream_monthly_counts(spark, d):
-    """Captures per domain-month from daily event-time windows with a watermark. The second run
-    brings rows inside the watermark and rows long past it (equals the batch count)."""
-    src, sink, ck, late = (scratch_path(spark, n) for n in ("s4_in", "s4_out", "s4_ck", "s4_late"))
+    """Captures per domain-month from daily event-time windows. The second run brings rows inside
+    the watermark and corrections long past it (equals the batch count)."""
+    src, sink, ck = (scratch_path(spark, n) for n in ("s4_in", "s4_out", "s4_ck"))
     caps = X.event_captures(spark, d)
     second = (F.col("ts14") >= "20241215") | (F.col("pos") % 5 == 0)
     _two_runs(spark, S.CAPTURE_STREAM_SCHEMA, src, caps.filter(~second), caps.filter(second),
-              lambda stream: S.stream_daily_counts(stream, sink, ck, late, watermark="45 days"))
-    return S.read_monthly_counts(spark, sink, late)
+              lambda stream: S.stream_daily_counts(stream, sink, ck, watermark="45 days"))
+    return S.read_monthly_counts(spark, sink).select("domain", "month", "n_captures")

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from pagewatch.schemas import LIVE_SCHEMA
 from pagewatch.session import scratch_path
 from pagewatch.streaming import streams as S
 
@@ -37,15 +38,74 @@ def test_stream_checked_is_idempotent_on_rerun(spark):
     assert got == ["a", "b", "c"]
 
 
-def test_late_rows_past_the_watermark_are_counted(spark):
-    src, sink, ck, late = (scratch_path(spark, n) for n in ("t_s4_in", "t_s4_out", "t_s4_ck", "t_s4_late"))
-    rows = [("http://a/1", "20240301000000", "200", "d", 1)]
-    for arrival in (rows, [("http://a/1", "20240601000000", "200", "d", 2)],
-                    [("http://a/2", "20240105000000", "200", "d", 3), ("http://a/2", "20240531000000", "200", "d", 4)]):
-        spark.createDataFrame(arrival, S.CAPTURE_STREAM_SCHEMA).write.mode("append").parquet(src)
-        S.stream_daily_counts(spark.readStream.schema(S.CAPTURE_STREAM_SCHEMA).parquet(src), sink, ck, late, "45 days")
-    got = {r["month"]: r["n_captures"] for r in S.read_monthly_counts(spark, sink, late).collect()}
-    assert got == {"2024-03": 1, "2024-06": 1, "2024-01": 1, "2024-05": 1}
+def test_late_rows_past_the_watermark_are_corrections(spark):
+    """One stream; files that arrive between two triggers are in one batch, late rows and others, and a fold in between changes nothing."""
+    src, sink, ck = (scratch_path(spark, n) for n in ("t_s4_in", "t_s4_out", "t_s4_ck"))
+    run = lambda: S.stream_daily_counts(spark.readStream.schema(S.CAPTURE_STREAM_SCHEMA).parquet(src), sink, ck, "45 days")
+    put = lambda rows: spark.createDataFrame(rows, S.CAPTURE_STREAM_SCHEMA).write.mode("append").parquet(src)
+    put([("http://a/1", "20240301000000", "200", "d", 1)])
+    run()
+    put([("http://a/1", "20240601000000", "200", "d", 2), ("http://a/1", "odd", "200", "d", 7)])
+    run()
+    S.compact_daily_counts(spark, sink)
+    put([("http://a/2", "20240105000000", "200", "d", 3)])
+    put([("http://a/2", "20240531000000", "200", "d", 4), ("http://a/2", "20240301000000", "200", "d", 5)])
+    run()
+    run()
+    want = {"2024-03": (2, 1), "2024-06": (1, 0), "2024-01": (1, 1), "2024-05": (1, 0)}
+    for _ in range(2):
+        got = {r["month"]: (r["n_captures"], r["n_late"]) for r in S.read_monthly_counts(spark, sink).collect()}
+        assert got == want
+        S.compact_daily_counts(spark, sink)
+
+
+def test_stream_goes_on_after_a_fold(spark):
+    src, sink, ck = (scratch_path(spark, n) for n in ("t_s1_in", "t_s1_out", "t_s1_ck"))
+    rows = [(f"u{i % 5}", f"2024010{i % 9 + 1}000000", "200" if i % 4 else "404", "d", i) for i in range(40)]
+    for k in range(4):
+        spark.createDataFrame(rows[k * 10:k * 10 + 10], S.CAPTURE_STREAM_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        S.stream_latest_good(spark.readStream.schema(S.CAPTURE_STREAM_SCHEMA).parquet(src), sink, ck)
+        seen = rows[:k * 10 + 10]
+        want = {(u, *max((t, p) for v, t, c, _, p in seen if v == u and c == "200"), sum(v == u for v, *_ in seen)) for u in {r[0] for r in seen}}
+        for step in (lambda: None, lambda: S.compact_latest_good(spark, sink), lambda: S.snapshots.vacuum(spark, sink)):
+            step()
+            assert {tuple(r) for r in S.read_latest_good(spark, sink).select("original", "ts14", "pos", "n_captures").collect()} == want
+    assert len(S.snapshots._folders(spark, f"{sink}/bases")) == 2 and len(S.snapshots._batches(spark, sink)) <= 1
+
+
+def test_fold_that_dies_leaves_no_trace(spark):
+    sink = scratch_path(spark, "t_fold")
+    S.snapshots.write_batch(spark.createDataFrame([("a", 1)], "k string, n int"), 0, sink)
+
+    def dies(df):
+        return df.withColumn("n", S.F.raise_error(S.F.lit("dies")).cast("int"))
+
+    with pytest.raises(Exception, match="dies"):
+        S.snapshots.compact(spark, sink, "k string, n int", dies)
+    assert [tuple(r) for r in S.snapshots.read(spark, sink, "k string, n int").collect()] == [("a", 1, 0)]
+    assert S.snapshots.compact(spark, scratch_path(spark, "t_none"), "k string, n int", dies) == -1
+
+
+def test_capture_between_two_runs_changes_the_verdict(spark):
+    page = "<p>" + "w" * 60 + "</p>"
+    caps_in, latest, bodies_in, src, sink, ck, ck1 = (scratch_path(spark, f"t_s2_{n}") for n in range(7))
+    work = spark.createDataFrame([("u",), ("v",)], "url string")
+
+    def step(capture, body, observed):
+        spark.createDataFrame(capture, S.CAPTURE_STREAM_SCHEMA).write.mode("append").parquet(caps_in)
+        S.stream_latest_good(spark.readStream.schema(S.CAPTURE_STREAM_SCHEMA).parquet(caps_in), latest, ck1)
+        spark.createDataFrame(body, S.BODY_STREAM_SCHEMA).write.mode("append").parquet(bodies_in)
+        spark.createDataFrame(observed, LIVE_SCHEMA).write.mode("append").parquet(src)
+        S.stream_verdicts(spark.readStream.schema(LIVE_SCHEMA).parquet(src), work, latest, bodies_in, sink, ck)
+
+    step([("u", "20240101000000", "404", "d", 0)], [], [("u", 200, page, "1", None), ("x", 200, page, "1", None)])
+    step([("u", "20240102000000", "200", "d", 0)], [("u", "20240102000000", page)], [("u", 200, page, "2", None)])
+    step([("u", "20240103000000", "200", "d", 0)], [("u", "20240103000000", page.replace("w", "x"))], [("u", 200, page, "3", None), ("v", 404, None, "3", None)])
+    got = {(r["url"], r["fetched_at"]): r["outcome"] for r in S.read_verdicts(spark, sink).collect()}
+    assert got == {("u", "1"): "no_good_capture", ("x", "1"): "not_in_work", ("u", "2"): "unchanged", ("u", "3"): "changed", ("v", "3"): "no_capture"}
+    steps = S.read_progress(spark, sink).orderBy("batch_id").collect()
+    assert [(r["checked"], r["found"], r["total_checked"], r["total_found"]) for r in steps] == [(2, 0, 2, 0), (1, 0, 3, 0), (2, 1, 5, 1)]
+    assert all(r["seconds"] > 0 and r["urls_per_sec"] > 0 for r in steps)
 
 
 def _duck(sf):
