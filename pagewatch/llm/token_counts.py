@@ -1,22 +1,26 @@
 """Token counts of huge documents by overlap resynchronisation.
 
 A huge text is cut into chunks that overlap; every chunk is a row of its own,
-so many tasks encode one document. No token offsets are read: instead of whole
-chunks, the units of text between stable boundaries are encoded, each alone and
-each new one once, and only their numbers of tokens are kept. Where two
-neighbours overlap they must share a stable boundary: a position where a
-surely non-blank character meets a blank one. No token of a byte-level
-vocabulary with the usual split pattern reaches from a non-blank into a blank
-character, and that pattern looks ahead only inside blanks, so what stands on
-either side is encoded alike whatever lies beyond. The counts left and right of
-the shared boundary are spliced. Where an overlap has none, it is doubled and
-the document's chunks are encoded again, in the end up to its whole text: a
-huge text without space or newline has no boundary, and one task encodes all of it.
+encoded whole, with offsets. Where two neighbours overlap their encodings are spliced at a
+common boundary that is proven stable, in one of two ways:
+
+- Both have a piece of the split pattern begin there, and not at the left chunk's ragged end. The pattern looks at what
+  follows, never at what came before, so from there on the right chunk's pieces are those of the whole text.
+- The overlap lies within one piece of either (a long run without blanks), and both hold the same token there. A sequence of
+  byte pair tokens is the encoding of its text if each two neighbours are the encoding of theirs. All neighbours left of
+  the token's end are neighbours in the left encoding, it and all that follows in the right one.
+
+The numbers of tokens left and right of the boundaries are added up. Where an overlap has no such boundary, it alone is
+widened and its two chunks are encoded again; two chunks whose overlap would be half a chunk become one. A text whose
+tokens never fall into step (a run of one letter, say) ends as one chunk.
+
+Texts of one chunk are cut into units at stable boundaries, and each new unit is encoded once a task.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -24,7 +28,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import hot_join, write_table
@@ -102,7 +105,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text", keep:
                  chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """Struct ``row`` (the ``keep`` columns of ``docs``, all by default), n_bytes and n_tokens of every whole text.
 
-    Null or empty text: 0 and 0. Repeated rows and null ids are kept as they
+    Null or empty text: 0 and 0. ``overlap`` is raised to twice the longest special string. Repeated rows and null ids are kept as they
     are: huge texts are spliced by the digest of their text, once for all
     copies. An empty table gives an empty result. ``vocabulary`` is the path
     of a byte-level vocabulary file, read by the driver.
@@ -127,53 +130,127 @@ def count_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text", keep:
     if huge.isEmpty():
         return small
 
-    counted, texts = None, texts.select("digest", "text")
+    texts = texts.select("digest", "text")
+    sizes = texts.select("digest", F.length("text").cast("long").alias("size")).distinct()
+    longest = max((len(t["content"]) for t in json.loads(spec.value).get("added_tokens", [])), default=0)
+    overlap = min(max(overlap, 2 * longest + 2), max(chunk, 2 * longest + 2))
+    begin = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(chunk).cast("long")))
+    spans = sizes.select("digest", "size", begin.alias("start"))
+    spans = spans.withColumn("stop", F.least(F.col("start") + chunk, "size")).select(
+        "digest", "start", "stop", F.when(F.col("start") > 0, overlap).otherwise(0).cast("long").alias("left"),
+        F.when(F.col("stop") < F.col("size"), overlap).otherwise(0).cast("long").alias("right"))
+    key = ["digest", "start", "stop", "left", "right"]
+    encoded, counted = None, None
     while True:
-        got = write_table(_spliced(_pieces(texts, chunk, overlap), spec, chunk, overlap), "token_counts")
+        new = write_table(_pieces(texts, spans).mapInPandas(_encoder(spec, longest), ENCODED).dropDuplicates(key), "chunks")  # copies give equal rows
+        encoded = new if encoded is None else encoded.unionByName(new)
+        spliced = write_table(encoded.groupBy("digest").applyInPandas(_splicer(chunk), SPLICED), "spliced")
+        got = spliced.filter("n_tokens IS NOT NULL").select("digest", "n_tokens")
         counted = got if counted is None else counted.unionByName(got)
-        left = got.filter("n_tokens IS NULL").select("digest")  # these are encoded again with twice the overlap
+        left = spliced.filter("n_tokens IS NULL").select("digest", F.explode("spans").alias("s")).select("digest", "s.*")
         if left.isEmpty():
             break
-        texts, overlap = texts.join(left, "digest", "left_semi"), overlap * 2
+        spans = left.filter("again").drop("again")
+        encoded = encoded.join(left.filter("NOT again").drop("again"), key, "left_semi")
     copies = huge.groupBy("digest").count()
-    counted = copies.join(counted.filter("n_tokens IS NOT NULL"), "digest")
-    return small.unionByName(hot_join(huge, counted, ["digest"], "count", huge.count()).drop("digest"))
+    return small.unionByName(hot_join(huge, copies.join(counted, "digest"), ["digest"], "count", huge.count()).drop("digest"))
+
 
+SPAN = "start long, stop long, left long, right long"
+ENCODED = f"digest string, {SPAN}, total long, head map<string,long>, tail map<string,long>"
+SPLICED = "digest string, n_tokens long, spans array<struct<start:long,stop:long,left:long,right:long,again:boolean>>"
+PIECES = 1 << 20  # characters of pieces that are handed on at once
 
-def _pieces(texts: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """(digest, no, piece): the overlapping chunks of each text, spread evenly over tasks."""
+
+def _pieces(texts: DataFrame, spans: DataFrame) -> DataFrame:
+    """(digest, start, stop, left, right, piece): the chunks of each text with what they share with the next, spread evenly over tasks."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for digest, text in zip(pdf["digest"], pdf["text"], strict=True):
-                last = max(0, -(-(len(text) - chunk - overlap) // chunk))
-                yield pd.DataFrame({"digest": digest, "no": range(last + 1),
-                                    "piece": [text[i * chunk:(i + 1) * chunk + overlap] for i in range(last + 1)]})
+            for digest, text, wanted in zip(pdf["digest"], pdf["text"], pdf["spans"], strict=True):
+                rows, n = [], 0
+                for s in wanted:
+                    rows.append((digest, s["start"], s["stop"], s["left"], s["right"], text[s["start"]:s["stop"] + s["right"]]))
+                    n += len(rows[-1][-1])
+                    if n > PIECES:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, n = [], 0
+                if rows:
+                    yield pd.DataFrame(rows, columns=columns)
+
+    columns = ["digest", "start", "stop", "left", "right", "piece"]
+    of = spans.groupBy("digest").agg(F.collect_list(F.struct("start", "stop", "left", "right")).alias("spans"))
+    return texts.join(of, "digest").mapInPandas(cut, f"digest string, {SPAN}, piece string").repartition("digest", "start")
+
 
-    return texts.mapInPandas(cut, "digest string, no long, piece string").repartition("digest", "no")
+def common_places(encoding, start: int, low: int, high: int, longest: int, head: bool) -> dict[str, int]:
+    """Names of the places in [low, high] at which the encoding of a chunk can be spliced, with the tokens before each.
+
+    ``start``: where the chunk begins. ``head``: the places are shared with the chunk before, else with the one after.
+    """
+    at = np.array(encoding.offsets, np.int64).reshape(-1, 2) + start
+    words = np.array([-1 if w is None else w for w in encoding.word_ids], np.int64)
+    first, last = at[:, 0], at[:, 1]
+    clean = np.ones(len(at), bool)
+    clean[1:] = first[1:] >= last[:-1]  # not within a character
+    begins = clean.copy()
+    begins[1:] &= (words[1:] != words[:-1]) | (words[1:] < 0)
+    end = len(at) if head else int(np.flatnonzero(begins)[-1])  # what the last piece would be in the whole text is not known
+    k = np.flatnonzero(begins[:end] & (first[:end] >= low) & (first[:end] <= (high if head else high - longest)))
+    out = {f"b{p}": int(n) for p, n in zip(first[k], k, strict=True)}
+    run = words[0] if head else words[-1]
+    inside = words[(first < high) & (last > low)]
+    if len(inside) and run >= 0 and (inside == run).all() and (head or first[words == run][0] <= low):
+        ends = np.append(clean[1:], True)
+        k = np.flatnonzero(clean & ends & (first >= low) & (last <= high))
+        ids = encoding.ids
+        out |= {f"t{first[i]}-{last[i]}-{ids[i]}": int(i) + 1 for i in k}
+    return out
 
 
-def _spliced(pieces: DataFrame, spec, chunk: int, overlap: int) -> DataFrame:
-    """(digest, n_tokens), null where two neighbours share no stable boundary."""
+def _encoder(spec, longest: int):
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = unit_counter(spec.value)
+        tok = unit_counter(spec.value).tok
         for pdf in batches:
-            out = []
-            for digest, no, piece in zip(pdf["digest"], pdf["no"], pdf["piece"], strict=True):
-                parts = units(piece)
-                at = np.cumsum([len(u) for u in parts]) + no * chunk
-                tokens = np.cumsum(counter.counts([parts])[0])
-                inner = at < no * chunk + len(piece)  # the piece's own end proves nothing
-                pick = lambda low: {int(p): int(n) for p, n in zip(at[k], tokens[k], strict=True)} if (k := inner & (at > low) & (at < low + overlap)).any() else {}  # noqa: E731,B023
-                out.append((digest, no, int(tokens[-1]), pick(no * chunk), pick((no + 1) * chunk)))
-            yield pd.DataFrame(out, columns=["digest", "no", "total", "head", "tail"])
-
-    rows = pieces.mapInPandas(encode, "digest string, no long, total long, head map<long,long>, tail map<long,long>")
-    rows = rows.dropDuplicates(["digest", "no"])  # copies of a text give equal rows
-    order = W.partitionBy("digest").orderBy("no")
-    cut = F.array_min(F.array_intersect(F.map_keys("tail"), F.map_keys(F.lead("head").over(order))))
-    rows = rows.withColumn("is_last", F.lead("no").over(order).isNull()).withColumn("cut", cut)
-    rows = rows.withColumn("cut_before", F.lag("cut").over(order))
-    to = F.when(F.col("is_last"), F.col("total")).otherwise(F.try_element_at("tail", "cut"))
-    start = F.when(F.col("no") == 0, F.lit(0).cast("long")).otherwise(F.try_element_at("head", "cut_before"))
-    rows = rows.withColumn("n", to - start)
-    return rows.groupBy("digest").agg(F.when(F.count("n") == F.count("*"), F.sum("n")).alias("n_tokens"))
+            rows = []
+            for digest, start, stop, left, right, piece in pdf.itertuples(index=False):
+                e = tok.encode(piece, add_special_tokens=False)
+                rows.append((digest, start, stop, left, right, len(e), common_places(e, start, start, start + left, longest, True) if left else {},
+                             common_places(e, start, stop, stop + right, longest, False) if right else {}))
+            yield pd.DataFrame(rows, columns=["digest", "start", "stop", "left", "right", "total", "head", "tail"])
+
+    return encode
+
+
+def _splicer(chunk: int):
+    """Splice the chunks of one text (a row for each ``chunk`` characters of it): its tokens, or the chunks to go on with."""
+    def splice(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("start").to_dict("records")
+        for r in rows:
+            r["head"], r["tail"] = dict(r["head"]), dict(r["tail"])
+        total, before, failed = 0, 0, []
+        for i, (r, after) in enumerate(zip(rows, [*rows[1:], None], strict=True)):
+            if after is None:
+                total += r["total"] - before
+                continue
+            place = next((p for p in r["tail"] if p in after["head"]), None)
+            if place is None:
+                failed.append(i)
+            else:
+                total, before = total + r["tail"][place] - before, after["head"][place]
+        if not failed:
+            return pd.DataFrame({"digest": [rows[0]["digest"]], "n_tokens": [total], "spans": [None]})
+        spans = [{k: int(r[k]) for k in ("start", "stop", "left", "right")} | {"again": False} for r in rows]
+        size = spans[-1]["stop"]
+        merged = -1
+        for i in failed:
+            a, b = spans[i], spans[i + 1]
+            if 4 * a["right"] <= chunk:
+                a["right"] = b["left"] = min(2 * a["right"], size - a["stop"])
+                a["again"] = b["again"] = True
+            elif merged != i:  # one of two such overlaps in a row at a time
+                merged = i + 1
+                spans[i + 1] = {"start": a["start"], "stop": b["stop"], "left": a["left"], "right": b["right"], "again": True}
+                spans[i] = None
+        return pd.DataFrame({"digest": [rows[0]["digest"]], "n_tokens": [None], "spans": [[s for s in spans if s]]}).astype({"n_tokens": "Int64"})
+
+    return splice

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pagewatch.llm import bpe_codec, chargrams, language_id, lm_scoring, token_counts, toxicity
 from pagewatch.llm.queries import vocabulary
@@ -73,6 +74,48 @@ def test_token_counts_equal_the_library(spark, byte_tokenizer, chunk, overlap):
     assert Counter(map(tuple, got)) == want
 
 
+def test_long_runs_are_counted_by_many_chunks(spark, byte_tokenizer, monkeypatch):
+    """Texts without a blank: work stays in proportion to the text where tokens fall into step, and counts are right where they never do."""
+    rng = np.random.default_rng(5)
+    cjk = "".join(rng.choice(list("日本語中文字的一是不了人我在有他这为之大来以个"), 120_000))
+    base64 = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 120_000))
+    words = "".join(rng.choice(["token", "isation", "over", "lap", "stream", "ing", "un", "do"], 30_000))
+    odd = ["!'sad" * 9000, "<|endoftext|>" * 4000, "ab<|endoftext|>" * 3000, " " * 40_000, "a  b   c    d\n" * 4000, "don't'll've" * 4000, "\u0301é🙂" * 9000, "x" * 30_000]
+    encoded = []
+    real = token_counts._pieces
+
+    def pieces(texts, spans):
+        out = real(texts, spans)
+        encoded.append(out.groupBy("digest").agg(F.sum(F.length("piece")).alias("n")).toPandas().set_index("digest")["n"])
+        return out
+
+    monkeypatch.setattr(token_counts, "_pieces", pieces)
+    texts = [cjk, base64, words, *odd]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r[0]: r[1] for r in token_counts.count_tokens(docs, vocabulary("byte_bpe_50k.json"), chunk=4096, overlap=64).select("row.doc_id", "n_tokens").collect()}
+    assert got == {i: len(byte_tokenizer.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    work = sum(e.reindex([hashlib.sha256(t.encode()).hexdigest() for t in texts[:3]]).fillna(0).to_numpy() for e in encoded)
+    assert (work < 1.3 * np.array([len(t) for t in texts[:3]])).all(), work
+
+
+def test_spliced_counts_equal_the_library_at_every_cut(byte_tokenizer):
+    """The two proofs, straight on the library's encodings: any pair of overlapping pieces, any place named by both."""
+    rng = np.random.default_rng(9)
+    parts = ["the ", "of", "'s", "'ll", " ", "  ", "\n", "日本", "語", "!!", "!'", "12", "3", "é", "🙂", "<|endoftext|>", "aaaa", "ing", "\t", "token"]
+    for _ in range(400):
+        text = "".join(rng.choice(parts, 60))
+        a, b = sorted(rng.integers(1, len(text), 2))
+        lo, hi = int(a), int(min(b + 30, len(text)))
+        left, right = (byte_tokenizer.encode(t, add_special_tokens=False) for t in (text[:hi], text[lo:]))
+        tail = token_counts.common_places(left, 0, lo, hi, 13, False)
+        head = token_counts.common_places(right, lo, lo, hi, 13, True)
+        n = len(byte_tokenizer.encode(text, add_special_tokens=False))
+        if hi - lo < 28:
+            continue  # an overlap is twice the longest special string at least
+        for place in set(tail) & set(head):
+            assert tail[place] + len(right) - head[place] == n, (text, lo, hi, place)
+
+
 def test_token_counts_of_an_empty_table_and_kept_columns(spark):
     docs, _ = table(spark, TRICKY[:5])
     got = token_counts.count_tokens(docs.limit(0), vocabulary("byte_bpe_50k.json"), keep=["doc_id"])
