@@ -7,6 +7,7 @@ but the last return the columns of documents.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,8 +44,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of the token ids and of the decoded text of each document of the mix."""
-    return bpe_codec.encode_decode_digests(docs.select("doc_id", "text"), vocabulary("word_bpe_49k.json")).select("doc_id", "bpe.*")
+    """Digests of the token ids and of the decoded text of each document of the mix, with its place in training.
+
+    The stage before wrote its rows range-sorted by position, file by file: (shard, row), the number of a row's file and
+    its place in it, is the training order, and tells the takes of a document apart. Rows that come from no file have none.
+    """
+    try:
+        docs = docs.select("doc_id", "text", F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("int").alias("shard"),
+                           F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:  # no table of files
+        docs = docs.select("doc_id", "text", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("long").alias("row"))
+    return bpe_codec.encode_decode_digests(docs, vocabulary("word_bpe_49k.json")).select("doc_id", "bpe.*", "shard", "row")
 
 
 STAGES = [
