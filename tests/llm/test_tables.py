@@ -280,4 +280,9 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, sf):
     for r in mixing.mix(seen["simhash_near_dedup"]).select("row.source", "target").distinct().collect():
         assert abs(words[r["source"]] - r["target"]) <= largest / 2 + 1
     assert Counter(ids["bpe_codec"]) == Counter(ids["curriculum_mix"])
+    order = [r["id"] for r in mixing.curriculum(mixing.mix(seen["simhash_near_dedup"])).select("id").collect()]
+    trained = seen["bpe_codec"].orderBy("shard", "row").collect()
+    assert [r["doc_id"] for r in trained] == order and len({(r["shard"], r["row"]) for r in trained}) == len(order)
+    loose = P.encode(spark, spark.createDataFrame([(1, "a text")], "doc_id long, text string"), sf).first()
+    assert loose["n_tokens"] > 0 and loose["shard"] is None and loose["row"] is None
     assert language_id.UNKNOWN == "und" and toxicity.THRESHOLD == 0.3
