@@ -119,6 +119,17 @@ def live_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest.unionByName(older)
 
 
+SOFT_404 = "<article><p>The page that you asked for is not here any more. Please use the search of this site.</p></article>"
+
+
+def live_with_soft404(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live observations of which every seventh page, where it answers with 200, shows the host's text for missing pages."""
+    live = live_observations(spark, sf_dir)
+    ids = table(spark, sf_dir, "pages").select("url", "page_id")
+    gone = (_pid() % 7 == 0) & (F.col("status_code") == 200)
+    return live.join(ids, "url").withColumn("html", F.when(gone, SOFT_404).otherwise(F.col("html"))).drop("page_id")
+
+
 def decorated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with a nested menu, users' comments, a table and a second article added."""
     p = table(spark, sf_dir, "pages").select("page_id", "url", "html")

@@ -107,3 +107,38 @@ def translate(articles: DataFrame, cache: DataFrame, translate_fn: Callable | No
     known = usable.select("src_sha1", "text_out", "ok").unionByName(new.select("src_sha1", "text_out", "ok"))
     out = keyed.join(known.select("src_sha1", "text_out"), "src_sha1", "left")
     return out.withColumn("text_en", F.coalesce(F.col("text_out"), F.lit(""))).drop("text_out"), new
+
+
+SLICES = 16  # commits of a run that translates everything anew
+
+
+def translate_resumable(articles: DataFrame, cache_path: str, translate_fn: Callable | None = None,
+                        dictionary: dict[str, str] | None = None, retry_failed: bool = True, text_col: str = "text_src",
+                        batch_size: int = 32, slices: int = SLICES) -> DataFrame:
+    """I1 with B8: ``articles`` with text_en, translated through the cache at ``cache_path``.
+
+    What the cache has not is cut into slices by key, and each slice is appended to the cache before the next begins. A
+    run that dies keeps all slices that it has committed: the next run finds them in the cache and goes on after them.
+    """
+    from ..sinks.writers import append_cache
+    from ..sources.readers import load_cache
+    spark = articles.sparkSession
+    if translate_fn is None and dictionary is None:
+        return articles.withColumn("text_en", F.lit(""))
+    cache = load_cache(spark, cache_path)
+    keys = articles.select(cache_key(text_col).alias("src_sha1"), F.col(text_col).alias("text")).dropDuplicates(["src_sha1"])
+    usable = cache.filter("ok") if retry_failed else cache
+    place = F.pmod(F.conv(F.substring("src_sha1", 1, 6), 16, 10).cast("long"), F.lit(slices))
+    misses = store(keys.join(usable.select("src_sha1"), "src_sha1", "left_anti").withColumn("_slice", place), "misses")
+    for k in range(slices):
+        part = misses.filter(F.col("_slice") == k).drop("_slice")
+        if part.isEmpty():
+            continue
+        if translate_fn is not None:
+            part = part.mapInPandas(_batch_translator(translate_fn, batch_size), "src_sha1 string, text_out string, ok boolean")
+        else:
+            part = dictionary_translate(part, dictionary)
+        append_cache(part, cache_path)
+    done = load_cache(spark, cache_path).select("src_sha1", "text_out")
+    out = articles.withColumn("src_sha1", cache_key(text_col)).join(done, "src_sha1", "left")
+    return out.withColumn("text_en", F.coalesce(F.col("text_out"), F.lit(""))).drop("text_out")

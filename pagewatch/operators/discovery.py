@@ -8,7 +8,7 @@ arithmetic (an equi key), never by a range join against the window table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.urls import url_host
@@ -19,6 +19,32 @@ def _day(ts14="ts14") -> Column:
     return F.to_date(F.substring(F.col(ts14), 1, 8), "yyyyMMdd")
 
 
+def month_windows(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
+    """G2 for a stated range of years, both included: one window per month."""
+    seq = F.sequence(F.make_date(F.lit(first_year), F.lit(1), F.lit(1)), F.make_date(F.lit(last_year), F.lit(12), F.lit(1)), F.expr("INTERVAL 1 MONTH"))
+    starts = spark.range(1).select(F.explode(seq if first_year <= last_year else F.array().cast("array<date>")).alias("start"))
+    return starts.select(F.lit("month").alias("level"), "start", F.add_months("start", 1).alias("end"))
+
+
+def year_windows(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
+    """G2 (no-split mode) for a stated range of years, both included: one window per year."""
+    years = spark.range(first_year, last_year + 1).select(F.col("id").cast("int").alias("y"))
+    return years.select(F.lit("year").alias("level"), F.make_date("y", F.lit(1), F.lit(1)).alias("start"),
+                        F.make_date(F.col("y") + 1, F.lit(1), F.lit(1)).alias("end"))
+
+
+def distinct_urls_by_year(captures: DataFrame, windows: DataFrame, domain_col: Column | None = None) -> DataFrame:
+    """Year mode: distinct ``original`` per (domain, year) over good captures of the years in ``windows``.
+
+    A URL captured in many months of a year stands once in that year's list.
+    """
+    good = status_filter(captures).select(
+        (url_host(F.col("original")) if domain_col is None else domain_col).alias("domain"),
+        F.substring("ts14", 1, 4).cast("int").alias("year"), "original")
+    wanted = windows.select(F.year("start").alias("year")).distinct()
+    return good.join(F.broadcast(wanted), "year", "left_semi").distinct()  # a row a year
+
+
 def month_windows_for(captures: DataFrame) -> DataFrame:
     """G2 over the years the captures span (whole years, as the reference loops years)."""
     rng = captures.agg(F.min(F.substring("ts14", 1, 4).cast("int")).alias("y0"),

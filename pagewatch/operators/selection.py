@@ -1,7 +1,7 @@
 """Selection: URL lines (A1), resume anti-join (D1), exact sample (F2), target limit.
 
 Sampling and the target limit need an *exact* number of rows in a repeatable
-order; ``exact_top_n`` ranks rows by range partitions for any number.
+order: ``smallest_hex`` for ranks that are hashes, ``exact_top_n`` for any key.
 """
 
 from __future__ import annotations
@@ -65,6 +65,21 @@ def exact_top_n(df: DataFrame, key: str, n: int, ties=()) -> DataFrame:
     return dense_rank_ids(df, [key, *ties], "_rank").filter(F.col("_rank") < n).drop("_rank")
 
 
+def smallest_hex(df: DataFrame, key: str, n: int, ties=()) -> DataFrame:
+    """Exactly the ``n`` rows smallest by a hexadecimal ``key`` (then ``ties``); all rows if there are not more.
+
+    A histogram of the key's first four digits (65,536 rows at most) tells where the n-th row lies: rows before that
+    bucket are taken as they are, only the bucket itself is sorted, and nothing is written. ``df`` is computed twice.
+    """
+    prefix = F.substring(key, 1, 4)
+    left = n
+    for p, size in sorted((r["p"], r["n"]) for r in df.groupBy(prefix.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()):
+        if size >= left:
+            return df.filter(prefix < p).unionByName(df.filter(prefix == p).orderBy(key, *ties).limit(left))
+        left -= size
+    return df
+
+
 def sample_urls(urls: DataFrame, limit: int | None, seed: str = "0", url_col: str = "url") -> DataFrame:
     """uniform sample without replacement of exactly ``limit`` list entries.
 
@@ -75,10 +90,7 @@ def sample_urls(urls: DataFrame, limit: int | None, seed: str = "0", url_col: st
     occ = with_occurrence(urls, url_col).withColumn("sample_rank", sample_key(seed))
     if not limit or limit <= 0:
         return occ
-    total = urls.count()
-    if limit >= total:
-        return occ
-    return exact_top_n(occ, "sample_rank", limit, ties=("url", "occ"))
+    return smallest_hex(occ, "sample_rank", limit, ties=("url", "occ"))
 
 
 def limit_findings(findings: DataFrame, target: int | None, rank_col: str = "sample_rank",
@@ -86,4 +98,4 @@ def limit_findings(findings: DataFrame, target: int | None, rank_col: str = "sam
     """stop at ``target`` findings, in the deterministic sample order."""
     if not target or target <= 0:
         return findings
-    return exact_top_n(findings, rank_col, target, ties=(tie_col,))
+    return smallest_hex(findings, rank_col, target, ties=(tie_col,))

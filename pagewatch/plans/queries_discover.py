@@ -172,3 +172,28 @@ def q_concat_url_lists(spark, d):
     path = scratch_path(spark, "url_index_cat")
     write_url_index(D.distinct_urls_by_month(caps(spark, d)), path)
     return read_url_list(spark, [f"{path}/*/*/*"])
+
+
+FIRST_YEAR, LAST_YEAR = 2023, 2024
+
+
+@register("window_range", f"""SELECT 'month' AS level, cast(start AS VARCHAR) AS start, cast(CAST(start + INTERVAL 1 MONTH AS DATE) AS VARCHAR) AS "end",
+  (SELECT count(DISTINCT original) FROM {CAPS} c WHERE statuscode = '200' AND substr(c.ts14, 1, 6) = strftime(start, '%Y%m')) AS n_urls
+FROM (SELECT CAST(unnest(range(DATE '{FIRST_YEAR}-01-01', DATE '{LAST_YEAR + 1}-01-01', INTERVAL 1 MONTH)) AS DATE) AS start)""")
+def q_window_range(spark, d):
+    """G2 for a stated range of years: every month of it with its number of good URLs, months without any included."""
+    good = D.status_filter(caps(spark, d)).select(F.concat_ws("-", F.substring("ts14", 1, 4), F.substring("ts14", 5, 2)).alias("m"), "original").distinct()
+    n = good.groupBy("m").agg(F.count("*").alias("n_urls"))
+    windows = D.month_windows(spark, FIRST_YEAR, LAST_YEAR).withColumn("m", F.date_format("start", "yyyy-MM"))
+    return windows.join(n, "m", "left").select("level", F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"),
+                                               F.coalesce("n_urls", F.lit(0)).alias("n_urls"))
+
+
+@register("urls_by_year", f"""SELECT DISTINCT lower(regexp_extract(original, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)) AS domain,
+  cast(substr(ts14, 1, 4) AS INTEGER) AS year, original FROM {CAPS} WHERE statuscode = '200' AND substr(ts14, 1, 4) BETWEEN '{FIRST_YEAR}' AND '{LAST_YEAR}'""")
+def q_urls_by_year(spark, d):
+    """Year mode: one distinct sorted list a domain and year, written a file each and read back."""
+    path = scratch_path(spark, "urls_by_year")
+    keys = ("domain", "year")
+    write_url_index(D.distinct_urls_by_year(caps(spark, d), D.year_windows(spark, FIRST_YEAR, LAST_YEAR)), path, keys=keys)
+    return read_url_index(spark, path, keys=keys)

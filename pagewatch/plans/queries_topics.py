@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as X
 from .. import oracles as O
 from ..functions.text import preview as preview_col
-from ..operators.articles import articles_from_findings, cache_hits, cache_key, translate
+from ..operators.articles import articles_from_findings, cache_hits, cache_key, translate, translate_resumable
 from ..operators.clustering import connected_components, dense_rank_ids, density_clusters
 from ..operators.topics import (centroid_similarity, centroids, cluster_payload, ctfidf, keyword_lists, mmr, representatives,
                                 summary_heading, topic_counts, topic_label, topic_sizes, topic_summary)
@@ -186,6 +186,24 @@ def q_translate_with_cache(spark, d):
     return translated(spark, d).select("url", "src_sha1", "text_en")
 
 
+@register("translate_resumed", f"WITH {translated_ctes()} SELECT url, src_sha1, text_en FROM tr")
+def q_translate_resumed(spark, d):
+    """I1 with B8: a run that has the articles of one half committed, and one that goes on from its cache."""
+    from ..sinks.writers import append_cache
+    arts, path = articles(spark, d), scratch_path(spark, "cache")
+    append_cache(article_cache(arts), path)
+    translate_resumable(arts.filter(F.length("url") % 2 == 0), path, dictionary=X.dictionary(), slices=4).count()
+    return translate_resumable(arts, path, dictionary=X.dictionary(), slices=4).select("url", "src_sha1", "text_en")
+
+
+@register("translation_off", f"WITH arts AS ({ARTS}) SELECT article_id, '' AS text_en, text_src FROM arts")
+def q_translation_off(spark, d):
+    """I1 switched off: no translation, what follows uses the source text."""
+    arts = articles(spark, d)
+    out, _ = translate(arts, article_cache(arts))
+    return out.select("article_id", "text_en", "text_src")
+
+
 @register("cache_lookup_join", f"""WITH arts AS ({ARTS}), cache AS ({CACHE})
 SELECT a.url, sha1(a.text_src) AS src_sha1, c.text_out, c.ok FROM arts a LEFT JOIN cache c ON c.src_sha1 = sha1(a.text_src) AND c.ok""")
 def q_cache_lookup_join(spark, d):

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from ..functions.urls import finding_key
 
 
-def write_url_index(index: DataFrame, path: str, fmt: str = "text") -> None:
+def write_url_index(index: DataFrame, path: str, fmt: str = "text", keys: tuple = ("domain", "year", "month")) -> None:
     """B1 + F4: sorted URL files per (domain, year, month); empty months write nothing.
+    With ``keys`` (domain, year) the lists of year mode.
 
     Range partitioning on (domain, year, month, original) keeps a month's URLs
     in order across tasks: a small month is one sorted file, a month holding a
@@ -22,7 +23,6 @@ def write_url_index(index: DataFrame, path: str, fmt: str = "text") -> None:
     names follow the order. Dynamic partition overwrite replaces only the
     months being written (a re-run of one month leaves the others).
     """
-    keys = ["domain", "year", "month"]
     out = (index.select(*keys, "original")
            .repartitionByRange(*keys, "original")
            .sortWithinPartitions(*keys, "original"))
@@ -33,13 +33,12 @@ def write_url_index(index: DataFrame, path: str, fmt: str = "text") -> None:
         w.parquet(path)
 
 
-def read_url_index(spark, path: str, fmt: str = "text") -> DataFrame:
+def read_url_index(spark, path: str, fmt: str = "text", keys: tuple = ("domain", "year", "month")) -> DataFrame:
     """Read B1 back as (domain, year, month, original) via partition discovery."""
     df = spark.read.text(path) if fmt == "text" else spark.read.parquet(path)
     if fmt == "text":
         df = df.withColumnRenamed("value", "original")
-    return df.select(F.col("domain").cast("string"), F.col("year").cast("int"), F.col("month").cast("int"),
-                     "original")
+    return df.select(*[F.col(k).cast("string" if k == "domain" else "int") for k in keys], "original")
 
 
 def write_findings(docs: DataFrame, path: str, run_id: str, per_document: bool = False) -> None:

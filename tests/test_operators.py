@@ -263,3 +263,78 @@ def test_embed_fn_sees_whole_texts(spark):
                                                     max_tokens=4, batch_size=2).collect()}
     # windows of 4, 4 and 2 words: (4, 0), (4, 0), (1, 1)
     assert np.allclose(got[1], [3.4, 0.2]) and np.allclose(got[2], [0, 0]) and np.allclose(got[3], [0, 2])
+
+
+def test_change_points_of_one_long_history(spark):
+    """One URL holds half of all captures: its history is cut into ranges, and the last digest is carried from each to the next."""
+    from pagewatch.operators.history import capture_change_points
+    rows = [("hot", f"2024{i:010d}", "200", f"d{i // 7 % 3}" if i % 50 else None, i) for i in range(600)]
+    rows += [(f"u{i % 40:02d}", f"2023{i:010d}", "200" if i % 9 else "404", f"d{i // 80}", i) for i in range(600)]
+    rows += [("two", "20240101000000", "200", "a", 1), ("two", "20240101000000", "200", "b", 1), ("two", None, "200", "a", None)]
+    got = {tuple(r) for r in capture_change_points(spark.createDataFrame(rows, CAP)).collect()}
+    want, last = set(), {}
+    none_first = lambda v: (v is not None, v if v is not None else 0)
+    for url, ts, _, digest, pos in sorted((r for r in rows if r[2] == "200"), key=lambda r: (r[0], none_first(r[1]) if r[1] else (False, ""), none_first(r[4]), (r[3] is not None, r[3] or ""))):
+        if url in last and last[url][0] != digest:
+            want.add((url, ts, pos, digest, *last[url]))
+        last[url] = (digest, ts)
+    assert got == want and sum(r[0] == "hot" for r in got) > 100
+    assert capture_change_points(spark.createDataFrame([], CAP)).count() == 0
+
+
+def test_soft404_counts_urls_once_and_newest(spark):
+    from pagewatch.operators.history import soft404_suspects
+    page = lambda t: "<p>" + t + " " + "w" * 60 + "</p>"
+    rows = [(f"http://a/{i}", 200, page("gone") if i < 4 else page(f"text {i}"), "2024-01-02") for i in range(10)]
+    rows += [(f"http://a/{i}", 200, page("gone"), "2024-01-01") for i in range(10)] + rows[:1]  # older pages and a repeated row
+    rows += [(f"http://b/{i}", 200, page("few"), "2024-01-01") for i in range(2)] + [("http://c/1", 404, page("few"), "2024-01-01")]
+    live = spark.createDataFrame(rows, "url string, status_code int, html string, fetched_at string")
+    got = [(r["host"], r["n_urls"], r["host_urls"], r["example_url"]) for r in soft404_suspects(live).collect()]
+    assert got == [("a", 4, 10, "http://a/0")]
+    assert soft404_suspects(live, min_urls=2).count() == 2 and soft404_suspects(live, share=0.5).count() == 0
+
+
+def test_smallest_hex_sorts_one_bucket_only(spark):
+    df = spark.range(3000).select(F.md5(F.col("id").cast("string")).alias("k"), "id")
+    df = df.unionByName(df.limit(1)).unionByName(df.filter("id < 40").select(F.lit("8000aa").alias("k"), "id"))
+    rows = sorted((r["k"], r["id"]) for r in df.collect())
+    for n in (0, 1, 700, 1500, 1520, 3040, 3041, 9999):
+        assert sorted((r["k"], r["id"]) for r in S.smallest_hex(df, "k", n, ("id",)).collect()) == rows[:n]
+
+
+def test_translation_goes_on_where_a_run_died(spark):
+    import os
+
+    from pagewatch.operators.articles import translate_resumable
+    from pagewatch.sources.readers import load_cache
+    path, log = scratch_path(spark, "t_resume"), scratch_path(spark, "t_resume_log").removeprefix("file:")
+    os.makedirs(log)
+
+    def fn(texts, dies):
+        import os
+        import uuid
+        done = [t for f in os.listdir(log) for t in open(f"{log}/{f}").read().split()]
+        if dies and len(done) >= 20:
+            raise SystemExit("the worker dies")
+        with open(f"{log}/{uuid.uuid4().hex}", "w") as f:
+            f.write("\n".join(texts))
+        return [t.upper() for t in texts]
+
+    arts = spark.createDataFrame([(i, f"text{i % 40}") for i in range(60)], "article_id long, text_src string").coalesce(1)
+    with pytest.raises(Exception):  # noqa: B017
+        translate_resumable(arts, path, lambda t: fn(t, True), slices=6)
+    kept = load_cache(spark, path).count()
+    assert 0 < kept < 40
+    out = translate_resumable(arts, path, lambda t: fn(t, False), slices=6)
+    assert {(r["text_src"], r["text_en"]) for r in out.collect()} == {(f"text{i}", f"TEXT{i}") for i in range(40)}
+    done = [t for f in os.listdir(log) for t in open(f"{log}/{f}").read().split()]
+    assert load_cache(spark, path).count() == 40 and len(done) <= 40 + 40 - kept
+
+
+def test_windows_of_a_stated_range_of_years(spark):
+    from pagewatch.operators import discovery as D
+    months = [(str(r["start"]), str(r["end"])) for r in D.month_windows(spark, 2019, 2020).orderBy("start").collect()]
+    assert len(months) == 24 and months[0] == ("2019-01-01", "2019-02-01") and months[-1] == ("2020-12-01", "2021-01-01")
+    years = [(str(r["start"]), str(r["end"])) for r in D.year_windows(spark, 2019, 2020).orderBy("start").collect()]
+    assert years == [("2019-01-01", "2020-01-01"), ("2020-01-01", "2021-01-01")]
+    assert D.month_windows(spark, 2020, 2019).count() == 0 and D.year_windows(spark, 2020, 2019).count() == 0
