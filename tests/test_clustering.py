@@ -41,6 +41,17 @@ def test_connected_components_matches_union_find(spark):
     assert all(got[v] == want[v] for v in linked)
 
 
+def test_components_of_a_hub_and_of_loops(spark):
+    """One centre with most of all edges, a chain that hangs on it, a loop, and vertices without edges."""
+    edges = [(5, i) for i in range(1000, 4000)] + [(i, i + 1) for i in range(4000, 4040)] + [(3999, 4000), (7, 7), (90, 80)]
+    df = spark.createDataFrame(edges, "i long, j long")
+    alone = spark.createDataFrame([(2,), (5,)], "id long")
+    for contract in (True, False):
+        got = {r["id"]: r["component"] for r in connected_components(df, alone, contract=contract).collect()}
+        want = {i: 5 for i in [5, *range(1000, 4041)]} | {7: 7, 90: 80, 80: 80, 2: 2}
+        assert got == want
+
+
 def test_similarity_pairs_brute_force(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(6, 16))
