@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import hot_join, merge_labels  # noqa: F401 (for the operators)
+from ..operators.components import star_components as connected_components  # noqa: F401 (for the operators)
+from ..operators.joins import hot_join, merge_labels  # noqa: F401
 from ..session import ensure_checkpoint_dir, scratch_path
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
@@ -30,43 +31,3 @@ def columns(df: DataFrame) -> dict:
 def crc_mod(id_col: str, mod: int) -> Column:
     """crc32 of the id written as text, modulo ``mod`` (null id: null)."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % mod
-
-
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", salts: int = 8, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges``; root is the smallest node reachable.
-
-    Alternating large-star / small-star rounds over long ids. The minimum of a
-    node's neighbours is an ordinary aggregate (combined map-side), and it goes
-    back to the node's edges by a join salted ``salts`` ways, so the centre of
-    a star that holds most edges is spread over tasks. Every round is written
-    to the shared folder. Rows with a null or equal pair are ignored.
-    """
-    cur = write_table(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .filter("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct(), "cc")
-    salt_rows = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-
-    def star(pairs: DataFrame) -> DataFrame:
-        """(u, v, m): each directed pair with the smallest id among u and its listed neighbours."""
-        low = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        low = low.withColumn("_s", salt_rows)
-        return pairs.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).join(low, ["u", "_s"])
-
-    before = None
-    for _ in range(max_rounds):
-        both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (star(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .filter("u <> v").distinct())
-        small = star(large)
-        small = (small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .unionByName(small.select("u", F.col("m").alias("v")))
-                 .filter("u <> v").distinct())
-        cur = write_table(small, "cc")
-        state = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
-            break
-        before = tuple(state)
-    else:
-        raise RuntimeError("connected components did not converge")
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-        cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
