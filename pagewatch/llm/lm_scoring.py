@@ -30,10 +30,12 @@ from .common import columns, hot_join, write_table
 
 PRIOR = 20.0            # pseudo-tokens by which a word's unigram model smooths what follows it
 ADD = 0.5               # added to every word's count
-BUFFER = 1 << 22        # characters read at once, and tokens of which a task counts words before it hands on
-BLOCK = 1 << 21         # tokens whose bigrams are sorted and dealt at once
+BUFFER = 1 << 20        # characters whose words are hashed at once
+COUNTED = 1 << 21       # tokens of which a task counts words before it hands on
+BLOCK = 1 << 20         # tokens whose bigrams are sorted and dealt at once
+ROWS = 64               # dealt rows that are handed on at once
 HOT_WORDS = 1 << 10     # most frequent words, dealt by both words of a bigram; results do not depend on it
-BUCKET = 1 << 21        # tokens a bucket, on average
+BUCKET = 1 << 20        # tokens a bucket, on average
 MIN_BUCKETS = 64
 START, END = np.uint64(1), np.uint64(2)  # before a text's first word; marks its last word
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -86,7 +88,7 @@ def _count(rows: DataFrame) -> DataFrame:
                 for part in _texts([pdf[pdf["target"].to_numpy() == side]]):
                     hashes, lengths = tokens(part)
                     held[side].append((hashes, _last(hashes, lengths)))
-                    if sum(len(x) for x, _ in held[side]) >= BUFFER:
+                    if sum(len(x) for x, _ in held[side]) >= COUNTED:
                         yield flush(side)
         for side in (False, True):
             if held[side]:
@@ -189,7 +191,9 @@ def _deal(hashes: np.ndarray, lengths: np.ndarray, scored: bool, buckets: int, h
     spread = np.where(_find(hot, w)[0], (w ^ v * MIX) >> np.uint64(20), w)
     bucket = (spread % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.uint32)
     order = np.lexsort((v, w, bucket))  # stable: documents stay in order
+    del spread, before, hashes
     w, v, doc, bucket = w[order], v[order], doc[order], bucket[order]
+    del order
     word, bigram, entry = _starts(w, bucket), _starts(w, v), _starts(w, v, doc)
     n_bigrams = np.diff(np.append(np.searchsorted(bigram, word), len(bigram)))
     n_docs = np.diff(np.append(np.searchsorted(entry, bigram), len(entry)))
@@ -258,16 +262,21 @@ def _sums(rows: DataFrame, models: Models) -> DataFrame:
         m, block = shared.value, TaskContext.get().partitionId() << 32
         held: dict[tuple, list[tuple]] = {}
 
-        def flush(kind: tuple) -> pd.DataFrame:
+        def flush(kind: tuple) -> Iterator[pd.DataFrame]:
             nonlocal block
             side, scored = kind
             hashes, lengths, keys = (np.concatenate(x) for x in zip(*held.pop(kind), strict=True))
-            out = list(_deal(hashes, lengths, scored, m["buckets"], m["hot"]["key"])) if len(hashes) else []
+            same, out = {"block": block, "side": side, "scored": scored}, []
             if scored:
-                out.append({"bucket": block * 31 % m["buckets"], "keys": list(keys), "lengths": _pack(lengths)})
-            out = _frame([x | {"block": block, "side": side, "scored": scored} for x in out], DEALT)
+                out.append({"bucket": block * 31 % m["buckets"], "keys": list(keys), "lengths": _pack(lengths)} | same)
+            for row in _deal(hashes, lengths, scored, m["buckets"], m["hot"]["key"]) if len(hashes) else ():
+                out.append(row | same)
+                if len(out) == ROWS:
+                    yield _frame(out, DEALT)
+                    out = []
+            if out:
+                yield _frame(out, DEALT)
             block += 1
-            return out
 
         for pdf in batches:
             for kind, part in pdf.groupby(["side", "scored"], sort=True):
@@ -276,9 +285,9 @@ def _sums(rows: DataFrame, models: Models) -> DataFrame:
                     held.setdefault(kind, []).append((*tokens(texts), keys[:len(texts)]))
                     keys = keys[len(texts):]
                     if sum(len(x[0]) for x in held[kind]) >= BLOCK:
-                        yield flush(kind)
+                        yield from flush(kind)
         for kind in list(held):
-            yield flush(kind)
+            yield from flush(kind)
 
     def bucket(pdf: pd.DataFrame) -> pd.DataFrame:
         out = list(_bucket_losses(pdf, shared.value))
