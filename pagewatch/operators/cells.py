@@ -72,19 +72,27 @@ def _to_nearest(key: tuple[pa.Scalar, ...], rows: pa.Table, pivots: pa.Table) ->
     return pa.table({n: new.get(n, rows.column(n)) for n in rows.column_names})
 
 
-def split_pages(vectors: DataFrame, n: int, page_rows: int, pivots: int = PIVOTS, levels: int = LEVELS) -> tuple[DataFrame, list[DataFrame]]:
-    """``vectors`` (id, vec and others) with path, far (angle to its page's pivot) and part; and each level's cells.
+def split_pages(vectors: DataFrame, roots: DataFrame, page_rows: int, pivots: int = PIVOTS, levels: int = LEVELS) -> tuple[DataFrame, list[DataFrame]]:
+    """``vectors`` (id, vec, path and others) with the path down to a page, far (angle to its pivot) and part; and each level's cells.
 
+    ``roots`` (path, n; a written table): the cells to begin with, one, or one for each group of vectors that is dealt apart.
     Cells: parent, path, centre, radius, n. A cell that is a page already is its own and only child on the levels below.
     """
-    rows = vectors.withColumn("path", F.lit("")).withColumn("far", F.lit(0.0))
-    spark = vectors.sparkSession
-    split = spark.createDataFrame([("", n)], "path string, n long")
+    rows = vectors.withColumn("far", F.lit(0.0))
+    split = roots.filter(F.col("n") > page_rows).select("path", "n")
     table, done, moved = [], None, rows
-    for level in range(levels if n > page_rows else 0):
+    if not split.isEmpty():
+        small = roots.filter(F.col("n") <= page_rows).select("path", "n")
+        done = rows.join(small.select("path"), "path", "left_semi")
+        moved = rows.join(split.select("path"), "path", "left_semi")
+        none = F.lit(None).cast(vectors.schema["vec"].dataType)
+        small = small.select(F.col("path").alias("parent"), "path", none.alias("centre"), F.lit(math.pi).alias("radius"), "n")
+    else:
+        levels = 0
+    for _ in range(levels):
         split = split.withColumn("wanted", F.least(F.lit(pivots), F.ceil(F.col("n") * 2 / page_rows)).cast("int"))
         big = moved.join(split, "path")
-        h = F.pmod(F.xxhash64("id", F.lit(level)), F.lit(1 << 40))
+        h = F.pmod(F.xxhash64("id", "path"), F.lit(1 << 40))
         near = big.withColumn("h", h).filter(F.col("h") < (F.col("wanted") * 2.0 * SAMPLE + 64) / F.col("n") * (1 << 40))
         no = F.row_number().over(Window.partitionBy("path").orderBy("h", "id"))
         sample = near.withColumn("no", no).filter(F.col("no") <= F.col("wanted") * SAMPLE).select("path", "no", "vec", "n", "wanted")
@@ -98,8 +106,8 @@ def split_pages(vectors: DataFrame, n: int, page_rows: int, pivots: int = PIVOTS
         cells = store(sizes.join(picked.select(F.col("path").alias("parent"), of.alias("path"), F.col("vec").alias("centre")), "path"), "cells")
         before = table[-1] if table else None
         here = cells.select("parent", "path", "centre", "radius", "n")
-        if before is not None:
-            here = here.unionByName(before.filter(F.col("n") <= page_rows).withColumn("parent", F.col("path")))
+        pages = small if before is None else before.filter(F.col("n") <= page_rows).withColumn("parent", F.col("path"))
+        here = here.unionByName(pages)
         table.append(here)
         split = cells.filter(F.col("n") > page_rows).select("path", "n")
         if split.isEmpty():
@@ -121,9 +129,9 @@ def _dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def near_pages(table: list[DataFrame], page_rows: int, angle: float, spark, parts: int = 1) -> DataFrame:
-    """(a, pa, ra, b, pb, rb, apart): pairs of pages, each once, that may hold a pair within ``angle``."""
-    pairs = spark.createDataFrame([("", "")], "a string, b string")
+def near_pages(table: list[DataFrame], roots: DataFrame, page_rows: int, angle: float) -> DataFrame:
+    """(a, pa, ra, b, pb, rb, apart): pairs of pages, each once, of one root that may hold a pair within ``angle``."""
+    pairs = roots.select(F.col("path").alias("a"), F.col("path").alias("b"), F.ceil(F.col("n") / page_rows).cast("int").alias("parts"))
     flat = lambda c: F.transform(c, lambda x: x.cast("double"))
     for cells in table:
         v = flat("centre")
@@ -138,7 +146,7 @@ def near_pages(table: list[DataFrame], page_rows: int, angle: float, spark, part
         near = both.filter(F.col("apart") <= F.col("ra") + F.col("rb") + angle + SLACK)
         pairs = store(near.select(F.col("aa").alias("a"), "ra", "na", F.col("bb").alias("b"), "rb", "nb", "apart"), "cell_pairs")
     if not table:
-        pairs = pairs.select("a", F.lit(math.pi).alias("ra"), F.lit(parts).alias("na"), "b", F.lit(math.pi).alias("rb"), F.lit(parts).alias("nb"), F.lit(0.0).alias("apart"))
+        pairs = pairs.select("a", F.lit(math.pi).alias("ra"), F.col("parts").alias("na"), "b", F.lit(math.pi).alias("rb"), F.col("parts").alias("nb"), F.lit(0.0).alias("apart"))
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     every_part = pairs.withColumn("pa", every("na")).withColumn("pb", every("nb")).filter("a < b OR pa <= pb")
     return every_part.select("a", "pa", "ra", "b", "pb", "rb", "apart")
@@ -192,10 +200,12 @@ def deal_pages(vectors: DataFrame, threshold: float, decimals: int, page_rows: i
     A table of few pages whose cells would nearly all be near each other is dealt to pages by hash: cells cost more there
     than they save. Results are the same.
     """
-    n, angle, spark = vectors.count(), reach(threshold, decimals), vectors.sparkSession
+    n, angle = vectors.count(), reach(threshold, decimals)
+    roots = vectors.sparkSession.createDataFrame([("", n)], "path string, n long")
+    rows, table = vectors.withColumn("path", F.lit("")), []
     if n <= page_rows or threshold <= 0 or 2 * n <= pivots * page_rows and not _structured(vectors, n, page_rows, angle, pivots):
-        parts = max(1, -(-n // page_rows))
-        rows = vectors.withColumns({"path": F.lit(""), "far": F.lit(0.0), "part": F.pmod(F.xxhash64("id", F.lit("part")), F.lit(parts)).cast("int")})
-        return Pages(rows, near_pages([], page_rows, angle, spark, parts), angle)
-    rows, table = split_pages(vectors, n, page_rows, pivots)
-    return Pages(rows, near_pages(table, page_rows, angle, spark), angle)
+        part = F.pmod(F.xxhash64("id", F.lit("part")), F.lit(max(1, -(-n // page_rows)))).cast("int")
+        rows = rows.withColumns({"far": F.lit(0.0), "part": part})
+    else:
+        rows, table = split_pages(rows, roots, page_rows, pivots)
+    return Pages(rows, near_pages(table, roots, page_rows, angle), angle)
