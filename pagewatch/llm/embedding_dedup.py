@@ -1,10 +1,12 @@
 """Embedding near-duplicates by cover trees and dual traversal.
 
 Equal vectors of a label are folded into one first. The vectors of a label are
-then dealt to cells around pivots (the top level of the label's tree), large
-cells to pages of bounded size; a pair of pages is looked at only if its
-covering radii allow a link. For each such pair one task builds the two pages'
-cover trees (nested levels whose radii halve) and walks both at once: pairs of
+then dealt to cells around pivots, full cells to cells around pivots of their
+own, until one fits a page: the upper levels of the label's tree, each made by
+one join. Pairs of cells are followed from the label's root down and dropped if
+their covering radii allow no link, so only near pages ever meet. A page's
+cover tree (nested levels whose radii halve) is built once and stored as a
+row. A task walks the stored trees of a near pair at once: pairs of
 nodes too far apart for any link are pruned, pairs whose members must all be
 linked are counted as a whole. Links are exact; sums of links and the links of
 a spanning forest leave the task, never all pairs.
@@ -12,18 +14,20 @@ a spanning forest leave the task, never all pairs.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.cells import near_pages, reach, split_pages
 from .common import connected_components, hot_join, merge_labels, write_table
 
 THRESHOLD = 0.98
 PAGE_ROWS = 2048       # vectors of a page: what a task holds is two pages
-MAX_PIVOTS = 4096      # pivots of all labels together, broadcast
+PIVOTS = 64            # cells that a cell is split into, at most
 SLACK = 1e-7           # distances are bounds only; links are decided by the cosine itself
 SLICE = 1 << 15        # pairs handled at once
 
@@ -167,89 +171,47 @@ def _expand(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bounds[0][which] + np.arange(n.sum()) - (np.cumsum(n) - n)[which], which
 
 
-def _pages(rows: DataFrame, page_rows: int, max_pivots: int):
-    """``rows`` (label, key, u, w) with cell (number of the nearest pivot), dist (to it) and page; the pivots by label."""
-    spark = rows.sparkSession
-    sizes = write_table(rows.groupBy("label").agg(F.count("*").alias("n")), "cover_labels")
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    cell_rows = max(page_rows, -(-2 * total // max_pivots))
-    # Labels that need more than one cell: at most total / cell_rows of them, and max_pivots pivots together.
-    many = sizes.filter(F.col("n") > cell_rows).select("label", "n", F.ceil(F.col("n") / cell_rows).cast("int").alias("cells"))
-    ranked = rows.join(F.broadcast(many), "label")
-    # The vectors whose hash comes first are the pivots; about 8 times as many are looked at.
-    h = F.pmod(F.xxhash64("key"), F.lit(1 << 40))
-    ranked = ranked.filter(h < (F.col("cells") * 8.0 + 64) / F.col("n") * (1 << 40)).withColumn("h", h)
-    table: dict = {}
-    for r in ranked.select("label", "cells", "u", "h", "key").orderBy("label", "h", "key").toLocalIterator():
-        got = table.setdefault(r["label"], [])
-        if len(got) < r["cells"]:
-            got.append(r["u"])
-    pivots = spark.sparkContext.broadcast({k: np.array(v) for k, v in table.items()})
-
-    @F.pandas_udf("cell int, dist double")
-    def cell_of(label: pd.Series, u: pd.Series) -> pd.DataFrame:
-        cell, dist = np.zeros(len(u), np.int32), np.full(len(u), 2.0)
-        for value, at in label.groupby(label).groups.items():
-            p = pivots.value.get(value)
-            if p is not None:
-                d = _distance(np.stack(u[at].to_list()), p)
-                cell[at], dist[at] = d.argmin(1), d.min(1)
-        return pd.DataFrame({"cell": cell, "dist": dist})
-
-    rows = write_table(rows.withColumn("c", cell_of("label", "u")).select("label", "key", "u", "w", "c.cell", "c.dist"), "cover_cells")
-    cells = rows.groupBy("label", "cell").agg(F.count("*").alias("m"))
-    cells = cells.withColumn("pages", F.ceil(F.col("m") / page_rows).cast("int"))
-    paged = hot_join(rows, cells, ["label", "cell"], "m", total)
-    return write_table(paged.withColumn("page", F.pmod(F.xxhash64("key", F.lit("page")), F.col("pages")).cast("int")).drop("pages"), "cover_pages"), pivots
-
-
-def _page_pairs(rows: DataFrame, pivots, threshold: float) -> DataFrame:
-    """(label, cell, page, cell2, page2): pairs of pages, each once, that may hold a link."""
-    reach = float(np.sqrt(2 - 2 * threshold))
-    pages = rows.groupBy("label", "cell", "page").agg(F.max("dist").alias("radius"))
-    other = pages.select("label", F.col("cell").alias("cell2"), F.col("page").alias("page2"), F.col("radius").alias("radius2"))
-    pairs = pages.join(other, "label").filter("(cell, page) <= (cell2, page2)")
-
-    @F.pandas_udf("double")
-    def between(label: pd.Series, cell: pd.Series, cell2: pd.Series) -> pd.Series:
-        p = pivots.value
-        return pd.Series([float(_distance(p[x][[i]], p[x][[j]])[0, 0]) if x in p and i != j else 0.0 for x, i, j in zip(label, cell, cell2, strict=True)])
-
-    near = between("label", "cell", "cell2") - F.col("radius") - F.col("radius2") <= reach + SLACK
-    return pairs.filter(near).select("label", "cell", "page", "cell2", "page2")
-
-
-def _links(rows: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+def _trees(rows: DataFrame) -> DataFrame:
+    """(path, part, tree): a row a page, with its cover tree and the keys of its rows."""
+    def build(key: tuple[pa.Scalar, ...], page: pa.Table) -> pa.Table:
+        page = page.sort_by([("id", "ascending")])
+        x = page.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(page), -1)
+        tree = CoverTree(x, page.column("w").to_numpy())
+        tree.keys = page.column("id").to_numpy()[tree.order]
+        return pa.table({"path": pa.array([key[0].as_py()], pa.string()), "part": pa.array([key[1].as_py()], pa.int32()),
+                         "tree": pa.array([pickle.dumps(tree.__dict__)], pa.binary())})
+
+    return rows.groupBy("path", "part").applyInArrow(build, "path string, part int, tree binary")
+
+
+def _load(blob: bytes) -> CoverTree:
+    tree = CoverTree.__new__(CoverTree)
+    tree.__dict__ = pickle.loads(blob)
+    return tree
+
+
+def _links(trees: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """(key, n, root): per pair of pages and vector with links there, the weight linked and a vector of its component."""
-    page = ["label", "cell", "page"]
-    of = [*page, "cell2", "page2"]
-    first = rows.join(pairs, page).select(*of, F.lit(False).alias("second"), "key", "u", "w")
-    second = (rows.withColumnsRenamed({"cell": "cell2", "page": "page2"}).join(pairs, ["label", "cell2", "page2"])
-              .filter("cell <> cell2 OR page <> page2").select(*of, F.lit(True).alias("second"), "key", "u", "w"))
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        trees, keys = [], []
-        for side in (False, True):
-            part = pdf[pdf["second"].to_numpy() == side].sort_values("key")
-            if len(part):
-                trees.append(CoverTree(np.stack(part["u"].to_list()).astype(float), part["w"].to_numpy()))
-                keys.append(part["key"].to_numpy()[trees[-1].order])
-        if len(trees) == 1 and pdf["cell"].iloc[0] == pdf["cell2"].iloc[0] and pdf["page"].iloc[0] == pdf["page2"].iloc[0]:
-            n, _, joined = dual_links(trees[0], trees[0], threshold)
-            key = keys[0]
-        elif len(trees) == 2:
-            to_a, to_b, joined = dual_links(*trees, threshold)
-            n, key = np.concatenate((to_a, to_b)), np.concatenate(keys)
-        else:
-            return pd.DataFrame({"key": [], "n": [], "root": []})
-        linked = n > 0
-        return pd.DataFrame({"key": key[linked], "n": n[linked], "root": key[joined[linked]]})
-
-    return first.unionByName(second).groupBy(*of).applyInPandas(walk, "key long, n long, root long")
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, second in zip(batch.column(0), batch.column(1), strict=True):
+                a = _load(first.as_py())
+                b = _load(second.as_py()) if second.is_valid else a
+                to_a, to_b, joined = dual_links(a, b, threshold)
+                n, key = (to_a, a.keys) if a is b else (np.concatenate((to_a, to_b)), np.concatenate((a.keys, b.keys)))
+                linked = n > 0
+                if linked.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(key[linked]), pa.array(n[linked]), pa.array(key[joined[linked]])], ["key", "n", "root"])
+
+    mine = trees.select(F.col("path").alias("a"), F.col("part").alias("pa"), F.col("tree").alias("first"))
+    other = trees.select(F.col("path").alias("b"), F.col("part").alias("pb"), F.col("tree").alias("second"))
+    both = pairs.filter("a <> b OR pa <> pb").select("a", "pa", "b", "pb").join(mine, ["a", "pa"]).join(other, ["b", "pb"]).select("first", "second")
+    own = mine.select("first", F.lit(None).cast("binary").alias("second"))  # every page with itself: its tree stays where it is
+    return both.unionByName(own).mapInArrow(walk, "key long, n long, root long")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
-                    threshold: float = THRESHOLD, page_rows: int = PAGE_ROWS, max_pivots: int = MAX_PIVOTS) -> DataFrame:
+                    threshold: float = THRESHOLD, page_rows: int = PAGE_ROWS, pivots: int = PIVOTS) -> DataFrame:
     """(id, n_links, component_id, kept) for every row of ``vectors``.
 
     Only vectors of equal label and length are compared; those with a null
@@ -270,8 +232,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     folded = rows.groupBy("label", "u").agg(F.min("id").alias("first"), F.count("*").alias("w"))
     folded = write_table(folded.withColumn("key", F.monotonically_increasing_id()), "cover_folded")
 
-    paged, pivots = _pages(folded.select("label", "key", "u", "w"), page_rows, max_pivots)
-    found = write_table(_links(paged, _page_pairs(paged, pivots, threshold), threshold), "cover_links")
+    points = folded.select(F.col("key").alias("id"), F.col("u").alias("vec"), "w", F.concat("label", F.lit("|")).alias("path"))
+    roots = write_table(points.groupBy("path").agg(F.count("*").alias("n")), "cover_labels")
+    paged, cells = split_pages(points, roots, page_rows, pivots)
+    pairs = near_pages(cells, roots, page_rows, reach(threshold, 9))
+    trees = write_table(_trees(paged), "cover_trees")
+    found = write_table(_links(trees, pairs, threshold), "cover_links")
     counts = found.groupBy("key").agg(F.sum("n").alias("n"))
     roots = connected_components(found, "key", "root").withColumnRenamed("node", "key")
     folded = write_table(folded.join(counts, "key", "left").join(roots, "key", "left")
