@@ -32,6 +32,7 @@ ROLL_BYTES = 8 << 20           # a file that has grown to this compressed size i
 DATE = "2024-01-01T00:00:00Z"  # headers are regenerated, so reruns give the same bytes
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the standard name space of URLs
 
+READ_BYTES = 128 << 20  # compressed bytes that a task reads back
 MANIFEST = "shard long, file string, records long, payload_bytes long, compressed_bytes long, sha256 string"
 RECORDS = ("page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, "
            "refers_to long, file string, offset long, valid boolean")
@@ -234,8 +235,11 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                 if out:
                     yield _batch(out, RECORDS)
 
-    files = read_manifest(spark, folder).select("file")
-    return files.repartition(max(files.count(), 1), "file").mapInArrow(read, RECORDS)
+    manifest = read_manifest(spark, folder)
+    size = manifest.agg(F.count("*").alias("files"), F.coalesce(F.sum("compressed_bytes"), F.lit(0)).alias("bytes")).first()
+    # Files are of about equal size: as many to a task as make READ_BYTES, while there are tasks for all cores.
+    tasks = min(size["files"], max(-(-size["bytes"] // READ_BYTES), spark.sparkContext.defaultParallelism))
+    return manifest.select("file").repartition(max(tasks, 1), "file").mapInArrow(read, RECORDS)
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
