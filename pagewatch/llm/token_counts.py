@@ -20,6 +20,7 @@ Texts of one chunk are cut into units at stable boundaries, and each new unit is
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import re
@@ -182,29 +183,36 @@ def _pieces(texts: DataFrame, spans: DataFrame) -> DataFrame:
     return texts.join(of, "digest").mapInPandas(cut, f"digest string, {SPAN}, piece string").repartition("digest", "start")
 
 
-def common_places(encoding, start: int, low: int, high: int, longest: int, head: bool) -> dict[str, int]:
-    """Names of the places in [low, high] at which the encoding of a chunk can be spliced, with the tokens before each.
-
-    ``start``: where the chunk begins. ``head``: the places are shared with the chunk before, else with the one after.
-    """
-    at = np.array(encoding.offsets, np.int64).reshape(-1, 2) + start
-    words = np.array([-1 if w is None else w for w in encoding.word_ids], np.int64)
-    first, last = at[:, 0], at[:, 1]
-    clean = np.ones(len(at), bool)
-    clean[1:] = first[1:] >= last[:-1]  # not within a character
-    begins = clean.copy()
-    begins[1:] &= (words[1:] != words[:-1]) | (words[1:] < 0)
-    end = len(at) if head else int(np.flatnonzero(begins)[-1])  # what the last piece would be in the whole text is not known
-    k = np.flatnonzero(begins[:end] & (first[:end] >= low) & (first[:end] <= (high if head else high - longest)))
-    out = {f"b{p}": int(n) for p, n in zip(first[k], k, strict=True)}
-    run = words[0] if head else words[-1]
-    inside = words[(first < high) & (last > low)]
-    if len(inside) and run >= 0 and (inside == run).all() and (head or first[words == run][0] <= low):
-        ends = np.append(clean[1:], True)
-        k = np.flatnonzero(clean & ends & (first >= low) & (last <= high))
-        ids = encoding.ids
-        out |= {f"t{first[i]}-{last[i]}-{ids[i]}": int(i) + 1 for i in k}
-    return out
+class Layout:
+    """Where the tokens of a chunk's encoding begin and end in its text, and which piece of the split pattern each is of."""
+
+    def __init__(self, encoding, start: int):
+        at = np.fromiter(itertools.chain.from_iterable(encoding.offsets), np.int64, 2 * len(encoding)) + start
+        self.first, self.last = at[::2], at[1::2]
+        self.words = np.array([-1 if w is None else w for w in encoding.word_ids], np.int64)
+        self.ids = encoding.ids
+        self.clean = np.ones(len(self.first), bool)
+        self.clean[1:] = self.first[1:] >= self.last[:-1]  # not within a character
+        self.begins = self.clean.copy()
+        self.begins[1:] &= (self.words[1:] != self.words[:-1]) | (self.words[1:] < 0)
+
+    def common_places(self, low: int, high: int, longest: int, head: bool) -> dict[str, int]:
+        """Names of the places in [low, high] at which the encoding can be spliced, with the tokens before each.
+
+        ``head``: the places are shared with the chunk before, else with the one after. ``longest``: special string.
+        """
+        first, last, words = self.first, self.last, self.words
+        end = len(first) if head else int(np.flatnonzero(self.begins)[-1])  # what the last piece would be in the whole text is not known
+        some = slice(*np.searchsorted(first[:end], [low, (high if head else high - longest) + 1]))
+        k = np.flatnonzero(self.begins[some]) + some.start
+        out = {f"b{p}": int(n) for p, n in zip(first[k], k, strict=True)}
+        run = words[0] if head else words[-1]
+        some = slice(int(np.searchsorted(last, low, "right")), int(np.searchsorted(first, high)))
+        if some.stop > some.start and run >= 0 and (words[some] == run).all() and (head or first[np.flatnonzero(words == run)[0]] <= low):
+            ends = np.append(self.clean[1:], True)[some]
+            k = np.flatnonzero(self.clean[some] & ends & (first[some] >= low) & (last[some] <= high)) + some.start
+            out |= {f"t{first[i]}-{last[i]}-{self.ids[i]}": int(i) + 1 for i in k}
+        return out
 
 
 def _encoder(spec, longest: int):
@@ -213,9 +221,9 @@ def _encoder(spec, longest: int):
         for pdf in batches:
             rows = []
             for digest, start, stop, left, right, piece in pdf.itertuples(index=False):
-                e = tok.encode(piece, add_special_tokens=False)
-                rows.append((digest, start, stop, left, right, len(e), common_places(e, start, start, start + left, longest, True) if left else {},
-                             common_places(e, start, stop, stop + right, longest, False) if right else {}))
+                e = Layout(tok.encode(piece, add_special_tokens=False), start)
+                rows.append((digest, start, stop, left, right, len(e.ids), e.common_places(start, start + left, longest, True) if left else {},
+                             e.common_places(stop, stop + right, longest, False) if right else {}))
             yield pd.DataFrame(rows, columns=["digest", "start", "stop", "left", "right", "total", "head", "tail"])
 
     return encode

@@ -107,8 +107,8 @@ def test_spliced_counts_equal_the_library_at_every_cut(byte_tokenizer):
         a, b = sorted(rng.integers(1, len(text), 2))
         lo, hi = int(a), int(min(b + 30, len(text)))
         left, right = (byte_tokenizer.encode(t, add_special_tokens=False) for t in (text[:hi], text[lo:]))
-        tail = token_counts.common_places(left, 0, lo, hi, 13, False)
-        head = token_counts.common_places(right, lo, lo, hi, 13, True)
+        tail = token_counts.Layout(left, 0).common_places(lo, hi, 13, False)
+        head = token_counts.Layout(right, lo).common_places(lo, hi, 13, True)
         n = len(byte_tokenizer.encode(text, add_special_tokens=False))
         if hi - lo < 28:
             continue  # an overlap is twice the longest special string at least
