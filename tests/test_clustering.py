@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pagewatch.operators import cells
 from pagewatch.operators.clustering import connected_components, dense_rank_ids, density_clusters
-from pagewatch.operators.vectors import similarity_pairs
+from pagewatch.operators.vectors import _pair_finder, core_graph, degrees, similarity_pairs
 
 
 def py_components(n_nodes, edges):
@@ -103,6 +103,44 @@ def test_copies_of_a_vector_do_not_grow_with_the_table(spark):
     assert max(copies) <= 1.5 * copies[0] and copies[-1] < 8, copies
 
 
+def test_pages_meet_without_copies_of_their_vectors(spark):
+    """Vectors without clusters, so all pages meet: no vector is shuffled for it, and a page is written once."""
+    x = np.random.default_rng(4).normal(size=(400, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "article_id long, vec array<double>")
+    found = similarity_pairs(df, 0.9, block_size=20)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "CartesianProduct" in plan
+    assert {(r["i"], r["j"]) for r in found.collect()} == set(brute_pairs(x, 0.9))
+
+
+def test_what_tasks_hand_on_grows_with_vectors_not_with_pages(spark):
+    """All vectors are alike: a task gives one count a vector, one forest and the best partners, whatever pages it reads."""
+    rows = spark.range(300).select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("vec")).checkpoint()
+    pages = cells.deal_pages(rows, 0.9, 6, 10)
+    met = pages.meetings()
+    tasks = met.rdd.getNumPartitions()
+    assert met.count() == 30 * 31 // 2 and tasks < 30
+    best = met.mapInArrow(_pair_finder(0.9, 6, pages.angle, 2), "i long, j long, cosine double")
+    assert best.count() <= 2 * 300 * tasks
+    flags = rows.select("id", F.lit(True).alias("core"))
+    assert core_graph(pages, flags, 0.9).count() <= 300 * tasks
+    assert {(r["id"], r["degree"]) for r in degrees(pages, 0.9).collect()} == {(i, 299) for i in range(300)}
+
+
+def test_components_compute_their_edges_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    edges = spark.createDataFrame([(i, i // 2) for i in range(1, 500)] + [(700, 700), (None, 800), (801, None), (None, None)], "i long, j long")
+    got = {r["id"]: r["component"] for r in connected_components(edges.mapInPandas(count, edges.schema)).collect()}
+    assert got == {i: 0 for i in range(500)} | {i: i for i in (700, 800, 801)}
+    assert seen.value == 503
+
+
 def test_lsh_finds_most_pairs_and_nothing_else(spark):
     x = np.abs(clustered(20, 15, noise=0.12)) + 0.3
     want = brute_pairs(x, 0.98)
