@@ -144,7 +144,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text", keep:
     encoded, counted = None, None
     while True:
         new = write_table(_pieces(texts, spans).mapInPandas(_encoder(spec, longest), ENCODED).dropDuplicates(key), "chunks")  # copies give equal rows
-        encoded = new if encoded is None else encoded.unionByName(new)
+        # What goes on is written each round, so that no plan holds the rounds before.
+        encoded = new if encoded is None else write_table(encoded.unionByName(new), "chunks")
         spliced = write_table(encoded.groupBy("digest").applyInPandas(_splicer(chunk), SPLICED), "spliced")
         got = spliced.filter("n_tokens IS NOT NULL").select("digest", "n_tokens")
         counted = got if counted is None else counted.unionByName(got)
