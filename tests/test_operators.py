@@ -338,3 +338,16 @@ def test_windows_of_a_stated_range_of_years(spark):
     years = [(str(r["start"]), str(r["end"])) for r in D.year_windows(spark, 2019, 2020).orderBy("start").collect()]
     assert years == [("2019-01-01", "2020-01-01"), ("2020-01-01", "2021-01-01")]
     assert D.month_windows(spark, 2020, 2019).count() == 0 and D.year_windows(spark, 2020, 2019).count() == 0
+
+
+def test_dictionary_translation_shuffles_the_texts_once(spark):
+    """Articles meet the cache; nothing else of a text moves. A cached null is a hit, a failure is retried."""
+    from pagewatch.operators.articles import cache_key, translate
+    arts = spark.createDataFrame([(1, "le chat"), (2, "le chat"), (3, "la maison"), (4, "le jour"), (5, None)], "article_id long, text_src string")
+    keys = {r["text_src"]: r["k"] for r in arts.select("text_src", cache_key("text_src").alias("k")).collect()}
+    cache = spark.createDataFrame([(keys["le chat"], "cached", True), (keys["la maison"], "", False), (keys["le jour"], None, True)],
+                                  "src_sha1 string, text_out string, ok boolean")
+    out, new = translate(arts, cache, dictionary={"le": "the", "la": "the"})
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert {r["article_id"]: r["text_en"] for r in out.collect()} == {1: "cached", 2: "cached", 3: "the maison", 4: "", 5: ""}
+    assert [(r["src_sha1"], r["text_out"]) for r in new.filter("src_sha1 IS NOT NULL").collect()] == [(keys["la maison"], "the maison")]
