@@ -127,6 +127,16 @@ def test_what_tasks_hand_on_grows_with_vectors_not_with_pages(spark):
     assert {(r["id"], r["degree"]) for r in degrees(pages, 0.9).collect()} == {(i, 299) for i in range(300)}
 
 
+def test_a_vector_with_a_null_id(spark):
+    """It is linked as any other, so its neighbours count it, and its id stays null."""
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (None, [1.0, 0.0]), (3, [0.0, 1.0])], "article_id long, vec array<double>")
+    pairs = lambda **k: {tuple(r) for r in similarity_pairs(df, 0.9, **k).collect()}
+    assert pairs() == {(1, 2, 1.0)}
+    assert pairs(max_neighbours=3) == {(1, 2, 1.0), (1, 1, 1.0), (2, 2, 1.0), (None, None, 1.0)}
+    pages = cells.deal_pages(df.withColumnRenamed("article_id", "id"), 0.9, 6, 10)
+    assert {r["id"]: r["degree"] for r in degrees(pages, 0.9).collect()} == {1: 2, 2: 2, None: 3}
+
+
 def test_components_compute_their_edges_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
