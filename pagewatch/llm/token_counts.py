@@ -11,7 +11,7 @@ common boundary that is proven stable, in one of two ways:
   the token's end are neighbours in the left encoding, it and all that follows in the right one.
 
 The numbers of tokens left and right of the boundaries are added up. Where an overlap has no such boundary, it alone is
-widened and its two chunks are encoded again; two chunks whose overlap would be half a chunk become one. A text whose
+widened and its two chunks are encoded again; two chunks whose overlap would be half a chunk, or is all of the second, become one. A text whose
 tokens never fall into step (a run of one letter, say) ends as one chunk.
 
 Texts of one chunk are cut into units at stable boundaries, and each new unit is encoded once a task.
@@ -253,7 +253,7 @@ def _splicer(chunk: int):
         merged = -1
         for i in failed:
             a, b = spans[i], spans[i + 1]
-            if 4 * a["right"] <= chunk:
+            if 4 * a["right"] <= chunk and a["right"] < size - a["stop"]:  # what reaches the text's end cannot be widened
                 a["right"] = b["left"] = min(2 * a["right"], size - a["stop"])
                 a["again"] = b["again"] = True
             elif merged != i:  # one of two such overlaps in a row at a time

@@ -5,6 +5,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,30 @@ def test_spliced_counts_equal_the_library_at_every_cut(byte_tokenizer):
             assert tail[place] + len(right) - head[place] == n, (text, lo, hi, place)
 
 
+@pytest.mark.parametrize("right", [256, 100, 40])
+def test_a_short_last_chunk_without_a_common_boundary_is_joined(right):
+    """Its overlap ends with the text and cannot be widened: the rounds would never end."""
+    none = {"head": {}, "tail": {}, "total": 9, "digest": "d"}
+    rows = [{"start": 0, "stop": 4096, "left": 0, "right": right} | none, {"start": 4096, "stop": 4136, "left": right, "right": 0} | none]
+    got = token_counts._splicer(4096)(pd.DataFrame(rows))["spans"][0]
+    assert got == [{"start": 0, "stop": 4136, "left": 0, "right": 0, "again": True}]
+
+
+def test_token_counts_of_a_run_with_a_short_last_chunk(spark, byte_tokenizer, monkeypatch):
+    rounds, real = [], token_counts._pieces
+
+    def pieces(*a):
+        rounds.append(1)
+        assert len(rounds) < 12
+        return real(*a)
+
+    monkeypatch.setattr(token_counts, "_pieces", pieces)
+    texts = ["ab" + "a" * (2 * 4096 + n) for n in (5, 40, 100, 300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r[0]: r[1] for r in token_counts.count_tokens(docs, vocabulary("byte_bpe_50k.json"), chunk=4096, overlap=64).select("row.doc_id", "n_tokens").collect()}
+    assert got == {i: len(byte_tokenizer.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
 def test_token_counts_of_an_empty_table_and_kept_columns(spark):
     docs, _ = table(spark, TRICKY[:5])
     got = token_counts.count_tokens(docs.limit(0), vocabulary("byte_bpe_50k.json"), keep=["doc_id"])
