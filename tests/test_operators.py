@@ -351,3 +351,22 @@ def test_dictionary_translation_shuffles_the_texts_once(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
     assert {r["article_id"]: r["text_en"] for r in out.collect()} == {1: "cached", 2: "cached", 3: "the maison", 4: "", 5: ""}
     assert [(r["src_sha1"], r["text_out"]) for r in new.filter("src_sha1 IS NOT NULL").collect()] == [(keys["la maison"], "the maison")]
+
+
+def test_cluster_payload_is_written_compressed(spark):
+    """Every text is in the articles twice; uncompressed they outgrew the rest of the run."""
+    import os
+
+    from pagewatch.operators.topics import cluster_payload
+    from pagewatch.sinks.writers import write_cluster_payload
+    odd = [None, "", "line\nbreak\r\n\ttab \"quoted\" \\ slash", "\u2028 \x01 日本語 🙂", "word " * 50_000]
+    rows = [(i, f"u{i}", None if i == 1 else "a", "2023", t, t, i % 2 - 1) for i, t in enumerate(odd)]
+    arts = spark.createDataFrame(rows, "article_id long, url string, archive_url string, archive_timestamp string, text_src string, text_en string, cluster int")
+    payload = cluster_payload(arts, spark.createDataFrame([(0, 2)], "id int, size long"), {"input_dir": "d", "model": "m", "min_topic_size": 5, "translation": "t"})
+    path = scratch_path(spark, "t_payload")
+    write_cluster_payload(payload, path)
+    write_cluster_payload(payload, path)
+    for name, df in zip(("summary", "articles", "clusters"), payload, strict=True):
+        assert sorted(map(str, spark.read.schema(df.schema).json(f"{path}/{name}").collect())) == sorted(map(str, df.collect()))
+    at = f"{path.removeprefix('file:')}/articles"
+    assert sum(os.path.getsize(f"{at}/{f}") for f in os.listdir(at)) < 50_000
