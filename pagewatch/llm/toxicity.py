@@ -72,19 +72,32 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = Features()
         for pdf in parts:
-            yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "f": [x.astype("<i4").tobytes() for t in pdf["text"] for x in f.of([t or ""])]})
+            found = [x.astype("<i4").tobytes() for t in pdf["text"] for x in f.of([t or ""])]
+            yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "n": [len(x) // 4 for x in found], "f": found})
 
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     # At most sum(SAMPLE) ids are broadcast, and each map task sends one text an id on; the features of one text an id come to the driver to be fitted.
     rows = texts.join(F.broadcast(picked), "id").groupBy("id").agg(
         F.max("y").alias("y"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first"))
-    got = columns(rows.select("id", "y", "first.text").mapInPandas(features, "id long, y int, f binary"))
+    table = write_table(rows.select("id", "y", "first.text").mapInPandas(features, "id long, y int, n long, f binary"), "toxic_features")
+    got = columns(table.select("id", "y", "n"))
     order = np.argsort(got["id"], kind="stable")
-    return fit([np.frombuffer(f, "<i4") for f in got["f"][order]], got["y"][order].astype(float), share)
+    # The driver holds the sample's features once, in one array: they are read a partition at a time and then overwritten.
+    ends = np.cumsum(got["n"][order])
+    flat = np.empty(got["n"].sum(), np.int32)
+    own = {i: flat[end - n:end] for i, n, end in zip(got["id"][order].tolist(), got["n"][order], ends, strict=True)}
+    for row in table.select("id", "f").toLocalIterator():
+        own[row["id"]][:] = np.frombuffer(row["f"], "<i4")
+    return _fit_in_place([*own.values()], got["y"][order].astype(float), share)
 
 
 def fit(features: list[np.ndarray], y: np.ndarray, share: float) -> Model:
     """Naive Bayes scaling, then logistic regression by Adam on the whole sample; rows weigh as their class does among all labels."""
+    return _fit_in_place([f.astype(np.int32) for f in features], y, share)
+
+
+def _fit_in_place(features: list[np.ndarray], y: np.ndarray, share: float) -> Model:
+    """``fit`` that overwrites the arrays of ``features``."""
     size = 1 << BITS
     if len(y) == 0 or y.min() == y.max():
         share = float(np.clip(share, 1e-6, 1 - 1e-6))
@@ -97,18 +110,21 @@ def fit(features: list[np.ndarray], y: np.ndarray, share: float) -> Model:
     number, r = (np.cumsum(used) - 1).astype(np.int32), ratio[used]
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     weight /= weight.sum()
-    # Documents in blocks, so that what is computed for a block stays small: (first document, column of each feature, bounds of documents).
-    blocks = []
-    for s in range(0, len(y), BLOCK):
-        cols = [number[f[used[f]]] for f in features[s:s + BLOCK]]
-        blocks.append((s, np.concatenate(cols), np.repeat(np.arange(len(cols), dtype=np.int32), [len(c) for c in cols])))
+    # The column of each feature that is used takes the feature's place, so that the sample is held once.
+    sizes = np.zeros(len(y), np.int64)
+    for i, f in enumerate(features):
+        cols = number[f[used[f]]]
+        sizes[i] = len(cols)
+        f[:len(cols)] = cols
     w, b = np.zeros(len(r) + 1), np.log(share / (1 - share))
     w[-1] = b
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, ROUNDS + 1):
         g, scaled = np.append(L2 * w[:-1], 0.0), r * w[:-1]
-        for s, col, row in blocks:
+        for s in range(0, len(y), BLOCK):  # documents in blocks, so that what is computed for a block stays small
             here = slice(s, min(s + BLOCK, len(y)))
+            col = np.concatenate([f[:n] for f, n in zip(features[here], sizes[here], strict=True)])
+            row = np.repeat(np.arange(here.stop - s), sizes[here])
             z = np.bincount(row, scaled[col], minlength=here.stop - s) + w[-1]
             off = weight[here] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[here])
             g[:-1] += r * np.bincount(col, off[row], minlength=len(r))

@@ -295,6 +295,29 @@ def test_toxicity_trains_on_one_text_an_id(spark, monkeypatch):
     assert (models[0].weights == models[1].weights).all() and models[0].intercept == models[1].intercept
 
 
+def test_toxicity_training_holds_the_features_once(spark, monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(toxicity, "ROUNDS", 2)
+    monkeypatch.setattr(toxicity, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    letters = np.array([*"abcdefghijklmnopqrstuvwxyz "])
+    rows = [(i, "".join(rng.choice(letters, 20000))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, toxic int")
+    f = toxicity.Features()
+    size = 4 * sum(len(x) for _, t in rows for x in f.of([t]))
+    tracemalloc.start()
+    try:
+        model = toxicity.train(docs, labels)
+        left, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    print("MB of features, at most, afterwards:", *(x >> 20 for x in (size, peak, left)))
+    assert model.weights.any()
+    assert peak < 2.5 * size and left < 0.2 * size  # beside the features once: arrays of 2^20 numbers
+
+
 def test_toxicity_without_both_classes(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
     for labels in ([], [(1, 0)]):
