@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pagewatch.operators import cells
 from pagewatch.operators.clustering import connected_components, dense_rank_ids, density_clusters
-from pagewatch.operators.vectors import _pair_finder, core_graph, degrees, similarity_pairs
+from pagewatch.operators.vectors import _banded, _pair_finder, core_graph, degrees, similarity_pairs
 
 
 def py_components(n_nodes, edges):
@@ -163,6 +163,19 @@ def test_lsh_finds_most_pairs_and_nothing_else(spark):
         similarity_pairs(df, 0.98, method="guess")
 
 
+def test_lsh_sends_a_vector_once_a_band(spark):
+    x = clustered(20, 15, noise=0.12)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "article_id long, vec array<double>").withColumnRenamed("article_id", "id")
+    whole = _banded(df, 0.98, 2048, 0.97)
+    assert whole.groupBy("id", "band").count().filter("count <> 1").isEmpty()
+    assert whole.select("id").distinct().count() == len(x)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    cut = _banded(df, 0.98, 10, 0.97)  # a vector of a group of several blocks once for each of them
+    sizes = cut.groupBy("band", "key").agg(F.countDistinct("id").alias("n"), F.count("*").alias("rows"))
+    assert sizes.filter("rows <> n * ceil(n / 10)").isEmpty() and not sizes.filter("n > 10").isEmpty()
+
+
 @pytest.mark.parametrize("method", ["blocked", "lsh"])
 def test_max_neighbours_keeps_the_best(spark, method):
     x = clustered(4, 30, noise=0.1)
