@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewatch.operators import spans as S
+from pagewatch.functions.text import markdown_to_plain
 from pagewatch.operators.clustering import core_components, density_clusters
+from pagewatch.operators.vectors import similarity_pairs
 from test_clustering import brute_pairs, py_components
 
 
@@ -152,3 +154,26 @@ def test_tables_that_meet_stand_on_the_same_axes(spark):
     got = {tuple(r) for r in S.meet_spans(left, limit, right).mapInArrow(run, "i long, j long").collect()}
     want = brute_pairs(x, 0.95)
     assert got == {(i, j) for p in want for i, j in (p, p[::-1]) if i % 9 == 0}
+
+
+def test_best_partners_of_many_spans(spark):
+    """Rows' marks leave out most products, and the best three partners of each vector come out, copies and ties among them."""
+    x = mixed(420)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "article_id long, vec array<double>")
+    sims = brute_pairs(x, 0.9)
+    want = set()
+    for i in range(len(x)):
+        near = sorted((-c, a + b - i) for (a, b), c in sims.items() if i in (a, b))[:3]
+        want |= {(min(i, j), max(i, j), -c) for c, j in near}
+    found = similarity_pairs(df, 0.9, max_neighbours=3, block_size=5)
+    assert {tuple(r) for r in found.collect()} == want
+
+
+def test_plain_text_of_markdown_in_one_pass_where_marks_are_absent(spark):
+    """Ends are trimmed without a regex of their own, and texts without a mark are not searched for it."""
+    rows = [" \u2003a  b\x1c\n c ", "[x](y) `z` **w** _v_", "## h\n`a` * b", "", None, "\x0b \u00a0", "a_b_c](d", " `*x*` "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "k int, t string")
+    plain = markdown_to_plain("t")
+    got = [r[0] for r in df.orderBy("k").select(plain).collect()]
+    assert got == ["a b c", "x z w v", "h a * b", "", "", "", "abc](d", "x"]
+    assert r"^ | \z" not in str(plain)
